@@ -20,6 +20,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body`` (keeps trees small)."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _long(v: int) -> Column:
     return F.lit(v).cast("bigint")
 
@@ -98,14 +103,25 @@ def host_pair(plen, wide: bool) -> tuple[Column, Column]:
     return hi, lo
 
 
+def _pair_struct(addr) -> Column:
+    hi, lo = u128_split(addr)
+    return F.struct(hi.alias("hi"), lo.alias("lo"))
+
+
 def network_start(addr, plen, wide: bool) -> Column:
+    if wide:
+        return let(_pair_struct(addr), lambda p: u128_join(*mask_pair(p["hi"], p["lo"], plen, True)))
     return addr_from_pair(*mask_pair(*addr_pair(addr, wide), plen, wide), wide)
 
 
 def network_end(addr, plen, wide: bool) -> Column:
-    hi, lo = mask_pair(*addr_pair(addr, wide), plen, wide)
     oh, ol = host_pair(plen, wide)
-    return addr_from_pair(hi.bitwiseOR(oh), lo.bitwiseOR(ol), wide)
+
+    def last(hi: Column, lo: Column) -> Column:
+        hi, lo = mask_pair(hi, lo, plen, wide)
+        return addr_from_pair(hi.bitwiseOR(oh), lo.bitwiseOR(ol), wide)
+
+    return let(_pair_struct(addr), lambda p: last(p["hi"], p["lo"])) if wide else last(*addr_pair(addr, wide))
 
 
 def succ(addr, wide: bool) -> Column:
@@ -113,10 +129,9 @@ def succ(addr, wide: bool) -> Column:
     a = _c(addr)
     if not wide:
         return a + 1
-    hi, lo = u128_split(a)
     up = lambda x: F.when(x == _MAX64, _long(_MIN64)).otherwise(x + 1)
-    return (F.when((hi == -1) & (lo == -1), F.lit(None).cast("binary"))
-            .when(lo == -1, u128_join(up(hi), _long(0))).otherwise(u128_join(hi, up(lo))))
+    return let(_pair_struct(a), lambda p: F.when((p["hi"] == -1) & (p["lo"] == -1), F.lit(None).cast("binary"))
+               .when(p["lo"] == -1, u128_join(up(p["hi"]), _long(0))).otherwise(u128_join(p["hi"], up(p["lo"]))))
 
 
 def pred(addr, wide: bool) -> Column:
@@ -124,10 +139,9 @@ def pred(addr, wide: bool) -> Column:
     a = _c(addr)
     if not wide:
         return a - 1
-    hi, lo = u128_split(a)
     down = lambda x: F.when(x == _MIN64, _long(_MAX64)).otherwise(x - 1)
-    return (F.when((hi == 0) & (lo == 0), F.lit(None).cast("binary"))
-            .when(lo == 0, u128_join(down(hi), _long(-1))).otherwise(u128_join(hi, down(lo))))
+    return let(_pair_struct(a), lambda p: F.when((p["hi"] == 0) & (p["lo"] == 0), F.lit(None).cast("binary"))
+               .when(p["lo"] == 0, u128_join(down(p["hi"]), _long(-1))).otherwise(u128_join(p["hi"], down(p["lo"]))))
 
 
 # ---- text -> address --------------------------------------------------------
@@ -135,13 +149,14 @@ def pred(addr, wide: bool) -> Column:
 def ip4_to_int(s) -> Column:
     """Dotted quad -> BIGINT; NULL when malformed or an octet exceeds 255."""
     t = F.trim(_c(s))
-    parts = F.split(t, r"\.")
-    octs = [F.get(parts, i).try_cast("bigint") for i in range(4)]
-    ok = t.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    for o in octs:
-        ok = ok & (o <= 255)
-    val = ((octs[0] * 256 + octs[1]) * 256 + octs[2]) * 256 + octs[3]
-    return F.when(ok, val)
+    octets = F.transform(F.split(t, r"\."), lambda x: x.try_cast("bigint"))
+
+    def value(o: Column) -> Column:
+        o = [F.get(o, i) for i in range(4)]
+        ok = (o[0] <= 255) & (o[1] <= 255) & (o[2] <= 255) & (o[3] <= 255)
+        return F.when(ok, ((o[0] * 256 + o[1]) * 256 + o[2]) * 256 + o[3])
+
+    return F.when(t.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), let(octets, value))
 
 
 def int_to_ip4(n) -> Column:
@@ -153,71 +168,75 @@ def int_to_ip4(n) -> Column:
 def ip6_to_bin(s) -> Column:
     """IPv6 text -> BINARY(16): at most one '::', eight groups, no embedded IPv4."""
     t = F.trim(_c(s))
-    halves = F.split(t, "::", -1)
     words = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ":", -1))
-    left = words(F.get(halves, 0))
-    right = words(F.coalesce(F.get(halves, 1), F.lit("")))
-    fill = F.lit(8) - F.size(left) - F.size(right)
-    full = F.when(F.size(halves) == 1, F.split(t, ":", -1)).otherwise(
-        F.concat(left, F.array_repeat(F.lit("0"), F.greatest(fill, F.lit(0))), right))
-    ok = (t.contains(":") & t.rlike("^[0-9a-fA-F:]+$") & (F.size(halves) <= 2)
-          & (F.locate(":::", t) == 0) & (F.size(full) == 8)
-          & F.forall(full, lambda g: g.rlike("^[0-9a-fA-F]{1,4}$")))
-    return F.when(ok, F.unhex(F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), "")))
+
+    def filled(h: Column) -> Column:
+        left, right = words(F.get(h, 0)), words(F.get(h, 1))
+        return let(F.struct(left.alias("l"), right.alias("r")), lambda w: F.concat(
+            w["l"], F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(w["l"]) - F.size(w["r"]), F.lit(0))), w["r"]))
+
+    groups = let(F.split(t, "::", -1), lambda h: F.when(F.size(h) == 1, F.split(F.get(h, 0), ":", -1))
+                 .when((F.size(h) == 2) & (F.locate(":::", t) == 0), filled(h)))
+    packed = let(groups, lambda g: F.when(
+        (F.size(g) == 8) & F.forall(g, lambda x: x.rlike("^[0-9a-fA-F]{1,4}$")),
+        F.unhex(F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), ""))))
+    return F.when(t.rlike("^[0-9a-fA-F]*:[0-9a-fA-F:]*$"), packed)
 
 
 def ip6_text(b) -> Column:
     """BINARY(16) -> canonical compressed lower-case text."""
     h = F.lower(F.hex(_c(b)))
-    groups = [F.regexp_replace(F.substring(h, 1 + 4 * i, 4), "^0{1,3}", "") for i in range(8)]
-    full = F.concat_ws(":", *groups)
-    out = full
-    for n in range(2, 9):  # the longest run wins, the leftmost one among equals
-        pat = r"^(.*?)(?:^|:|(?<=^))0(?::0){%d}(?:$|:)(.*)$" % (n - 1)
-        run = r"(^|:)0(:0){%d}(:|$)" % (n - 1)
-        out = F.when(full.rlike(run), F.regexp_replace(full, pat, "$1::$2")).otherwise(out)
-    return out
+    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(
+        F.substring(h, i * 4 + 1, F.lit(4)), "^0{1,3}", ""))
+
+    def shorten(full: Column) -> Column:
+        out = F
+        for n in range(8, 1, -1):  # the longest run wins, the leftmost one among equals
+            pat = r"^(.*?)(?:^|:)0(?::0){%d}(?:$|:)(.*)$" % (n - 1)
+            run = r"(^|:)0(:0){%d}(:|$)" % (n - 1)
+            out = out.when(full.rlike(run), F.regexp_replace(full, pat, "$1::$2"))
+        return out.otherwise(full)
+
+    return let(F.array_join(groups, ":"), shorten)
 
 
 def addr_text(addr, wide: bool) -> Column:
     return ip6_text(addr) if wide else int_to_ip4(addr)
 
 
+def _bounds(s, wide: bool) -> Column:
+    t = F.trim(_c(s))
+    width = bits_of(wide)
+    tail = r"/(\d{1,3})$" if wide else r"/(\d{1,2})$"
+    plen_txt = F.regexp_extract(t, tail, 1)
+    address = F.regexp_replace(t, tail, "")
+    parts = F.struct((ip6_to_bin if wide else ip4_to_int)(address).alias("a"),
+                     F.when(plen_txt != "", plen_txt.try_cast("int")).otherwise(F.lit(width)).alias("p"),
+                     (plen_txt != "").alias("c"))
+    return let(parts, lambda x: F.when(x["a"].isNotNull() & (x["p"] <= width), F.struct(
+        network_start(x["a"], x["p"], wide).alias("start"), network_end(x["a"], x["p"], wide).alias("end"),
+        x["p"].alias("plen"), x["c"].alias("is_cidr"))))
+
+
 def cidr4_bounds(s) -> Column:
     """IPv4 address or CIDR -> STRUCT<start, end, plen, is_cidr>; host bits cleared."""
-    t = F.trim(_c(s))
-    plen_txt = F.regexp_extract(t, r"/(\d{1,2})$", 1)
-    is_cidr = plen_txt != ""
-    base = ip4_to_int(F.regexp_replace(t, r"/\d{1,2}$", ""))
-    plen = F.when(is_cidr, plen_txt.try_cast("int")).otherwise(F.lit(32))
-    ok = base.isNotNull() & (plen <= 32)
-    return F.when(ok, F.struct(
-        network_start(base, plen, False).alias("start"), network_end(base, plen, False).alias("end"),
-        plen.alias("plen"), is_cidr.alias("is_cidr")))
+    return _bounds(s, False)
 
 
 def cidr6_bounds(s) -> Column:
     """IPv6 address or CIDR -> STRUCT<start, end, plen, is_cidr> with BINARY(16) bounds."""
-    t = F.trim(_c(s))
-    plen_txt = F.regexp_extract(t, r"/(\d{1,3})$", 1)
-    is_cidr = plen_txt != ""
-    base = ip6_to_bin(F.regexp_replace(t, r"/\d{1,3}$", ""))
-    plen = F.when(is_cidr, plen_txt.try_cast("int")).otherwise(F.lit(128))
-    ok = base.isNotNull() & (plen <= 128)
-    return F.when(ok, F.struct(
-        network_start(base, plen, True).alias("start"), network_end(base, plen, True).alias("end"),
-        plen.alias("plen"), is_cidr.alias("is_cidr")))
+    return _bounds(s, True)
 
 
 def cidr_bounds(s) -> Column:
     """Either family -> STRUCT<family, start, end, plen, is_cidr>, bounds as BINARY(16)."""
-    b4, b6 = cidr4_bounds(s), cidr6_bounds(s)
-    return (F.when(b4.isNotNull(), F.struct(
-                F.lit(4).alias("family"), as_u128(b4["start"], False).alias("start"),
-                as_u128(b4["end"], False).alias("end"), b4["plen"].alias("plen"), b4["is_cidr"].alias("is_cidr")))
-            .when(b6.isNotNull(), F.struct(
-                F.lit(6).alias("family"), b6["start"].alias("start"), b6["end"].alias("end"),
-                b6["plen"].alias("plen"), b6["is_cidr"].alias("is_cidr"))))
+    v4 = let(cidr4_bounds(s), lambda b: F.when(b.isNotNull(), F.struct(
+        F.lit(4).alias("family"), as_u128(b["start"], False).alias("start"), as_u128(b["end"], False).alias("end"),
+        b["plen"].alias("plen"), b["is_cidr"].alias("is_cidr"))))
+    v6 = let(cidr6_bounds(s), lambda b: F.when(b.isNotNull(), F.struct(
+        F.lit(6).alias("family"), b["start"].alias("start"), b["end"].alias("end"), b["plen"].alias("plen"),
+        b["is_cidr"].alias("is_cidr"))))
+    return F.when(F.coalesce(_c(s), F.lit("")).contains(":"), v6).otherwise(v4)
 
 
 def prefix_from_bytes(b, plen, wide: bool) -> Column:
@@ -225,9 +244,9 @@ def prefix_from_bytes(b, plen, wide: bool) -> Column:
     size = 16 if wide else 4
     padded = F.rpad(F.hex(_c(b)), size * 2, "0")
     addr = F.unhex(padded) if wide else F.conv(padded, 16, 10).cast("bigint")
-    start, end = network_start(addr, plen, wide), network_end(addr, plen, wide)
-    return F.struct(start.alias("start"), end.alias("end"),
-                    F.concat(addr_text(start, wide), F.lit("/"), _c(plen).cast("string")).alias("prefix"))
+    return let(addr, lambda a: let(network_start(a, plen, wide), lambda start: F.struct(
+        start.alias("start"), network_end(a, plen, wide).alias("end"),
+        F.concat(addr_text(start, wide), F.lit("/"), _c(plen).cast("string")).alias("prefix"))))
 
 
 def family_of(prefix) -> Column:
@@ -289,43 +308,45 @@ def range_to_cidr_blocks(start, end, wide: bool) -> Column:
     follow the one bits of ``end``.
     """
     width = bits_of(wide)
-    sh, sl = addr_pair(start, wide)
-    eh, el = addr_pair(end, wide)
-    xh, xl = sh.bitwiseXOR(eh), sl.bitwiseXOR(el)
-    d = F.when(xh != 0, F.lit(64) + _bitlen(xh)).otherwise(_bitlen(xl))
-    tz = F.when(sl != 0, _trailing(sl, "0")).when(sh != 0, F.lit(64) + _trailing(sh, "0")).otherwise(F.lit(width))
-    to = F.when(el == -1, F.lit(64) + F.when(eh == -1, F.lit(64)).otherwise(_trailing(eh, "1"))).otherwise(
-        _trailing(el, "1"))
-
-    def block(hi: Column, lo: Column, k: Column) -> Column:
-        return F.struct(addr_from_pair(hi, lo, wide).alias("start"), (F.lit(width) - k).cast("int").alias("plen"))
-
-    def one_at(k: Column) -> tuple[Column, Column]:
-        return (F.when(k >= 64, _shl(_long(1), k - 64)).otherwise(_long(0)),
-                F.when(k >= 64, _long(0)).otherwise(_shl(_long(1), k)))
-
-    whole = (tz >= d) & (to >= d)
-    half = d - 1
-    left_k = F.least(tz, half)
-    right_k = F.least(to, half)
-
-    def left_block(k: Column) -> Column:
-        bh, bl = one_at(k)
-        mh, ml = mask_pair(sh, sl, F.lit(width - 1) - k, wide)
-        return block(mh.bitwiseOR(bh), ml.bitwiseOR(bl), k)
-
-    def right_block(k: Column) -> Column:
-        mh, ml = mask_pair(eh, el, F.lit(width - 1) - k, wide)
-        return block(mh, ml, k)
-
-    span = lambda lo_k: F.when(lo_k < half, F.sequence(lo_k + 1, half)).otherwise(F.array(half))
-    left_rest = F.transform(
-        F.filter(span(left_k), lambda k: (k > left_k) & (k < half) & (_bit(sh, sl, k) == 0)), left_block)
-    right_rest = F.transform(
-        F.filter(F.reverse(span(right_k)), lambda k: (k > right_k) & (k < half) & (_bit(eh, el, k) == 1)), right_block)
-    rh, rl = mask_pair(eh, el, F.lit(width) - right_k, wide)
-    pieces = F.concat(F.array(block(sh, sl, left_k)), left_rest, right_rest, F.array(block(rh, rl, right_k)))
-    return F.when(whole, F.array(block(sh, sl, d))).otherwise(pieces)
+
+    def cover(z: Column) -> Column:
+        sh, sl, eh, el, d, tz, to = (z[k] for k in ("sh", "sl", "eh", "el", "d", "tz", "to"))
+
+        def block(hi: Column, lo: Column, k: Column) -> Column:
+            return F.struct(addr_from_pair(hi, lo, wide).alias("start"), (F.lit(width) - k).cast("int").alias("plen"))
+
+        def one_at(k: Column) -> tuple[Column, Column]:
+            return (F.when(k >= 64, _shl(_long(1), k - 64)).otherwise(_long(0)),
+                    F.when(k >= 64, _long(0)).otherwise(_shl(_long(1), k)))
+
+        half = d - 1
+        left_k, right_k = F.least(tz, half), F.least(to, half)
+
+        def left_block(k: Column) -> Column:
+            bh, bl = one_at(k)
+            mh, ml = mask_pair(sh, sl, F.lit(width - 1) - k, wide)
+            return block(mh.bitwiseOR(bh), ml.bitwiseOR(bl), k)
+
+        def right_block(k: Column) -> Column:
+            return block(*mask_pair(eh, el, F.lit(width - 1) - k, wide), k)
+
+        span = lambda low: F.when(low < half, F.sequence(low + 1, half)).otherwise(F.array(half))
+        left = F.transform(F.filter(span(left_k), lambda k: (k > left_k) & (k < half) & (_bit(sh, sl, k) == 0)), left_block)
+        right = F.transform(F.filter(F.reverse(span(right_k)), lambda k: (k > right_k) & (k < half) & (_bit(eh, el, k) == 1)), right_block)
+        rh, rl = mask_pair(eh, el, F.lit(width) - right_k, wide)
+        return F.when((tz >= d) & (to >= d), F.array(block(sh, sl, d))).otherwise(
+            F.concat(F.array(block(sh, sl, left_k)), left, right, F.array(block(rh, rl, right_k))))
+
+    def measure(p: Column) -> Column:
+        sh, sl, eh, el = p["sh"], p["sl"], p["eh"], p["el"]
+        xh, xl = sh.bitwiseXOR(eh), sl.bitwiseXOR(el)
+        d = F.when(xh != 0, F.lit(64) + _bitlen(xh)).otherwise(_bitlen(xl))
+        tz = F.when(sl != 0, _trailing(sl, "0")).when(sh != 0, F.lit(64) + _trailing(sh, "0")).otherwise(F.lit(width))
+        to = F.when(el == -1, F.lit(64) + F.when(eh == -1, F.lit(64)).otherwise(_trailing(eh, "1"))).otherwise(_trailing(el, "1"))
+        return F.struct(sh.alias("sh"), sl.alias("sl"), eh.alias("eh"), el.alias("el"), d.alias("d"), tz.alias("tz"), to.alias("to"))
+
+    pairs = F.struct(*[c.alias(n) for n, c in zip(("sh", "sl", "eh", "el"), (*addr_pair(start, wide), *addr_pair(end, wide)))])
+    return let(let(pairs, measure), cover)
 
 
 def range_to_cidrs(start, end, wide: bool) -> Column:

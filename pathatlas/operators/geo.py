@@ -9,7 +9,7 @@ from ..functions import ip, text
 from . import consolidate as C
 from . import runs
 from .intervals import intervals_merge, intervals_subtract
-from .joins import asof_join, covering_join, overlap_pieces
+from .joins import asof_join, covering_join, overlap_scan
 
 CARVE_CAP = 256  # interval starts inside a piece above which it stays country level
 CIDR_CAP = 48    # CIDRs listed per (pid, country, city)
@@ -117,17 +117,28 @@ def geo_carve(ranges: DataFrame, geo: DataFrame, cap: int = CARVE_CAP) -> DataFr
     """
     r = ranges.select("pid", "s", "e")
     g = geo.select("start_num", "end_num", "cc", "province", "city")
-    starts = asof_join(g.select("start_num"), r, point="start_num", start="s", end="e", cols={"pid": "pid", "s": "s"})
-    crowded = starts.where("pid IS NOT NULL").groupBy("pid", "s").agg(F.count("*").alias("n")).where(
-        F.col("n") > cap).select("pid", "s", F.lit(True).alias("_coarse"))
-    flagged = r.join(crowded, ["pid", "s"], "left")
-    fine = flagged.where("_coarse IS NULL").drop("_coarse")
-    coarse = asof_join(flagged.where("_coarse").drop("_coarse"), g, point="s", start="start_num", end="end_num", cols={"cc": "cc"})
-    coarse = coarse.where("cc IS NOT NULL").select(
-        "pid", "cc", F.lit(None).cast("string").alias("province"), F.lit(None).cast("string").alias("city"), "s", "e")
-    pieces = overlap_pieces(fine, g, a_start="s", a_end="e", b_start="start_num", b_end="end_num",
-                            a_cols={"pid": "pid"}, b_cols={"cc": "cc", "province": "province", "city": "city"})
-    return pieces.where("cc IS NOT NULL").select("pid", "cc", "province", "city", "s", "e").unionByName(coarse)
+    x = overlap_scan(r, g, a_start="s", b_start="start_num")
+    first = F.col("_pos") <= F.col("_b.end_num")
+    heads = x.where("_is_a = 1").select(
+        F.col("_a.pid").alias("pid"), F.col("_a.s").alias("s"), F.col("_a.e").alias("e"),
+        F.when(first, F.col("_b")).alias("g"), F.coalesce(first & (F.col("_b.start_num") == F.col("_pos")), F.lit(False)).alias("_at"))
+    inner = x.where((F.col("_is_a") == 0) & (F.col("_pos") <= F.col("_a.e"))).select(
+        F.col("_a.pid").alias("pid"), F.col("_a.s").alias("rs"), F.col("_a.e").alias("re"), F.col("_b").alias("g"))
+    starts = inner.select("pid", F.col("rs").alias("s")).unionByName(heads.where("_at").select("pid", "s"))
+    crowded = starts.groupBy("pid", "s").agg(F.count("*").alias("n")).where(F.col("n") > cap).select(
+        "pid", "s", F.lit(True).alias("_coarse"))
+    none = F.lit(None).cast("string")
+    low = lambda p, q: F.when(p <= q, p).otherwise(q)
+    h = heads.join(crowded, ["pid", "s"], "left").where("g.cc IS NOT NULL")
+    is_coarse = F.col("_coarse").isNotNull()
+    head_pieces = h.select(
+        "pid", F.col("g.cc").alias("cc"), F.when(is_coarse, none).otherwise(F.col("g.province")).alias("province"),
+        F.when(is_coarse, none).otherwise(F.col("g.city")).alias("city"), "s",
+        F.when(is_coarse, F.col("e")).otherwise(low(F.col("e"), F.col("g.end_num"))).alias("e"))
+    inner_pieces = inner.join(crowded.withColumnRenamed("s", "rs"), ["pid", "rs"], "left_anti").where("g.cc IS NOT NULL").select(
+        "pid", F.col("g.cc").alias("cc"), F.col("g.province").alias("province"), F.col("g.city").alias("city"),
+        F.col("g.start_num").alias("s"), low(F.col("re"), F.col("g.end_num")).alias("e"))
+    return head_pieces.unionByName(inner_pieces)
 
 
 def geo_segments(carved: DataFrame, prefix: DataFrame, cidr_cap: int = CIDR_CAP) -> DataFrame:

@@ -75,28 +75,38 @@ def asof_join(points: DataFrame, intervals: DataFrame, *, point: str, start: str
             .select("_row.*", *[hit[o].alias(o) for o in cols.values()]))
 
 
+def overlap_scan(a: DataFrame, b: DataFrame, *, a_start: str, b_start: str, chunks: int | None = None) -> DataFrame:
+    """Interleave two sets of disjoint intervals by start -> (_is_a, _pos, _a, _b).
+
+    An a-row carries itself in ``_a`` and the last b starting at or before it in ``_b``;
+    a b-row carries itself in ``_b`` and the last a starting strictly before it in ``_a``.
+    One write, one exchange, two scans: linear in both inputs, whatever the overlaps.
+    """
+    wide = ip.is_wide(a, a_start)
+    pack = lambda d: F.struct(*[F.col(c) for c in d.columns])
+    rows = a.select(F.col(a_start).alias("_pos"), F.lit(1).alias("_is_a"), pack(a).alias("_ra")).unionByName(
+        b.select(F.col(b_start).alias("_pos"), F.lit(0).alias("_is_a"), pack(b).alias("_rb")), allowMissingColumns=True)
+    order = [F.col("_pos"), F.col("_is_a")]
+    c = runs.with_chunks(rows, ip.approx_position("_pos", wide), chunks=chunks)
+    c = runs.scan(c, "_b", F.col("_rb"), "last", order)
+    c = runs.scan(c, "_a", F.col("_ra"), "last", order)
+    return c.select("_is_a", "_pos", "_a", "_b")
+
+
 def overlap_pieces(a: DataFrame, b: DataFrame, *, a_start: str, a_end: str, b_start: str, b_end: str,
                    a_cols: dict[str, str], b_cols: dict[str, str]) -> DataFrame:
-    """Intersect two sets of disjoint intervals; linear output, no candidate explosion.
+    """Intersections (s, e) of two sets of disjoint intervals with columns of both sides.
 
     Each piece begins either at an a-start inside a b-interval or at a later b-start
-    inside an a-interval, so two as-of lookups produce every piece exactly once.
+    inside an a-interval, so the scan yields every piece exactly once.
     """
-    left = a.select(F.col(a_start).alias("_as"), F.col(a_end).alias("_ae"),
-                    *[F.col(c).alias(o) for c, o in a_cols.items()])
-    right = b.select(F.col(b_start).alias("_bs"), F.col(b_end).alias("_be"),
-                     *[F.col(c).alias(o) for c, o in b_cols.items()])
-    low = lambda x, y: F.when(F.col(x) <= F.col(y), F.col(x)).otherwise(F.col(y))
-    outs = [*a_cols.values(), *b_cols.values()]
-    at_a = asof_join(left, right, point="_as", start="_bs", end="_be",
-                     cols={"_bs": "_bs2", "_be": "_be", **{o: o for o in b_cols.values()}})
-    at_a = at_a.where(F.col("_bs2").isNotNull()).select(
-        F.col("_as").alias("s"), low("_ae", "_be").alias("e"), *outs)
-    at_b = asof_join(right, left, point="_bs", start="_as", end="_ae",
-                     cols={"_as": "_as2", "_ae": "_ae", **{o: o for o in a_cols.values()}})
-    at_b = at_b.where(F.col("_as2").isNotNull() & (F.col("_bs") > F.col("_as2"))).select(
-        F.col("_bs").alias("s"), low("_be", "_ae").alias("e"), *outs)
-    return at_a.unionByName(at_b)
+    x = overlap_scan(a, b, a_start=a_start, b_start=b_start)
+    at_a = (F.col("_is_a") == 1) & (F.col("_pos") <= F.col("_b")[b_end])
+    at_b = (F.col("_is_a") == 0) & (F.col("_pos") <= F.col("_a")[a_end])
+    ends = (F.col("_a")[a_end], F.col("_b")[b_end])
+    return x.where(at_a | at_b).select(
+        F.col("_pos").alias("s"), F.when(ends[0] <= ends[1], ends[0]).otherwise(ends[1]).alias("e"),
+        *[F.col("_a")[c].alias(o) for c, o in a_cols.items()], *[F.col("_b")[c].alias(o) for c, o in b_cols.items()])
 
 
 def longest_match(points: DataFrame, prefixes: DataFrame, *, point: str, cols: dict[str, str],

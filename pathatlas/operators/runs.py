@@ -14,28 +14,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = "_chunk"
+from ..session import cut_lineage
+
+CHUNK, POS = "_chunk", "_pos_"
 MAX_CHUNKS = 1024
 
 
 def with_chunks(df: DataFrame, position: Column, keys: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
     """Add ``_chunk`` from quantiles of a DOUBLE position that follows the wanted order.
 
-    Only the split points (at most MAX_CHUNKS numbers) come to the driver. The exchange
-    on (keys, chunk) is shared by the window and by the carry of every later scan.
+    The rows are written once, so neither the split points nor the scans compute the
+    input again. Only the split points (at most MAX_CHUNKS numbers) come to the driver.
+    The exchange on (keys, chunk) is shared by the window and the carry of a scan.
     """
     spark = df.sparkSession
     n = min(chunks or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_CHUNKS)
+    base = cut_lineage(df.withColumn(POS, position.cast("double")))
     probs = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(position.cast("double"), probs, 10 * n).alias("q")).first() if probs else None
+    row = base.agg(F.percentile_approx(POS, probs, 10 * n).alias("q")).first() if probs else None
     splits = sorted(set(row["q"])) if row and row["q"] else []
-    pos = position.cast("double")
     if splits:
         bounds = F.array(*[F.lit(float(s)) for s in splits])
-        chunk = F.size(F.filter(bounds, lambda b: b <= pos))
+        chunk = F.size(F.filter(bounds, lambda b: b <= F.col(POS)))
     else:
         chunk = F.lit(0)
-    return df.withColumn(CHUNK, chunk).repartition(*keys, CHUNK)
+    return base.withColumn(CHUNK, chunk).drop(POS).repartition(*keys, CHUNK)
 
 
 def scan(df: DataFrame, out: str, value: Column, kind: str, order: Sequence[Column],

@@ -265,8 +265,8 @@ def city_counts(t):
     return N.city_counts(pgeo(t))
 
 
-@query("coord_resolve", """SELECT prefix, cc, city, CASE WHEN city IN ('city0', 'x3') AND cc IS NOT NULL THEN 1.5 WHEN cc = 'CN' THEN 35.0 WHEN cc IS NOT NULL THEN 20.0 END AS lat,
-  CASE WHEN city IN ('city0', 'x3') AND cc IS NOT NULL THEN 2.5 WHEN cc = 'CN' THEN 103.0 WHEN cc IS NOT NULL THEN 0.0 END AS lon,
+@query("coord_resolve", """SELECT prefix, cc, city, CASE WHEN city IN ('city0', 'x3') AND cc IS NOT NULL THEN 1.5::DOUBLE WHEN cc = 'CN' THEN 35.0::DOUBLE WHEN cc IS NOT NULL THEN 20.0::DOUBLE END AS lat,
+  CASE WHEN city IN ('city0', 'x3') AND cc IS NOT NULL THEN 2.5::DOUBLE WHEN cc = 'CN' THEN 103.0::DOUBLE WHEN cc IS NOT NULL THEN 0.0::DOUBLE END AS lon,
   CASE WHEN city IN ('city0', 'x3') AND cc IS NOT NULL THEN 'city' WHEN cc IS NOT NULL THEN 'centroid' ELSE 'none' END AS coord_source FROM o_pgeo""")
 def coord_resolve(t):
     cities = t["fx_geo_raw"].where(F.col("city").isin("city0", "x3")).select("cc", "city").distinct().select(

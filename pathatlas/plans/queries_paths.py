@@ -19,8 +19,8 @@ def obs_dedup(t):
     return obs(t).select("collector", "prefix", "path_raw", "path_clean", "path_len", "origin_asn", "n_peers")
 
 
-@query("src_rib_filters", """SELECT collector, prefix, count(*) AS n FROM (SELECT collector, prefix, path_raw,
-  dense_rank() OVER (PARTITION BY collector ORDER BY ip_start, plen) AS r FROM fx_rib GROUP BY ALL) x WHERE r <= 500 GROUP BY ALL""")
+@query("src_rib_filters", """SELECT collector, prefix, count(*) AS n FROM (SELECT *,
+  dense_rank() OVER (PARTITION BY collector ORDER BY ip_start, plen) AS r FROM (SELECT DISTINCT collector, prefix, path_raw, ip_start, plen FROM fx_rib) d) x WHERE r <= 500 GROUP BY collector, prefix""")
 def src_rib_filters(t):
     return C.src_rib_filters(obs(t), family=4, first_prefixes=500).groupBy("collector", "prefix").agg(F.count("*").alias("n"))
 
