@@ -128,4 +128,5 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     if not order:
         return sql
     ctes = ",\n".join(f"{n} AS ({pool[n]})" for n in order)
-    return f"WITH RECURSIVE {ctes}\n{sql}" if "RECURSIVE" in sql.upper() else f"WITH {ctes}\n{sql}"
+    body = f"SELECT * FROM ({sql}) q" if sql.lstrip().upper().startswith("WITH") else sql
+    return f"WITH {ctes}\n{body}"

@@ -177,7 +177,7 @@ def trunc_to_tier1(t):
 
 
 _RAW_CUT = f"""SELECT pid, n_peers, is_best, path_len, path_raw, len(path_arr) AS clean_len, raw_arr[list_min([i FOR x, i IN raw_arr IF x IN ({T1})]):] AS a FROM o_paths
-  WHERE len(list_filter(path_arr, x -> x IN ({T1}))) > 0"""
+  WHERE len([x FOR x IN path_arr IF x IN ({T1})]) > 0"""
 _NODES = """SELECT pid, n_peers, path_raw, asn, min(d) AS d FROM (SELECT pid, n_peers, path_raw, len(a) - i AS d, a[i] AS asn FROM (
   SELECT pid, n_peers, path_raw, a, unnest(range(1, len(a) + 1)) AS i FROM cutp) q) r GROUP BY ALL"""
 _EDGES = """SELECT pid, n_peers, path_raw, lead(asn) OVER w AS au, lead(d) OVER w AS du, asn AS av, d AS dv FROM nodes WINDOW w AS (PARTITION BY pid, path_raw ORDER BY d)"""
@@ -211,7 +211,7 @@ def route_graph_main(t):
     return R.route_graph_main(top_paths(t))
 
 
-@query("tier1_transit", f"""WITH p AS (SELECT pid, list_filter(path_arr, x -> x IN ({T1})) AS h FROM o_paths)
+@query("tier1_transit", f"""WITH p AS (SELECT pid, [x FOR x IN path_arr IF x IN ({T1})] AS h FROM o_paths)
   SELECT pid, 'seen' AS what, unnest(h) AS a, CAST(NULL AS BIGINT) AS b FROM p UNION SELECT pid, 'entry', h[1], NULL FROM p WHERE len(h) > 0
   UNION SELECT pid, 'pair', h[i], h[i + 1] FROM (SELECT pid, h, unnest(range(1, len(h))) AS i FROM p) x WHERE h[i] <> h[i + 1]""")
 def tier1_transit(t):
