@@ -46,7 +46,7 @@ def trace_places(hops: DataFrame, keys: Sequence[str], order: str = "idx") -> Da
     """
     keys = list(keys)
     name = F.trim(F.coalesce(F.nullif("city", F.lit("")), F.nullif("cc", F.lit("")), F.lit("Unknown")))
-    coords = F.concat_ws(",", F.format_number("lat", "0.000"), F.format_number("lon", "0.000"))
+    coords = F.concat_ws(",", F.format_string("%.3f", "lat"), F.format_string("%.3f", "lon"))
     key = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), coords).otherwise(F.lower(F.regexp_replace(name, "[市县区]$", "")))
     d = hops.withColumn("_place", name).where((F.col("_place") != "Unknown") | (F.coalesce("asn", F.lit(0)) != 0)).withColumn("_k", key)
     w = Window.partitionBy(*keys).orderBy(order)

@@ -16,7 +16,8 @@ def roa_from_registry(objects: DataFrame, family: int = 4) -> DataFrame:
     kind = "route" if family == 4 else "route6"
     b = (ip.cidr4_bounds if family == 4 else ip.cidr6_bounds)(attr_first(kind))
     maxl = attr_first("max-length")
-    d = objects.where(F.col("type") == kind).select(b.alias("b"), maxl.alias("m"), F.explode(attr_all("origin")).alias("o"))
+    d = objects.where(F.col("type") == kind).select(b.alias("b"), maxl.alias("m"), attr_all("origin").alias("os"))
+    d = d.select("b", "m", F.explode("os").alias("o"))
     d = d.withColumn("asn", asn_value(F.col("o"))).where("b IS NOT NULL AND asn IS NOT NULL")
     d = d.where(F.coalesce("m", F.lit("")).isin("") | F.col("m").try_cast("int").isNotNull())
     return d.select(F.lit(family).alias("family"), F.col("b.start").alias("ip_start"), F.col("b.end").alias("ip_end"),

@@ -61,10 +61,13 @@ TWINS: dict[str, str] = {
 }
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(tables) -> DataFrame`` under a name, with its SQL twin."""
+def query(name: str, sql: str | None = None, shared: bool = False):
+    """Register ``fn(tables) -> DataFrame`` under a name, with its SQL twin.
+
+    ``shared`` queries use the merged paths several times and write them once first.
+    """
     def register(fn):
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir, shared))
         if sql is not None:
             ORACLES[name] = with_views(sql, TWINS)
         return fn
@@ -77,15 +80,24 @@ def obs(t: Tables) -> DataFrame:
     return C.obs_dedup(t["fx_rib"])
 
 
+def _merged(t: Tables) -> DataFrame:
+    make = lambda: C.pathobs_merge(obs(t)).join(t["fx_prefix"].select("prefix", F.col("pk").alias("pid")), ["prefix"])
+    return t.once("pathobs", make) if t.shared else make()
+
+
 def pathobs(t: Tables) -> DataFrame:
     """Merged paths; the part key of the fixture serves as prefix id."""
-    return C.pathobs_merge(obs(t)).join(t["fx_prefix"].select("prefix", F.col("pk").alias("pid")), ["prefix"])
+    return _merged(t)
 
 
 def prefix(t: Tables) -> DataFrame:
+    if t.shared:
+        ids = _merged(t).select("prefix", "pid").distinct()
+        return t.once("prefix", lambda: C.prefix_agg(_merged(t)).join(ids, ["prefix"]))
     return C.prefix_agg(C.pathobs_merge(obs(t))).join(
         t["fx_prefix"].select("prefix", F.col("pk").alias("pid")), ["prefix"])
 
 
 def top_paths(t: Tables) -> DataFrame:
-    return C.paths_topk(pathobs(t))
+    make = lambda: C.paths_topk(pathobs(t))
+    return t.once("paths", make) if t.shared else make()

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import cut_lineage
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -95,8 +97,14 @@ def _sources(sql: str) -> list[str]:
 class Tables:
     """Lazily built DataFrames of one data directory."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir, self._cache = spark, sf_dir, {}
+    def __init__(self, spark: SparkSession, sf_dir: str, shared: bool = False):
+        self.spark, self.dir, self.shared, self._cache = spark, sf_dir, shared, {}
+
+    def once(self, name: str, make) -> DataFrame:
+        """A table written once and read by every later use within this query."""
+        if name not in self._cache:
+            self._cache[name] = cut_lineage(make())
+        return self._cache[name]
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
@@ -108,6 +116,7 @@ class Tables:
 
     def sql(self, text: str) -> DataFrame:
         used = _sources(text)
+        text = text.replace("{", "{{").replace("}", "}}")
         text = re.sub(r"(FROM|JOIN)(\s+)(fx_\w+|" + "|".join(TABLES) + r")\b", r"\1\2{\3}", text)
         return self.spark.sql(text, **{n: self[n] for n in used})
 

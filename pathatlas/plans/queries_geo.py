@@ -250,7 +250,7 @@ _WORK = f"""SELECT s.*, p.prefix, p.n_origins, coalesce(r.rpki, 0) AS rpki, coal
   JOIN o_prefix p ON p.pid = s.pid LEFT JOIN o_bundle b ON b.pid = s.pid LEFT JOIN o_rpki r ON r.pid = s.pid AND r.origin = s.origin_asn LEFT JOIN o_irr i ON i.pid = s.pid AND i.origin = s.origin_asn"""
 
 
-@query("geo_working_set", _WORK)
+@query("geo_working_set", _WORK, shared=True)
 def geo_working_set(t):
     return working_set(t).withColumn("segs", F.array_join("segs", " ")).withColumn("bundle", C.bundle_text("bundle"))
 

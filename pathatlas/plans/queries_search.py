@@ -69,28 +69,28 @@ def relation_evidence(t):
 _PS = "pid, prefix, cc, origin_asn, n_origins, n_paths, is_primary, rpki, irr"
 
 
-@query("pathsearch_build", f"SELECT {_PS}, bundle, observed_peers, best_path FROM o_pathsearch")
+@query("pathsearch_build", f"SELECT {_PS}, bundle, observed_peers, best_path FROM o_pathsearch", shared=True)
 def pathsearch_build(t):
     return pathsearch(t).withColumn("bundle", C.bundle_text("bundle")).drop("family")
 
 
-@query("byorigin_view", f"SELECT {_PS}, best_path FROM o_pathsearch")
+@query("byorigin_view", f"SELECT {_PS}, best_path FROM o_pathsearch", shared=True)
 def byorigin_view(t):
     return S.byorigin_view(pathsearch(t)).drop("family")
 
 
-@query("search_origin", f"SELECT {_PS} FROM o_pathsearch WHERE origin_asn IN (64510, 64511)")
+@query("search_origin", f"SELECT {_PS} FROM o_pathsearch WHERE origin_asn IN (64510, 64511)", shared=True)
 def search_origin(t):
     return S.search_origin(byorigin(t), [64510, 64511]).drop("family")
 
 
-@query("search_origin_by_name", f"SELECT {_PS} FROM o_pathsearch WHERE origin_asn IN (SELECT asn FROM fx_asn_name WHERE strpos(lower(name), '#00000001') > 0)")
+@query("search_origin_by_name", f"SELECT {_PS} FROM o_pathsearch WHERE origin_asn IN (SELECT asn FROM fx_asn_name WHERE strpos(lower(name), '#00000001') > 0)", shared=True)
 def search_origin_by_name(t):
     from ..functions.text import asn_name_search
     return S.search_origin(byorigin(t), asn_name_search(t["fx_asn_name"], "#00000001")).drop("family")
 
 
-@query("search_country", f"SELECT pid, prefix, city, province, plen, origin_asn, n_paths, segs, best_path FROM ({_WORK}) w WHERE cc = 'CN' AND city = 'city1'")
+@query("search_country", f"SELECT pid, prefix, city, province, plen, origin_asn, n_paths, segs, best_path FROM ({_WORK}) w WHERE cc = 'CN' AND city = 'city1'", shared=True)
 def search_country(t):
     return S.search_country(working_set(t), "CN", "city1").select(
         "pid", "prefix", "city", "province", "plen", "origin_asn", "n_paths", F.array_join("segs", " ").alias("segs"), "best_path")
@@ -108,29 +108,29 @@ def _search_path_sql(cond, keep, cols="s.pid, s.prefix, s.origin_asn, s.n_paths,
 _COLS = ("pid", "prefix", "origin_asn", "n_paths", "matched_peers", "observed_peers", "match_ratio", "dominant")
 
 
-@query("search_path", _search_path_sql("list_contains(path_arr, 1299)", "s.is_primary"))
+@query("search_path", _search_path_sql("list_contains(path_arr, 1299)", "s.is_primary"), shared=True)
 def search_path(t):
     return S.search_path(pathsearch(t), "1299").select(*_COLS)
 
 
-@query("search_path_pattern", _search_path_sql("path_arr[1] = 101 AND list_contains(path_arr, 64510) AND NOT list_contains(path_arr, 174)", "s.is_primary"))
+@query("search_path_pattern", _search_path_sql("path_arr[1] = 101 AND list_contains(path_arr, 64510) AND NOT list_contains(path_arr, 174)", "s.is_primary"), shared=True)
 def search_path_pattern(t):
     return S.search_path(pathsearch(t), "101 * 64510 !174").select(*_COLS)
 
 
-@query("search_path_in_origin", _search_path_sql("list_contains(path_arr, 6939)", "s.origin_asn = 64520"))
+@query("search_path_in_origin", _search_path_sql("list_contains(path_arr, 6939)", "s.origin_asn = 64520"), shared=True)
 def search_path_in_origin(t):
     return S.search_path(pathsearch(t), "6939", origins=[64520]).select(*_COLS)
 
 
 @query("search_path_unweighted", """SELECT s.pid, s.n_paths, list_contains(string_split(trim(s.best_path), ' '), '1299') AS best_hit FROM o_pathsearch s WHERE s.is_primary
-  AND EXISTS (SELECT 1 FROM o_paths p WHERE p.pid = s.pid AND list_contains(p.path_arr, 1299)) AND NOT EXISTS (SELECT 1 FROM o_paths p WHERE p.pid = s.pid AND list_contains(p.path_arr, 174))""")
+  AND EXISTS (SELECT 1 FROM o_paths p WHERE p.pid = s.pid AND list_contains(p.path_arr, 1299)) AND NOT EXISTS (SELECT 1 FROM o_paths p WHERE p.pid = s.pid AND list_contains(p.path_arr, 174))""", shared=True)
 def search_path_unweighted(t):
     return S.search_path_unweighted(pathsearch(t), "1299 !174").select("pid", "n_paths", "best_hit")
 
 
 @query("search_common", f"""SELECT pid, n_paths, pos, n > 100 AS more FROM (SELECT pid, n_paths, r - 100 AS pos, (SELECT count(*) FROM ({_search_path_sql("list_contains(path_arr, 1299)", "s.is_primary")}) q JOIN o_dfz d ON q.n_paths >= ceil(greatest(3.0, 0.2 * d.dfz_ref))) - 100 AS n FROM (
-  SELECT q.*, row_number() OVER (ORDER BY match_ratio DESC, matched_peers DESC, q.n_paths DESC, pid) AS r FROM ({_search_path_sql("list_contains(path_arr, 1299)", "s.is_primary")}) q JOIN o_dfz d ON q.n_paths >= ceil(greatest(3.0, 0.2 * d.dfz_ref))) x WHERE r BETWEEN 101 AND 200) y""")
+  SELECT q.*, row_number() OVER (ORDER BY match_ratio DESC, matched_peers DESC, q.n_paths DESC, pid) AS r FROM ({_search_path_sql("list_contains(path_arr, 1299)", "s.is_primary")}) q JOIN o_dfz d ON q.n_paths >= ceil(greatest(3.0, 0.2 * d.dfz_ref))) x WHERE r BETWEEN 101 AND 200) y""", shared=True)
 def search_common(t):
     hits = S.low_vis_filter(S.search_path(pathsearch(t), "1299"), C.dfz_ref(prefix(t)))
     return S.search_page(hits, S.path_order(), limit=100, page=1).select("pid", "n_paths", "pos", "more")
@@ -211,7 +211,7 @@ def prefix_relatives(t):
 @query("prefix_detail", f"""SELECT p.pid, p.prefix, p.origin_asn, p.n_paths, p.rpki, p.irr, p.cc, a.paths, a.n AS n_kept,
   (SELECT string_agg(rel_prefix, ' ' ORDER BY pos) FROM ({_RELATIVES}) r WHERE r.pid = p.pid AND side = 'sup') AS sup, (SELECT string_agg(rel_prefix, ' ' ORDER BY pos) FROM ({_RELATIVES}) r WHERE r.pid = p.pid AND side = 'sub') AS sub,
   (SELECT string_agg(origin_asn || ':' || ns || ':' || np, ' ' ORDER BY ns DESC, np DESC, origin_asn) FROM (SELECT origin_asn, CAST(sum(n_peers) AS BIGINT) AS ns, CASE WHEN p.n_origins > 1 THEN 0 ELSE count(*) END AS np FROM o_pathobs o WHERE o.pid = p.pid GROUP BY origin_asn) g) AS origins
-  FROM o_pgeo p JOIN (SELECT pid, string_agg(path_raw, '|' ORDER BY path_len, n_peers DESC, path_raw) AS paths, count(*) AS n FROM o_paths GROUP BY pid) a ON a.pid = p.pid""")
+  FROM o_pgeo p JOIN (SELECT pid, string_agg(path_raw, '|' ORDER BY path_len, n_peers DESC, path_raw) AS paths, count(*) AS n FROM o_paths GROUP BY pid) a ON a.pid = p.pid""", shared=True)
 def prefix_detail(t):
     m = C.moas_origins(pathobs(t))
     d = S.prefix_detail(pgeo(t).join(m, ["pid"], "left"), top_paths(t), relatives(t),
@@ -225,7 +225,7 @@ def prefix_detail(t):
 
 @query("probe_report", f"""SELECT x.ip, x.m.prefix AS prefix, x.m.origin_asn AS origin_asn, u.ups AS upstreams, a.n AS n_kept FROM (SELECT DISTINCT ON (ip) * FROM ({_LPM}) l) x
   LEFT JOIN (SELECT pid, string_agg(asn || ':' || n, ' ' ORDER BY n DESC, asn) AS ups FROM (SELECT pid, path_arr[-2] AS asn, count(*) AS n FROM o_paths GROUP BY ALL) b GROUP BY pid) u ON u.pid = x.m.pid
-  LEFT JOIN (SELECT pid, count(*) AS n FROM o_paths GROUP BY pid) a ON a.pid = x.m.pid""")
+  LEFT JOIN (SELECT pid, count(*) AS n FROM o_paths GROUP BY pid) a ON a.pid = x.m.pid""", shared=True)
 def probe_report(t):
     tp = top_paths(t)
     d = S.probe_report(t["fx_hops"].select("ip").distinct(), pgeo(t), tp, R.upstream_summary(tp))
@@ -240,7 +240,7 @@ def probe_report(t):
   LEFT JOIN (SELECT origin_asn, string_agg(prefix, ' ' ORDER BY n_paths DESC, pid) AS prefixes FROM (SELECT *, row_number() OVER (PARTITION BY origin_asn ORDER BY n_paths DESC, pid) AS k FROM o_pathsearch) x WHERE k <= 400 GROUP BY origin_asn) l ON l.origin_asn = o.asn
   LEFT JOIN (SELECT asn, count(*) FILTER (WHERE rel = 'up') AS up, count(*) FILTER (WHERE rel = 'peer') AS peer, count(*) FILTER (WHERE rel = 'down') AS down FROM ({_REL}) q GROUP BY asn) r ON r.asn = o.asn
   LEFT JOIN (SELECT val, string_agg(DISTINCT set_key, ' ' ORDER BY set_key) AS sets FROM fx_as_member GROUP BY val) m ON m.val = 'AS' || o.asn
-  LEFT JOIN fx_pdb_net b ON b.asn = o.asn""")
+  LEFT JOIN fx_pdb_net b ON b.asn = o.asn""", shared=True)
 def asn_overview(t):
     from ..operators import sets as A
     from .queries_sets import edges
@@ -252,7 +252,7 @@ def asn_overview(t):
                     F.array_join("member_of", " ").alias("member_of"), "pdb_name")
 
 
-@query("sink_csv", f"""SELECT prefix, origin_asn, printf('%.2f', round(100.0 * matched_peers / observed_peers, 2)) || '%' AS share FROM ({_search_path_sql("list_contains(path_arr, 1299)", "s.is_primary")}) q""")
+@query("sink_csv", f"""SELECT prefix, origin_asn, printf('%.2f', round(100.0 * matched_peers / observed_peers, 2)) || '%' AS share FROM ({_search_path_sql("list_contains(path_arr, 1299)", "s.is_primary")}) q""", shared=True)
 def sink_csv(t):
     hits = S.search_path(pathsearch(t), "1299")
     return S.export_rows(hits, S.path_order(), {"prefix": F.col("prefix"), "origin_asn": F.col("origin_asn"), "share": S.match_share_text()})

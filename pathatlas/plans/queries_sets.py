@@ -167,8 +167,9 @@ def ix_detail_lans(t):
     lan = t["fx_pdb_ix"].select((F.col("ix_id") + 7).alias("ixlan_id"), "ix_id", "name")
     pfx = t["fx_pdb_ix"].select((F.col("ix_id") + 7).alias("ixlan_id"), F.lit("IPv4").alias("protocol"),
                                 F.concat(F.col("ix_id").cast("string"), F.lit(".0.0.0/24")).alias("prefix"))
-    none = t["fx_pdb_ix"].select("ix_id", F.col("ix_id").alias("fac_id"), "name", "city", "country", F.lit(0).alias("net_count"))
-    return D.ix_detail(t["fx_pdb_ix"], lan, pfx, none, none)["prefixes"].select("ix_id", "lan_name", "prefix")
+    ixfac = t["fx_pdb_ix"].select("ix_id", F.col("ix_id").alias("fac_id"), "name", "city", "country")
+    fac = ixfac.drop("ix_id").withColumn("net_count", F.lit(0))
+    return D.ix_detail(t["fx_pdb_ix"], lan, pfx, ixfac, fac)["prefixes"].select("ix_id", "lan_name", "prefix")
 
 
 @query("ix_members_view", f"""SELECT m.ix_id, m.asn, m.net_name, m.speed, CAST(s.total AS BIGINT) AS total_speed FROM ({_MEMBERS}) m JOIN (SELECT ix_id, sum(speed) AS total FROM fx_pdb_netixlan GROUP BY ix_id) s ON s.ix_id = m.ix_id

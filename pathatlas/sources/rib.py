@@ -122,35 +122,44 @@ def decode_rib(name: str, content: bytes) -> Iterator[tuple]:
                 yield family, plen, addr, asn, text, path
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+
+
 def _decode_batches(batches):
+    rows: list[tuple] = []
     for batch in batches:
-        for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-            rows: list[tuple] = []
-            for row in decode_rib(name, content):
+        for name, content in zip(batch.column("path"), batch.column("content")):
+            name = name.as_py()
+            for row in decode_rib(name, content.as_py()):
                 rows.append((name, *row))
                 if len(rows) >= _BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
+                    yield _batch(rows)
                     rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
+    if rows:
+        yield _batch(rows)
 
 
-def read_rib_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Raw entries of all files under a path or glob; one file is one unit of work."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_decode_batches, SCHEMA)
+def rib_entries(files: DataFrame) -> DataFrame:
+    """(path, content) of RIB files -> raw entries."""
+    return files.select("path", "content").mapInArrow(_decode_batches, SCHEMA)
 
 
-def src_rib(spark: SparkSession, path: str, family: int, collector_pattern: str = r"([^/]+)/[^/]+$") -> DataFrame:
-    """One family with typed bounds: collector, prefix, ip_start, ip_end, family, plen, peer, path."""
-    d = read_rib_entries(spark, path).where(F.col("family") == family)
-    b = ip.prefix_from_bytes("addr", "plen", family == 6)
-    return d.withColumn("_b", b).select(
+def typed_entries(entries: DataFrame, family: int, collector_pattern: str = r"([^/]+)/[^/]+$") -> DataFrame:
+    """Entries of one family with bounds: collector, snap_ts, prefix, ip_start, ip_end, family, plen, peer, path."""
+    d = entries.where(F.col("family") == family).withColumn("_b", ip.prefix_from_bytes("addr", "plen", family == 6))
+    return d.select(
         F.regexp_extract("file", collector_pattern, 1).alias("collector"), snap_ts("file").alias("snap_ts"),
         F.col("_b.prefix").alias("prefix"), F.col("_b.start").alias("ip_start"), F.col("_b.end").alias("ip_end"),
         "family", "plen", "peer_asn", "peer_ip", "path")
 
 
+def src_rib(spark: SparkSession, path: str, family: int, collector_pattern: str = r"([^/]+)/[^/]+$") -> DataFrame:
+    """All files under a path or glob; one file is one unit of work."""
+    files = spark.read.format("binaryFile").load(path)
+    return typed_entries(rib_entries(files), family, collector_pattern)
+
+
 def snap_ts(file):
     """Snapshot time from a name with YYYYMMDD.HHMM or YYYYMMDD-HHMM (UTC)."""
     f = F.col(file) if isinstance(file, str) else file

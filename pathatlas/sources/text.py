@@ -29,8 +29,10 @@ def rpsl_attrs(obj, registry_style: bool = False) -> Column:
     if not registry_style:
         t = F.regexp_replace(t, r"(?m)^[#%].*\n?", "")
     t = F.regexp_replace(t, r"^(?:[ \t+][^\n]*(?:\n|$)|\n)+", "")
-    t = F.regexp_replace(t, r"[ \t]*\n\+[ \t+]*" if registry_style else r"[ \t]*\n(?=\+)", " ")
-    t = F.regexp_replace(t, r"[ \t]*\n[ \t]+" + (r"[+ \t]*" if registry_style else ""), " ")
+    if registry_style:  # blank lines are skipped, leading plus signs are not part of the value
+        t = F.regexp_replace(F.regexp_replace(t, r"\n[ \t]*(?=\n)", ""), r"[ \t]*(?:\n[ \t+]+)+", " ")
+    else:
+        t = F.regexp_replace(F.regexp_replace(t, r"[ \t]*\n(?=\+)", " "), r"[ \t]*\n[ \t]+", " ")
     keep = r"^[A-Za-z0-9][A-Za-z0-9_-]*:" if registry_style else ":"
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(keep))
     return F.transform(lines, lambda x: F.struct(
@@ -162,7 +164,7 @@ def src_autnums(df: DataFrame, col: str = "value") -> DataFrame:
     full = F.trim(F.regexp_replace(rest, r",[^,]*$", ""))
     cc = F.upper(F.trim(F.regexp_extract(rest, r",([^,]*)$", 1)))
     d = df.where(asn != "").select(
-        asn.cast("bigint").alias("asn"), F.nullif(F.substring(F.trim(F.substring_index(full, " - ", 1)), 1, 40), F.lit("")).alias("handle"),
+        asn.try_cast("bigint").alias("asn"), F.nullif(F.substring(F.trim(F.substring_index(full, " - ", 1)), 1, 40), F.lit("")).alias("handle"),
         F.when(cc.rlike("^[A-Z]{2}$"), cc).alias("cc"))
     return d.where("handle IS NOT NULL OR cc IS NOT NULL")
 
@@ -172,4 +174,4 @@ def src_asn_registry(df: DataFrame, col: str = "value") -> DataFrame:
     r = F.from_csv(F.col(col), "asn string, name string, name_en string, op string")
     d = df.where(~F.trim(F.col(col)).startswith("#") & (F.trim(F.col(col)) != "")).select(r.alias("r")).select("r.*")
     clean = lambda c: F.nullif(F.trim(c), F.lit("")).alias(c)
-    return d.where(F.trim("asn").rlike(r"^\d+$")).select(F.trim("asn").cast("bigint").alias("asn"), clean("name"), clean("name_en"), clean("op"))
+    return d.where(F.trim("asn").rlike(r"^\d+$")).select(F.trim("asn").try_cast("bigint").alias("asn"), clean("name"), clean("name_en"), clean("op"))
