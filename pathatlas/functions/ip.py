@@ -205,15 +205,16 @@ def addr_text(addr, wide: bool) -> Column:
 
 
 def _bounds(s, wide: bool) -> Column:
-    t = F.trim(_c(s))
     width = bits_of(wide)
     tail = r"/(\d{1,3})$" if wide else r"/(\d{1,2})$"
-    plen_txt = F.regexp_extract(t, tail, 1)
-    address = F.regexp_replace(t, tail, "")
-    parts = F.struct((ip6_to_bin if wide else ip4_to_int)(address).alias("a"),
-                     F.when(plen_txt != "", plen_txt.try_cast("int")).otherwise(F.lit(width)).alias("p"),
-                     (plen_txt != "").alias("c"))
-    return let(parts, lambda x: F.when(x["a"].isNotNull() & (x["p"] <= width), F.struct(
+
+    def parts(t: Column) -> Column:
+        plen_txt = F.regexp_extract(t, tail, 1)
+        return F.struct((ip6_to_bin if wide else ip4_to_int)(F.regexp_replace(t, tail, "")).alias("a"),
+                        F.when(plen_txt != "", plen_txt.try_cast("int")).otherwise(F.lit(width)).alias("p"),
+                        (plen_txt != "").alias("c"))
+
+    return let(let(F.trim(_c(s)), parts), lambda x: F.when(x["a"].isNotNull() & (x["p"] <= width), F.struct(
         network_start(x["a"], x["p"], wide).alias("start"), network_end(x["a"], x["p"], wide).alias("end"),
         x["p"].alias("plen"), x["c"].alias("is_cidr"))))
 
