@@ -13,6 +13,11 @@ PATH_CAP = 128  # paths kept per prefix; part of the published meaning of `paths
 _PREFIX = ("prefix", "ip_start", "ip_end", "family", "plen")
 
 
+def _ids(df: DataFrame) -> list[str]:
+    """Columns that identify a prefix; an id that is already there is carried along."""
+    return [*_PREFIX, *(["pid"] if "pid" in df.columns else [])]
+
+
 def rib_to_paths(rib: DataFrame, feeder: tuple[str, int] | None = None) -> DataFrame:
     """Decoded RIB entries (``path`` ARRAY) -> text form with clean path, length, origin."""
     p = paths.strip_feeder("path", "collector", *feeder) if feeder else F.col("path")
@@ -22,7 +27,7 @@ def rib_to_paths(rib: DataFrame, feeder: tuple[str, int] | None = None) -> DataF
 
 def obs_dedup(rib: DataFrame) -> DataFrame:
     """One row per (collector, prefix, raw path); n_peers = entries seen."""
-    g = rib.groupBy("collector", *_PREFIX, "path_raw").agg(F.count("*").alias("n_peers"))
+    g = rib.groupBy("collector", *_ids(rib), "path_raw").agg(F.count("*").alias("n_peers"))
     arr = paths.path_array("path_raw")
     return (g.withColumn("_a", arr)
             .withColumn("path_clean", paths.path_text(paths.path_clean("_a")))
@@ -44,7 +49,7 @@ def src_rib_filters(obs: DataFrame, family: int | None = None, first_prefixes: i
 
 def pathobs_merge(obs: DataFrame) -> DataFrame:
     """Across collectors: sum the peers of each (prefix, raw path)."""
-    return obs.groupBy(*_PREFIX, "path_raw").agg(
+    return obs.groupBy(*_ids(obs), "path_raw").agg(
         F.sum("n_peers").alias("n_peers"), F.min("path_clean").alias("path_clean"),
         F.min("path_len").alias("path_len"), F.min("origin_asn").alias("origin_asn"))
 
@@ -63,9 +68,9 @@ def prefix_agg(pathobs: DataFrame) -> DataFrame:
     Two aggregations that share the (prefix, origin) pre-aggregate: no distinct expansion
     and no join, and a prefix that holds many paths is reduced before it is shuffled.
     """
-    per = pathobs.groupBy(*_PREFIX, "origin_asn").agg(
+    per = pathobs.groupBy(*_ids(pathobs), "origin_asn").agg(
         F.sum("n_peers").alias("ns"), F.count("*").alias("np"))
-    return per.groupBy(*_PREFIX).agg(
+    return per.groupBy(*_ids(pathobs)).agg(
         F.max_by("origin_asn", F.when(F.col("origin_asn").isNotNull(),
                                       F.struct(F.col("ns"), -F.col("origin_asn")))).alias("origin_asn"),
         F.count("origin_asn").alias("n_origins"),

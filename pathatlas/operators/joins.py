@@ -37,9 +37,10 @@ def covering_join(left: DataFrame, right: DataFrame, *, left_start: str = "ip_st
     else:
         lens = right.select(F.collect_set(F.col(right_plen).cast("int"))).scalar()
     hi, lo = ip.addr_pair(left_start, wide)
-    probe = left.withColumn("_len", F.explode(lens))
+    # the halves are computed once per row, before the lengths multiply it
+    probe = left.withColumn("_h0", hi).withColumn("_l0", lo).withColumn("_len", F.explode(lens))
     probe = probe.where((F.col("_len") < lplen) if strict else (F.col("_len") <= lplen))
-    kh, kl = ip.mask_pair(hi, lo, F.col("_len"), wide)
+    kh, kl = ip.mask_pair(F.col("_h0"), F.col("_l0"), F.col("_len"), wide)
     spread = F.pmod(F.xxhash64(left_start, lplen), F.lit(salts)).cast("int")
     probe = (probe.withColumn("_hi", kh).withColumn("_lo", kl)
              .withColumn("_salt", F.when(F.col("_len") <= short, spread).otherwise(F.lit(0))))
@@ -50,7 +51,7 @@ def covering_join(left: DataFrame, right: DataFrame, *, left_start: str = "ip_st
         F.explode(F.when(F.col(right_plen) <= short, F.sequence(F.lit(0), F.lit(salts - 1)))
                   .otherwise(F.array(F.lit(0)))).alias("_salt"),
         *[F.col(c).alias(o) for c, o in cols.items()])
-    return probe.join(build, ["_len", "_hi", "_lo", "_salt"]).drop("_len", "_hi", "_lo", "_salt")
+    return probe.join(build, ["_len", "_hi", "_lo", "_salt"]).drop("_len", "_hi", "_lo", "_salt", "_h0", "_l0")
 
 
 def asof_join(points: DataFrame, intervals: DataFrame, *, point: str, start: str, end: str,

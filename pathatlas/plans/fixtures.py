@@ -16,9 +16,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations")
 
 _STR = lambda x: f"CAST({x} AS VARCHAR(20))"
-_OCT = (_STR("CAST(floor(ip_start / 16777216.0) AS BIGINT)") + " || '.' || "
-        + _STR("CAST(floor(ip_start / 65536.0) AS BIGINT) % 256") + " || '.' || "
-        + _STR("CAST(floor(ip_start / 256.0) AS BIGINT) % 256") + " || '.' || " + _STR("ip_start % 256")
+_OCT = (_STR("CAST(floor(ip_start / 16777216e0) AS BIGINT)") + " || '.' || "
+        + _STR("CAST(floor(ip_start / 65536e0) AS BIGINT) % 256") + " || '.' || "
+        + _STR("CAST(floor(ip_start / 256e0) AS BIGINT) % 256") + " || '.' || " + _STR("ip_start % 256")
         + " || '/' || " + _STR("plen"))
 
 VIEWS: dict[str, str] = {
@@ -30,8 +30,8 @@ SELECT pk, g, s, ip_start, plen, ip_start + CAST(power(2, 32 - plen) AS BIGINT)
   {_STR('peer_asn')} || t1 || ' ' || {_STR('transit')} || ' ' || {_STR('origin_asn')} AS path_clean,
   {_STR('peer_asn')} || t1 || ' ' || {_STR('transit')} || ' ' || {_STR('origin_asn')}
     || CASE WHEN l_quantity > 45 THEN ' ' || {_STR('origin_asn')} ELSE '' END AS path_raw
-FROM (SELECT pk, CAST(floor(pk / 8.0) AS BIGINT) AS g, pk % 8 AS s, l_quantity,
-  16777216 + CAST(floor(pk / 8.0) AS BIGINT) * 65536 + CASE pk % 8 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 4096 WHEN 3 THEN 32768 WHEN 4 THEN 4352 WHEN 5 THEN 49408 WHEN 6 THEN 33024 ELSE 512 END AS ip_start,
+FROM (SELECT pk, CAST(floor(pk / 8e0) AS BIGINT) AS g, pk % 8 AS s, l_quantity,
+  16777216 + CAST(floor(pk / 8e0) AS BIGINT) * 65536 + CASE pk % 8 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 4096 WHEN 3 THEN 32768 WHEN 4 THEN 4352 WHEN 5 THEN 49408 WHEN 6 THEN 33024 ELSE 512 END AS ip_start,
   CASE pk % 8 WHEN 0 THEN 16 WHEN 1 THEN 18 WHEN 2 THEN 20 WHEN 3 THEN 20 ELSE 24 END AS plen,
   100 + l_orderkey % 3 AS peer_asn,
   3000 + pk % 30 + CASE WHEN l_suppkey % 5 = 0 THEN 1 ELSE 0 END AS transit,
@@ -80,7 +80,7 @@ UNION ALL SELECT 'RIPE::AS-N' || {_STR('n_nationkey')}, 'set', 'AS-UNKNOWN' FROM
 SELECT 64500 + s_suppkey AS asn, s_name AS name, 'handle' AS kind FROM supplier
 UNION ALL SELECT 64500 + s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'NET ' || {_STR('s_suppkey')} ELSE NULL END, 'curated' FROM supplier""",
     "fx_hops": """
-SELECT user_id AS trace_id, CAST(floor(event_id / 150.0) AS BIGINT) + 1 AS idx, event_id, 16777216 + (event_id * 7919) % 16777216 AS ip,
+SELECT user_id AS trace_id, CAST(floor(event_id / 150e0) AS BIGINT) + 1 AS idx, event_id, 16777216 + (event_id * 7919) % 16777216 AS ip,
   CASE WHEN event_type = 'error' THEN NULL ELSE value END AS rtt, event_type = 'error' AS silent, ts FROM events""",
     "fx_ping_rounds": "SELECT user_id AS probe, event_id AS round, ts, value AS avg_rtt, value * 0.5 AS min_rtt, value * 2 AS max_rtt, 3 AS total, CASE WHEN event_type = 'error' THEN 0 ELSE 3 END AS rcv FROM events",
     "fx_irr_delta": "SELECT event_id AS serial, CASE WHEN event_type IN ('error', 'view') THEN 'DEL' ELSE 'ADD' END AS op, 16777216 + (user_id % 50) * 65536 AS ip_start, 16 AS plen, 64500 + user_id % 20 AS origin, 'RADB' AS source FROM events",
@@ -109,7 +109,11 @@ class Tables:
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
             if name in TABLES:
-                self._cache[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+                df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+                # a table of one small file would run in one task; tables of many files keep their splits
+                cores = self.spark.sparkContext.defaultParallelism
+                few = name in ("lineitem", "events") and len(df.inputFiles()) < cores
+                self._cache[name] = df.repartition(cores) if few else df
             else:
                 self._cache[name] = self.sql(VIEWS[name])
         return self._cache[name]

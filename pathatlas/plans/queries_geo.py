@@ -107,9 +107,9 @@ def fam_filter(t):
 
 
 @query("is_private_ip", """SELECT txt, CASE WHEN a IN (0, 10, 127) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 100 AND b BETWEEN 64 AND 127)
-  THEN TRUE ELSE FALSE END AS private FROM (SELECT a || '.' || b || '.1.1' AS txt, a, b FROM (SELECT DISTINCT ip % 256 AS a, CAST(floor(ip / 256.0) AS BIGINT) % 256 AS b FROM fx_hops) x) y""")
+  THEN TRUE ELSE FALSE END AS private FROM (SELECT a || '.' || b || '.1.1' AS txt, a, b FROM (SELECT DISTINCT ip % 256 AS a, CAST(floor(ip / 256e0) AS BIGINT) % 256 AS b FROM fx_hops) x) y""")
 def is_private_ip(t):
-    d = t.sql("SELECT DISTINCT ip % 256 AS a, CAST(floor(ip / 256.0) AS BIGINT) % 256 AS b FROM fx_hops")
+    d = t.sql("SELECT DISTINCT ip % 256 AS a, CAST(floor(ip / 256e0) AS BIGINT) % 256 AS b FROM fx_hops")
     txt = F.concat_ws(".", F.col("a").cast("string"), F.col("b").cast("string"), F.lit("1.1"))
     return d.select(txt.alias("txt"), ip.is_private_ip(txt).alias("private"))
 

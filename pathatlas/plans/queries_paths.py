@@ -42,7 +42,7 @@ def repr_origin(t):
 
 @query("pid_assign", "SELECT row_number() OVER (ORDER BY ip_start, prefix) AS pid, prefix, n_paths FROM o_prefix")
 def pid_assign(t):
-    return C.pid_assign(C.prefix_agg(C.pathobs_merge(obs(t)))).select("pid", "prefix", "n_paths")
+    return C.pid_assign(prefix(t).drop("pid")).select("pid", "prefix", "n_paths")
 
 
 def _topk(cap):

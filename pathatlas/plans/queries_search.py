@@ -141,7 +141,7 @@ def search_sort(t):
     return S.search_sort(pgeo(t).select("prefix", "city", "n_paths"), "city", descending=False)
 
 
-_Q14 = "SELECT DISTINCT CAST(floor(ip / 262144.0) AS BIGINT) * 262144 AS q_start, 14 AS q_plen FROM fx_hops"
+_Q14 = "SELECT DISTINCT CAST(floor(ip / 262144e0) AS BIGINT) * 262144 AS q_start, 14 AS q_plen FROM fx_hops"
 
 
 @query("subnet_search", f"""SELECT q_start, q_plen, p.pk AS pid, p.prefix, p.plen, p.ip_start FROM (SELECT * FROM ({_Q14}) a UNION ALL SELECT DISTINCT ip, 32 FROM fx_hops) q

@@ -384,7 +384,8 @@ def collector_refresh(t):
     src, path, ck = scratch(t, "rib"), scratch(t, "obs"), scratch(t, "ck")
     t["fx_rib"].write.parquet(src)
     K.sink_collector_replace(obs(t).withColumn("path_raw", F.lit("1 2")), path, base_load=True)
-    T.collector_refresh(t.spark.readStream.schema(t["fx_rib"].schema).parquet(src), path, ck).awaitTermination()
+    stream = t.spark.readStream.schema(t["fx_rib"].schema).parquet(src).withColumnRenamed("pk", "pid")
+    T.collector_refresh(stream, path, ck).awaitTermination()
     return T.rebuilt_tables(t.spark, path)[0].select("prefix", "path_raw", "n_peers")
 
 
