@@ -7,16 +7,6 @@ from pyspark.sql import functions as F
 
 from . import runs
 
-# A dimension joined by broadcast must stay below this many rows; larger ones shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting at most ``limit``+1 rows; else a shuffle join."""
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
-
-
 def asn_names(seen: DataFrame, handles: DataFrame, curated: DataFrame, orgs: DataFrame) -> DataFrame:
     """Names of the seen ASNs: handle, overridden by the curated name; English; org."""
     h = handles.groupBy("asn").agg(F.min("handle").alias("handle"))

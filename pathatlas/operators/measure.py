@@ -42,7 +42,8 @@ def trace_places(hops: DataFrame, keys: Sequence[str], order: str = "idx") -> Da
     """A trace as its sequence of places -> (keys, pos, place).
 
     Unknown places are skipped; a run of one place keeps its last hop; a place seen in an
-    earlier run is skipped unless it is the last hop.
+    earlier run is skipped unless it is the last hop. A trace has at most 255 hops (TTL),
+    so windows per trace stay small.
     """
     keys = list(keys)
     name = F.trim(F.coalesce(F.nullif("city", F.lit("")), F.nullif("cc", F.lit("")), F.lit("Unknown")))
