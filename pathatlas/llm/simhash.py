@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import per_text, query, saved, table
 
-SHARD = 2048
+SHARD = 8192  # fingerprints at home in a shard that is dealt out
+SMALL = 1024  # below this a shard is no longer split
 SAMPLE = 65536
 
 
@@ -148,7 +149,7 @@ def _shells(points: np.ndarray, home: np.ndarray, guests: np.ndarray, k: int, se
                 sets.link(block[i], near[j])
 
 
-def shard_stars(points: np.ndarray, home: np.ndarray, k: int, small: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
+def shard_stars(points: np.ndarray, home: np.ndarray, k: int, small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
     """Stars (point, smallest point of its local component) over all pairs within ``k`` that have an end in ``home``."""
     order = np.argsort(points, kind="stable")
     points, home = points[order], home[order]
@@ -187,7 +188,7 @@ def links(points: DataFrame, k: int = 3, shard: int = SHARD, sample: int = SAMPL
                 yield pd.DataFrame({"shard": s, "fp": fp[np.concatenate([home, guests])], "home": np.arange(len(home) + len(guests)) < len(home)})
 
     def stars(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, v = shard_stars(pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["home"].to_numpy(bool), k, shard)
+        u, v = shard_stars(pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["home"].to_numpy(bool), k)
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
     dealt = points.select("fp").mapInPandas(deal, "shard long, fp long, home boolean")
