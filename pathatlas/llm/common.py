@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +58,45 @@ def per_text(fn: Callable[[str], object], returns: str) -> Callable[[Column], Co
 def part_count(df: DataFrame) -> int:
     """Shuffle partitions of the session, for work that is dealt out without a key."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+WORD_BLOCK = 1 << 20
+_WORD_BYTE = np.array([b >= 128 or chr(b).isalnum() or b == 95 for b in range(256)])
+_P = 0x9E3779B97F4A7C15
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """P**i and its inverse modulo 2**64 for the positions of a block."""
+    def run(base: int) -> np.ndarray:
+        out = np.full(WORD_BLOCK + 1, base, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+    return run(_P), run(pow(_P, -1, 1 << 64))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """32-bit hashes of the words of a text, in order.
+
+    A word is a run of ASCII letters, digits, underscores and non-ASCII characters of the lower-cased text (a run of more
+    than 2**20 bytes is cut there). Its hash is a polynomial of its bytes, taken as a difference of running sums, so no step
+    runs per word in Python.
+    """
+    raw = np.frombuffer((text or "").lower().encode("utf-8"), np.uint8)
+    power, inverse = _powers()
+    out, at = [], 0
+    while at < len(raw):
+        part = raw[at:at + WORD_BLOCK]
+        word = _WORD_BYTE[part]
+        if at + len(part) < len(raw):
+            gaps = np.flatnonzero(~word)
+            if len(gaps):
+                part, word = part[:gaps[-1] + 1], word[:gaps[-1] + 1]
+        edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
+        start, end = edges[::2], edges[1::2]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * power[: len(part)], out=sums[1:])
+        h = (sums[end] - sums[start]) * inverse[start]
+        out.append((((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32))
+        at += len(part)
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)

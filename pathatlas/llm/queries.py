@@ -1,4 +1,4 @@
 """All registered queries of this subpackage."""
 
-from . import bpe, lines, merkle, simhash, toxicity, urls, warc  # noqa: F401
+from . import bpe, decontam, lines, merkle, simhash, toxicity, urls, warc  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401
