@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -75,8 +75,8 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return run(_P), run(pow(_P, -1, 1 << 64))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """32-bit hashes of the words of a text, in order.
+def words_at(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """32-bit hashes of the words of a text in order, the byte each starts at, and the bytes of the lower-cased text.
 
     A word is a run of ASCII letters, digits, underscores and non-ASCII characters of the lower-cased text (a run of more
     than 2**20 bytes is cut there). Its hash is a polynomial of its bytes, taken as a difference of running sums, so no step
@@ -84,7 +84,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     """
     raw = np.frombuffer((text or "").lower().encode("utf-8"), np.uint8)
     power, inverse = _powers()
-    out, at = [], 0
+    out, begun, at = [], [], 0
     while at < len(raw):
         part = raw[at:at + WORD_BLOCK]
         word = _WORD_BYTE[part]
@@ -98,5 +98,34 @@ def word_hashes(text: str | None) -> np.ndarray:
         np.cumsum(part * power[: len(part)], out=sums[1:])
         h = (sums[end] - sums[start]) * inverse[start]
         out.append((((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32))
+        begun.append(at + start)
         at += len(part)
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+    if not out:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64), raw
+    return np.concatenate(out), np.concatenate(begun), raw
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """32-bit hashes of the words of a text, in order (see ``words_at``)."""
+    return words_at(text)[0]
+
+
+def pieces(total: np.ndarray, n: int = 16) -> pd.DataFrame:
+    """A fixed-size array of a task (its size a multiple of ``n``) as rows (piece, v) that ``added`` sums."""
+    return pd.DataFrame({"piece": np.arange(n, dtype=np.int32), "v": [p.astype(np.float64).tobytes() for p in np.split(total.reshape(-1), n)]})
+
+
+PIECES = "piece int, v binary"
+
+
+def added(df: DataFrame) -> np.ndarray:
+    """Sum over all tasks of the arrays they handed out as ``pieces``; added per piece on executors. Empty without tasks."""
+    def add(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = 0.0
+        for pdf in parts:
+            for v in pdf["v"]:
+                total = total + np.frombuffer(v, np.float64)
+        yield pd.DataFrame({"piece": [key[0]], "v": [total.tobytes()]})
+
+    got = df.groupBy("piece").applyInPandas(add, PIECES).toPandas().sort_values("piece")
+    return np.concatenate([np.frombuffer(v, np.float64) for v in got["v"]]) if len(got) else np.zeros(0)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_text, query, saved, table, word_hashes
+from .common import PIECES, added, per_text, pieces, query, saved, table, word_hashes
 
 FEATURES = 4096
 PASSAGE = 256
@@ -55,20 +55,6 @@ def _matrix(passages: list[np.ndarray]) -> np.ndarray:
     return flat.reshape(len(passages), FEATURES).astype(np.float32)
 
 
-def _added(df: DataFrame, name: str) -> np.ndarray:
-    """Sum of the arrays that the tasks hand out in pieces (piece, v): added per piece on executors."""
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(v, np.float64) for v in pdf["v"])
-        return pd.DataFrame({"piece": [pdf["piece"].iat[0]], "v": [total.tobytes()]})
-
-    got = df.groupBy("piece").applyInPandas(add, "piece int, v binary").toPandas().sort_values("piece")
-    return np.concatenate([np.frombuffer(v, np.float64) for v in got["v"]]) if len(got) else np.zeros(0)
-
-
-def _pieces(total: np.ndarray, n: int = 16) -> pd.DataFrame:
-    return pd.DataFrame({"piece": np.arange(n, dtype=np.int32), "v": [p.astype(np.float64).tobytes() for p in np.split(total.reshape(-1), n)]})
-
-
 @dataclass
 class Space:
     """``vectors`` maps a feature to its whitened latent coordinates times idf (float32, FEATURES x RANK)."""
@@ -86,9 +72,9 @@ def fit(words: DataFrame, seed: int = 7) -> Space:
         for m in _counts(batches):
             total[:FEATURES] += (m > 0).sum(axis=0)
             total[FEATURES] += len(m)
-        yield _pieces(total)
+        yield pieces(total)
 
-    df = _added(words.mapInPandas(frequencies, "piece int, v binary"), "df")
+    df = added(words.mapInPandas(frequencies, PIECES))
     passages = df[FEATURES] if len(df) else 0
     if not passages:
         return Space(np.zeros((FEATURES, RANK), np.float32))
@@ -102,9 +88,9 @@ def fit(words: DataFrame, seed: int = 7) -> Space:
             m *= idf
             m /= np.maximum(1e-12, np.linalg.norm(m, axis=1))[:, None]
             total += m.T @ (m @ gauss)
-        yield _pieces(total)
+        yield pieces(total)
 
-    w = _added(words.mapInPandas(sketch, "piece int, v binary"), "w").reshape(FEATURES, width)
+    w = added(words.mapInPandas(sketch, PIECES)).reshape(FEATURES, width)
     core = gauss.T.astype(np.float64) @ w
     val, vec = np.linalg.eigh((core + core.T) / 2)
     ok = val > val.max() * 1e-10
