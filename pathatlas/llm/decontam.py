@@ -248,20 +248,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "_best.cosine", "_best.item_share", "_best.answer_share")
 
 
+def holds_item(shared):
+    """Column function text -> whether it holds an item of the broadcast (space, items)."""
+    @F.pandas_udf("boolean")
+    def leaked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        finder = Finder(*shared.value)
+        for t in texts:
+            yield pd.Series([bool(x) for x in finder.stream(map(word_hashes, t))], dtype=bool)
+    return leaked
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns; null and empty texts stay."""
     spark: SparkSession = docs.sparkSession
     words = saved(docs.select(hashed_words(F.col(text_col)).alias("words")))
     space, out = fit(words), docs
     for items in item_slices(benchmark):
-        shared = spark.sparkContext.broadcast((space, items))
-
-        @F.pandas_udf("boolean")
-        def leaked(texts: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            finder = Finder(*shared.value)
-            for t in texts:
-                yield pd.Series([bool(x) for x in finder.stream(map(word_hashes, t))], dtype=bool)
-        out = out.where(~leaked(F.col(text_col)))
+        out = out.where(~holds_item(spark.sparkContext.broadcast((space, items)))(F.col(text_col)))
     return out
 
 
