@@ -21,9 +21,9 @@ from .common import PIECES, added, per_text, pieces, query, saved, table, word_h
 
 FEATURES = 4096
 PASSAGE = 256
-RANK, OVERSAMPLE = 64, 32
+RANK, OVERSAMPLE = 96, 32
 BLOCK = 16  # a window is two neighbouring blocks
-CLOSE = 0.7  # a candidate has at least this share of the cosine that an exact occurrence is expected to have
+CLOSE = 0.6  # a candidate has at least this share of the cosine that an exact occurrence is expected to have
 SURE, LIKELY, ANSWER = 0.8, 0.6, 0.8  # shares of an item's words in order; of its answer's words in order
 SHORT = 8  # items of fewer words must occur as they are
 ITEMS = 20_000  # items of one search pass, which bounds what is broadcast
@@ -170,12 +170,20 @@ class Finder:
                     yield int(owner[i + a]), int(first[i + a]), int(j + b), float(cos[a, b])
 
     def verify(self, words: np.ndarray, start: int, item: int) -> tuple[float, float]:
-        """Shares of the item's and of its answer's words that the text around a window holds in order."""
+        """Shares of the item's and of its answer's words that the text around a window holds in order.
+
+        They are the best over stretches of a quarter more words than the item has, each begun an eighth of it later, if
+        the whole neighbourhood holds enough at all; so words strewn over a longer text do not add up.
+        """
         _, own, masks, answer = self.long[item]
-        m = len(own)
+        m, n = len(own), self.answer_size(own)
         near = words[max(0, start - m):start + 2 * BLOCK + m].tolist()
-        n = self.answer_size(own)
-        return lcs(masks, m, near) / m, lcs(answer, n, near) / n
+        best = (lcs(masks, m, near) / m, 0.0)
+        if best[0] < LIKELY:
+            return best
+        width, step = m + m // 4, max(1, m // 8)
+        stretches = [near[i:i + width] for i in range(0, max(1, len(near) - width + step), step)]
+        return max((lcs(masks, m, s) / m, lcs(answer, n, s) / n) for s in stretches)
 
     def find(self, texts: list[np.ndarray]) -> list[dict[int, tuple[float, float, float]]]:
         """For each text the items it holds: item id -> (cosine, share of the item, share of the answer)."""
