@@ -38,11 +38,12 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     empty text has one blank line. A repeated row is a page of its own. A text of boilerplate only becomes empty.
     """
     rules = boilerplate(pages, host_col, text_col, ratio, min_pages)
-    lines = F.split(F.col(text_col), "\n")
+    rows = pages.select(F.struct(*pages.columns).alias("_row"))  # so that no column name of the caller can clash
+    joined = rows.join(rules, F.col("_row")[host_col].eqNullSafe(F.col("_host")), "left")
+    lines = F.split(F.col("_row")[text_col], "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains("_drop", line_key(x)))
-    joined = pages.join(rules, F.col(host_col).eqNullSafe(F.col("_host")), "left").withColumn(
-        "_kept", F.when(F.col("_drop").isNull(), lines).otherwise(kept))
-    cols = [(F.array_join("_kept", "\n") if c == text_col else F.col(c)).alias(c) for c in pages.columns]
+    joined = joined.withColumn("_kept", F.when(F.col("_drop").isNull(), lines).otherwise(kept))
+    cols = [(F.array_join("_kept", "\n") if c == text_col else F.col("_row")[c]).alias(c) for c in pages.columns]
     if dropped_col:
         cols.append(F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0)).cast("long").alias(dropped_col))
     return joined.select(*cols)

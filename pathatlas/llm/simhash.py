@@ -245,16 +245,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     """
     found = saved(near_duplicates(docs, id_col, text_col, k))
     named = found.where("id = component").select(F.col("id").alias("_kept_id")).distinct()
-    out = docs.join(named, F.col(id_col) == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
+    out = docs.join(named, docs[id_col] == named["_kept_id"], "left_semi").dropDuplicates([id_col])
     nameless = found.where("component is null").select("fp").distinct()
     if nameless.isEmpty():
         return out
-    fp = per_text(simhash, "long")
     roots = components(links(nameless, k)).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-    rest = docs.where(F.col(id_col).isNull()).withColumn("_fp", fp(F.col(text_col)))
-    rest = rest.join(nameless.withColumnRenamed("fp", "_fp"), "_fp", "left_semi").join(roots, F.col("_fp") == F.col("_node"), "left")
-    rest = rest.withColumn("_root", F.coalesce("_root", "_fp")).dropDuplicates(["_root"]).select(*docs.columns)
-    return out.union(rest)
+    roots = nameless.join(roots, F.col("fp") == F.col("_node"), "left").select("fp", F.coalesce("_root", "fp").alias("_root"))
+    rows = docs.where(F.col(id_col).isNull()).select(F.struct(*docs.columns).alias("_row"))
+    rest = rows.withColumn("_fp", per_text(simhash, "long")(F.col("_row")[text_col])).join(roots, F.col("_fp") == F.col("fp"))
+    return out.union(rest.dropDuplicates(["_root"]).select("_row.*"))
 
 
 @query("op1_simhash")

@@ -352,7 +352,7 @@ def test_merkle_columns_equal_brute_force(spark, odd):
         assert abs(r["near_edited"] - (1.0 if t == edited else 2 * len(a & b) / (len(a) + len(b)))) < 1e-9
     assert len(set(prints.values())) == len(prints)
     long = [r for r in got.values() if r["n_chars"] > 400]
-    assert sum(r["near_edited"] > 0.5 for r in long) > 0.95 * len(long)
+    assert sum(r["near_edited"] > 0.5 for r in long) > 0.9 * len(long)
 
 
 def test_merkle_locates_an_edit(spark):
