@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import ip, paths
+from ..functions import paths
 from . import runs
 
-PATH_CAP = 128  # paths kept per prefix; part of the published meaning of `paths`
+PART = 128  # paths in one part of a bundle
 
 _PREFIX = ("prefix", "ip_start", "ip_end", "family", "plen")
 
@@ -79,39 +79,45 @@ def prefix_agg(pathobs: DataFrame) -> DataFrame:
 
 def pid_assign(prefix: DataFrame, chunks: int | None = None) -> DataFrame:
     """Dense 1-based id by (ip_start, prefix) without sorting everything in one task."""
-    wide = ip.is_wide(prefix, "ip_start")
-    return runs.numbered(prefix, "pid", ip.approx_position("ip_start", wide),
-                         [F.col("ip_start"), F.col("prefix")], chunks=chunks)
+    return runs.numbered(prefix, "pid", [F.col("ip_start"), F.col("prefix")], chunks=chunks)
 
 
 def attach_pid(pathobs: DataFrame, prefix: DataFrame) -> DataFrame:
     return pathobs.join(prefix.select("prefix", "pid"), ["prefix"])
 
 
-def paths_topk(pathobs: DataFrame, cap: int = PATH_CAP) -> DataFrame:
-    """At most ``cap`` paths per pid, best observed first; rank 1 is the representative.
+def paths_topk(pathobs: DataFrame, cap: int | None = None) -> DataFrame:
+    """All paths of every pid, or its ``cap`` best observed; the best of a pid is flagged.
 
-    The rank filter becomes a per-task group limit before the shuffle, so a prefix with
-    very many paths sends at most ``cap`` rows from each task.
+    Without a cap the best path is a partial aggregate that is joined back. With one, the rank
+    filter becomes a per-task group limit before the shuffle.
     """
-    w = Window.partitionBy("pid").orderBy(F.desc("n_peers"), "path_len", "path_clean", "path_raw")
-    ranked = pathobs.select("pid", "family", "path_raw", "path_clean", "path_len", "n_peers").withColumn(
-        "rn", F.row_number().over(w)).where(F.col("rn") <= cap)
-    return ranked.select(
-        "pid", "family", paths.padded("path_clean").alias("path_str"),
-        paths.path_array("path_clean").alias("path_arr"),
+    order = [(-F.col("n_peers")).alias("o"), F.col("path_len"), F.col("path_clean"), F.col("path_raw")]
+    rows = pathobs.select("pid", "family", "path_raw", "path_clean", "path_len", "n_peers")
+    if cap is None:
+        best = rows.groupBy("pid").agg(F.min(F.struct(*order)).alias("_b"))
+        d = rows.join(best, ["pid"]).withColumn("is_best", F.col("path_raw") == F.col("_b.path_raw"))
+    else:
+        d = runs.ranked(rows, "_rn", [F.desc("n_peers"), F.col("path_len"), F.col("path_clean"), F.col("path_raw")], ["pid"], cap)
+        d = d.withColumn("is_best", F.col("_rn") == 1)
+    return d.select(
+        "pid", "family", paths.padded("path_clean").alias("path_str"), paths.path_array("path_clean").alias("path_arr"),
         F.when(F.col("path_raw") != F.col("path_clean"), paths.path_array("path_raw")).alias("path_arr_raw"),
-        "path_len", "n_peers", (F.col("rn") == 1).alias("is_best"))
+        "path_len", "n_peers", "is_best")
 
 
-def path_bundle(top_paths: DataFrame) -> DataFrame:
-    """Per pid the kept paths (at most the cap) as one array, plus totals over them."""
-    item = F.struct((-F.col("n_peers")).alias("o"), F.col("path_len"), F.col("path_str"), F.col("n_peers"))
-    return top_paths.groupBy("pid").agg(
-        F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(
-            x["n_peers"].alias("n_peers"), x["path_str"].alias("path_str"))).alias("bundle"),
-        F.sum("n_peers").alias("observed_peers"),
-        F.max(F.when(F.col("is_best"), F.col("path_str"))).alias("best_path"))
+def path_totals(top_paths: DataFrame) -> DataFrame:
+    """Per pid the peers over its paths and its best path."""
+    return top_paths.groupBy("pid").agg(F.sum("n_peers").alias("observed_peers"),
+                                        F.max(F.when(F.col("is_best"), F.col("path_str"))).alias("best_path"))
+
+
+def path_bundle(top_paths: DataFrame, size: int = PART) -> DataFrame:
+    """The paths of a pid in numbered parts of ``size``, best observed first -> (pid, part, bundle)."""
+    n = runs.numbered(top_paths.select("pid", "path_len", "path_str", "n_peers"), "pos", [F.desc("n_peers"), F.col("path_len"), F.col("path_str")], ["pid"])
+    item = F.struct("pos", "n_peers", "path_str")
+    return n.groupBy("pid", F.ceil(F.col("pos") / size).alias("part")).agg(F.transform(
+        F.array_sort(F.collect_list(item)), lambda x: F.struct(x["n_peers"].alias("n_peers"), x["path_str"].alias("path_str"))).alias("bundle"))
 
 
 def bundle_text(bundle) -> Column:

@@ -33,40 +33,32 @@ def neighbor_counts(neigh: DataFrame) -> DataFrame:
     return neigh.groupBy("asn").agg(F.count("*").alias("n_neighbors"))
 
 
-def top_prefixes_per_asn(byorigin: DataFrame, top: int = 100) -> DataFrame:
-    """Top prefixes of each origin over both families; the group limit runs before the shuffle."""
+def top_prefixes_per_asn(byorigin: DataFrame, top: int | None = None) -> DataFrame:
+    """Prefixes of each origin over both families by rank, or only its ``top`` ones."""
     d = byorigin.where("origin_asn IS NOT NULL").select("origin_asn", "prefix", "cc", "n_paths").distinct()
-    w = Window.partitionBy("origin_asn").orderBy(F.desc("n_paths"), "prefix")
-    return (d.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= top)
-            .withColumn("pos", F.col("pos").cast("bigint"))
-            .withColumn("bucket", F.pmod("origin_asn", F.lit(256)).cast("int")))
-
-
-def _ranked(df: DataFrame, size: str, tie: str, order) -> DataFrame:
-    position = -(F.col(size).cast("double") * 4294967296.0) + F.pmod(F.col(tie).cast("double"), F.lit(4294967296.0))
-    return runs.numbered(df, "pos", position, order, ["cc"])
+    return runs.ranked(d, "pos", [F.desc("n_paths"), F.col("prefix")], ["origin_asn"], top).withColumn(
+        "bucket", F.pmod("origin_asn", F.lit(256)).cast("int"))
 
 
 def networks_by_country(origin_counts: DataFrame, asn_cc: DataFrame) -> DataFrame:
     """ASNs with prefixes by registration country, largest first; ``pos`` is the rank."""
     d = origin_counts.join(asn_cc, F.col("asn") == F.col("origin_asn")).select(
         "cc", "asn", (F.col("n_v4") + F.col("n_v6")).alias("total"))
-    return _ranked(d, "total", "asn", [-F.col("total"), F.col("asn")])
+    return runs.numbered(d, "pos", [-F.col("total"), F.col("asn")], ["cc"])
 
 
 def ixps_by_country(ixs: DataFrame) -> DataFrame:
     d = ixs.withColumn("cc", F.upper(F.trim("country"))).where(F.col("cc").rlike("^[A-Z]{2}$") & F.col("ix_id").isNotNull())
     d = d.select("cc", "ix_id", F.coalesce("name", F.concat(F.lit("IX "), F.col("ix_id").cast("string"))).alias("name"),
                  F.coalesce("city", F.lit("")).alias("city"), F.coalesce("net_count", F.lit(0)).alias("net_count"))
-    position = -F.col("net_count").cast("double")
-    return runs.numbered(d, "pos", position, [-F.col("net_count"), F.col("name"), F.col("ix_id")], ["cc"])
+    return runs.numbered(d, "pos", [-F.col("net_count"), F.col("name"), F.col("ix_id")], ["cc"])
 
 
 def directory_totals(directory: DataFrame) -> DataFrame:
     return directory.groupBy("cc").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cc")
 
 
-def directory_page(directory: DataFrame, page: int, size: int = 500, cc: str | None = None) -> DataFrame:
+def directory_page(directory: DataFrame, page: int, size: int, cc: str | None = None) -> DataFrame:
     """One page of each (or one) country's directory; the page is clamped to the range."""
     d = directory if cc is None else directory.where(F.col("cc") == cc)
     pages = d.groupBy("cc").agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).cast("bigint").alias("pages"))

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from . import runs
 
 OBJECT = ("ip_start", "plen", "origin", "source")
-MAX_BEHIND = 30_000  # more missing operations than this mean a full reload
 
 
-def needs_reload(state_serial: int | None, oldest: int, current: int) -> bool:
-    return state_serial is None or not (oldest <= state_serial <= current) or current - state_serial > MAX_BEHIND
+def needs_reload(state_serial: int | None, oldest: int, current: int, max_behind: int | None = None) -> bool:
+    """A full reload is due when the journal does not reach back to the state, or by choice when it is far behind."""
+    gone = state_serial is None or not (oldest - 1 <= state_serial <= current)
+    return gone or (max_behind is not None and current - state_serial > max_behind)
 
 
 def complete(deltas: DataFrame, first: int, last: int) -> bool:
@@ -37,7 +38,7 @@ def irr_delta_apply(state: DataFrame, deltas: DataFrame, keys: Sequence[str] = O
 def irr_delta_counts(state: DataFrame, deltas: DataFrame, keys: Sequence[str] = OBJECT) -> DataFrame:
     """Effective adds and deletes: operations that changed the set when they were applied."""
     keys = list(keys)
-    c = runs.with_chunks(deltas, F.col("serial").cast("double"), keys)
+    c = runs.with_chunks(deltas, [F.col("serial")], keys)
     c = runs.drop_chunks(runs.scan(c, "_prev", F.col("op"), "last", [F.col("serial")], keys, inclusive=False))
     had = state.select(*keys).distinct().withColumn("_had", F.lit(True))
     before = F.coalesce(F.col("_prev") == "ADD", F.col("_had"), F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ip, text
@@ -11,8 +11,6 @@ from . import runs
 from .intervals import intervals_merge, intervals_subtract
 from .joins import asof_join, covering_join, overlap_scan
 
-CARVE_CAP = 256  # interval starts inside a piece above which it stays country level
-CIDR_CAP = 48    # CIDRs listed per (pid, country, city)
 DEFAULT_POINT = (20.0, 0.0)
 
 # Country centroids (latitude, longitude).
@@ -39,7 +37,7 @@ def geo_merge(raw: DataFrame, chunks: int | None = None) -> DataFrame:
     prio = F.when(F.col("provider") == "ipdb", 3).when(F.col("provider") == "geolite", 2).otherwise(1)
     d = raw.withColumn("_np", -prio)
     order = [F.col("start_num"), F.col("_np"), F.col("end_num"), F.coalesce("cc", F.lit("")), F.coalesce("city", F.lit(""))]
-    c = runs.with_chunks(d, ip.approx_position("start_num", wide), chunks=chunks)
+    c = runs.with_chunks(d, order, chunks=chunks)
     c = runs.drop_chunks(runs.scan(c, "_max", F.col("end_num"), "max", order, inclusive=False))
     keep = F.col("_max").isNull() | (F.col("end_num") > F.col("_max"))
     start = F.when(F.col("start_num") <= F.col("_max"), ip.succ("_max", wide)).otherwise(F.col("start_num"))
@@ -50,7 +48,7 @@ def geo_coalesce(geo: DataFrame, chunks: int | None = None) -> DataFrame:
     """Join touching neighbours that agree on country, province and city (null-safe)."""
     wide = ip.is_wide(geo, "start_num")
     order = [F.col("start_num")]
-    c = runs.with_chunks(geo, ip.approx_position("start_num", wide), chunks=chunks)
+    c = runs.with_chunks(geo, order, chunks=chunks)
     c = runs.scan(c, "_prev", F.struct("end_num", "cc", "province", "city"), "last", order, inclusive=False)
     same = F.coalesce(F.col("start_num") == ip.succ(F.col("_prev.end_num"), wide), F.lit(False))
     for k in ("cc", "province", "city"):
@@ -108,11 +106,11 @@ def effective_range(prefix: DataFrame, forest: DataFrame | None = None, chunks:
     return intervals_subtract(base, holes, "pid", chunks=chunks)
 
 
-def geo_carve(ranges: DataFrame, geo: DataFrame, cap: int = CARVE_CAP) -> DataFrame:
+def geo_carve(ranges: DataFrame, geo: DataFrame, cap: int | None = None) -> DataFrame:
     """Cut effective ranges at place borders -> (pid, cc, province, city, s, e).
 
-    A range with more than ``cap`` interval starts becomes one country-level piece (the
-    country at its first address) or nothing. Both inputs are disjoint, so the pieces
+    If a ``cap`` is named, a range with more interval starts becomes one country-level piece
+    (the country at its first address) or nothing. Both inputs are disjoint, so the pieces
     and the start counts each come from linear as-of scans.
     """
     r = ranges.select("pid", "s", "e")
@@ -124,11 +122,16 @@ def geo_carve(ranges: DataFrame, geo: DataFrame, cap: int = CARVE_CAP) -> DataFr
         F.when(first, F.col("_b")).alias("g"), F.coalesce(first & (F.col("_b.start_num") == F.col("_pos")), F.lit(False)).alias("_at"))
     inner = x.where((F.col("_is_a") == 0) & (F.col("_pos") <= F.col("_a.e"))).select(
         F.col("_a.pid").alias("pid"), F.col("_a.s").alias("rs"), F.col("_a.e").alias("re"), F.col("_b").alias("g"))
+    none = F.lit(None).cast("string")
+    low = lambda p, q: F.when(p <= q, p).otherwise(q)
+    if cap is None:
+        place = [F.col(f"g.{c}").alias(c) for c in ("cc", "province", "city")]
+        first_pieces = heads.where("g.cc IS NOT NULL").select("pid", *place, "s", low(F.col("e"), F.col("g.end_num")).alias("e"))
+        return first_pieces.unionByName(inner.where("g.cc IS NOT NULL").select(
+            "pid", *place, F.col("g.start_num").alias("s"), low(F.col("re"), F.col("g.end_num")).alias("e")))
     starts = inner.select("pid", F.col("rs").alias("s")).unionByName(heads.where("_at").select("pid", "s"))
     crowded = starts.groupBy("pid", "s").agg(F.count("*").alias("n")).where(F.col("n") > cap).select(
         "pid", "s", F.lit(True).alias("_coarse"))
-    none = F.lit(None).cast("string")
-    low = lambda p, q: F.when(p <= q, p).otherwise(q)
     h = heads.join(crowded, ["pid", "s"], "left").where("g.cc IS NOT NULL")
     is_coarse = F.col("_coarse").isNotNull()
     head_pieces = h.select(
@@ -141,10 +144,10 @@ def geo_carve(ranges: DataFrame, geo: DataFrame, cap: int = CARVE_CAP) -> DataFr
     return head_pieces.unionByName(inner_pieces)
 
 
-def geo_segments(carved: DataFrame, prefix: DataFrame, cidr_cap: int = CIDR_CAP) -> DataFrame:
-    """Per (pid, cc, city): merged pieces as an address-ordered CIDR list of at most the cap.
+def geo_segments(carved: DataFrame, prefix: DataFrame, part: int = 1024) -> DataFrame:
+    """Per (pid, cc, city): merged pieces as address-ordered CIDR lists.
 
-    The cap applies per task before the shuffle (rank filter), so a wide prefix never
+    All CIDRs are listed, in numbered parts of at most ``part`` blocks, so a wide prefix never
     builds an unbounded list.
     """
     wide = ip.is_wide(carved, "s")
@@ -153,19 +156,18 @@ def geo_segments(carved: DataFrame, prefix: DataFrame, cidr_cap: int = CIDR_CAP)
     merged = intervals_merge(keyed, ["pid", "cc", "_city"])
     blocks = merged.select("pid", "cc", "_city", F.explode(ip.range_to_cidr_blocks("s", "e", wide)).alias("b")).select(
         "pid", "cc", "_city", "b.start", "b.plen")
-    w = Window.partitionBy("pid", "cc", "_city").orderBy("start")
-    top = blocks.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cidr_cap)
+    top = runs.numbered(blocks, "_rn", [F.col("start")], ["pid", "cc", "_city"]).withColumn("part", F.ceil(F.col("_rn") / part))
     cidr = F.concat(ip.addr_text("start", wide), F.lit("/"), F.col("plen").cast("string"))
-    segs = top.groupBy("pid", "cc", "_city").agg(F.transform(
+    segs = top.groupBy("pid", "cc", "_city", "part").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("_rn", cidr.alias("c")))), lambda x: x["c"]).alias("segs"))
     return (segs.join(prov, ["pid", "cc", "_city"]).join(prefix.select("pid", "plen", "origin_asn", "n_paths"), ["pid"])
-            .select("pid", "cc", "province", F.nullif("_city", F.lit("")).alias("city"), "segs", "plen", "origin_asn", "n_paths"))
+            .select("pid", "cc", "province", F.nullif("_city", F.lit("")).alias("city"), "part", "segs", "plen", "origin_asn", "n_paths"))
 
 
-def geo_working_set(segments: DataFrame, prefix: DataFrame, bundle: DataFrame,
+def geo_working_set(segments: DataFrame, prefix: DataFrame, totals: DataFrame,
                     rpki: DataFrame | None = None, irr: DataFrame | None = None) -> DataFrame:
     d = C.with_status(segments, rpki, irr, origin="origin_asn")
-    return (d.join(bundle, ["pid"], "left").join(prefix.select("pid", "prefix", "n_origins"), ["pid"], "left"))
+    return (d.join(totals, ["pid"], "left").join(prefix.select("pid", "prefix", "n_origins"), ["pid"], "left"))
 
 
 def coord_resolve(df: DataFrame, city_coords: DataFrame | None = None) -> DataFrame:

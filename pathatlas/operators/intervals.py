@@ -18,7 +18,7 @@ def intervals_merge(df: DataFrame, keys: Sequence[str], start: str = "s", end: s
     keys = list(keys)
     base = df.select(*keys, F.col(start).alias("s"), F.col(end).alias("e"))
     order = [F.col("s"), F.col("e")]
-    c = runs.with_chunks(base, ip.approx_position("s", wide), keys, chunks)
+    c = runs.with_chunks(base, order, keys, chunks)
     c = runs.scan(c, "_prev", F.col("e"), "max", order, keys, inclusive=False)
     nxt = ip.succ("_prev", wide)
     # a NULL successor means the previous interval reached the end of the space
@@ -38,8 +38,8 @@ def intervals_subtract(base: DataFrame, holes: DataFrame, key: str, start: str =
     b = base.select(F.col(key), F.col(start).alias("_bs"), F.col(end).alias("_be"))
     h = holes.select(F.col(key), F.col(start).alias("hs"), F.col(end).alias("he"))
     order = [F.col("hs"), F.col("he")]
-    c = runs.with_chunks(h, ip.approx_position("hs", wide), [key], chunks)
-    c = runs.drop_chunks(runs.scan(c, "_prev", F.col("he"), "max", order, [key], inclusive=False))
+    h = runs.with_chunks(h, order, [key], chunks)
+    c = runs.drop_chunks(runs.scan(h, "_prev", F.col("he"), "max", order, [key], inclusive=False))
     cur = ip.succ("_prev", wide)
     # where to resume: after the holes so far, never before the base start
     resume = (F.when(F.col("_prev").isNull(), F.col("_bs"))

@@ -69,7 +69,7 @@ def asof_join(points: DataFrame, intervals: DataFrame, *, point: str, start: str
                          payload.alias("_iv"))
     u = p.unionByName(i, allowMissingColumns=True)
     # equal addresses share a chunk, so an interval starting at the point is seen first
-    c = runs.with_chunks(u, ip.approx_position("_pos", wide), keys, chunks)
+    c = runs.with_chunks(u, [F.col("_pos"), F.col("_is_point")], keys, chunks)
     s = runs.scan(c, "_hit", F.col("_iv"), "last", [F.col("_pos"), F.col("_is_point")], keys)
     hit = F.when(F.col("_pos") <= F.col("_hit._e"), F.col("_hit"))
     return (s.where(F.col("_is_point") == 1)
@@ -88,7 +88,7 @@ def overlap_scan(a: DataFrame, b: DataFrame, *, a_start: str, b_start: str, chun
     rows = a.select(F.col(a_start).alias("_pos"), F.lit(1).alias("_is_a"), pack(a).alias("_ra")).unionByName(
         b.select(F.col(b_start).alias("_pos"), F.lit(0).alias("_is_a"), pack(b).alias("_rb")), allowMissingColumns=True)
     order = [F.col("_pos"), F.col("_is_a")]
-    c = runs.with_chunks(rows, ip.approx_position("_pos", wide), chunks=chunks)
+    c = runs.with_chunks(rows, order, chunks=chunks)
     c = runs.scan(c, "_b", F.col("_rb"), "last", order)
     c = runs.scan(c, "_a", F.col("_ra"), "last", order)
     return c.select("_is_a", "_pos", "_a", "_b")

@@ -31,7 +31,7 @@ def hop_gaps(hops: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     The previous number comes from a chunked scan, so one huge trace is no single task.
     """
     keys = list(keys)
-    c = runs.with_chunks(hops, F.col(order[0]).cast("double"), keys)
+    c = runs.with_chunks(hops, [F.col(o) for o in order], keys)
     c = runs.drop_chunks(runs.scan(c, "_prev", F.col(order[0]), "last", [F.col(o) for o in order], keys, inclusive=False))
     gap = F.col(order[0]) - F.coalesce("_prev", F.lit(0)) - 1
     rows = F.concat(F.when(gap > 0, F.array(gap)).otherwise(F.array().cast("array<bigint>")), F.array(F.lit(None).cast("bigint")))
@@ -62,38 +62,43 @@ def trace_places(hops: DataFrame, keys: Sequence[str], order: str = "idx") -> Da
 
 
 def ping_rounds(rounds: DataFrame) -> DataFrame:
-    """Running statistics per probe; the same plan runs in batch and as a stream (update mode)."""
+    """Running statistics per probe; the same plan runs in batch and as a stream (update mode).
+
+    The mean is rounded half up from whole microseconds, so it depends neither on the order of
+    partial sums nor on how a tie is held in binary.
+    """
+    micros = F.round(F.col("avg_rtt") * 1_000_000).cast("bigint")
     g = rounds.groupBy("probe").agg(
-        F.min("min_rtt").alias("_min"), F.max("max_rtt").alias("_max"), F.sum(F.col("avg_rtt") * F.col("rcv")).alias("_s"),
+        F.min("min_rtt").alias("_min"), F.max("max_rtt").alias("_max"), F.sum(micros * F.col("rcv")).alias("_s"),
         F.sum("rcv").alias("rcv"), F.sum("total").alias("total"))
+    mean = F.expr("(2 * _s + 1000 * rcv) div (2000 * rcv)") / 1000
     return g.select("probe", F.round("_min", 3).alias("min_rtt"), F.round("_max", 3).alias("max_rtt"),
-                    F.round(F.when(F.col("rcv") > 0, F.col("_s") / F.col("rcv")).otherwise(0.0), 3).alias("avg_rtt"), "rcv", "total",
+                    F.when(F.col("rcv") > 0, mean).otherwise(0.0).alias("avg_rtt"), "rcv", "total", (F.col("total") - F.col("rcv")).alias("drop"),
                     F.round(F.when(F.col("total") > 0, (1 - F.col("rcv") / F.col("total")) * 100).otherwise(0.0), 3).alias("loss"))
 
 
-def probe_locations(probes: DataFrame, networks: int = 12) -> DataFrame:
-    """Probes per (country, city): count, mean coordinates, the largest networks."""
+def probe_locations(probes: DataFrame, networks: int | None = None) -> DataFrame:
+    """Probes per (country, city): count, mean coordinates, all or the largest ``networks``."""
     p = probes.where("coalesce(city, '') <> '' AND coalesce(country, '') <> ''").withColumn("_c", F.upper("country")).withColumn("_t", F.lower(F.trim("city")))
     base = p.groupBy("_c", "_t").agg(F.min("city").alias("city"), F.count("*").alias("n"), F.avg(F.coalesce("latitude", F.lit(0.0))).alias("lat"),
                                      F.avg(F.coalesce("longitude", F.lit(0.0))).alias("lon"))
     net = p.where("coalesce(network, '') <> ''").groupBy("_c", "_t", "network").agg(F.count("*").alias("k"), F.max("asn").alias("asn"))
-    w = Window.partitionBy("_c", "_t").orderBy(F.desc("k"), "network")
-    top = net.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= networks).groupBy("_c", "_t").agg(F.transform(
+    top = runs.ranked(net, "_rn", [F.desc("k"), F.col("network")], ["_c", "_t"], networks).groupBy("_c", "_t").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("_rn", "network", "asn", "k"))),
         lambda x: F.struct(x["network"].alias("name"), x["asn"].alias("asn"), x["k"].alias("n"))).alias("networks"))
     return base.join(top, ["_c", "_t"], "left").select(F.col("_c").alias("cc"), "city", "n", "lat", "lon", "networks")
 
 
-def probe_suggest(locations: DataFrame, term: str) -> DataFrame:
-    """Substring search rolled up to cities (6), countries (4) and networks (5)."""
+def probe_suggest(locations: DataFrame, term: str, cities_n: int, countries_n: int, networks_n: int) -> DataFrame:
+    """Substring search rolled up to the largest cities, countries and networks, as many as asked for."""
     q = term.strip().lower()
     hit = F.lower(F.concat_ws(" ", "city", "cc")).contains(q)
     none = F.lit(None).cast("bigint")
-    cities = locations.where(hit).orderBy(F.desc("n"), "cc", "city").limit(6).select(F.lit("city").alias("kind"), F.col("city").alias("label"), none.alias("asn"), "n")
-    countries = locations.where(F.lower("cc").contains(q)).groupBy("cc").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cc").limit(4).select(
+    cities = locations.where(hit).orderBy(F.desc("n"), "cc", "city").limit(cities_n).select(F.lit("city").alias("kind"), F.col("city").alias("label"), none.alias("asn"), "n")
+    countries = locations.where(F.lower("cc").contains(q)).groupBy("cc").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cc").limit(countries_n).select(
         F.lit("country").alias("kind"), F.col("cc").alias("label"), none.alias("asn"), "n")
     nets = locations.select(F.explode("networks").alias("w")).where(
         F.lower("w.name").contains(q) | F.concat(F.lit("as"), F.col("w.asn").cast("string")).contains(q))
-    nets = nets.groupBy("w.asn").agg(F.min("w.name").alias("label"), F.sum("w.n").alias("n")).orderBy(F.desc("n"), "asn").limit(5).select(
+    nets = nets.groupBy("w.asn").agg(F.min("w.name").alias("label"), F.sum("w.n").alias("n")).orderBy(F.desc("n"), "asn").limit(networks_n).select(
         F.lit("network").alias("kind"), "label", "asn", "n")
     return cities.unionByName(countries).unionByName(nets)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import runs
+
 # Columns of the published tables as (name, kind, length). Kinds:
 # s text, i integer (bad -> 0), f float (bad -> NULL), b boolean, u first social URL.
 NORMAL_COLUMNS = {
@@ -88,32 +90,27 @@ def pdb_netfac(netfac: DataFrame, net: DataFrame) -> DataFrame:
     return netfac.join(net.where("asn > 0").select("net_id", "asn"), ["net_id"])
 
 
-def _top(df: DataFrame, key: str, order, n: int) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n).withColumn("pos", F.col("pos").cast("bigint"))
-
-
 def pdb_asn_profile(netixlan: DataFrame, ix: DataFrame, netfac: DataFrame | None = None, fac: DataFrame | None = None,
-                    ix_cap: int = 800, fac_cap: int = 300) -> tuple[DataFrame, DataFrame | None]:
+                    ix_cap: int | None = None, fac_cap: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Per ASN: exchanges (operational, speed, name) and facilities (net_count, nulls last)."""
     j = netixlan.join(ix.select("ix_id", F.col("name").alias("ix_name"), F.col("city").alias("ix_city"), F.col("country").alias("ix_country")),
                       ["ix_id"], "left")
-    exchanges = _top(j, "asn", [F.desc("operational"), F.desc("speed"), "ix_name", "ix_id"], ix_cap)
+    exchanges = runs.ranked(j, "pos", [F.desc("operational"), F.desc("speed"), F.col("ix_name"), F.col("ix_id")], ["asn"], ix_cap)
     if netfac is None:
         return exchanges, None
     f = netfac.join(fac.select("fac_id", F.col("name").alias("fac_name"), "net_count"), ["fac_id"], "left")
-    return exchanges, _top(f, "asn", [F.desc_nulls_last("net_count"), "fac_name", "fac_id"], fac_cap)
+    return exchanges, runs.ranked(f, "pos", [F.desc_nulls_last("net_count"), F.col("fac_name"), F.col("fac_id")], ["asn"], fac_cap)
 
 
 def ix_list(ix: DataFrame) -> DataFrame:
     return ix.orderBy(F.desc("net_count"), "name")
 
 
-def ix_members(netixlan: DataFrame, net: DataFrame, cap: int = 3000) -> DataFrame:
+def ix_members(netixlan: DataFrame, net: DataFrame, cap: int | None = None) -> DataFrame:
     """Members of each exchange with network facts, operational and fast ones first."""
     facts = [c for c in ("info_type", "info_traffic") if c in net.columns]
     j = netixlan.join(net.select("asn", F.col("name").alias("net_name"), *facts), ["asn"], "left")
-    return _top(j, "ix_id", [F.desc("operational"), F.desc("speed"), "asn"], cap)
+    return runs.ranked(j, "pos", [F.desc("operational"), F.desc("speed"), F.col("asn")], ["ix_id"], cap)
 
 
 def ix_detail(ix: DataFrame, ixlan: DataFrame, ixpfx: DataFrame, ixfac: DataFrame, fac: DataFrame) -> dict[str, DataFrame]:

@@ -12,25 +12,21 @@ from . import runs
 
 
 def _adjacent(top_paths: DataFrame, tier1: Sequence[int]) -> DataFrame:
-    """One row per ordered adjacent pair seen from either side.
+    """Both directions of every step of a path, from one pass over the path and its shift.
 
-    Weak evidence: no tier-1 strictly before the subject's position.
+    Evidence is weak for the side before which the path has met no tier-1.
     """
-    core = F.array(*[F.lit(int(a)).cast("bigint") for a in tier1])
-    arr = F.col("path_arr")
-    first = F.array_min(F.filter(F.transform(arr, lambda x, i: F.when(F.array_contains(core, x), i)), lambda i: i.isNotNull()))
-    base = top_paths.where(F.size("path_arr") >= 2).select(
-        "pid", F.size(arr).alias("L"), arr.alias("a"), F.coalesce(first, F.lit(2_000_000_000)).alias("_t1"))
-
-    def side(j, step):
-        return F.struct(F.get("a", j).alias("asn"), F.get("a", j + step).alias("neighbor"),
-                        (F.col("_t1") >= j).alias("weak"), F.lit(step < 0).alias("is_left"))
-
-    idx = F.sequence(F.lit(0), F.col("L") - 1)
-    pairs = F.concat(F.transform(idx, lambda j: side(j, 1)), F.transform(idx, lambda j: side(j, -1)))
-    return base.select("pid", "L", F.explode(F.filter(
-        pairs, lambda p: p["asn"].isNotNull() & p["neighbor"].isNotNull() & (p["asn"] != p["neighbor"]))).alias("p")
-    ).select("pid", "L", "p.*")
+    steps = F.zip_with("path_arr", F.slice("path_arr", 2, F.size("path_arr")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    marked = F.transform("path_arr", lambda x: P.is_tier1(x, tier1))
+    at = F.when(F.exists(marked, lambda m: m), F.array_position(marked, F.lit(True)))  # 1-based, null without a tier-1
+    base = top_paths.where(F.size("path_arr") >= 2).select("pid", F.size("path_arr").alias("L"), at.alias("_t1"), F.posexplode(steps).alias("_i", "_s"))
+    base = base.where("_s.a IS NOT NULL AND _s.b IS NOT NULL AND _s.a <> _s.b")
+    met = lambda position: F.coalesce(F.col("_t1") < position, F.lit(False))
+    side = lambda asn, other, position, left: F.struct(
+        asn.alias("asn"), other.alias("neighbor"), (~met(position)).alias("weak"), F.lit(left).alias("is_left"))
+    here = F.col("_i") + 1
+    return base.select("pid", "L", F.explode(F.array(
+        side(F.col("_s.a"), F.col("_s.b"), here, False), side(F.col("_s.b"), F.col("_s.a"), here + 1, True))).alias("p")).select("pid", "L", "p.*")
 
 
 def _neigh_counts(adj: DataFrame) -> DataFrame:
@@ -57,13 +53,18 @@ def neigh_scan(top_paths: DataFrame, asn: int, tier1: Sequence[int] = P.TIER1) -
 
 
 def relation_classify(neigh: DataFrame, tier1: Sequence[int] = P.TIER1) -> DataFrame:
-    """Add ``rel``: up (provider), down (customer) or peer."""
-    xt, yt = P.is_tier1("asn", tier1), P.is_tier1("neighbor", tier1)
-    tot = F.col("d") + F.col("u")
-    r = F.col("d") / tot
-    rel = (F.when(xt & yt, "peer").when(yt, "up").when(tot == 0, "peer").when(r >= 0.8, "down")
-           .when(~xt & (r <= 0.2), "up").otherwise("peer"))
-    return neigh.withColumn("rel", rel)
+    """Add ``rel``: what the neighbour is to the AS - up (provider), down (customer) or peer.
+
+    Two tier-1s are peers and a tier-1 is above everyone else. Otherwise the share of strong
+    observations with the neighbour on the far side decides: four fifths make a customer, one
+    fifth a provider unless the AS is a tier-1 itself; without strong observations it is a peer.
+    """
+    strong = F.col("d") + F.col("u")
+    far_fifths = F.when(strong > 0, 5 * F.col("d"))
+    by_share = (F.when(far_fifths >= 4 * strong, "down")
+                .when((far_fifths <= strong) & ~P.is_tier1("asn", tier1), "up").otherwise("peer"))
+    by_tier = F.when(P.is_tier1("neighbor", tier1), F.when(P.is_tier1("asn", tier1), "peer").otherwise("up"))
+    return neigh.withColumn("rel", F.coalesce(by_tier, by_share))
 
 
 def relation_groups(neigh: DataFrame, tier1: Sequence[int] = P.TIER1) -> DataFrame:
@@ -71,8 +72,7 @@ def relation_groups(neigh: DataFrame, tier1: Sequence[int] = P.TIER1) -> DataFra
     n = F.when(F.col("rel") == "peer", F.col("d") + F.col("u") + F.col("w") + F.col("wd")).otherwise(
         F.col("d") + F.col("u"))
     g = relation_classify(neigh, tier1).withColumn("n", n)
-    position = -(F.col("n").cast("double") * 4294967296.0) + F.col("neighbor").cast("double")
-    return runs.numbered(g, "pos", position, [-F.col("n"), F.col("neighbor")], ["asn", "rel"])
+    return runs.numbered(g, "pos", [-F.col("n"), F.col("neighbor")], ["asn", "rel"])
 
 
 def relation_evidence(neigh: DataFrame, top_paths: DataFrame) -> DataFrame:
@@ -130,9 +130,8 @@ def tier1_transit(top_paths: DataFrame, tier1: Sequence[int] = P.TIER1) -> DataF
     return d.select("pid", F.explode(F.array_distinct(F.concat(seen, entry, pairs))).alias("r")).select("pid", "r.*").distinct()
 
 
-def upstream_summary(top_paths: DataFrame, top: int = 6) -> DataFrame:
-    """ASes directly before the origin by number of distinct paths, the top few per prefix."""
+def upstream_summary(top_paths: DataFrame, top: int | None = None) -> DataFrame:
+    """ASes directly before the origin by number of distinct paths, all or the ``top`` ones per prefix."""
     u = top_paths.select("pid", P.upstream_of_origin("path_arr").alias("asn")).where("asn IS NOT NULL")
     n = u.groupBy("pid", "asn").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("pid").orderBy(F.desc("n"), "asn")
-    return n.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= top).withColumn("pos", F.col("pos").cast("bigint"))
+    return runs.ranked(n, "pos", [F.desc("n"), F.col("asn")], ["pid"], top)

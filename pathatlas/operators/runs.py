@@ -1,10 +1,11 @@
 """Ordered scans that never put a whole key, or a whole table, into one task.
 
 A running maximum, a running "last value" or a row number over a global order normally
-forces one sorted task. Here the order is cut at quantile split points into balanced
-chunks; every chunk is scanned on its own and a small carry (one row per key and chunk)
-brings in what came before. The split points are literals, so a recomputed task sees the
-same chunks as the first run did.
+forces one sorted task. Here the rows are range-partitioned by keys and full order; every
+partition (chunk) is scanned on its own and a small carry (one row per key and chunk)
+brings in what came before. Rows that tie in the order may fall into neighbouring chunks,
+so neither equal addresses nor one hot key pile up in a task. The chunk numbers are written
+with the rows, so a recomputed task sees the same chunks as the first run did.
 """
 
 from __future__ import annotations
@@ -16,29 +17,21 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-CHUNK, POS = "_chunk", "_pos_"
-MAX_CHUNKS = 1024
+CHUNK = "_chunk"
+CHUNK_BYTES = 32 << 20
 
 
-def with_chunks(df: DataFrame, position: Column, keys: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
-    """Add ``_chunk`` from quantiles of a DOUBLE position that follows the wanted order.
+def with_chunks(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
+    """Add ``_chunk``: the number of the row's range partition by (keys, ascending ``order``).
 
-    The rows are written once, so neither the split points nor the scans compute the
-    input again. Only the split points (at most MAX_CHUNKS numbers) come to the driver.
-    The exchange on (keys, chunk) is shared by the window and the carry of a scan.
+    The input is written once, so that neither the sample of the range partitioner nor a
+    later scan computes it again, and its written size gives the number of chunks.
     """
-    spark = df.sparkSession
-    n = min(chunks or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_CHUNKS)
-    base = cut_lineage(df.withColumn(POS, position.cast("double")))
-    probs = [i / n for i in range(1, n)]
-    row = base.agg(F.percentile_approx(POS, probs, 10 * n).alias("q")).first() if probs else None
-    splits = sorted(set(row["q"])) if row and row["q"] else []
-    if splits:
-        bounds = F.array(*[F.lit(float(s)) for s in splits])
-        chunk = F.size(F.filter(bounds, lambda b: b <= F.col(POS)))
-    else:
-        chunk = F.lit(0)
-    return base.withColumn(CHUNK, chunk).drop(POS).repartition(*keys, CHUNK)
+    base = cut_lineage(df)
+    size = int(str(base._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = chunks or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // CHUNK_BYTES))
+    ranged = base.repartitionByRange(n, *[F.col(k) for k in keys], *order, F.monotonically_increasing_id())
+    return cut_lineage(ranged.withColumn(CHUNK, F.spark_partition_id()))
 
 
 def scan(df: DataFrame, out: str, value: Column, kind: str, order: Sequence[Column],
@@ -63,8 +56,11 @@ def scan(df: DataFrame, out: str, value: Column, kind: str, order: Sequence[Colu
     carry_fn = F.sum if kind == "count" else fn
     carry = totals.withColumn("_carry", carry_fn(F.col("_total")).over(before)).drop("_total")
 
-    # without keys the carry has at most MAX_CHUNKS rows
-    joined = local.join(F.broadcast(carry), [CHUNK], "left") if not keys else local.join(carry, [*keys, CHUNK], "left")
+    same = F.lit(True)
+    for k in [*keys, CHUNK]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
+    joined = local.join(carry.select(*[F.col(k).alias(f"_c_{k}") for k in [*keys, CHUNK]], "_carry"), same, "left").drop(
+        *[f"_c_{k}" for k in [*keys, CHUNK]])
     a, b = F.col("_local"), F.col("_carry")
     if kind == "max":
         merged = F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.when(a >= b, a).otherwise(b))
@@ -79,8 +75,19 @@ def drop_chunks(df: DataFrame) -> DataFrame:
     return df.drop(CHUNK)
 
 
-def numbered(df: DataFrame, out: str, position: Column, order: Sequence[Column],
-             keys: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, out: str, order: Sequence[Column], keys: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
     """Dense 1-based numbers in ``order`` (per key, or over everything)."""
-    c = with_chunks(df, position, keys, chunks)
+    c = with_chunks(df, order, keys, chunks)
     return drop_chunks(scan(c, out, F.lit(1), "count", order, keys)).withColumn(out, F.col(out).cast("bigint"))
+
+
+def ranked(df: DataFrame, out: str, order: Sequence[Column], keys: Sequence[str], top: int | None = None) -> DataFrame:
+    """Rank of every row within its key; with ``top`` only the first rows of each key.
+
+    A named ``top`` becomes a group limit in each task before the shuffle; without one the ranks
+    come from chunked scans, so a key with very many rows never meets in one task.
+    """
+    if top is None:
+        return numbered(df, out, order, keys)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= top).withColumn(out, F.col(out).cast("bigint"))

@@ -9,28 +9,34 @@ from pyspark.sql import functions as F
 
 from ..functions import ip, paths as P
 from . import consolidate as C
+from . import runs
 from .joins import covering_join, longest_match
 
-CSV_CAP = 100_000
-
 
 # ---- published search tables ------------------------------------------------
 
-def pathsearch_build(pgeo: DataFrame, pathobs: DataFrame, bundle: DataFrame | None,
+def origin_rows(pathobs: DataFrame) -> DataFrame:
+    """One row per (prefix, origin): observations of the prefix, its number of origins, and whether this is the
+    representative one. Everything comes from the (prefix, origin) sums, which shrink in each task."""
+    sums = pathobs.groupBy("pid", "prefix", "family", "origin_asn").agg(F.sum("n_peers").alias("_n"))
+    whole = sums.groupBy("pid").agg(
+        F.sum("_n").alias("n_paths"), F.count("origin_asn").alias("n_origins"),
+        F.min_by("origin_asn", F.when(F.col("origin_asn").isNotNull(), F.struct(-F.col("_n"), F.col("origin_asn")))).alias("_main"))
+    return sums.join(whole, ["pid"]).select("pid", "prefix", "family", "origin_asn", "n_origins", "n_paths",
+                                            F.col("origin_asn").eqNullSafe(F.col("_main")).alias("is_primary"))
+
+
+def pathsearch_build(pgeo: DataFrame, pathobs: DataFrame, totals: DataFrame | None,
                      rpki: DataFrame | None = None, irr: DataFrame | None = None) -> DataFrame:
-    """One row per (prefix, origin) with the status of that origin and the path bundle."""
-    po = pathobs.select("pid", F.col("origin_asn").alias("o_asn")).distinct()
-    p = pgeo.select("pid", "prefix", "family", F.coalesce("cc", F.lit("ZZ")).alias("cc"),
-                    F.col("origin_asn").alias("_main"), "n_origins", "n_paths")
-    d = p.join(po, ["pid"]).withColumn("is_primary", F.col("o_asn").eqNullSafe(F.col("_main")))
-    d = d.withColumnRenamed("o_asn", "origin_asn").drop("_main")
-    d = C.with_status(d, rpki, irr, origin="origin_asn")
-    return d if bundle is None else d.join(bundle, ["pid"], "left")
+    """The published (prefix, origin) rows: place, status of that origin and, if given, the path totals of the prefix."""
+    place = pgeo.select("pid", F.coalesce("cc", F.lit("ZZ")).alias("cc"))
+    d = C.with_status(origin_rows(pathobs).join(place, ["pid"]), rpki, irr, origin="origin_asn")
+    return d if totals is None else d.join(totals, ["pid"], "left")
 
 
 def byorigin_view(pathsearch: DataFrame) -> DataFrame:
-    """The same rows without the bundle: a projection, the scan prunes the column."""
-    return pathsearch.drop("bundle", "observed_peers")
+    """The same rows without the path totals that only a path search needs: a projection, the scan prunes the column."""
+    return pathsearch.drop("observed_peers")
 
 
 # ---- shared tail ------------------------------------------------------------
@@ -42,12 +48,20 @@ def low_vis_filter(df: DataFrame, dfz_ref: DataFrame) -> DataFrame:
     return j.where(F.col("n_paths") >= F.coalesce("_cut", F.lit(3))).drop("_f", "_cut")
 
 
-def search_page(df: DataFrame, order: Sequence[Column], limit: int = 500, page: int = 0) -> DataFrame:
-    """Top-n page with ``pos`` and a ``more`` flag; only limit+1 rows are ever ordered whole."""
-    rows = df.orderBy(*order).offset(page * limit).limit(limit + 1)
-    w = Window.partitionBy().orderBy(*order)
-    return (rows.withColumn("pos", F.row_number().over(w).cast("bigint"))
-            .withColumn("more", F.count("*").over(Window.partitionBy()) > limit).where(F.col("pos") <= limit))
+def search_page(df: DataFrame, order: Sequence[Column], limit: int, page: int = 0) -> DataFrame:
+    """One page of ``limit`` rows with ``pos`` and a ``more`` flag.
+
+    The first page is a top-n. Deeper pages number the rows by range partitions and take a stretch, so no task
+    gathers the rows before the page.
+    """
+    if page == 0:
+        rows = df.orderBy(*order).limit(limit + 1)
+        rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy().orderBy(*order)).cast("bigint"))
+    else:
+        first = page * limit
+        rows = runs.numbered(df, "pos", order).where(F.col("pos").between(first + 1, first + limit + 1)).withColumn("pos", F.col("pos") - first)
+    # at most limit + 1 rows from here on
+    return rows.withColumn("more", F.count("*").over(Window.partitionBy()) > limit).where(F.col("pos") <= limit)
 
 
 def search_sort(df: DataFrame, col: str, descending: bool = True) -> DataFrame:
@@ -70,17 +84,12 @@ def path_prefilter(top_paths: DataFrame, query: str) -> DataFrame:
     return top_paths.where(P.path_query_parse(query).include_cond(F.col("path_str"))).select("pid").distinct()
 
 
-def _bundle_matched(query: P.PathQuery) -> Column:
-    hits = F.filter("bundle", lambda x: query.cond(x["path_str"]))
-    return F.aggregate(hits, F.lit(0).cast("bigint"), lambda a, x: a + x["n_peers"])
-
+def search_path(rows: DataFrame, all_paths: DataFrame, query: str, *, origins: Sequence[int] | None = None, cc: str | None = None) -> DataFrame:
+    """AS-path search over (prefix, origin) rows and path rows.
 
-def search_path(rows: DataFrame, query: str, *, origins: Sequence[int] | None = None, cc: str | None = None) -> DataFrame:
-    """AS-path search over rows that carry a bundle: no shuffle, one pass per row.
-
-    A global search keeps one row per prefix (``is_primary``). Order with ``path_order``.
+    The paths are filtered and summed per prefix first (a partial aggregate), so only prefixes with a match meet
+    their rows. A global search keeps one row per prefix (``is_primary``). Order with ``path_order``.
     """
-    q = P.path_query_parse(query)
     d = rows
     if cc is not None:
         d = d.where(F.col("cc") == cc)
@@ -88,27 +97,29 @@ def search_path(rows: DataFrame, query: str, *, origins: Sequence[int] | None =
         d = d.where(F.col("origin_asn").isin(*origins))
     elif "is_primary" in d.columns:
         d = d.where("is_primary")
-    if q.include:
-        d = d.where(F.exists("bundle", lambda x: q.include_cond(x["path_str"])))
-    d = d.withColumn("matched_peers", _bundle_matched(q)).where("matched_peers > 0")
-    return (d.withColumn("match_ratio", P.match_ratio("matched_peers", "observed_peers"))
-            .withColumn("dominant", P.match_dominant("matched_peers", "observed_peers")).drop("bundle"))
+    hits = matched_peers(all_paths, query).where("matched_peers > 0")
+    return (d.drop("observed_peers").join(hits, ["pid"])
+            .withColumn("match_ratio", P.match_ratio("matched_peers", "observed_peers"))
+            .withColumn("dominant", P.match_dominant("matched_peers", "observed_peers")))
 
 
 def path_order() -> list[Column]:
     return [F.desc("match_ratio"), F.desc("matched_peers"), F.desc("n_paths"), F.asc("pid")]
 
 
-def search_path_unweighted(rows: DataFrame, query: str) -> DataFrame:
-    """Without weights: include on any path, no path with an excluded AS, best-path hits flagged."""
+def search_path_unweighted(rows: DataFrame, all_paths: DataFrame, query: str) -> DataFrame:
+    """Without weights: include on any path, no path with an excluded AS, hits on the best path flagged."""
     q = P.path_query_parse(query)
     d = rows.where("is_primary") if "is_primary" in rows.columns else rows
-    if q.include:
-        d = d.where(F.exists("bundle", lambda x: q.include_cond(x["path_str"])))
+    path = F.col("path_str")
+    include = q.include_cond(path) if q.include else F.lit(True)
+    barred = F.lit(False)
     for a in q.excludes:
-        d = d.where(~F.exists("bundle", lambda x: x["path_str"].contains(f" {a} ")))
-    best = q.include_cond(F.col("best_path")) if q.include else F.lit(False)
-    return d.withColumn("best_hit", F.coalesce(best, F.lit(False))).drop("bundle")
+        barred = barred | path.contains(f" {a} ")
+    hits = all_paths.groupBy("pid").agg(
+        F.bool_or(include).alias("_in"), F.bool_or(barred).alias("_out"),
+        F.bool_or(F.col("is_best") & (include if q.include else F.lit(False))).alias("best_hit")).where("_in AND NOT _out")
+    return d.join(hits.drop("_in", "_out"), ["pid"])
 
 
 # ---- filters by key ---------------------------------------------------------
@@ -178,20 +189,18 @@ def dns_enrich(answers: DataFrame, prefixes: DataFrame, type_codes: dict[str, in
     return ip_enrich(d.withColumn("_ip", addr), prefixes, point="_ip").drop("_ip")
 
 
-def prefix_relatives(prefix: DataFrame, up: int = 12, down: int = 64) -> DataFrame:
+def prefix_relatives(prefix: DataFrame, up: int | None = None, down: int | None = None) -> DataFrame:
     """(pid, side, pos, rel_pid, rel_prefix): enclosing prefixes narrowest first, contained by start.
 
-    Both rankings limit their groups before the shuffle, so a very wide prefix never
-    gathers all of its contents in one task.
+    All of them, or the first ``up`` and ``down``; either way a very wide prefix never gathers
+    all of its contents in one task.
     """
     p = prefix.select("pid", "ip_start", "plen")
     r = prefix.select("pid", "prefix", "ip_start", "plen")
     pairs = covering_join(p, r, strict=True, right_cols={"pid": "a_pid", "plen": "a_plen", "prefix": "a_prefix"})
-    w_up = Window.partitionBy("pid").orderBy(F.desc("a_plen"))
-    sup = pairs.withColumn("pos", F.row_number().over(w_up)).where(F.col("pos") <= up).select(
+    sup = runs.ranked(pairs, "pos", [F.desc("a_plen")], ["pid"], up).select(
         "pid", F.lit("sup").alias("side"), "pos", F.col("a_pid").alias("rel_pid"))
-    w_down = Window.partitionBy("a_pid").orderBy("ip_start", "plen")
-    sub = pairs.withColumn("pos", F.row_number().over(w_down)).where(F.col("pos") <= down).select(
+    sub = runs.ranked(pairs, "pos", [F.col("ip_start"), F.col("plen")], ["a_pid"], down).select(
         F.col("a_pid").alias("pid"), F.lit("sub").alias("side"), "pos", F.col("pid").alias("rel_pid"))
     names = prefix.select(F.col("pid").alias("rel_pid"), F.col("prefix").alias("rel_prefix"))
     return sup.unionByName(sub).join(names, ["rel_pid"]).withColumn("pos", F.col("pos").cast("bigint"))
@@ -237,11 +246,9 @@ def probe_report(points: DataFrame, prefixes: DataFrame, top_paths: DataFrame, u
 
 
 def asn_overview(byorigin: DataFrame, counts: DataFrame, names: DataFrame, relations: DataFrame,
-                 member_of: DataFrame | None = None, networks: DataFrame | None = None, top: int = 400) -> DataFrame:
+                 member_of: DataFrame | None = None, networks: DataFrame | None = None, top: int | None = None) -> DataFrame:
     """One nested row per origin: counts, names, top prefixes, relations, memberships."""
-    w = Window.partitionBy("origin_asn").orderBy(F.desc("n_paths"), "pid")
-    best = byorigin.select("origin_asn", "pid", "prefix", "n_paths").withColumn(
-        "_rn", F.row_number().over(w)).where(F.col("_rn") <= top)
+    best = runs.ranked(byorigin.select("origin_asn", "pid", "prefix", "n_paths"), "_rn", [F.desc("n_paths"), F.col("pid")], ["origin_asn"], top)
     pl = _listed(best, "origin_asn", F.col("_rn"), F.col("prefix"), "prefixes").withColumnRenamed("origin_asn", "asn")
     rel = relations.groupBy("asn").agg(*[F.count_if(F.col("rel") == r).alias(f"n_{r}") for r in ("up", "peer", "down")])
     d = (counts.withColumnRenamed("origin_asn", "asn").join(names, ["asn"], "left").join(pl, ["asn"], "left")
@@ -257,9 +264,10 @@ def asn_overview(byorigin: DataFrame, counts: DataFrame, names: DataFrame, relat
 
 # ---- export -----------------------------------------------------------------
 
-def export_rows(df: DataFrame, order: Sequence[Column], cols: dict[str, Column], cap: int = CSV_CAP) -> DataFrame:
-    """Chosen and derived columns of a search, the first ``cap`` rows in order."""
-    return df.orderBy(*order).limit(cap).select(*[c.alias(n) for n, c in cols.items()])
+def export_rows(df: DataFrame, order: Sequence[Column], cols: dict[str, Column], cap: int | None = None) -> DataFrame:
+    """Chosen and derived columns of a search in order, all rows or the first ``cap``."""
+    ordered = df.orderBy(*order)
+    return (ordered if cap is None else ordered.limit(cap)).select(*[c.alias(n) for n, c in cols.items()])
 
 
 def match_share_text() -> Column:

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import runs
 
 # Registries in order of trust, for resolving and for picking a set.
 RESOLVE_ORDER = ("RIPE", "APNIC", "ARIN", "AFRINIC", "LACNIC", "RIPE-NONAUTH", "RADB")
 PICK_ORDER = (*RESOLVE_ORDER, "DN42")
-MAX_DEPTH = 24
 
 
 def _rank(source: str, order: Sequence[str]):
@@ -32,7 +33,7 @@ def as_set_extract(objects: DataFrame, default_source: str = "") -> DataFrame:
     src = F.upper(cut(first("source")))
     rows = o.select("obj_no", F.upper(cut(first("as-set"))).alias("name"),
                     F.coalesce(F.nullif(src, F.lit("")), F.lit(default_source)).alias("source"),
-                    F.substring(F.coalesce(first("descr"), F.lit("")), 1, 200).alias("descr"), members.alias("members"))
+                    F.coalesce(first("descr"), F.lit("")).alias("descr"), members.alias("members"))
     return rows.where("name <> ''").groupBy("name", "source").agg(
         F.max_by(F.struct("descr", "members"), "obj_no").alias("b")).select("name", "source", "b.*")
 
@@ -50,11 +51,10 @@ def as_set_resolve(sets: DataFrame, order: Sequence[str] = RESOLVE_ORDER) -> tup
     return directory, edges
 
 
-def as_set_reverse(edges: DataFrame, cap: int = 500) -> DataFrame:
-    """member -> parents, distinct and sorted, at most ``cap`` each."""
-    w = Window.partitionBy("member").orderBy("parent_key")
+def as_set_reverse(edges: DataFrame, cap: int | None = None) -> DataFrame:
+    """member -> parents, distinct and numbered in order, all or the first ``cap`` of each."""
     d = edges.select(F.col("val").alias("member"), F.col("set_key").alias("parent_key")).distinct()
-    return d.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= cap).withColumn("pos", F.col("pos").cast("bigint"))
+    return runs.ranked(d, "pos", [F.col("parent_key")], ["member"], cap)
 
 
 def as_set_pick(sets: DataFrame, order: Sequence[str] = PICK_ORDER) -> DataFrame:
@@ -63,53 +63,50 @@ def as_set_pick(sets: DataFrame, order: Sequence[str] = PICK_ORDER) -> DataFrame
     return sets.groupBy("name").agg(F.min_by(F.struct("set_key", "source", "n_members"), rank).alias("b")).select("name", "b.*")
 
 
-def as_set_expand(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH, cut_every: int = 4) -> DataFrame:
+def as_set_expand(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Tree below every root -> (root, path, depth, kind, val, cycle, unresolved).
 
-    One join per level against the edge list; a set that is its own ancestor is marked
-    and not opened again. The frontier is checkpointed every few levels.
+    One join per level against the edge list; a set that is its own ancestor is marked and not
+    opened again, which ends the loop at any depth. Every level is written once. The tree lists
+    each path, so name the roots that are to be shown.
     """
     known = edges.select(F.col("set_key").alias("val")).distinct().withColumn("_known", F.lit(True))
     front = roots.select(F.col("set_key").alias("root"), F.col("set_key").alias("val"), F.array("set_key").alias("path"))
-    levels: DataFrame | None = None
-    for depth in range(1, max_depth + 1):
+    levels: list[DataFrame] = []
+    while not levels or not front.isEmpty():
         kids = front.select("root", F.col("val").alias("set_key"), "path").join(
             edges.select("set_key", "kind", F.col("val").alias("kid")), ["set_key"])
         cycle = (F.col("kind") == "set") & F.array_contains("path", F.col("kid"))
-        lvl = kids.select("root", F.array_append("path", F.col("kid")).alias("path"), F.lit(depth).alias("depth"), "kind",
-                          F.col("kid").alias("val"), cycle.alias("cycle"))
-        if depth % cut_every == 0:
-            lvl = cut_lineage(lvl)
-        levels = lvl if levels is None else levels.unionByName(lvl)
-        front = lvl.where((F.col("kind") == "set") & ~F.col("cycle")).select("root", "val", "path")
-        if front.isEmpty():
-            break
-    out = levels.join(known, ["val"], "left")
+        levels.append(cut_lineage(kids.select("root", F.array_append("path", F.col("kid")).alias("path"), F.lit(len(levels) + 1).alias("depth"),
+                                              "kind", F.col("kid").alias("val"), cycle.alias("cycle"))))
+        front = levels[-1].where((F.col("kind") == "set") & ~F.col("cycle")).select("root", "val", "path")
+    out = reduce(DataFrame.unionByName, levels).join(known, ["val"], "left")
     return out.withColumn("unresolved", (F.col("kind") == "set") & F.col("_known").isNull()).drop("_known")
 
 
-def as_set_cone(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Distinct ASNs reachable from each root (cone size). Breadth-first with a visited set,
-    so the work follows the number of (root, set) pairs, not the number of paths."""
+def as_set_cone(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct ASNs reachable from each root (cone size), at any depth.
+
+    Breadth-first with a visited set, so the work follows the number of (root, set) pairs. Each
+    round writes only its new frontier; the visited set is the union of the frontiers.
+    """
     links = edges.where("kind = 'set'").select(F.col("set_key"), F.col("val").alias("kid"))
-    seen = front = cut_lineage(roots.select(F.col("set_key").alias("root"), F.col("set_key").alias("val")).distinct())
-    for _ in range(max_depth):
-        step = front.select("root", F.col("val").alias("set_key")).join(links, ["set_key"]).select(
+    levels = [cut_lineage(roots.select(F.col("set_key").alias("root"), F.col("set_key").alias("val")).distinct())]
+    while not levels[-1].isEmpty():
+        step = levels[-1].select("root", F.col("val").alias("set_key")).join(links, ["set_key"]).select(
             "root", F.col("kid").alias("val")).distinct()
-        front = cut_lineage(step.join(seen, ["root", "val"], "left_anti"))
-        if front.isEmpty():
-            break
-        seen = cut_lineage(seen.unionByName(front))
+        levels.append(cut_lineage(step.join(reduce(DataFrame.unionByName, levels), ["root", "val"], "left_anti")))
     asns = edges.where("kind = 'asn'").select(F.col("set_key").alias("val"), F.col("val").alias("asn"))
-    return seen.join(asns, ["val"]).select("root", "asn").distinct().groupBy("root").agg(F.count("*").alias("n_asns"))
+    return reduce(DataFrame.unionByName, levels).join(asns, ["val"]).select("root", "asn").distinct().groupBy("root").agg(
+        F.count("*").alias("n_asns"))
 
 
-def as_set_sample(sets: DataFrame, edges: DataFrame, members: int = 20, descr_len: int = 160) -> DataFrame:
-    """Directory rows with the first members (rank filter before the lists are built)."""
-    w = Window.partitionBy("set_key").orderBy("ord", "val")
-    first = edges.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= members)
+def as_set_sample(sets: DataFrame, edges: DataFrame, members: int, descr_len: int | None = None) -> DataFrame:
+    """Directory rows with their first ``members`` members (rank filter before the lists are built)."""
+    first = runs.ranked(edges, "_rn", [F.col("ord"), F.col("val")], ["set_key"], members)
     lists = first.groupBy("set_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "val"))), lambda x: x["val"]).alias("members"))
-    return sets.join(lists, ["set_key"], "left").withColumn("descr", F.substring("descr", 1, descr_len))
+    out = sets.join(lists, ["set_key"], "left")
+    return out if descr_len is None else out.withColumn("descr", F.substring("descr", 1, descr_len))
 
 
 def as_set_tokens(df: DataFrame, col: str) -> DataFrame:

@@ -231,9 +231,9 @@ _SEG_BLOCKS = f"""SELECT pid, cc, city, province, b, 32 - k AS plen, row_number(
   SELECT *, CAST(ceil(s / sz) AS BIGINT) * sz AS f, CAST(floor((e + 1) / sz) AS BIGINT) * sz - sz AS l FROM (
     SELECT *, CAST(power(2, k) AS BIGINT) AS sz FROM ({_SEG_MERGED}) m, (SELECT unnest(range(0, 33)) AS k) ks) a) b0
   WHERE l >= f) c WHERE NOT (b - b % (2 * sz) >= s AND b - b % (2 * sz) + 2 * sz - 1 <= e)"""
-_SEG = f"""SELECT x.pid, x.cc, x.province, nullif(x.city, '') AS city, x.segs, p.plen, p.origin_asn, p.n_paths FROM (
-  SELECT pid, cc, city, max(province) AS province, string_agg((b // 16777216) || '.' || (b // 65536 % 256) || '.' || (b // 256 % 256) || '.' || (b % 256) || '/' || plen, ' ' ORDER BY b) AS segs
-  FROM ({_SEG_BLOCKS}) y WHERE rn <= 48 GROUP BY pid, cc, city) x JOIN o_prefix p ON p.pid = x.pid"""
+_SEG = f"""SELECT x.pid, x.cc, x.province, nullif(x.city, '') AS city, x.part, x.segs, p.plen, p.origin_asn, p.n_paths FROM (
+  SELECT pid, cc, city, CAST(ceil(rn / 1024.0) AS BIGINT) AS part, max(province) AS province, string_agg((b // 16777216) || '.' || (b // 65536 % 256) || '.' || (b // 256 % 256) || '.' || (b % 256) || '/' || plen, ' ' ORDER BY b) AS segs
+  FROM ({_SEG_BLOCKS}) y GROUP BY pid, cc, city, ceil(rn / 1024.0)) x JOIN o_prefix p ON p.pid = x.pid"""
 
 
 @query("geo_segments", _SEG)
@@ -243,16 +243,16 @@ def geo_segments(t):
 
 def working_set(t):
     p = prefix(t)
-    return G.geo_working_set(segments(t), p, C.path_bundle(top_paths(t)), rpki(t), irr(t))
+    return G.geo_working_set(segments(t), p, C.path_totals(top_paths(t)), rpki(t), irr(t))
 
 
-_WORK = f"""SELECT s.*, p.prefix, p.n_origins, coalesce(r.rpki, 0) AS rpki, coalesce(i.irr, 0) AS irr, b.bundle, b.observed_peers, b.best_path FROM ({_SEG}) s
-  JOIN o_prefix p ON p.pid = s.pid LEFT JOIN o_bundle b ON b.pid = s.pid LEFT JOIN o_rpki r ON r.pid = s.pid AND r.origin = s.origin_asn LEFT JOIN o_irr i ON i.pid = s.pid AND i.origin = s.origin_asn"""
+_WORK = f"""SELECT s.*, p.prefix, p.n_origins, coalesce(r.rpki, 0) AS rpki, coalesce(i.irr, 0) AS irr, b.observed_peers, b.best_path FROM ({_SEG}) s
+  JOIN o_prefix p ON p.pid = s.pid LEFT JOIN o_totals b ON b.pid = s.pid LEFT JOIN o_rpki r ON r.pid = s.pid AND r.origin = s.origin_asn LEFT JOIN o_irr i ON i.pid = s.pid AND i.origin = s.origin_asn"""
 
 
 @query("geo_working_set", _WORK, shared=True)
 def geo_working_set(t):
-    return working_set(t).withColumn("segs", F.array_join("segs", " ")).withColumn("bundle", C.bundle_text("bundle"))
+    return working_set(t).withColumn("segs", F.array_join("segs", " "))
 
 
 @query("country_counts", "SELECT cc, count(*) AS n_prefix FROM o_pgeo WHERE cc IS NOT NULL GROUP BY cc")
@@ -385,11 +385,11 @@ def place_label(t):
   SELECT asn, min(CASE WHEN lower(name) = '1' THEN 0 WHEN starts_with(lower(name), '1') THEN 1 WHEN regexp_matches(lower(name), '^[^1]*[^0-9a-z_1]1') THEN 1 ELSE 2 END) AS rank
   FROM fx_asn_name WHERE strpos(lower(name), '1') > 0 GROUP BY asn) a) b WHERE pos <= 200""")
 def asn_name_search(t):
-    return X.asn_name_search(t["fx_asn_name"], "1")
+    return X.asn_name_search(t["fx_asn_name"], "1", cap=200)
 
 
 @query("ix_name_search", """SELECT ix_id, name, net_count FROM (SELECT i.*, (SELECT count(DISTINCT asn) FROM fx_pdb_netixlan n WHERE n.ix_id = i.ix_id) AS net_count FROM fx_pdb_ix i) x
   WHERE strpos(lower(name || ' ' || city || ' ' || country), 'city1') > 0 ORDER BY net_count DESC, name LIMIT 6""")
 def ix_name_search(t):
     from .queries_sets import pdb_ix
-    return X.ix_name_search(pdb_ix(t), "City1", cols=("name", "city", "country")).select("ix_id", "name", "net_count")
+    return X.ix_name_search(pdb_ix(t), "City1", limit=6, cols=("name", "city", "country")).select("ix_id", "name", "net_count")

@@ -49,7 +49,7 @@ def _topk(cap):
   path_len, n_peers, rn = 1 AS is_best FROM o_ranked WHERE rn <= {cap}"""
 
 
-@query("paths_topk", _topk(128))
+@query("paths_topk", _topk(1_000_000_000))
 def paths_topk(t):
     return top_paths(t).select("pid", "path_str", P.path_text("path_arr_raw").alias("raw_text"), "path_len", "n_peers", "is_best")
 
@@ -60,9 +60,9 @@ def paths_topk_small_cap(t):
         "pid", "path_str", P.path_text("path_arr_raw").alias("raw_text"), "path_len", "n_peers", "is_best")
 
 
-@query("path_bundle", "SELECT pid, bundle, observed_peers, best_path FROM o_bundle")
+@query("path_bundle", "SELECT pid, part, bundle FROM o_bundle")
 def path_bundle(t):
-    return C.path_bundle(top_paths(t)).select("pid", C.bundle_text("bundle").alias("bundle"), "observed_peers", "best_path")
+    return C.path_bundle(top_paths(t)).select("pid", "part", C.bundle_text("bundle").alias("bundle"))
 
 
 @query("route_origin", "SELECT DISTINCT pid, origin_asn AS origin, ip_start, plen FROM o_pathobs")
@@ -219,7 +219,7 @@ def tier1_transit(t):
 
 
 @query("upstream_summary", """SELECT pid, asn, n, CAST(r AS BIGINT) AS pos FROM (SELECT pid, asn, n, row_number() OVER (PARTITION BY pid ORDER BY n DESC, asn) AS r FROM (
-  SELECT pid, path_arr[-2] AS asn, count(*) AS n FROM o_paths GROUP BY ALL) a) b WHERE r <= 6""")
+  SELECT pid, path_arr[-2] AS asn, count(*) AS n FROM o_paths GROUP BY ALL) a) b""")
 def upstream_summary(t):
     from ..operators import relations as R
     return R.upstream_summary(top_paths(t))
@@ -234,7 +234,7 @@ _DIR = f"""SELECT cc, asn, total, row_number() OVER (PARTITION BY cc ORDER BY to
 
 @query("top_prefixes_per_asn", """SELECT origin_asn, prefix, cc, n_paths, CAST(origin_asn % 256 AS INTEGER) AS bucket, r AS pos FROM (
   SELECT *, row_number() OVER (PARTITION BY origin_asn ORDER BY n_paths DESC, prefix) AS r FROM (
-    SELECT DISTINCT o.origin_asn, p.prefix, coalesce(p.cc, 'ZZ') AS cc, p.n_paths FROM o_pathobs o JOIN o_pgeo p ON p.pid = o.pid) x) y WHERE r <= 100""")
+    SELECT DISTINCT o.origin_asn, p.prefix, coalesce(p.cc, 'ZZ') AS cc, p.n_paths FROM o_pathobs o JOIN o_pgeo p ON p.pid = o.pid) x) y""")
 def top_prefixes_per_asn(t):
     from .queries_search import byorigin
     return N.top_prefixes_per_asn(byorigin(t))

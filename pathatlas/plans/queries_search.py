@@ -15,11 +15,11 @@ from .queries_geo import _WORK, irr, pgeo, rpki, v6, working_set
 
 
 def pathsearch(t):
-    return S.pathsearch_build(pgeo(t), pathobs(t), C.path_bundle(top_paths(t)), rpki(t), irr(t))
+    return S.pathsearch_build(pgeo(t), pathobs(t), C.path_totals(top_paths(t)), rpki(t), irr(t))
 
 
 def byorigin(t):
-    """The slim rows: built without the bundle, as column pruning would."""
+    """The slim rows: built without the path totals, as column pruning would."""
     return S.pathsearch_build(pgeo(t), pathobs(t), None, rpki(t), irr(t))
 
 
@@ -69,9 +69,9 @@ def relation_evidence(t):
 _PS = "pid, prefix, cc, origin_asn, n_origins, n_paths, is_primary, rpki, irr"
 
 
-@query("pathsearch_build", f"SELECT {_PS}, bundle, observed_peers, best_path FROM o_pathsearch", shared=True)
+@query("pathsearch_build", f"SELECT {_PS}, observed_peers, best_path FROM o_pathsearch", shared=True)
 def pathsearch_build(t):
-    return pathsearch(t).withColumn("bundle", C.bundle_text("bundle")).drop("family")
+    return pathsearch(t).drop("family")
 
 
 @query("byorigin_view", f"SELECT {_PS}, best_path FROM o_pathsearch", shared=True)
@@ -110,29 +110,29 @@ _COLS = ("pid", "prefix", "origin_asn", "n_paths", "matched_peers", "observed_pe
 
 @query("search_path", _search_path_sql("list_contains(path_arr, 1299)", "s.is_primary"), shared=True)
 def search_path(t):
-    return S.search_path(pathsearch(t), "1299").select(*_COLS)
+    return S.search_path(S.origin_rows(pathobs(t)), top_paths(t), "1299").select(*_COLS)
 
 
 @query("search_path_pattern", _search_path_sql("path_arr[1] = 101 AND list_contains(path_arr, 64510) AND NOT list_contains(path_arr, 174)", "s.is_primary"), shared=True)
 def search_path_pattern(t):
-    return S.search_path(pathsearch(t), "101 * 64510 !174").select(*_COLS)
+    return S.search_path(S.origin_rows(pathobs(t)), top_paths(t), "101 * 64510 !174").select(*_COLS)
 
 
 @query("search_path_in_origin", _search_path_sql("list_contains(path_arr, 6939)", "s.origin_asn = 64520"), shared=True)
 def search_path_in_origin(t):
-    return S.search_path(pathsearch(t), "6939", origins=[64520]).select(*_COLS)
+    return S.search_path(S.origin_rows(pathobs(t)), top_paths(t), "6939", origins=[64520]).select(*_COLS)
 
 
 @query("search_path_unweighted", """SELECT s.pid, s.n_paths, list_contains(string_split(trim(s.best_path), ' '), '1299') AS best_hit FROM o_pathsearch s WHERE s.is_primary
   AND EXISTS (SELECT 1 FROM o_paths p WHERE p.pid = s.pid AND list_contains(p.path_arr, 1299)) AND NOT EXISTS (SELECT 1 FROM o_paths p WHERE p.pid = s.pid AND list_contains(p.path_arr, 174))""", shared=True)
 def search_path_unweighted(t):
-    return S.search_path_unweighted(pathsearch(t), "1299 !174").select("pid", "n_paths", "best_hit")
+    return S.search_path_unweighted(S.origin_rows(pathobs(t)), top_paths(t), "1299 !174").select("pid", "n_paths", "best_hit")
 
 
 @query("search_common", f"""SELECT pid, n_paths, pos, n > 100 AS more FROM (SELECT pid, n_paths, r - 100 AS pos, (SELECT count(*) FROM ({_search_path_sql("list_contains(path_arr, 1299)", "s.is_primary")}) q JOIN o_dfz d ON q.n_paths >= ceil(greatest(3.0, 0.2 * d.dfz_ref))) - 100 AS n FROM (
   SELECT q.*, row_number() OVER (ORDER BY match_ratio DESC, matched_peers DESC, q.n_paths DESC, pid) AS r FROM ({_search_path_sql("list_contains(path_arr, 1299)", "s.is_primary")}) q JOIN o_dfz d ON q.n_paths >= ceil(greatest(3.0, 0.2 * d.dfz_ref))) x WHERE r BETWEEN 101 AND 200) y""", shared=True)
 def search_common(t):
-    hits = S.low_vis_filter(S.search_path(pathsearch(t), "1299"), C.dfz_ref(prefix(t)))
+    hits = S.low_vis_filter(S.search_path(S.origin_rows(pathobs(t)), top_paths(t), "1299"), C.dfz_ref(prefix(t)))
     return S.search_page(hits, S.path_order(), limit=100, page=1).select("pid", "n_paths", "pos", "more")
 
 
@@ -196,7 +196,7 @@ _RELATIVES = """SELECT pid, side, pos, rel_pid, rel_prefix FROM (
   SELECT c.pk AS pid, 'sup' AS side, row_number() OVER (PARTITION BY c.pk ORDER BY p.plen DESC) AS pos, p.pk AS rel_pid, p.prefix AS rel_prefix FROM fx_prefix c
     JOIN fx_prefix p ON p.ip_start <= c.ip_start AND p.ip_end >= c.ip_end AND p.pk <> c.pk
   UNION ALL SELECT p.pk, 'sub', row_number() OVER (PARTITION BY p.pk ORDER BY c.ip_start, c.plen), c.pk, c.prefix FROM fx_prefix c
-    JOIN fx_prefix p ON p.ip_start <= c.ip_start AND p.ip_end >= c.ip_end AND p.pk <> c.pk) x WHERE pos <= CASE side WHEN 'sup' THEN 12 ELSE 64 END"""
+    JOIN fx_prefix p ON p.ip_start <= c.ip_start AND p.ip_end >= c.ip_end AND p.pk <> c.pk) x"""
 
 
 def relatives(t):
@@ -237,7 +237,7 @@ def probe_report(t):
 @query("asn_overview", f"""SELECT o.asn, o.n_v4, n.name, l.prefixes, coalesce(r.up, 0) AS n_up, coalesce(r.peer, 0) AS n_peer, coalesce(r.down, 0) AS n_down, m.sets AS member_of, b.name AS pdb_name
   FROM (SELECT origin_asn AS asn, count(DISTINCT pid) AS n_v4 FROM o_pathobs GROUP BY origin_asn) o
   LEFT JOIN (SELECT asn, name FROM fx_asn_name WHERE kind = 'handle') n ON n.asn = o.asn
-  LEFT JOIN (SELECT origin_asn, string_agg(prefix, ' ' ORDER BY n_paths DESC, pid) AS prefixes FROM (SELECT *, row_number() OVER (PARTITION BY origin_asn ORDER BY n_paths DESC, pid) AS k FROM o_pathsearch) x WHERE k <= 400 GROUP BY origin_asn) l ON l.origin_asn = o.asn
+  LEFT JOIN (SELECT origin_asn, string_agg(prefix, ' ' ORDER BY n_paths DESC, pid) AS prefixes FROM (SELECT *, row_number() OVER (PARTITION BY origin_asn ORDER BY n_paths DESC, pid) AS k FROM o_pathsearch) x GROUP BY origin_asn) l ON l.origin_asn = o.asn
   LEFT JOIN (SELECT asn, count(*) FILTER (WHERE rel = 'up') AS up, count(*) FILTER (WHERE rel = 'peer') AS peer, count(*) FILTER (WHERE rel = 'down') AS down FROM ({_REL}) q GROUP BY asn) r ON r.asn = o.asn
   LEFT JOIN (SELECT val, string_agg(DISTINCT set_key, ' ' ORDER BY set_key) AS sets FROM fx_as_member GROUP BY val) m ON m.val = 'AS' || o.asn
   LEFT JOIN fx_pdb_net b ON b.asn = o.asn""", shared=True)
@@ -254,5 +254,5 @@ def asn_overview(t):
 
 @query("sink_csv", f"""SELECT prefix, origin_asn, printf('%.2f', round(100.0 * matched_peers / observed_peers, 2)) || '%' AS share FROM ({_search_path_sql("list_contains(path_arr, 1299)", "s.is_primary")}) q""", shared=True)
 def sink_csv(t):
-    hits = S.search_path(pathsearch(t), "1299")
+    hits = S.search_path(S.origin_rows(pathobs(t)), top_paths(t), "1299")
     return S.export_rows(hits, S.path_order(), {"prefix": F.col("prefix"), "origin_asn": F.col("origin_asn"), "share": S.match_share_text()})

@@ -61,7 +61,7 @@ def as_set_pick(t):
 
 _EXPAND = """WITH RECURSIVE walk AS (SELECT DISTINCT set_key AS root, set_key AS val, [set_key] AS path, 0 AS depth, 'set' AS kind, FALSE AS cycle FROM fx_as_member
   UNION ALL SELECT w.root, m.val, list_append(w.path, m.val), w.depth + 1, m.kind, m.kind = 'set' AND list_contains(w.path, m.val)
-  FROM walk w JOIN fx_as_member m ON m.set_key = w.val WHERE w.kind = 'set' AND NOT w.cycle AND w.depth < 24)"""
+  FROM walk w JOIN fx_as_member m ON m.set_key = w.val WHERE w.kind = 'set' AND NOT w.cycle)"""
 
 
 def _recursive(body: str) -> str:

@@ -299,7 +299,7 @@ def trace_places(t):
     return M.trace_places(t.sql(_PLACES), ["trace_id"]).select("trace_id", "pos", "place")
 
 
-_PING = """SELECT probe, round(min(min_rtt), 3) AS min_rtt, round(max(max_rtt), 3) AS max_rtt, round(sum(avg_rtt * rcv) / sum(rcv), 3) AS avg_rtt, CAST(sum(rcv) AS BIGINT) AS rcv, CAST(sum(total) AS BIGINT) AS total,
+_PING = """SELECT probe, round(min(min_rtt), 3) AS min_rtt, round(max(max_rtt), 3) AS max_rtt, CASE WHEN sum(rcv) > 0 THEN CAST((2 * sum(CAST(round(avg_rtt * 1000000) AS BIGINT) * rcv) + 1000 * sum(rcv)) // (2000 * sum(rcv)) AS BIGINT) / 1000.0 ELSE 0.0 END::DOUBLE AS avg_rtt, CAST(sum(rcv) AS BIGINT) AS rcv, CAST(sum(total) AS BIGINT) AS total, CAST(sum(total) - sum(rcv) AS BIGINT) AS drop,
   round((1 - sum(rcv) / sum(total)::DOUBLE) * 100, 3) AS loss FROM fx_ping_rounds GROUP BY probe"""
 
 
@@ -316,14 +316,14 @@ _NETS = f"""SELECT country, city, network, asn, count(*) AS k, row_number() OVER
 @query("probe_locations", f"""SELECT l.*, s.nets FROM ({_LOCS}) l JOIN (SELECT country, city, string_agg(network || ':' || k, ' ' ORDER BY r) AS nets FROM ({_NETS}) x WHERE r <= 12 GROUP BY country, city) s ON s.country = l.cc AND s.city = l.city""")
 def probe_locations(t):
     nets = F.array_join(F.transform("networks", lambda x: F.concat_ws(":", x["name"], x["n"].cast("string"))), " ")
-    return M.probe_locations(t.sql(_PROBES)).select("cc", "city", "n", F.round("lat", 6).alias("lat"), nets.alias("nets"))
+    return M.probe_locations(t.sql(_PROBES), networks=12).select("cc", "city", "n", F.round("lat", 6).alias("lat"), nets.alias("nets"))
 
 
 @query("probe_suggest", f"""SELECT * FROM (SELECT 'city' AS kind, city AS label, CAST(NULL AS BIGINT) AS asn, n FROM ({_LOCS}) l WHERE strpos(lower(city || ' ' || cc), '1') > 0 ORDER BY n DESC, cc, city LIMIT 6) a
   UNION ALL SELECT * FROM (SELECT 'country', cc, CAST(NULL AS BIGINT), CAST(sum(n) AS BIGINT) AS n FROM ({_LOCS}) l WHERE strpos(lower(cc), '1') > 0 GROUP BY cc ORDER BY n DESC, cc LIMIT 4) b
-  UNION ALL SELECT * FROM (SELECT 'network', min(network), asn, CAST(sum(k) AS BIGINT) AS n FROM ({_NETS}) x WHERE r <= 12 AND (strpos(lower(network), '1') > 0 OR strpos('as' || asn, '1') > 0) GROUP BY asn ORDER BY n DESC, asn LIMIT 5) c""")
+  UNION ALL SELECT * FROM (SELECT 'network', min(network), asn, CAST(sum(k) AS BIGINT) AS n FROM ({_NETS}) x WHERE (strpos(lower(network), '1') > 0 OR strpos('as' || asn, '1') > 0) GROUP BY asn ORDER BY n DESC, asn LIMIT 5) c""")
 def probe_suggest(t):
-    return M.probe_suggest(M.probe_locations(t.sql(_PROBES)), "1")
+    return M.probe_suggest(M.probe_locations(t.sql(_PROBES)), "1", 6, 4, 5)
 
 
 @query("freshness", "SELECT event_id, CASE WHEN TIMESTAMP '2024-01-10 00:00:00' - ts < INTERVAL 3 HOUR THEN 'live' WHEN TIMESTAMP '2024-01-10 00:00:00' - ts < INTERVAL 12 HOUR THEN 'aging' ELSE 'stale' END AS age FROM events")

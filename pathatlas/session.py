@@ -29,12 +29,31 @@ def build_session(app: str = "pathatlas", cores: str = "8", shuffle_partitions:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; pick a scratch folder only where none is set."""
+    """Use the folder the session names; only a local session may fall back to a folder of its own.
+
+    On a cluster a machine-local folder would hold a part of the rows on every executor, so there
+    an unset ``spark.checkpoint.dir`` is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pathatlas-ckpt-"))
+    if not shared:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="pathatlas-ckpt-")
+    sc.setCheckpointDir(shared)
+
+
+_written: list[str] = []
+
+
+def release_cuts(spark: SparkSession) -> None:
+    """Delete the tables that ``cut_lineage`` wrote, once no result that reads them is needed any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -47,4 +66,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)

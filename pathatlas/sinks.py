@@ -33,14 +33,14 @@ def sink_collector_replace(obs: DataFrame, path: str, *, base_load: bool = False
     if base_load and rebuild:
         raise ValueError("a full reset and a collector replacement exclude each other")
     if base_load:
-        obs.repartition("collector", F.pmod(F.xxhash64("prefix", "path_raw"), F.lit(16))).write.mode("overwrite").partitionBy("collector").parquet(path)
+        obs.repartitionByRange("collector", F.xxhash64("prefix", "path_raw")).write.mode("overwrite").partitionBy("collector").parquet(path)
         return
     spark = obs.sparkSession
     known = spark.read.parquet(path).select("collector").distinct()  # a missing base load fails here
     unknown = obs.select("collector").distinct().join(known, ["collector"], "left_anti").limit(5).collect()
     if unknown:
         raise ValueError(f"unknown collectors: {sorted(r['collector'] for r in unknown)}")
-    (obs.repartition("collector", F.pmod(F.xxhash64("prefix", "path_raw"), F.lit(16))).write.mode("overwrite")
+    (obs.repartitionByRange("collector", F.xxhash64("prefix", "path_raw")).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("collector").parquet(path))
 
 

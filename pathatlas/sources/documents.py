@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # ---- dates ------------------------------------------------------------------
 
 def plain_date(c: Column) -> Column:
@@ -66,13 +70,16 @@ def src_rdap(docs: DataFrame) -> dict[str, DataFrame]:
         "doc", "ord", F.coalesce("r.title", F.lit("")).alias("title"), F.trim(F.array_join("r.description", "\n")).alias("v")).where("v <> ''")
 
     level = d.select("doc", F.lit("").alias("up"), F.posexplode("entities").alias("ord", "e"))
-    found = None
-    for depth in range(5):
-        x = level.withColumn("x", F.from_json("e", _ENTITY)).select(
+    levels: list[DataFrame] = []
+    while True:  # one written table per nesting depth, until a depth has no entities
+        x = cut_lineage(level.withColumn("x", F.from_json("e", _ENTITY)).select(
             "doc", F.when(F.col("up") == "", F.col("ord").cast("string")).otherwise(F.concat_ws(".", "up", F.col("ord").cast("string"))).alias("entity"),
-            F.lit(depth).alias("depth"), "ord", "x.*")
-        found = x if found is None else found.unionByName(x)
+            F.lit(len(levels)).alias("depth"), "ord", "x.*"))
+        levels.append(x)
+        if x.isEmpty():
+            break
         level = x.select("doc", F.col("entity").alias("up"), F.posexplode("entities").alias("ord", "e"))
+    found = reduce(DataFrame.unionByName, levels)
     items = F.from_json(F.get("vcardArray", 1), "array<array<string>>")
     found = found.withColumn("_items", F.coalesce(items, F.array().cast("array<array<string>>")))
     fn = F.get(F.filter("_items", lambda i: F.get(i, 0) == "fn"), 0)

@@ -151,20 +151,20 @@ def src_geo_networks(networks: DataFrame, have_cn_source: bool = True, family: i
 # ---- AS names ---------------------------------------------------------------
 
 def src_asn_org(networks: DataFrame, start: str = "ip_start") -> DataFrame:
-    """(start, asn, org) -> first organisation of each ASN, 80 characters."""
+    """(start, asn, org) -> first organisation of each ASN."""
     ok = networks.where("asn IS NOT NULL AND asn <> 0 AND org IS NOT NULL AND org <> ''")
-    return ok.groupBy("asn").agg(F.substring(F.min_by("org", F.struct(start, "org")), 1, 80).alias("org"))
+    return ok.groupBy("asn").agg(F.min_by("org", F.struct(start, "org")).alias("org"))
 
 
 def src_autnums(df: DataFrame, col: str = "value") -> DataFrame:
-    """'<asn> NAME - descr, CC' -> asn, handle (40 characters), registration country."""
+    """'<asn> NAME - descr, CC' -> asn, handle, registration country."""
     t = F.trim(F.col(col))
     asn = F.regexp_extract(t, r"^(\d+)\s+", 1)
     rest = F.regexp_replace(t, r"^\d+\s+", "")
     full = F.trim(F.regexp_replace(rest, r",[^,]*$", ""))
     cc = F.upper(F.trim(F.regexp_extract(rest, r",([^,]*)$", 1)))
     d = df.where(asn != "").select(
-        asn.try_cast("bigint").alias("asn"), F.nullif(F.substring(F.trim(F.substring_index(full, " - ", 1)), 1, 40), F.lit("")).alias("handle"),
+        asn.try_cast("bigint").alias("asn"), F.nullif(F.trim(F.substring_index(full, " - ", 1)), F.lit("")).alias("handle"),
         F.when(cc.rlike("^[A-Z]{2}$"), cc).alias("cc"))
     return d.where("handle IS NOT NULL OR cc IS NOT NULL")
 
