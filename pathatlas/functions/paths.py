@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -130,33 +129,44 @@ def distance_edges(path) -> Column:
 
 @dataclass(frozen=True)
 class PathQuery:
-    """A parsed pattern: '1299 * 4538', '?' one hop, '??' two, '!N' or '-N' excludes."""
+    """A parsed pattern: '1299 * 4538', '?' one hop, '??' two, '!N' or '-N' excludes.
 
-    include: tuple[str, ...]
+    ``stretches`` are runs of hops without a gap of any length between them, None standing for any
+    one hop; the gaps lie between the stretches.
+    """
+
+    stretches: tuple[tuple[int | None, ...], ...]
     excludes: tuple[int, ...]
 
     @property
-    def wildcard(self) -> bool:
-        return any(not t.isdigit() for t in self.include)
+    def include(self) -> bool:
+        return bool(self.stretches)
 
     @property
     def empty(self) -> bool:
-        return not self.include and not self.excludes
-
-    @property
-    def regex(self) -> str | None:
-        if not self.include:
-            return None
-        part = lambda t: "(?:[0-9]+ )*" if t == "*" else "(?:[0-9]+ ){%d}" % len(t) if t[0] == "?" else t + " "
-        return " " + "".join(map(part, self.include))
+        return not self.stretches and not self.excludes
 
     def include_cond(self, padded_text: Column) -> Column:
-        """Include test on ' a b c '."""
-        if not self.include:
+        """Include test on ' a b c ': each stretch is looked for behind the one before, as early as possible."""
+        def behind(hops: Column, start: Column, rest: tuple) -> Column:
+            if not rest:
+                return start.isNotNull()
+            here = rest[0]
+            last = F.size(hops) - len(here)
+
+            def fits(i: Column) -> Column:
+                out = F.lit(True)
+                for k, asn in enumerate(here):
+                    if asn is not None:
+                        out = out & (F.get(hops, i + k) == str(asn))
+                return out
+
+            first = F.when(start <= last, F.get(F.filter(F.sequence(start, F.greatest(start, last)), fits), 0))
+            return let(first + len(here), lambda after: behind(hops, after, rest[1:]))
+
+        if not self.stretches:
             return F.lit(True)
-        if self.wildcard:
-            return padded_text.rlike(self.regex)
-        return padded_text.contains(" " + " ".join(self.include) + " ")
+        return F.coalesce(let(F.split(F.trim(padded_text), " "), lambda hops: behind(hops, F.lit(0), self.stretches)), F.lit(False))
 
     def cond(self, padded_text: Column) -> Column:
         """Include and every exclusion, on one single path."""
@@ -167,28 +177,27 @@ class PathQuery:
 
 
 def path_query_parse(text: str) -> PathQuery:
-    inc: list[str] = []
-    exc: list[int] = []
-    for tok in re.split(r"[\s,]+", (text or "").replace("->", " ").strip()):
-        if re.fullmatch(r"\*+", tok):
-            inc.append("*")
-        elif re.fullmatch(r"\?+", tok):
-            inc.append(tok)
-        elif re.fullmatch(r"[!-]\d+", tok):
-            exc.append(int(tok[1:]))
-        elif re.fullmatch(r"\d+", tok):
-            inc.append(str(int(tok)))
-    runs: list[str] = []
-    for tok in inc:  # a run of wildcards is one: any '*' wins, '?' lengths add up
-        if runs and not tok.isdigit() and not runs[-1].isdigit():
-            runs[-1] = "*" if "*" in (tok, runs[-1]) else runs[-1] + tok
-        else:
-            runs.append(tok)
-    while runs and not runs[0].isdigit():
-        runs.pop(0)
-    while runs and not runs[-1].isdigit():
-        runs.pop()
-    return PathQuery(tuple(runs), tuple(exc))
+    """Words are AS numbers, '*' (any gap), '?' (one hop each), '!N' or '-N' (excluded); others are ignored.
+
+    In a run of wildcards any '*' makes a gap, else the hops add up. Wildcards at either end say nothing.
+    """
+    stretches: list[list[int | None]] = []
+    excludes: list[int] = []
+    gap, hops = False, 0
+    for word in (text or "").replace("->", " ").replace(",", " ").split():
+        if word.isascii() and word.isdigit():
+            if not stretches or gap:
+                stretches.append([int(word)])
+            else:
+                stretches[-1] += [None] * hops + [int(word)]
+            gap, hops = False, 0
+        elif word.strip("*") == "":
+            gap = True
+        elif word.strip("?") == "":
+            hops += len(word)
+        elif word[0] in "!-" and word[1:].isascii() and word[1:].isdigit():
+            excludes.append(int(word[1:]))
+    return PathQuery(tuple(map(tuple, stretches)), tuple(excludes))
 
 
 def path_match(text, query: str | PathQuery) -> Column:

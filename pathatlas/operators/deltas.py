@@ -35,6 +35,25 @@ def irr_delta_apply(state: DataFrame, deltas: DataFrame, keys: Sequence[str] = O
     return kept.unionByName(last.where("op = 'ADD'").select(*keys)).distinct()
 
 
+def versioned(state: DataFrame, serial: int) -> DataFrame:
+    """A plain set of objects as a state that knows its serial: (object, serial, op)."""
+    return state.select(*OBJECT, F.lit(serial).cast("bigint").alias("serial"), F.lit("ADD").alias("op")).distinct()
+
+
+def advance(state: DataFrame, deltas: DataFrame) -> DataFrame:
+    """State after the batch: per object the operation with the highest serial, deletes included.
+
+    As deleted objects stay as marks, an older operation that comes late changes nothing. One
+    partial aggregate over state and batch; an object that changes all the time costs one row per task.
+    """
+    rows = state.select(*OBJECT, "serial", "op").unionByName(deltas.select(*OBJECT, F.col("serial").cast("bigint").alias("serial"), "op"))
+    return rows.groupBy(*OBJECT).agg(F.max("serial").alias("_s"), F.max_by("op", "serial").alias("op")).select(*OBJECT, F.col("_s").alias("serial"), "op")
+
+
+def live(state: DataFrame) -> DataFrame:
+    return state.where("op = 'ADD'").select(*OBJECT)
+
+
 def irr_delta_counts(state: DataFrame, deltas: DataFrame, keys: Sequence[str] = OBJECT) -> DataFrame:
     """Effective adds and deletes: operations that changed the set when they were applied."""
     keys = list(keys)

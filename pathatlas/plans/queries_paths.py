@@ -146,6 +146,19 @@ def path_match(t):
     return d.select("path_clean", *[P.path_match("path_clean", q).alias(k) for k, q in _PATTERNS.items()])
 
 
+_PARSED = {"* 1299 *": "list_contains(a, 1299)", " 1299,3004 ": "strpos(p, ' 1299 3004 ') > 0", "100 ?? 64510": "a[1] = 100 AND a[4] = 64510",
+           "junk 101 * ? 64510 !174 -6939": "list_contains(a, 101) AND list_contains(a, 64510) AND list_position(a, 101) < list_position(a, 64510) AND NOT list_has_any(a, [174, 6939]::BIGINT[])",
+           "": "TRUE", "? *": "TRUE"}
+
+
+@query("path_query_parse", " UNION ALL ".join(f"""SELECT '{q}' AS pattern, count(*) AS n FROM (SELECT DISTINCT ' ' || path_clean || ' ' AS p, string_split(path_clean, ' ')::BIGINT[] AS a FROM fx_rib) x WHERE {c}"""
+                                              for q, c in _PARSED.items()))
+def path_query_parse(t):
+    d = t["fx_rib"].select("path_clean").distinct()
+    hits = F.array(*[F.struct(F.lit(q).alias("pattern"), F.when(P.path_match("path_clean", q), 1).otherwise(0).alias("hit")) for q in _PARSED])
+    return d.select(F.explode(hits).alias("h")).groupBy("h.pattern").agg(F.sum("h.hit").alias("n"))
+
+
 @query("matched_peers", """SELECT p.pid, CAST(coalesce(sum(o.n_peers) FILTER (WHERE list_contains(o.path_arr, 1299) AND NOT list_contains(o.path_arr, 101)), 0) AS BIGINT) AS matched_peers,
   CAST(sum(o.n_peers) AS BIGINT) AS observed_peers FROM o_prefix p JOIN o_paths o ON o.pid = p.pid GROUP BY p.pid""")
 def matched_peers(t):

@@ -232,14 +232,17 @@ def ip_holder(t):
     return R.ip_holder(r["entity"], r["entity_rows"], r["head"])
 
 
-_WHOIS = f"""SELECT 'd' || {_V('c_custkey')} || '.uk' AS domain, '% banner' || chr(10) || 'Domain Name: X' || chr(10) || 'Registrant:' || chr(10) || '    Holder ' || {_V('c_custkey')} || chr(10) || '    ignored' || chr(10) ||
+_WHOIS = f"""SELECT 2 * c_custkey AS doc, 'd' || {_V('c_custkey')} || '.uk' AS domain, '% banner' || chr(10) || 'Domain Name: X' || chr(10) || 'Registrant:' || chr(10) || '    Holder ' || {_V('c_custkey')} || chr(10) || '    ignored' || chr(10) ||
   'Name servers:' || chr(10) || '    ns1.x' || chr(10) || '    ns2.x' || chr(10) || '' || chr(10) || 'created.....: 2002. 06. 28.' || chr(10) || 'a. [Registrar]   Reg ' || {_V('c_custkey')} || chr(10) || 'status: ok' || chr(10) || 'status: ok' || chr(10) ||
-  'e-mail: REDACTED FOR PRIVACY' || chr(10) || 'Unknown: y' || chr(10) || 'Nameservers' || chr(10) || '  ns3.x' AS text FROM customer"""
+  'e-mail: REDACTED FOR PRIVACY' || chr(10) || 'Unknown: y' || chr(10) || 'Nameservers' || chr(10) || '  ns3.x' AS text FROM customer
+UNION ALL SELECT 2 * c_custkey + 1, 'd' || {_V('c_custkey')} || '.uk', 'Registrar:' || chr(10) || '    Other ' || {_V('c_custkey')} || chr(10) || 'Last-Update: 2020-1-5' || chr(10) || 'nserver: ns9.x' AS text FROM customer"""
 
 
-@query("src_whois_text", """SELECT 'd' || c_custkey || '.uk' AS domain, unnest(['ldhname', 'org', 'ns', 'ns', 'registration', 'registrar', 'status', 'ns']) AS k,
-  unnest(['d' || c_custkey || '.uk', 'Holder ' || c_custkey, 'ns1.x', 'ns2.x', '2002-06-28', 'Reg ' || c_custkey, 'ok', 'ns3.x']) AS v FROM customer""")
+@query("src_whois_text", """SELECT 2 * c_custkey AS doc, 'd' || c_custkey || '.uk' AS domain, unnest(['ldhname', 'org', 'ns', 'ns', 'registration', 'registrar', 'status', 'ns']) AS k,
+  unnest(['d' || c_custkey || '.uk', 'Holder ' || c_custkey, 'ns1.x', 'ns2.x', '2002-06-28', 'Reg ' || c_custkey, 'ok', 'ns3.x']) AS v FROM customer
+  UNION ALL SELECT 2 * c_custkey + 1, 'd' || c_custkey || '.uk', unnest(['ldhname', 'registrar', 'lastchanged', 'ns']), unnest(['d' || c_custkey || '.uk', 'Other ' || c_custkey, '2020-01-05', 'ns9.x']) FROM customer""")
 def src_whois_text(t):
+    """Two answers of every domain."""
     return O.src_whois_text(t.sql(_WHOIS)).drop("ord")
 
 
@@ -349,16 +352,39 @@ def irr_delta_counts(t):
     return D.irr_delta_counts(t.sql(_STATE0), t["fx_irr_delta"])
 
 
+def in_files(t, df, by: str, n: int) -> str:
+    """``df`` in ``n`` files that a stream reads one after the other: rows dealt out by order of ``by``."""
+    path = scratch(t, "files")
+    low, high = df.agg(F.min(by), F.max(by)).first()
+    part = F.least(F.floor((F.col(by) - low) * n / (high - low + 1)), F.lit(n - 1))
+    for i in range(n):
+        df.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 @query("irr_delta_stream", _APPLIED)
 def irr_delta_stream(t):
-    src, state, ck = scratch(t, "deltas"), scratch(t, "state"), scratch(t, "ck")
-    t["fx_irr_delta"].write.parquet(src)
-    T.write_initial_state(t.sql(_STATE0), state)
-    q = T.irr_delta_stream(t.spark.readStream.schema(t["fx_irr_delta"].schema).parquet(src), state, ck)
+    """Four batches of one file each."""
+    d = t["fx_irr_delta"]
+    src, state, ck = in_files(t, d, "serial", 4), scratch(t, "state"), scratch(t, "ck")
+    T.write_initial_state(t.sql(_STATE0), state, d.agg(F.min("serial")).first()[0] - 1)
+    q = T.irr_delta_stream(t.spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(src), state, ck)
     q.awaitTermination()
     return T.read_state(t.spark, state)
 
 
+_JOURNAL = f"""SELECT serial, '%START Version: 3 RADB' || chr(10) || chr(10) || op || ' ' || {_V('serial')} || chr(10) || chr(10) || 'route:   ' || {_V('CAST(floor(ip_start / 16777216e0) AS BIGINT)')} || '.' ||
+  {_V('CAST(floor(ip_start / 65536e0) AS BIGINT) % 256')} || '.0.0/16' || chr(13) || chr(10) || 'descr:   x' || chr(10) || 'origin:  AS' || {_V('origin')} || chr(10) || 'source:  RADB # c' || chr(10) || ' ' || chr(10) ||
+  'ADD ' || {_V('serial + 1000000')} || chr(10) || chr(10) || 'route6: 2001:db8::/32' || chr(10) || 'origin: as' || {_V('origin')} || chr(10) || 'source: RIPE' || chr(10) || chr(10) || '%END RADB' || chr(10) AS text FROM fx_irr_delta"""
+
+
+@query("src_irr_journal", """SELECT serial, op, 4 AS family, CAST(ip_start AS VARCHAR) AS start, 16 AS plen, origin, source FROM fx_irr_delta
+  UNION ALL SELECT serial + 1000000, 'ADD', 6, '20010DB8000000000000000000000000', 32, origin, 'RIPE' FROM fx_irr_delta""")
+def src_irr_journal(t):
+    d = X.src_irr_journal(t.sql(_JOURNAL).select("text"))
+    return d.select("serial", "op", "family", F.coalesce(F.col("start4").cast("string"), F.hex("start6")).alias("start"), "plen", "origin", "source")
+
+
 @query("ping_stream", _PING)
 def ping_stream(t):
     src, out, ck = scratch(t, "rounds"), scratch(t, "pings"), scratch(t, "ck")
@@ -381,11 +407,13 @@ def sink_collector_replace(t):
 
 @query("collector_refresh", _MERGED)
 def collector_refresh(t):
-    src, path, ck = scratch(t, "rib"), scratch(t, "obs"), scratch(t, "ck")
-    t["fx_rib"].write.parquet(src)
+    """Every collector spans four batches."""
+    rib = t["fx_rib"]
+    src, stage, path, ck = in_files(t, rib, "pk", 4), scratch(t, "stage"), scratch(t, "obs"), scratch(t, "ck")
     K.sink_collector_replace(obs(t).withColumn("path_raw", F.lit("1 2")), path, base_load=True)
-    stream = t.spark.readStream.schema(t["fx_rib"].schema).parquet(src).withColumnRenamed("pk", "pid")
-    T.collector_refresh(stream, path, ck).awaitTermination()
+    stream = t.spark.readStream.schema(rib.schema).option("maxFilesPerTrigger", 1).parquet(src).withColumnRenamed("pk", "pid")
+    T.collector_refresh(stream, stage, ck).awaitTermination()
+    T.publish_refresh(t.spark, stage, path)
     return T.rebuilt_tables(t.spark, path)[0].select("prefix", "path_raw", "n_peers")
 
 

@@ -13,9 +13,9 @@ from ..session import cut_lineage
 
 def plain_date(c: Column) -> Column:
     """First date in a text as YYYY-MM-DD; the trimmed text when there is none."""
-    iso, dot = r"(\d{4})-(\d{1,2})-(\d{1,2})", r"(\d{4})[./]\s*(\d{1,2})[./]\s*(\d{1,2})"
-    form = lambda p: F.concat_ws("-", F.regexp_extract(c, p, 1), F.lpad(F.regexp_extract(c, p, 2), 2, "0"), F.lpad(F.regexp_extract(c, p, 3), 2, "0"))
-    return F.when(c.rlike(iso), form(iso)).when(c.rlike(dot), form(dot)).otherwise(F.trim(c))
+    date = r"(\d{4})[-./]\s*(\d{1,2})[-./]\s*(\d{1,2})"
+    part = lambda i, n: F.lpad(F.regexp_extract(c, date, i), n, "0")
+    return F.when(c.rlike(date), F.concat_ws("-", part(1, 4), part(2, 2), part(3, 2))).otherwise(F.trim(c))
 
 
 # ---- RDAP -------------------------------------------------------------------
@@ -103,81 +103,107 @@ def src_rdap(docs: DataFrame) -> dict[str, DataFrame]:
 
 # ---- WHOIS text -------------------------------------------------------------
 
-# Labels of registries by canonical key.
+# Labels of registries by canonical key, with hyphens and underscores read as blanks.
 WHOIS_LABELS = {
-    "ldhname": "domain|domain name|domainname|domain_name|nom de domaine|nombre de dominio|ドメイン名",
-    "org": "org|organization|organisation|organization name|org-name|holder|holder of domain name|owner|owner name|owner contact|registrant|"
-           "registrant name|registrant org|registrant organization|registrant organisation|registrant contact|registrant contact name|descr|titular|"
-           "company english name|organization using domain name|domain holder organization|組織名|そしきめい",
-    "registrar": "registrar|registrar name|registrar-name|registrar handle|sponsoring registrar|sponsoring registrar organization|authorized agency|"
-                 "registration service provider|record maintained by|registered by",
-    "registration": "created|created on|created date|creation date|creationdate|registered|registered on|registered date|registration date|"
-                    "registration time|record created|record created on|domain created|domain registered|domain registration date|"
-                    "domain record activated|domain name commencement date|first registration date|domain_dateregistered|date de création|登録年月日",
-    "lastchanged": "changed|modified|modified date|modification date|updated|updated date|updated on|updateddate|last update|last-update|last updated|"
-                   "last-updated|last updated on|last updated date|last modified|record last updated on|domain record last updated|"
-                   "domain last updated date|entry updated|domain_datelastmodified|dernière modification|最終更新",
-    "expiration": "expire|expires|expires on|expire date|expire-date|expiry|expiry date|exp date|expiration|expiration date|expiration time|"
-                  "registry expiry date|registrar registration expiration date|record expires on|record will expire on|domain expires|"
-                  "domain expiration date|paid-till|valid until|validity|renewal|renewal date|domain_datebilleduntil|date d'expiration",
-    "status": "status|state|domain status|registration status|registry status|transfer status|query_status|statut|状態",
-    "ns": "nserver|nameserver|nameservers|name server|name servers|name servers information|name server information|"
-          "name servers in the listed order|domain servers in listed order|domain name servers|domain nameservers|dns servers|host name|hostname|"
-          "serveur de noms|ネームサーバ",
-    "dnssec": "dnssec|signed|signed delegation|domain_signed|nsec|signing key|署名鍵",
-    "country": "country|registrant country|registrant-country|org-country|domain holder country|registrant country/economy|país",
-    "email": "e-mail|email|holder email|registrant contact email",
+    "ldhname": ["domain", "domain name", "domainname", "nom de domaine", "nombre de dominio", "ドメイン名"],
+    "org": ["org", "organization", "organisation", "organization name", "org name", "holder", "holder of domain name", "owner",
+        "owner name", "owner contact", "registrant", "registrant name", "registrant org", "registrant organization",
+        "registrant organisation", "registrant contact", "registrant contact name", "descr", "titular", "company english name",
+        "organization using domain name", "domain holder organization", "組織名", "そしきめい"],
+    "registrar": ["registrar", "registrar name", "registrar handle", "sponsoring registrar",
+        "sponsoring registrar organization", "authorized agency", "registration service provider", "record maintained by",
+        "registered by"],
+    "registration": ["created", "created on", "created date", "creation date", "creationdate", "registered", "registered on",
+        "registered date", "registration date", "registration time", "record created", "record created on", "domain created",
+        "domain registered", "domain registration date", "domain record activated", "domain name commencement date",
+        "first registration date", "domain dateregistered", "date de création", "登録年月日"],
+    "lastchanged": ["changed", "modified", "modified date", "modification date", "updated", "updated date", "updated on",
+        "updateddate", "last update", "last updated", "last updated on", "last updated date", "last modified",
+        "record last updated on", "domain record last updated", "domain last updated date", "entry updated",
+        "domain datelastmodified", "dernière modification", "最終更新"],
+    "expiration": ["expire", "expires", "expires on", "expire date", "expiry", "expiry date", "exp date", "expiration",
+        "expiration date", "expiration time", "registry expiry date", "registrar registration expiration date",
+        "record expires on", "record will expire on", "domain expires", "domain expiration date", "paid till", "valid until",
+        "validity", "renewal", "renewal date", "domain datebilleduntil", "date d'expiration"],
+    "status": ["status", "state", "domain status", "registration status", "registry status", "transfer status", "query status",
+        "statut", "状態"],
+    "ns": ["nserver", "nameserver", "nameservers", "name server", "name servers", "name servers information",
+        "name server information", "name servers in the listed order", "domain servers in listed order", "domain name servers",
+        "domain nameservers", "dns servers", "host name", "hostname", "serveur de noms", "ネームサーバ"],
+    "dnssec": ["dnssec", "signed", "signed delegation", "domain signed", "nsec", "signing key", "署名鍵"],
+    "country": ["country", "registrant country", "org country", "domain holder country", "registrant country/economy", "país"],
+    "email": ["e mail", "email", "holder email", "registrant contact email"],
 }
-NS_HEADERS = ("name servers", "nameservers", "name server", "domain servers", "name servers information", "name servers in the listed order",
-              "domain servers in listed order", "domain name servers", "domain nameservers")
+NS_HEADERS = ["name servers", "nameservers", "name server", "domain servers", "name servers information", "name servers in the listed order",
+              "domain servers in listed order", "domain name servers", "domain nameservers"]
+# Beginnings of values that hide what they stand for.
+WITHHELD = ["redacted", "not disclosed", "gdpr", "please visit", "see "]
 
 
 def _label(c: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, r"^[\s*>]+", ""), r"[\s.　]+$", "")))
+    """Lower-case label without list marks in front, dots behind, or hyphens and underscores."""
+    bare = F.rtrim(F.ltrim(c, F.lit(" \t*>")), F.lit(" \t.\u3000"))
+    return F.array_join(F.filter(F.split(F.lower(F.translate(bare, "-_", "  ")), " "), lambda x: x != ""), " ")
 
 
 def _whois_key(label: Column) -> Column:
-    known = _mapped(label, {l: k for k, ls in WHOIS_LABELS.items() for l in ls.split("|")})
-    return (F.when(known.isNotNull(), known).when(label.startswith("registrar abuse contact email"), "email")
-            .when(label.startswith("registrant ") & label.endswith(" organization"), "org").when(label.rlike(r"^ns_name_\d+$"), "ns"))
+    """Canonical key of a label: a known one, else by how it begins and ends."""
+    known = _mapped(label, {name: key for key, names in WHOIS_LABELS.items() for name in names})
+    rules = (F.when(label.startswith("registrar abuse contact email"), "email")
+             .when(label.startswith("ns name "), "ns")
+             .when(label.startswith("registrant ") & label.endswith(" organization"), "org"))
+    return F.coalesce(known, rules)
+
+
+def _bracketed(line: Column) -> tuple[Column, Column]:
+    """(label, value) of '[Label]  value', also behind an enumerator like 'a. '; nulls for other lines."""
+    numbered = line.rlike("^[A-Za-z][.]")
+    rest = F.when(numbered, F.ltrim(F.substring(line, 3, 1 << 20))).otherwise(line)
+    close = F.instr(rest, "]")
+    behind = F.substring(rest, close + 1, F.lit(1 << 20))
+    value = F.trim(behind, F.lit(" \t"))
+    ok = rest.startswith("[") & (close > 2) & behind.rlike(r"^\s") & (value != "")
+    return F.when(ok, F.substring(rest, F.lit(2), close - 2)), F.when(ok, value)
 
 
 def src_whois_text(df: DataFrame) -> DataFrame:
-    """(domain, text) -> (domain, ord, k, v): canonical rows of free-text answers.
+    """(doc, domain, text) -> (doc, domain, ord, k, v): canonical rows of free-text answers, one answer per ``doc``.
 
     Lines are rows; which label an indented value belongs to is the last state set above
-    it, found with window functions over the lines of one answer.
+    it, found with window functions over the lines of one answer. Answers of one domain stay apart.
     """
-    lines = df.select("domain", F.posexplode(F.split("text", r"\r?\n")).alias("i", "raw"))
-    d = lines.withColumn("line", F.regexp_replace("raw", r"^[\s　]+|[\s　]+$", "")).withColumn("ind", F.col("raw").rlike(r"^[ \t　]"))
-    br = r"^(?i:(?:[a-z]\.\s*)?)\[(\S[^\]]*?)\]\s+(.+)$"
-    at = F.instr("line", ":")
-    blank = (F.col("line") == "") | F.col("line").rlike("^[%#]")
-    is_br = ~blank & F.col("line").rlike(br)
-    is_col = ~blank & ~is_br & (at > 0)
-    d = d.withColumn("cls", F.when(blank, "blank").when(is_br, "bracket").when(is_col, "colon").otherwise("plain"))
-    d = d.withColumn("label", F.when(is_br, _label(F.regexp_extract("line", br, 1))).when(is_col, _label(F.substring("line", F.lit(1), at - 1)))
-                     .otherwise(_label(F.col("line"))))
-    d = d.withColumn("val", F.when(is_br, F.regexp_extract("line", br, 2)).when(is_col, F.trim(F.substring("line", at + 1, F.length("line")))))
-    d = d.withColumn("ck", F.when(F.col("cls").isin("bracket", "colon"), _whois_key(F.col("label"))))
+    lines = df.select("doc", "domain", F.posexplode(F.split("text", r"\r?\n")).alias("i", "raw"))
+    blanks = F.lit(" \t\u3000")
+    d = lines.withColumn("line", F.trim("raw", blanks)).withColumn("ind", F.col("raw") != F.ltrim("raw", blanks))
+    label, value = _bracketed(F.col("line"))
+    d = d.withColumn("_bl", label).withColumn("_bv", value).withColumn("_at", F.instr("line", ":"))
+    comment = F.col("line").startswith("%") | F.col("line").startswith("#")
+    d = d.withColumn("cls", F.when((F.col("line") == "") | comment, "blank").when(F.col("_bl").isNotNull(), "bracket")
+                     .when(F.col("_at") > 0, "colon").otherwise("plain"))
+    is_br, is_col = F.col("cls") == "bracket", F.col("cls") == "colon"
+    before, after = F.substring("line", F.lit(1), F.col("_at") - 1), F.substring("line", F.col("_at") + 1, F.length("line"))
+    d = d.withColumn("label", _label(F.when(is_br, F.col("_bl")).when(is_col, before).otherwise(F.col("line"))))
+    d = d.withColumn("val", F.when(is_br, F.col("_bv")).when(is_col, F.trim(after)))
+    d = d.withColumn("ck", F.when(is_br | is_col, _whois_key(F.col("label"))))
     is_ns = F.col("label").isin(*NS_HEADERS)
     dependent = (F.col("cls") == "plain") & F.col("ind")
-    state = (F.when(F.col("cls") == "colon", F.when(F.col("val") != "", F.when(F.col("ck") == "ns", "ns").otherwise(""))
-                    .otherwise(F.coalesce("ck", F.when(is_ns, "ns"), F.lit(""))))
-             .when(F.col("cls") == "plain", F.when(is_ns, "ns").otherwise("")).otherwise(""))
-    w = Window.partitionBy("domain").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_set", F.when(~dependent, F.struct(state.alias("s"), F.col("i").alias("i"))))
+    # the key that values below a line belong to
+    opened = (F.when(is_col & (F.col("val") == ""), F.coalesce("ck", F.when(is_ns, "ns")))
+              .when(is_col & (F.col("ck") == "ns"), "ns").when((F.col("cls") == "plain") & is_ns, "ns"))
+    w = Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_set", F.when(~dependent, F.struct(F.coalesce(opened, F.lit("")).alias("s"), F.col("i").alias("i"))))
     d = d.withColumn("_abs", F.last("_set", ignorenulls=True).over(w)).withColumn("_nsat", F.max(F.when(dependent & is_ns, F.col("i"))).over(w))
     s, j = F.coalesce(F.col("_abs.s"), F.lit("")), F.coalesce(F.col("_abs.i"), F.lit(-1))
     late = F.col("_nsat") > F.when(s == "", j).otherwise(j + 1)  # a bare header among the indented lines
-    pending = F.when(s == "ns", "ns").when(late, "ns").when((s != "") & (F.col("i") == j + 1), s).otherwise("")
-    d = d.withColumn("k", F.when(F.col("cls").isin("bracket", "colon"), F.when(F.col("val") != "", F.col("ck")))
-                     .when(dependent, F.nullif(pending, F.lit("")))).withColumn("v", F.when(dependent, F.col("line")).otherwise(F.col("val")))
+    pending = F.when((s == "ns") | late, "ns").when((s != "") & (F.col("i") == j + 1), s)
+    d = d.withColumn("k", F.when(is_br | is_col, F.when(F.col("val") != "", F.col("ck"))).when(dependent, pending))
+    d = d.withColumn("v", F.when(dependent, F.col("line")).otherwise(F.col("val")))
     dated = F.col("k").isin("registration", "lastchanged", "expiration")
     d = d.withColumn("v", F.trim(F.when(dated, plain_date(F.col("v"))).otherwise(F.col("v"))))
-    rows = d.where("k IS NOT NULL AND k <> 'ldhname' AND v <> ''").where(~F.col("v").rlike("(?i)^(redacted|not disclosed|gdpr|please visit|see )"))
-    first = rows.groupBy("domain", "k", "v").agg(F.min("i").alias("ord"))
-    head = df.select("domain", F.lit("ldhname").alias("k"), F.col("domain").alias("v"), F.lit(-1).alias("ord")).distinct()
+    withheld = reduce(lambda x, y: x | y, [F.lower("v").startswith(w) for w in WITHHELD])
+    rows = d.where("k IS NOT NULL AND k <> 'ldhname' AND v <> ''").where(~withheld)
+    first = rows.groupBy("doc", "domain", "k", "v").agg(F.min("i").alias("ord"))
+    head = df.select("doc", "domain", F.lit("ldhname").alias("k"), F.col("domain").alias("v"), F.lit(-1).alias("ord")).distinct()
     return head.unionByName(first)
 
 

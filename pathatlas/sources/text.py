@@ -10,13 +10,21 @@ from ..functions import ip
 ATTRS = "array<struct<k:string,v:string>>"
 
 
-def read_rpsl_text(spark: SparkSession, path: str) -> DataFrame:
-    """RPSL dumps split at blank lines -> (source_file, obj_no, obj); bytes are latin-1."""
-    raw = spark.read.text(path, lineSep="\n\n")
+BLANK_LINE = r"\r?\n[ \t]*\r?\n"
+
+
+def read_rpsl_text(spark: SparkSession, path: str, line_end: str = "\n") -> DataFrame:
+    """RPSL dumps split at blank lines -> (source_file, obj_no, obj); bytes are latin-1.
+
+    Spark splits the file at doubled line ends (name ``\\r\\n`` for such dumps); lines of blanks only
+    then split what is left.
+    """
+    raw = spark.read.text(path, lineSep=line_end * 2)
     d = raw.select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_b"),
-                   F.monotonically_increasing_id().alias("_i"), F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("obj"))
+                   F.monotonically_increasing_id().alias("_i"), F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("_text"))
+    d = d.select("source_file", "_b", "_i", F.posexplode(F.split("_text", BLANK_LINE)).alias("_j", "obj"))
     return d.where(F.trim(F.regexp_replace("obj", r"\s+", " ")) != "").select(
-        "source_file", F.struct("source_file", "_b", "_i").alias("obj_no"), "obj")
+        "source_file", F.struct("source_file", "_b", "_i", "_j").alias("obj_no"), "obj")
 
 
 def rpsl_attrs(obj, registry_style: bool = False) -> Column:
@@ -84,6 +92,27 @@ def irr_route_extract(objects: DataFrame, default_source: str, family: int = 4)
         F.col("b.plen").alias("plen"), "origin", "source").distinct()
 
 
+def src_irr_journal(df: DataFrame, text: str = "text", default_source: str = "") -> DataFrame:
+    """Journal texts of blocks ``ADD n`` / ``DEL n``, each followed by its object ->
+    (serial, op, family, start4 or start6, plen, origin, source).
+
+    Other blocks (headers, ends, objects of other classes) and malformed objects say nothing.
+    """
+    blocks = F.split(F.regexp_replace(text, "^\\s+", ""), BLANK_LINE)
+    paired = F.zip_with(blocks, F.slice(blocks, 2, 1 << 30), lambda head, body: F.struct(F.trim(head).alias("head"), body.alias("body")))
+    d = df.select(F.explode(paired).alias("p")).select(
+        F.upper(F.substring_index("p.head", " ", 1)).alias("op"), F.trim(F.substring_index("p.head", " ", -1)).try_cast("bigint").alias("serial"),
+        rpsl_attrs(F.col("p.body")).alias("attrs")).where("op IN ('ADD', 'DEL') AND serial IS NOT NULL")
+    kind = F.get("attrs", 0)
+    key = _uncomment(kind["v"])
+    d = d.select("serial", "op", F.when(kind["k"] == "route", ip.cidr4_bounds(key)).alias("b4"), F.when(kind["k"] == "route6", ip.cidr6_bounds(key)).alias("b6"),
+                 asn_value(_uncomment(attr_first("origin"))).alias("origin"),
+                 F.coalesce(F.nullif(F.upper(_uncomment(attr_first("source"))), F.lit("")), F.lit(default_source)).alias("source"))
+    d = d.where("(b4 IS NOT NULL OR b6 IS NOT NULL) AND origin IS NOT NULL")
+    return d.select("serial", "op", F.when(F.col("b4").isNotNull(), 4).otherwise(6).alias("family"), F.col("b4.start").alias("start4"),
+                    F.col("b6.start").alias("start6"), F.coalesce("b4.plen", "b6.plen").alias("plen"), "origin", "source")
+
+
 # ---- ROA documents ----------------------------------------------------------
 
 VRP_JSON = "struct<roas:array<struct<prefix:string,asn:string,maxLength:string>>>"

@@ -12,16 +12,23 @@ from ..operators import measure as M
 from ..sinks import sink_collector_replace
 
 
-def collector_refresh(rib: DataFrame, base_path: str, checkpoint: str) -> StreamingQuery:
-    """Stream of RIB rows: each batch replaces the collectors it brings; the rest stays.
+def collector_refresh(rib: DataFrame, stage_path: str, checkpoint: str) -> StreamingQuery:
+    """Stream of RIB rows of new snapshots into a staging area, one partition per batch.
 
-    Overwriting whole collector partitions makes a repeated batch harmless.
+    A batch overwrites only its own partition, so a repeated one is harmless, and a snapshot may span any
+    number of batches. Nothing is visible before ``publish_refresh``.
     """
-    def replace(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            sink_collector_replace(C.obs_dedup(batch), base_path)
+    def stage(batch: DataFrame, batch_id: int) -> None:
+        C.obs_dedup(batch).write.mode("overwrite").parquet(f"{stage_path}/batch={batch_id}")
 
-    return rib.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rib.writeStream.foreachBatch(stage).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def publish_refresh(spark: SparkSession, stage_path: str, base_path: str) -> None:
+    """Once a snapshot is whole: its batches are summed and replace the collectors they bring; the rest stays."""
+    staged = spark.read.parquet(stage_path).drop("batch")
+    keys = [c for c in staged.columns if c != "n_peers"]
+    sink_collector_replace(staged.groupBy(*keys).agg(F.sum("n_peers").alias("n_peers")).select(*staged.columns), base_path)
 
 
 def rebuilt_tables(spark: SparkSession, base_path: str) -> tuple[DataFrame, DataFrame]:
@@ -31,29 +38,41 @@ def rebuilt_tables(spark: SparkSession, base_path: str) -> tuple[DataFrame, Data
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """Newest committed version of the route-object state."""
+    """Route objects of the newest committed version of the state."""
     versions = spark.read.parquet(path)
     newest = versions.agg(F.max("version").alias("v"))
-    return versions.join(F.broadcast(newest), F.col("version") == F.col("v")).drop("version", "v")  # one row is broadcast
+    return D.live(versions.join(F.broadcast(newest), F.col("version") == F.col("v")).drop("version", "v"))  # one row is broadcast
+
+
+class SerialGap(ValueError):
+    """The batch does not follow the state: operations are missing and nothing was committed."""
 
 
 def irr_delta_stream(deltas: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
-    """Each batch writes state version batch+1 from the version before it.
+    """Each batch writes state version batch+1 from the version before it, if no serial is missing in between.
 
-    A replayed batch reads the same predecessor and overwrites the same version, so
-    every operation takes effect exactly once.
+    A replayed batch reads the same predecessor and overwrites the same version, so every operation takes
+    effect exactly once. Only the predecessor is kept besides the newest version. After a ``SerialGap`` the
+    state is as before; ``deltas.needs_reload`` tells whether the journal can still close the gap.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        cols = list(D.OBJECT)
-        state = spark.read.parquet(f"{state_path}/version={batch_id}").select(*cols)
-        D.irr_delta_apply(state, batch).write.mode("overwrite").parquet(f"{state_path}/version={batch_id + 1}")
+        state = spark.read.parquet(f"{state_path}/version={batch_id}")
+        at = state.agg(F.max("serial")).first()[0]
+        last = batch.agg(F.max("serial")).first()[0]
+        if last is not None and not D.complete(batch, at + 1, last):
+            raise SerialGap(f"operations after {at} are missing")
+        D.advance(state, batch).write.mode("overwrite").parquet(f"{state_path}/version={batch_id + 1}")
+        if batch_id > 0:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/version={batch_id - 1}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return deltas.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def write_initial_state(state: DataFrame, state_path: str) -> None:
-    state.select(*D.OBJECT).write.mode("overwrite").parquet(f"{state_path}/version=0")
+def write_initial_state(state: DataFrame, state_path: str, serial: int) -> None:
+    """The full dump that a journal continues after ``serial``."""
+    D.versioned(state, serial).write.mode("overwrite").parquet(f"{state_path}/version=0")
 
 
 def ping_stream(rounds: DataFrame, checkpoint: str, sink: str) -> StreamingQuery:
