@@ -67,15 +67,6 @@ def as_u128(addr, wide: bool) -> Column:
     return _c(addr) if wide else F.unhex(F.lpad(F.hex(_c(addr).cast("bigint")), 32, "0"))
 
 
-def approx_position(addr, wide: bool) -> Column:
-    """DOUBLE that never decreases as the address grows (used to place split points)."""
-    if not wide:
-        return _c(addr).cast("double")
-    h = F.hex(_c(addr))
-    limb = lambda i: F.conv(F.substring(h, i, 8), 16, 10).cast("double")
-    return ((limb(1) * 4294967296.0 + limb(9)) * 4294967296.0 + limb(17)) * 4294967296.0 + limb(25)
-
-
 # ---- masks ------------------------------------------------------------------
 
 def _shl(v: Column, n: Column) -> Column:

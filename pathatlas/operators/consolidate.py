@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import paths
+from ..functions import ip, paths
 from . import runs
 
 PART = 128  # paths in one part of a bundle
@@ -82,8 +84,15 @@ def pid_assign(prefix: DataFrame, chunks: int | None = None) -> DataFrame:
     return runs.numbered(prefix, "pid", [F.col("ip_start"), F.col("prefix")], chunks=chunks)
 
 
-def attach_pid(pathobs: DataFrame, prefix: DataFrame) -> DataFrame:
-    return pathobs.join(prefix.select("prefix", "pid"), ["prefix"])
+def pid_assign_families(tables: list[DataFrame], chunks: int | None = None) -> DataFrame:
+    """One dense id range over prefix tables of both families: (pid, family, prefix, start128)."""
+    rows = [t.select("family", "prefix", ip.as_u128("ip_start", ip.is_wide(t, "ip_start")).alias("start128")) for t in tables]
+    return runs.numbered(reduce(DataFrame.unionByName, rows), "pid", [F.col("family"), F.col("start128"), F.col("prefix")], chunks=chunks)
+
+
+def attach_pid(pathobs: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Path rows with the id of their prefix, in place of one they may carry."""
+    return pathobs.drop("pid").join(numbered.select("prefix", "pid"), ["prefix"])
 
 
 def paths_topk(pathobs: DataFrame, cap: int | None = None) -> DataFrame:

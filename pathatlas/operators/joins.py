@@ -127,5 +127,8 @@ def longest_match(points: DataFrame, prefixes: DataFrame, *, point: str, cols: d
                          right_cols=names, lengths=lengths)
     payload = F.struct(*[F.col(names[c]).alias(o) for c, o in cols.items()])
     best = hits.groupBy(point).agg(F.max_by(payload, F.col(names["plen"])).alias("_best"))
-    return points.join(best, [point], "left").select(
-        *points.columns, *[F.col("_best")[o].alias(o) for o in cols.values()])
+    found = points.where(F.col(point).isNotNull()).join(best, [point], "left")
+    found = found.select(*points.columns, *[F.col("_best")[o].alias(o) for o in cols.values()])
+    # rows without an address meet nothing and stay out of the join, where they would share one key
+    rest = points.where(F.col(point).isNull())
+    return found.unionByName(rest.select(*points.columns, *[F.lit(None).cast(found.schema[o].dataType).alias(o) for o in cols.values()]))

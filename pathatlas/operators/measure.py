@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from ..functions import ip
 from . import runs
 from .geo import coord_resolve
-from .search import ip_enrich
+from .search import enrich_text
 
 
-def hop_enrich(hops: DataFrame, prefixes: DataFrame, city_coords: DataFrame | None = None) -> DataFrame:
-    """Hops (ip text) with ASN from the hop, else from the prefix; bad places lose their coordinates."""
-    addr = F.when(~ip.is_private_ip("ip"), ip.ip4_to_int("ip"))
-    d = ip_enrich(hops.withColumn("_ip", addr), prefixes, "_ip", ("origin_asn", "cc", "city", "province")).drop("_ip")
+def hop_enrich(hops: DataFrame, *prefixes: DataFrame, city_coords: DataFrame | None = None) -> DataFrame:
+    """Hops (ip text) with ASN from the hop, else from the prefix; bad places lose their coordinates.
+
+    Give a prefix table for each family that is to be looked up; its address type tells which one it is.
+    """
+    d = enrich_text(hops, prefixes, F.when(~ip.is_private_ip("ip"), F.col("ip")), ("origin_asn", "cc", "city", "province"))
     d = coord_resolve(d, city_coords)
     bad = (F.col("lat").isNull() | F.col("lon").isNull() | ((F.col("lat") == 0) & (F.col("lon") == 0))
            | F.concat_ws(" ", "city", "province", "cc").rlike("(?i)anycast"))

@@ -177,16 +177,37 @@ def ip_enrich(points: DataFrame, prefixes: DataFrame, point: str = "ip",
     return longest_match(points, prefixes, point=point, cols={c: c for c in have})
 
 
-def dns_enrich(answers: DataFrame, prefixes: DataFrame, type_codes: dict[str, int]) -> DataFrame:
-    """DNS answers (domain, qtype, atype, name, data) of the asked type; A rows get a prefix."""
+def enrich_text(rows: DataFrame, tables: Sequence[DataFrame], address: Column, cols: Sequence[str]) -> DataFrame:
+    """Longest-prefix match of addresses given as text, each family in its own table; other rows get nulls."""
+    d = rows.withColumn("_text", address).withColumn("_six", F.coalesce(F.col("_text").contains(":"), F.lit(False)))
+    sides = {ip.is_wide(t, "ip_start"): t for t in tables}
+    facts = next(iter(sides.values()))
+    out = None
+    for wide in (False, True):
+        part = d.where(F.col("_six") == wide)
+        if wide in sides:
+            part = part.withColumn("_ip", (ip.ip6_to_bin if wide else ip.ip4_to_int)("_text"))
+            part = ip_enrich(part, sides[wide], "_ip", cols).drop("_ip")
+        for c in cols:
+            if c in facts.columns and c not in part.columns:
+                part = part.withColumn(c, F.lit(None).cast(facts.schema[c].dataType))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out.drop("_text", "_six")
+
+
+def dns_enrich(answers: DataFrame, prefixes: DataFrame | Sequence[DataFrame], type_codes: dict[str, int]) -> DataFrame:
+    """DNS answers (domain, qtype, atype, name, data) of the asked type; addresses get a prefix.
+
+    ``prefixes`` is a table of one family or one of each; A looks in the first, AAAA in the second.
+    """
     spark = answers.sparkSession
     codes = spark.createDataFrame(list(type_codes.items()), "qtype string, _code int")  # one row per record type
     d = answers.join(F.broadcast(codes), ["qtype"]).where(F.col("atype") == F.col("_code")).drop("_code")
     unq = F.regexp_replace(F.regexp_replace("data", r'"\s+"', ""), '^"|"$', "")
     d = d.withColumn("data", F.when(F.col("qtype") == "TXT", unq).otherwise(F.col("data")))
-    wide = ip.is_wide(prefixes, "ip_start")
-    addr = F.when(F.col("qtype") == ("AAAA" if wide else "A"), ip.ip6_to_bin("data") if wide else ip.ip4_to_int("data"))
-    return ip_enrich(d.withColumn("_ip", addr), prefixes, point="_ip").drop("_ip")
+    tables = [prefixes] if isinstance(prefixes, DataFrame) else list(prefixes)
+    return enrich_text(d, tables, F.when(F.col("qtype").isin("A", "AAAA"), F.col("data")),
+                       ("pid", "prefix", "origin_asn", "n_paths", "cc", "city", "province"))
 
 
 def prefix_relatives(prefix: DataFrame, up: int | None = None, down: int | None = None) -> DataFrame:

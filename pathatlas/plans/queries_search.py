@@ -256,3 +256,41 @@ def asn_overview(t):
 def sink_csv(t):
     hits = S.search_path(S.origin_rows(pathobs(t)), top_paths(t), "1299")
     return S.export_rows(hits, S.path_order(), {"prefix": F.col("prefix"), "origin_asn": F.col("origin_asn"), "share": S.match_share_text()})
+
+
+_LPM6 = """SELECT a.pk, arg_max(p.pk, p.plen) AS pid, arg_max(p.origin, p.plen) AS origin FROM (SELECT pk, rpad(start_hex[1:20] || 'AB', 32, '7') AS h FROM fx_v6) a
+  LEFT JOIN fx_v6 p ON p.start_hex <= a.h AND p.end_hex >= a.h GROUP BY a.pk"""
+
+
+def points6(t):
+    """An address below every 128-bit prefix."""
+    h = F.unhex(F.rpad(F.concat(F.substring("start_hex", 1, 20), F.lit("AB")), 32, "7"))
+    return t["fx_v6"].select("pk", ip.ip6_text(h).alias("ip"))
+
+
+@query("subnet_search_v6", "SELECT q.pk AS q, p.pk AS pid FROM fx_v6 q JOIN fx_v6 p ON p.start_hex <= q.end_hex AND p.end_hex >= q.start_hex")
+def subnet_search_v6(t):
+    q = v6(t).select(F.col("pid").alias("q"), F.col("ip_start").alias("q_start"), F.col("plen").alias("q_plen"))
+    return S.subnet_search(v6(t), q, cols=("pid",)).select("q", "pid")
+
+
+@query("hop_enrich_v6", f"""SELECT 'v4' AS fam, h.event_id AS id, coalesce(x.m.origin_asn, 0) AS asn FROM fx_hops h JOIN ({_LPM}) x ON x.event_id = h.event_id
+  UNION ALL SELECT 'v6', pk, coalesce(origin, 0) FROM ({_LPM6}) y""")
+def hop_enrich_v6(t):
+    """Hops of both families in one table."""
+    from ..operators import measure as M
+    none = F.lit(None).cast("bigint")
+    hops = t["fx_hops"].select(F.lit("v4").alias("fam"), F.col("event_id").alias("id"), ip.int_to_ip4("ip").alias("ip"), none.alias("asn")).unionByName(
+        points6(t).select(F.lit("v6").alias("fam"), F.col("pk").alias("id"), "ip", none.alias("asn")))
+    text = F.lit(None).cast("string")
+    six = v6(t).withColumnRenamed("origin", "origin_asn").withColumns({c: text for c in ("cc", "city", "province")})
+    four = prefix(t).withColumns({c: text for c in ("cc", "city", "province")})
+    return M.hop_enrich(hops, four, six).select("fam", "id", "asn")
+
+
+@query("dns_enrich_v6", f"""SELECT 'A' AS qtype, h.event_id AS id, x.m.pid AS pid FROM fx_hops h JOIN ({_LPM}) x ON x.event_id = h.event_id UNION ALL SELECT 'AAAA', pk, pid FROM ({_LPM6}) y""")
+def dns_enrich_v6(t):
+    """A and AAAA answers in one call."""
+    a = t["fx_hops"].select(F.lit("A").alias("qtype"), F.lit(1).alias("atype"), F.col("event_id").alias("id"), ip.int_to_ip4("ip").alias("data"))
+    b = points6(t).select(F.lit("AAAA").alias("qtype"), F.lit(28).alias("atype"), F.col("pk").alias("id"), F.col("ip").alias("data"))
+    return S.dns_enrich(a.unionByName(b), [pgeo(t), v6(t).drop("origin")], {"A": 1, "AAAA": 28}).select("qtype", "id", "pid")
