@@ -179,7 +179,8 @@ def ip_enrich(points: DataFrame, prefixes: DataFrame, point: str = "ip",
 
 def enrich_text(rows: DataFrame, tables: Sequence[DataFrame], address: Column, cols: Sequence[str]) -> DataFrame:
     """Longest-prefix match of addresses given as text, each family in its own table; other rows get nulls."""
-    d = rows.withColumn("_text", address).withColumn("_six", F.coalesce(F.col("_text").contains(":"), F.lit(False)))
+    # the one-element explode keeps the optimizer from copying the address expression into every use of it
+    d = rows.withColumn("_text", F.explode(F.array(address))).withColumn("_six", F.coalesce(F.col("_text").contains(":"), F.lit(False)))
     sides = {ip.is_wide(t, "ip_start"): t for t in tables}
     facts = next(iter(sides.values()))
     out = None
