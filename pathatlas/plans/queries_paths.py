@@ -288,15 +288,25 @@ def asn_names(t):
     return N.asn_names(seen, handles, curated, orgs)
 
 
-@query("snapshot_stats", """SELECT (SELECT count(*) FROM o_prefix WHERE family = 4) AS prefixes, CAST(0 AS BIGINT) AS prefixes_v6,
-  (SELECT count(*) FROM o_pathobs WHERE family = 4) AS paths, CAST(0 AS BIGINT) AS paths_v6, (SELECT dfz_ref FROM o_dfz WHERE family = 4) AS dfz_ref,
-  CAST(1 AS BIGINT) AS dfz_ref_v6""")
+_STATS = """SELECT (SELECT count(*) FROM o_prefix) AS prefixes, (SELECT count(*) FROM o_prefix p JOIN fx_v6 v ON v.pk = p.pid) AS prefixes_v6,
+  (SELECT count(*) FROM o_pathobs) AS paths, (SELECT count(*) FROM o_pathobs p JOIN fx_v6 v ON v.pk = p.pid) AS paths_v6, (SELECT dfz_ref FROM o_dfz) AS dfz_ref,
+  (SELECT greatest(CAST(round(quantile_cont(p.n_paths, 0.9)) AS BIGINT), 1) FROM o_prefix p JOIN fx_v6 v ON v.pk = p.pid) AS dfz_ref_v6, (SELECT count(*) FROM fx_geo_raw) AS segments"""
+_KEYS = ("prefixes", "prefixes_v6", "dfz_ref", "dfz_ref_v6", "paths", "paths_v6", "segments")
+
+
+def both_families(t):
+    from .queries_geo import pathobs6, prefix6
+    return (prefix(t).select("family", "n_paths").unionByName(prefix6(t).select("family", "n_paths")),
+            pathobs(t).select("family").unionByName(pathobs6(t).select("family")))
+
+
+@query("snapshot_stats", f"""SELECT *, sha1('{{' || {" || ',' || ".join(f"'{chr(34)}{k}{chr(34)}:' || {k}" for k in _KEYS)} || '}}')[1:12] AS version FROM ({_STATS}) s""")
 def snapshot_stats(t):
-    return N.snapshot_stats(prefix(t), pathobs(t)).drop("version")
+    return N.snapshot_stats(*both_families(t), t["fx_geo_raw"])
 
 
-@query("overview_counts", """SELECT 'prefixes' AS metric, count(*) AS n FROM o_prefix UNION ALL SELECT 'prefixes_v6', 0
-  UNION ALL SELECT 'paths', count(*) FROM o_pathobs UNION ALL SELECT 'countries', count(DISTINCT cc) FROM o_pgeo""")
+@query("overview_counts", """SELECT 'prefixes' AS metric, count(*) AS n FROM o_prefix UNION ALL SELECT 'prefixes_v6', count(*) FROM o_prefix p JOIN fx_v6 v ON v.pk = p.pid
+  UNION ALL SELECT 'paths', count(*) + (SELECT count(*) FROM o_pathobs p JOIN fx_v6 v ON v.pk = p.pid) FROM o_pathobs UNION ALL SELECT 'countries', count(DISTINCT cc) FROM o_pgeo""")
 def overview_counts(t):
     from .queries_geo import pgeo
-    return N.overview_counts(N.snapshot_stats(prefix(t), pathobs(t)), N.country_counts(pgeo(t)))
+    return N.overview_counts(N.snapshot_stats(*both_families(t)), N.country_counts(pgeo(t)))

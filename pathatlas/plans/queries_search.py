@@ -236,7 +236,7 @@ def probe_report(t):
 
 @query("asn_overview", f"""SELECT o.asn, o.n_v4, n.name, l.prefixes, coalesce(r.up, 0) AS n_up, coalesce(r.peer, 0) AS n_peer, coalesce(r.down, 0) AS n_down, m.sets AS member_of, b.name AS pdb_name
   FROM (SELECT origin_asn AS asn, count(DISTINCT pid) AS n_v4 FROM o_pathobs GROUP BY origin_asn) o
-  LEFT JOIN (SELECT asn, name FROM fx_asn_name WHERE kind = 'handle') n ON n.asn = o.asn
+  LEFT JOIN (SELECT asn, coalesce(max(name) FILTER (WHERE kind = 'curated'), max(name) FILTER (WHERE kind = 'handle')) AS name FROM fx_asn_name GROUP BY asn) n ON n.asn = o.asn
   LEFT JOIN (SELECT origin_asn, string_agg(prefix, ' ' ORDER BY n_paths DESC, pid) AS prefixes FROM (SELECT *, row_number() OVER (PARTITION BY origin_asn ORDER BY n_paths DESC, pid) AS k FROM o_pathsearch) x GROUP BY origin_asn) l ON l.origin_asn = o.asn
   LEFT JOIN (SELECT asn, count(*) FILTER (WHERE rel = 'up') AS up, count(*) FILTER (WHERE rel = 'peer') AS peer, count(*) FILTER (WHERE rel = 'down') AS down FROM ({_REL}) q GROUP BY asn) r ON r.asn = o.asn
   LEFT JOIN (SELECT val, string_agg(DISTINCT set_key, ' ' ORDER BY set_key) AS sets FROM fx_as_member GROUP BY val) m ON m.val = 'AS' || o.asn
@@ -244,7 +244,8 @@ def probe_report(t):
 def asn_overview(t):
     from ..operators import sets as A
     from .queries_sets import edges
-    names = t["fx_asn_name"].where("kind = 'handle'").select("asn", "name")
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("name")))
+    names = t["fx_asn_name"].groupBy("asn").agg(F.coalesce(of("curated"), of("handle")).alias("name"))
     d = S.asn_overview(byorigin(t), C.origin_counts(pathobs(t)), names, R.relation_classify(neigh(t)),
                        A.as_set_reverse(edges(t)), t["fx_pdb_net"])
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

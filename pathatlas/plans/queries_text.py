@@ -417,11 +417,18 @@ def collector_refresh(t):
     return T.rebuilt_tables(t.spark, path)[0].select("prefix", "path_raw", "n_peers")
 
 
-@query("sink_sorted", "SELECT prefix, ip_start FROM fx_prefix")
+@query("sink_sorted", "SELECT prefix, ip_start, TRUE AS apart, TRUE AS ascending FROM fx_prefix")
 def sink_sorted(t):
+    """The rows, whether the key ranges of their files are apart, and whether their file ascends."""
+    from pyspark.sql import Window
     path = scratch(t, "sorted")
     K.sink_sorted(t["fx_prefix"], path, ["ip_start"], partitions=4)
-    return t.spark.read.parquet(path).select("prefix", "ip_start")
+    d = t.spark.read.parquet(path).select("prefix", "ip_start", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
+    ranges = d.groupBy("file").agg(F.min("ip_start").alias("low"), F.max("ip_start").alias("high"))
+    ranges = ranges.withColumn("apart", F.coalesce(F.col("high") <= F.lead("low").over(Window.orderBy("low", "high")), F.lit(True)))  # one row per file
+    inside = Window.partitionBy("file").orderBy("at")
+    d = d.withColumn("ascending", F.coalesce(F.lag("ip_start").over(inside) <= F.col("ip_start"), F.lit(True)))
+    return d.join(ranges.select("file", "apart"), ["file"]).select("prefix", "ip_start", "apart", "ascending")
 
 
 @query("sink_country", "SELECT pid, cc, city FROM o_pgeo WHERE cc IS NOT NULL")
@@ -437,6 +444,10 @@ def integrity_gate(t):
     return K.integrity_gate(t.sql(f"SELECT 'f' || {_V('l_partkey')} AS file FROM lineitem"), t.sql(f"SELECT 'f' || {_V('p_partkey + 100')} AS file FROM part"))
 
 
-@query("collector_table", "SELECT collector, count(*) AS n_obs, CAST(sum(n) AS BIGINT) AS n_entries, 'ris' AS src FROM (SELECT collector, prefix, path_raw, count(*) AS n FROM fx_rib GROUP BY ALL) x GROUP BY collector")
+_SNAPS = "SELECT 'c' || CAST(event_id % 4 AS VARCHAR(20)) AS collector, max(ts) AS snap_ts FROM events GROUP BY event_id % 4"
+
+
+@query("collector_table", f"""SELECT x.collector, count(*) AS n_obs, CAST(sum(n) AS BIGINT) AS n_entries, 'ris' AS src, CAST(epoch(any_value(s.snap_ts)) AS BIGINT) AS snap
+  FROM (SELECT collector, prefix, path_raw, count(*) AS n FROM fx_rib GROUP BY ALL) x LEFT JOIN ({_SNAPS}) s ON s.collector = x.collector GROUP BY x.collector""")
 def collector_table(t):
-    return N.collector_table(obs(t), t.spark.createDataFrame([], "collector string, snap_ts timestamp")).select("collector", "n_obs", "n_entries", "src")
+    return N.collector_table(obs(t), t.sql(_SNAPS)).select("collector", "n_obs", "n_entries", "src", F.unix_timestamp(F.col("snap_ts").cast("timestamp")).alias("snap"))
