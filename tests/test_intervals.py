@@ -44,7 +44,7 @@ def test_numbers_are_dense_for_any_chunk_count(spark):
     vals = [random.Random(5).randint(0, 50) for _ in range(300)]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i bigint, v bigint")
     for n in (1, 4, 64):
-        out = runs.numbered(df, "pos", F.col("v").cast("double"), [F.col("v"), F.col("i")], chunks=n).collect()
+        out = runs.numbered(df, "pos", [F.col("v"), F.col("i")], chunks=n).collect()
         assert [r.i for r in sorted(out, key=lambda r: r.pos)] == [i for i, v in sorted(enumerate(vals), key=lambda x: (x[1], x[0]))]
         assert sorted(r.pos for r in out) == list(range(1, 301))
 
