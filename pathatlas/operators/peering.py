@@ -10,50 +10,50 @@ from . import runs
 # Columns of the published tables as (name, kind, length). Kinds:
 # s text, i integer (bad -> 0), f float (bad -> NULL), b boolean, u first social URL.
 NORMAL_COLUMNS = {
-    "net": (("asn", "i", 0), ("id", "i", 0), ("org_id", "i", 0), ("name", "s", 240), ("aka", "s", 240), ("name_long", "s", 300),
-            ("website", "s", 300), ("social_media", "u", 300), ("looking_glass", "s", 300), ("route_server", "s", 300),
-            ("irr_as_set", "s", 240), ("info_type", "s", 80), ("info_prefixes4", "i", 0), ("info_prefixes6", "i", 0),
-            ("info_traffic", "s", 80), ("info_ratio", "s", 80), ("info_scope", "s", 80), ("info_unicast", "b", 0),
-            ("info_multicast", "b", 0), ("info_ipv6", "b", 0), ("info_never_via_route_servers", "b", 0), ("ix_count", "i", 0),
-            ("fac_count", "i", 0), ("policy_url", "s", 300), ("policy_general", "s", 80), ("policy_locations", "s", 80),
-            ("policy_ratio", "b", 0), ("policy_contracts", "s", 80), ("status_dashboard", "s", 300), ("rir_status", "s", 40),
-            ("updated", "s", 40)),
-    "ix": (("id", "i", 0), ("org_id", "i", 0), ("name", "s", 240), ("aka", "s", 240), ("name_long", "s", 300), ("city", "s", 240),
-           ("country", "s", 2), ("region_continent", "s", 80), ("media", "s", 80), ("proto_unicast", "b", 0),
-           ("proto_multicast", "b", 0), ("proto_ipv6", "b", 0), ("website", "s", 300), ("social_media", "u", 300),
-           ("url_stats", "s", 300), ("net_count", "i", 0), ("fac_count", "i", 0), ("ixf_net_count", "i", 0),
-           ("ixf_last_import", "s", 40), ("service_level", "s", 120), ("terms", "s", 120), ("updated", "s", 40)),
-    "ixlan": (("id", "i", 0), ("ix_id", "i", 0), ("name", "s", 180), ("descr", "s", 300), ("mtu", "i", 0), ("dot1q_support", "s", 80),
-              ("rs_asn", "i", 0), ("arp_sponge", "s", 80), ("ixf_ixp_import_enabled", "b", 0), ("updated", "s", 40)),
-    "ixpfx": (("id", "i", 0), ("ixlan_id", "i", 0), ("protocol", "s", 12), ("prefix", "s", 80), ("in_dfz", "b", 0), ("updated", "s", 40)),
-    "fac": (("id", "i", 0), ("org_id", "i", 0), ("org_name", "s", 240), ("campus_id", "i", 0), ("name", "s", 260), ("aka", "s", 240),
-            ("name_long", "s", 300), ("website", "s", 300), ("social_media", "u", 300), ("clli", "s", 40), ("net_count", "i", 0),
-            ("ix_count", "i", 0), ("carrier_count", "i", 0), ("region_continent", "s", 80), ("address1", "s", 260), ("address2", "s", 260),
-            ("city", "s", 180), ("country", "s", 2), ("state", "s", 80), ("zipcode", "s", 40), ("latitude", "f", 0), ("longitude", "f", 0),
-            ("updated", "s", 40)),
-    "netixlan": (("asn", "i", 0), ("net_id", "i", 0), ("ix_id", "i", 0), ("ixlan_id", "i", 0), ("id", "i", 0), ("name", "s", 220),
-                 ("speed", "i", 0), ("ipaddr4", "s", 80), ("ipaddr6", "s", 120), ("is_rs_peer", "b", 0), ("bfd_support", "b", 0),
-                 ("operational", "b", 0), ("updated", "s", 40)),
-    "netfac": (("net_id", "i", 0), ("fac_id", "i", 0), ("id", "i", 0), ("name", "s", 220), ("city", "s", 180), ("country", "s", 2),
-               ("local_asn", "i", 0), ("updated", "s", 40)),
-    "ixfac": (("id", "i", 0), ("ix_id", "i", 0), ("fac_id", "i", 0), ("name", "s", 220), ("city", "s", 180), ("country", "s", 2),
-              ("updated", "s", 40)),
+    "net": (("asn", "i"), ("id", "i"), ("org_id", "i"), ("name", "s"), ("aka", "s"), ("name_long", "s"),
+            ("website", "s"), ("social_media", "u"), ("looking_glass", "s"), ("route_server", "s"),
+            ("irr_as_set", "s"), ("info_type", "s"), ("info_prefixes4", "i"), ("info_prefixes6", "i"),
+            ("info_traffic", "s"), ("info_ratio", "s"), ("info_scope", "s"), ("info_unicast", "b"),
+            ("info_multicast", "b"), ("info_ipv6", "b"), ("info_never_via_route_servers", "b"), ("ix_count", "i"),
+            ("fac_count", "i"), ("policy_url", "s"), ("policy_general", "s"), ("policy_locations", "s"),
+            ("policy_ratio", "b"), ("policy_contracts", "s"), ("status_dashboard", "s"), ("rir_status", "s"),
+            ("updated", "s")),
+    "ix": (("id", "i"), ("org_id", "i"), ("name", "s"), ("aka", "s"), ("name_long", "s"), ("city", "s"),
+           ("country", "s"), ("region_continent", "s"), ("media", "s"), ("proto_unicast", "b"),
+           ("proto_multicast", "b"), ("proto_ipv6", "b"), ("website", "s"), ("social_media", "u"),
+           ("url_stats", "s"), ("net_count", "i"), ("fac_count", "i"), ("ixf_net_count", "i"),
+           ("ixf_last_import", "s"), ("service_level", "s"), ("terms", "s"), ("updated", "s")),
+    "ixlan": (("id", "i"), ("ix_id", "i"), ("name", "s"), ("descr", "s"), ("mtu", "i"), ("dot1q_support", "s"),
+              ("rs_asn", "i"), ("arp_sponge", "s"), ("ixf_ixp_import_enabled", "b"), ("updated", "s")),
+    "ixpfx": (("id", "i"), ("ixlan_id", "i"), ("protocol", "s"), ("prefix", "s"), ("in_dfz", "b"), ("updated", "s")),
+    "fac": (("id", "i"), ("org_id", "i"), ("org_name", "s"), ("campus_id", "i"), ("name", "s"), ("aka", "s"),
+            ("name_long", "s"), ("website", "s"), ("social_media", "u"), ("clli", "s"), ("net_count", "i"),
+            ("ix_count", "i"), ("carrier_count", "i"), ("region_continent", "s"), ("address1", "s"), ("address2", "s"),
+            ("city", "s"), ("country", "s"), ("state", "s"), ("zipcode", "s"), ("latitude", "f"), ("longitude", "f"),
+            ("updated", "s")),
+    "netixlan": (("asn", "i"), ("net_id", "i"), ("ix_id", "i"), ("ixlan_id", "i"), ("id", "i"), ("name", "s"),
+                 ("speed", "i"), ("ipaddr4", "s"), ("ipaddr6", "s"), ("is_rs_peer", "b"), ("bfd_support", "b"),
+                 ("operational", "b"), ("updated", "s")),
+    "netfac": (("net_id", "i"), ("fac_id", "i"), ("id", "i"), ("name", "s"), ("city", "s"), ("country", "s"),
+               ("local_asn", "i"), ("updated", "s")),
+    "ixfac": (("id", "i"), ("ix_id", "i"), ("fac_id", "i"), ("name", "s"), ("city", "s"), ("country", "s"),
+              ("updated", "s")),
 }
 RENAMES = {"social_media": "social_url"}
 
 
-def _clean(c: Column, n: int) -> Column:
-    return F.substring(F.trim(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("\x00"), F.lit(""))), 1, n)
+def _clean(c: Column) -> Column:
+    return F.trim(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("\x00"), F.lit("")))
 
 
 def pdb_normalize(raw: DataFrame, kind: str) -> DataFrame:
-    """Trimmed, capped and typed columns of one object list; absent columns get the default."""
+    """Trimmed and typed columns of one object list; absent columns get the default."""
     have = set(raw.columns)
     out = []
-    for name, k, n in NORMAL_COLUMNS[kind]:
+    for name, k in NORMAL_COLUMNS[kind]:
         c = F.col(name) if name in have else F.lit(None)
         if k == "s":
-            v = _clean(c, n)
+            v = _clean(c)
         elif k == "i":
             v = F.coalesce(c.cast("string").try_cast("bigint"), F.lit(0).cast("bigint"))
         elif k == "f":
@@ -62,11 +62,11 @@ def pdb_normalize(raw: DataFrame, kind: str) -> DataFrame:
             v = F.coalesce(c.cast("string").isin("true", "1"), F.lit(False))
         else:
             ids = F.filter(F.transform(c, lambda x: x["identifier"]), lambda x: x.isNotNull() & (x != "")) if name in have else None
-            v = _clean(F.get(ids, 0), n) if ids is not None else F.lit("")
+            v = _clean(F.get(ids, 0)) if ids is not None else F.lit("")
         target = f"{kind}_id" if name == "id" else RENAMES.get(name, name)
         out.append(v.alias(target))
     if kind == "net":
-        types = F.array_join(F.transform("info_types", lambda x: _clean(x, 80)), "|") if "info_types" in have else F.lit("")
+        types = F.array_join(F.transform("info_types", lambda x: _clean(x)), "|") if "info_types" in have else F.lit("")
         out.append(F.coalesce(types, F.lit("")).alias("info_types"))
     return raw.select(*out)
 

@@ -95,7 +95,7 @@ def as_set_tokens(t):
     return S.as_set_tokens(d, "f").select("asn", "token")
 
 
-@query("pdb_normalize", """SELECT 64500 + s_suppkey AS asn, s_suppkey AS net_id, s_name[1:240] AS name, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_nationkey AS BIGINT) ELSE 0 END AS info_prefixes4,
+@query("pdb_normalize", """SELECT 64500 + s_suppkey AS asn, s_suppkey AS net_id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_nationkey AS BIGINT) ELSE 0 END AS info_prefixes4,
   s_acctbal > 0 AS info_ipv6, CASE WHEN s_suppkey % 3 = 0 THEN 'http://x/' || s_suppkey ELSE '' END AS social_url FROM supplier""")
 def pdb_normalize(t):
     raw = t["supplier"].select(
@@ -108,6 +108,24 @@ def pdb_normalize(t):
     return D.pdb_normalize(raw, "net").select("asn", "net_id", "name", "info_prefixes4", "info_ipv6", "social_url")
 
 
+_KINDS = ("net", "ix", "ixlan", "ixpfx", "fac", "netixlan", "netfac", "ixfac")
+
+
+@query("pdb_normalize_kinds", " UNION ALL ".join(
+    f"SELECT '{k}' AS kind, s_suppkey AS obj, {'NULL' if k == 'ixpfx' else 's_name'} AS name, 'u' || s_suppkey AS updated FROM supplier" for k in _KINDS))
+def pdb_normalize_kinds(t):
+    raw = t["supplier"].select(F.col("s_suppkey").cast("string").alias("id"), F.concat(F.lit(" "), F.col("s_name")).alias("name"),
+                               F.concat(F.lit("u"), F.col("s_suppkey").cast("string"), F.lit(" ")).alias("updated"))
+    out = None
+    for k in _KINDS:
+        d = D.pdb_normalize(raw, k)
+        key = f"{k}_id" if f"{k}_id" in d.columns else "id"
+        name = F.col("name") if "name" in d.columns else F.lit(None).cast("string")
+        d = d.select(F.lit(k).alias("kind"), F.col(key).cast("bigint").alias("obj"), name.alias("name"), "updated")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 @query("pdb_as_set_fallback", "SELECT asn, CASE WHEN net_id % 2 = 0 THEN 'AS-OWN' WHEN net_id % 3 = 0 THEN 'AS-MAP' || asn ELSE '' END AS irr_as_set FROM fx_pdb_net")
 def pdb_as_set_fallback(t):
     net = t["fx_pdb_net"].select("asn", "net_id", F.when(F.col("net_id") % 2 == 0, "AS-OWN").otherwise("").alias("irr_as_set"))

@@ -159,6 +159,17 @@ def src_vrp(t):
     return X.src_vrp(d).select("ip_start", "vlen", "maxlen", "asn")
 
 
+@query("src_vrp_v6", "SELECT start_hex, plen AS vlen, CASE WHEN pk % 2 = 0 THEN 128 ELSE plen END AS maxlen, 64500 + pk AS asn FROM fx_v6")
+def src_vrp_v6(t):
+    """ROA documents of the 128-bit prefixes, read from files."""
+    from .queries_geo import v6
+    path = scratch(t, "roas")
+    longest = F.when(F.col("pid") % 2 == 0, F.lit(',"maxLength":128')).otherwise(F.lit(""))
+    roa = F.concat(F.lit('{"prefix":"'), F.col("prefix"), F.lit('","asn":'), (F.col("pid") + 64500).cast("string"), longest, F.lit("}"))
+    v6(t).select(F.concat(F.lit('{"roas":['), roa, F.lit(',{"prefix":"1.0.0.0/8","asn":5}]}'))).write.text(path)
+    return X.read_vrp(t.spark, path, 6, multi_line=False).select(F.hex("ip_start").alias("start_hex"), F.col("vlen").cast("bigint").alias("vlen"), F.col("maxlen").cast("bigint").alias("maxlen"), "asn")
+
+
 @query("src_delegated", "SELECT ip_start AS start_num, ip_end AS end_num, 'C' || (pk % 7) AS cc FROM fx_prefix WHERE pk % 4 <> 3")
 def src_delegated(t):
     d = t.sql(f"""SELECT 'apnic|C' || {_V('pk % 7')} || '|ipv4|' || split_part(prefix, '/', 1) || '|' || {_V('ip_end - ip_start + 1')} || '|20110414|' || CASE pk % 4 WHEN 0 THEN 'allocated' WHEN 3 THEN 'reserved' ELSE 'assigned' END || '|x' AS value FROM fx_prefix
@@ -203,6 +214,50 @@ def src_peeringdb(t):
     return O.src_peeringdb(d, "net", "struct<id:bigint,asn:bigint,name:string,status:string>").select("asn", "name")
 
 
+_PDB_KINDS = ("net", "ix", "ixlan", "ixpfx", "fac", "netixlan", "netfac", "ixfac")
+_PDB_ITEM = "struct<id:bigint,asn:bigint,status:string>"
+_PDB_DUMP = f"""SELECT '{{' || {" || ',' || ".join(
+    f"""'"{k}":{{"data":[{{"id":' || {_V(f's_suppkey + {i}')} || ',"asn":' || {_V('s_suppkey')} || ',"status":"' || CASE WHEN (s_suppkey + {i}) % 3 = 0 THEN 'deleted' ELSE 'ok' END || '"}}]}}'"""
+    for i, k in enumerate(_PDB_KINDS))} || '}}' AS json FROM supplier"""
+
+
+@query("src_peeringdb_kinds", " UNION ALL ".join(
+    f"SELECT '{k}' AS kind, s_suppkey + {i} AS id FROM supplier WHERE (s_suppkey + {i}) % 3 <> 0" for i, k in enumerate(_PDB_KINDS)))
+def src_peeringdb_kinds(t):
+    """All eight lists, from dump files with named item schemas."""
+    path = scratch(t, "dump")
+    t.sql(_PDB_DUMP).write.text(path)
+    out = None
+    for kind, d in O.read_peeringdb(t.spark, path, dict.fromkeys(_PDB_KINDS, _PDB_ITEM), multi_line=False).items():
+        d = d.select(F.lit(kind).alias("kind"), "id")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+_RDAP2 = f"""SELECT {_V('s_suppkey')} AS doc, 'ip' AS kind, '{{"handle":"NET-' || {_V('s_suppkey')} || '","name":"' || s_name || '","startAddress":"10.0.0.0","endAddress":"10.0.0.255","type":"PA","parentHandle":"P1","country":"DE",' ||
+  '"cidr0_cidrs":[{{"v4prefix":"10.0.0.0","length":25}},{{"v6prefix":"2001:db8::","length":32}}],"remarks":[{{"title":"Note","description":["line 1","line ' || {_V('s_suppkey')} || '"]}},{{"description":[""]}}]}}' AS json FROM supplier
+  UNION ALL SELECT 'd' || {_V('s_suppkey')} || '.example', 'domain', '{{"ldhName":"d' || {_V('s_suppkey')} || '.example","unicodeName":"d' || {_V('s_suppkey')} || '.example","handle":"D1","nameservers":[{{"ldhName":"ns1.x"}},{{"handle":"NSH"}}],' ||
+  '"secureDNS":{{"delegationSigned":false}},"status":["ok"],"events":[{{"eventAction":"expiration","eventDate":"2030-01-02T00:00:00Z"}}],' ||
+  '"entities":[{{"handle":"E0","entities":[{{"handle":"E1","entities":[{{"handle":"E2","entities":[{{"handle":"E3","entities":[{{"handle":"E4","entities":[{{"handle":"E5"}}]}}]}}]}}]}}]}}]}}' FROM supplier"""
+
+
+@query("src_rdap_ip_domain", """SELECT s_suppkey::VARCHAR AS doc, unnest(['name', 'handle', 'iprange', 'cidr', 'iptype', 'parent', 'country']) AS k,
+  unnest([s_name, 'NET-' || s_suppkey, '10.0.0.0 – 10.0.0.255', '10.0.0.0/25, 2001:db8::/32', 'PA', 'P1', 'DE']) AS v FROM supplier
+  UNION ALL SELECT 'd' || s_suppkey || '.example', unnest(['ldhname', 'handle', 'status', 'expiration', 'ns', 'ns', 'dnssec']), unnest(['d' || s_suppkey || '.example', 'D1', 'ok', '2030-01-02', 'ns1.x', 'NSH', 'unsigned']) FROM supplier""")
+def src_rdap_ip_domain(t):
+    return O.src_rdap(t.sql(_RDAP2))["head"].drop("ord")
+
+
+@query("src_rdap_remarks", "SELECT s_suppkey::VARCHAR AS doc, 'Note' AS title, 'line 1' || chr(10) || 'line ' || s_suppkey AS v FROM supplier")
+def src_rdap_remarks(t):
+    return O.src_rdap(t.sql(_RDAP2))["remarks"].drop("ord")
+
+
+@query("src_rdap_nested", "SELECT 'd' || s_suppkey || '.example' AS doc, unnest([0, 1, 2, 3, 4, 5]) AS depth, unnest(['E0', 'E1', 'E2', 'E3', 'E4', 'E5']) AS handle FROM supplier")
+def src_rdap_nested(t):
+    return O.src_rdap(t.sql(_RDAP2))["entity"].select("doc", "depth", "handle")
+
+
 _RDAP = f"""SELECT {_V('64500 + s_suppkey')} AS doc, 'autnum' AS kind, '{{"handle":"AS' || {_V('64500 + s_suppkey')} || '","name":"' || s_name || '","startAutnum":' || {_V('64500 + s_suppkey')} || ',"endAutnum":' || {_V('64500 + s_suppkey')} ||
   ',"country":"N' || {_V('s_nationkey')} || '","status":["active","x"],"events":[{{"eventAction":"last changed","eventDate":"2024-3-5T01:02:03Z"}},{{"eventAction":"other","eventDate":"x"}}],"remarks":[{{"title":"T","description":["a","b"]}}],"entities":[' ||
   '{{"handle":"H1","roles":["technical"],"vcardArray":["vcard",[["version",{{}},"text","4.0"],["fn",{{}},"text","Tech"],["tel",{{"type":"fax"}},"uri","tel:1"]]],"entities":[{{"handle":"H2","roles":["abuse"],"vcardArray":["vcard",[["fn",{{}},"text","Deep"]]]}}]}},' ||

@@ -42,7 +42,7 @@ def _kv(k, v: Column) -> Column:
 def src_rdap(docs: DataFrame) -> dict[str, DataFrame]:
     """(doc, kind, json) -> head, entity, entity_rows, remarks (kind: autnum, ip or domain).
 
-    Entities are opened one level per step to depth 4; nothing is collected.
+    Entities are opened one level per step, to any depth; nothing is collected.
     """
     d = docs.withColumn("d", F.from_json("json", _RDAP)).select("doc", "kind", "d.*")
     kind = F.col("kind")
@@ -87,14 +87,17 @@ def src_rdap(docs: DataFrame) -> dict[str, DataFrame]:
     entity = found.select("doc", "entity", "depth", "ord", "handle", F.coalesce("roles", F.array().cast("array<string>")).alias("roles"), name.alias("name"))
 
     def row(i: Column) -> Column:
-        prop, params, value = F.get(i, 0), F.get(i, 1), F.get(i, 3)
-        parts = F.filter(F.from_json(value, "array<string>"), lambda p: p.isNotNull() & (p != ""))
-        is_list = value.startswith("[")
-        label = F.get_json_object(params, "$.label")
-        adr = F.when(label.isNotNull() & (label != ""), F.regexp_replace(label, r"\s*\n+\s*", ", ")).when(is_list, F.array_join(parts, ", ")).otherwise(value)
-        text = F.when(prop == "adr", adr).when(is_list, F.array_join(parts, " ")).otherwise(value)
-        fax = (prop == "tel") & F.coalesce(F.get_json_object(params, "$.type"), F.lit("")).rlike("(?i)fax")
-        return F.struct(F.when(fax, "fax").otherwise(_mapped(prop, VCARD_KEYS, prop)).alias("k"), F.trim(text).alias("v"))
+        """(key, text) of one card property: an address in its printed lines if it has them, a list joined, else the value."""
+        prop, value = F.get(i, 0), F.get(i, 3)
+        extra = lambda name: F.get_json_object(F.get(i, 1), f"$.{name}")
+        is_adr = prop == "adr"
+        filled = lambda items: F.filter(items, lambda x: F.coalesce(F.trim(x), F.lit("")) != "")
+        items = filled(F.from_json(value, "array<string>"))
+        listed = F.when(value.startswith("["), F.when(is_adr, F.array_join(items, ", ")).otherwise(F.array_join(items, " ")))
+        printed = F.when(is_adr, F.array_join(F.transform(filled(F.split(extra("label"), "\n")), lambda x: F.trim(x)), ", "))
+        text = F.coalesce(F.nullif(printed, F.lit("")), listed, value)
+        is_fax = (prop == "tel") & F.contains(F.lower(F.coalesce(extra("type"), F.lit(""))), F.lit("fax"))
+        return F.struct(F.when(is_fax, "fax").otherwise(_mapped(prop, VCARD_KEYS, prop)).alias("k"), F.trim(text).alias("v"))
 
     cards = F.array_distinct(F.filter(F.transform(F.filter("_items", lambda i: F.get(i, 0) != "version"), row), lambda r: F.coalesce(r["v"], F.lit("")) != ""))
     entity_rows = found.select("doc", "entity", F.posexplode(cards).alias("ord", "r")).select("doc", "entity", "ord", "r.k", "r.v")
@@ -209,22 +212,25 @@ def src_whois_text(df: DataFrame) -> DataFrame:
 
 # ---- peering dump -----------------------------------------------------------
 
-def read_peeringdb(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Object lists of a dump; only status 'ok' (networks also need an ASN)."""
-    raw = spark.read.option("multiLine", True).json(path)
-    out = {}
-    for kind in ("net", "ix", "ixlan", "ixpfx", "fac", "netixlan", "netfac", "ixfac"):
-        if kind in raw.columns:
-            d = raw.select(F.explode(F.col(kind)["data"]).alias("r")).select("r.*").where("status = 'ok'")
-            out[kind] = d.where("asn IS NOT NULL AND asn <> 0") if kind == "net" else d
-    return out
+def read_peeringdb(spark: SparkSession, path: str, items: dict[str, str], multi_line: bool = True) -> dict[str, DataFrame]:
+    """Object lists of a dump by kind, with the item schema named for each; only status 'ok' (networks also need an ASN).
+
+    A file is one document, or with ``multi_line`` off one document per line, which Spark can split.
+    """
+    schema = ", ".join(f"{kind} struct<data:array<{item}>>" for kind, item in items.items())
+    raw = spark.read.schema(schema).option("multiLine", multi_line).json(path)
+    return {kind: _ok(raw.select(F.explode(F.col(kind)["data"]).alias("r")), kind) for kind in items}
+
+
+def _ok(rows: DataFrame, kind: str) -> DataFrame:
+    d = rows.select("r.*").where("status = 'ok'")
+    return d.where("asn IS NOT NULL AND asn <> 0") if kind == "net" else d
 
 
 def src_peeringdb(df: DataFrame, kind: str, item: str, col: str = "json") -> DataFrame:
     """The same from a JSON text column and an explicit item schema."""
     data = F.from_json(col, f"struct<{kind}:struct<data:array<{item}>>>")[kind]["data"]
-    d = df.select(F.explode(data).alias("r")).select("r.*").where("status = 'ok'")
-    return d.where("asn IS NOT NULL AND asn <> 0") if kind == "net" else d
+    return _ok(df.select(F.explode(data).alias("r")), kind)
 
 
 # ---- measurements -----------------------------------------------------------

@@ -118,9 +118,10 @@ def src_irr_journal(df: DataFrame, text: str = "text", default_source: str = "")
 VRP_JSON = "struct<roas:array<struct<prefix:string,asn:string,maxLength:string>>>"
 
 
-def read_vrp(spark: SparkSession, path: str, family: int = 4) -> DataFrame:
+def read_vrp(spark: SparkSession, path: str, family: int = 4, multi_line: bool = True) -> DataFrame:
+    """ROA files: one document each, or with ``multi_line`` off one document per line, which Spark can split."""
     schema = "roas array<struct<prefix:string,asn:string,maxLength:string>>"
-    return vrp_rows(spark.read.schema(schema).option("multiLine", True).json(path), "roas", family)
+    return vrp_rows(spark.read.schema(schema).option("multiLine", multi_line).json(path), "roas", family)
 
 
 def src_vrp(df: DataFrame, col: str = "json", family: int = 4) -> DataFrame:
