@@ -174,8 +174,9 @@ def ip_enrich(t):
 @query("ip_enrich_v6", """SELECT a.h, arg_max(p.pk, p.plen) AS pid FROM (SELECT pk, rpad(start_hex[1:20] || 'AB', 32, '7') AS h FROM fx_v6) a
   LEFT JOIN fx_v6 p ON p.start_hex <= a.h AND p.end_hex >= a.h GROUP BY a.h, a.pk""")
 def ip_enrich_v6(t):
-    pts = t["fx_v6"].select(F.unhex(F.rpad(F.concat(F.substring("start_hex", 1, 20), F.lit("AB")), 32, "7")).alias("ip"))
-    return S.ip_enrich(pts, v6(t), cols=("pid",)).select(F.hex("ip").alias("h"), "pid")
+    p = t.once("v6", lambda: v6(t))
+    pts = p.select(F.unhex(F.rpad(F.concat(F.substring(F.hex("ip_start"), 1, 20), F.lit("AB")), 32, "7")).alias("ip"))
+    return S.ip_enrich(pts, p, cols=("pid",)).select(F.hex("ip").alias("h"), "pid")
 
 
 _DNS = """SELECT 'd' || CAST(trace_id AS VARCHAR(20)) || '.example.net' AS domain, CASE event_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'TXT' WHEN 2 THEN 'NS' ELSE 'A' END AS qtype,
