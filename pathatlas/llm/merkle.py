@@ -1,7 +1,7 @@
 """Document fingerprints: a Merkle tree over leaves, paragraphs and sections, in built-in functions only.
 
-A section ends after an empty line, a paragraph after a line break, a leaf after white space that follows punctuation or one
-of the vowels a, e, o; nothing of the text is lost, so the root is equal exactly for equal texts. A paragraph hashes the
+A section ends after an empty line, a paragraph after a line break, a leaf after white space that follows a sign other than
+a letter or digit, or one of the vowels a, e, o; nothing of the text is lost, so the root is equal exactly for equal texts. A paragraph hashes the
 hashes of its leaves, a section those of its paragraphs, the root (SHA-256) those of its sections. The fingerprint string is
 
     root/section:paragraph.leaf.leaf,paragraph.leaf/section:...
@@ -98,14 +98,17 @@ def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     document, and as a next document they stand with their smallest text. A null id comes before all others. A single document
     is its own next. An empty table gives an empty result; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    keyed = lambda c: [F.coalesce(c, F.lit(0)).alias("_k"), F.isnull(c).alias("_null")]  # noqa: E731  null is a key of its own
+    # both joins use exactly these columns, so that one exchange of the texts serves both
+    rows = docs.select(*keyed(F.col(id_col)), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     link = next_ids(docs.select(id_col, text_col), id_col, text_col)
-    after = rows.join(link, F.col("_doc").eqNullSafe(F.col("_id"))).select(
-        "_prev", F.expr("substring(_text, 1, _need)").alias("head"), "_text")
-    after = after.withColumn("fp", fingerprint(F.col("_text"))).groupBy("_prev").agg(F.min(F.struct("head", "fp")).alias("_after"))
-    both = rows.join(after, F.col("_doc").eqNullSafe(F.col("_prev")))
+    after = rows.join(link.select(*keyed(F.col("_id")), "_prev", "_need"), ["_k", "_null"]).select(
+        *keyed(F.col("_prev")), F.expr("substring(_text, 1, _need)").alias("head"), fingerprint(F.col("_text")).alias("fp"))
+    after = after.groupBy("_k", "_null").agg(F.min(F.struct("head", "fp")).alias("_after"))
+    both = rows.join(after, ["_k", "_null"])
     k = "cast(floor(length(_text) / 4) as int)"
-    both = both.select("_doc", "_text", "_after", F.expr(
+    doc = F.when(~F.col("_null"), F.col("_k")).alias("_doc")
+    both = both.select(doc, "_text", "_after", F.expr(
         f"concat(substring(_text, 1, length(_text) - {k}), substring(_after.head, 1, {k}))").alias("_edited"))
     made = both.select("_doc", F.length("_text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"),
                        fingerprint(F.col("_text")).alias("fingerprint"), fingerprint(F.col("_edited")).alias("edited_fingerprint"),
