@@ -19,7 +19,7 @@ from .common import query, saved, table
 
 SECTION_CUT = r"(?<=\n\n)(?=[^\n])"
 PARAGRAPH_CUT = r"(?<=\n)"
-LEAF_CUT = r"(?<=[.,;:!?|aeo]\s)(?=\S)"
+LEAF_CUT = r"(?<=[^\p{L}\p{N}\s]\s|[aeo]\s)(?=\S)"
 
 
 def fingerprint(text: Column) -> Column:
