@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ip, paths
+from ..session import cut_lineage
 from . import runs
 
 PART = 128  # paths in one part of a bundle
@@ -95,24 +96,32 @@ def attach_pid(pathobs: DataFrame, numbered: DataFrame) -> DataFrame:
     return pathobs.drop("pid").join(numbered.select("prefix", "pid"), ["prefix"])
 
 
+def path_rows(pathobs: DataFrame) -> DataFrame:
+    """Every path of every pid in the forms that searches and counts read; a projection."""
+    return _forms(pathobs)
+
+
+def _forms(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(
+        "pid", "family", paths.padded("path_clean").alias("path_str"), paths.path_array("path_clean").alias("path_arr"),
+        F.when(F.col("path_raw") != F.col("path_clean"), paths.path_array("path_raw")).alias("path_arr_raw"), "path_len", "n_peers", *more)
+
+
 def paths_topk(pathobs: DataFrame, cap: int | None = None) -> DataFrame:
-    """All paths of every pid, or its ``cap`` best observed; the best of a pid is flagged.
+    """``path_rows`` of all paths, or of the ``cap`` best observed of each pid, with the best of a pid flagged.
 
-    Without a cap the best path is a partial aggregate that is joined back. With one, the rank
-    filter becomes a per-task group limit before the shuffle.
+    Without a cap the best path is a partial aggregate that is joined back to the rows, which are written
+    once for both uses. With one, the rank filter becomes a per-task group limit before the shuffle.
     """
-    order = [(-F.col("n_peers")).alias("o"), F.col("path_len"), F.col("path_clean"), F.col("path_raw")]
     rows = pathobs.select("pid", "family", "path_raw", "path_clean", "path_len", "n_peers")
     if cap is None:
-        best = rows.groupBy("pid").agg(F.min(F.struct(*order)).alias("_b"))
-        d = rows.join(best, ["pid"]).withColumn("is_best", F.col("path_raw") == F.col("_b.path_raw"))
+        rows = cut_lineage(rows)
+        order = F.struct((-F.col("n_peers")).alias("o"), "path_len", "path_clean", "path_raw")
+        d = rows.join(rows.groupBy("pid").agg(F.min(order).alias("_b")), ["pid"]).withColumn("is_best", F.col("path_raw") == F.col("_b.path_raw"))
     else:
         d = runs.ranked(rows, "_rn", [F.desc("n_peers"), F.col("path_len"), F.col("path_clean"), F.col("path_raw")], ["pid"], cap)
         d = d.withColumn("is_best", F.col("_rn") == 1)
-    return d.select(
-        "pid", "family", paths.padded("path_clean").alias("path_str"), paths.path_array("path_clean").alias("path_arr"),
-        F.when(F.col("path_raw") != F.col("path_clean"), paths.path_array("path_raw")).alias("path_arr_raw"),
-        "path_len", "n_peers", "is_best")
+    return _forms(d, "is_best")
 
 
 def path_totals(top_paths: DataFrame) -> DataFrame:

@@ -95,3 +95,8 @@ def prefix(t: Tables) -> DataFrame:
 def top_paths(t: Tables) -> DataFrame:
     make = lambda: C.paths_topk(pathobs(t))
     return t.once("paths", make) if t.shared else make()
+
+
+def all_paths(t: Tables) -> DataFrame:
+    """Path rows without the flag of the best one, which needs a join."""
+    return C.path_rows(pathobs(t))

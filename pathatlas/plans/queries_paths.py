@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..operators import consolidate as C
 from ..operators import counts as N
-from .catalog import T1, obs, pathobs, prefix, query, top_paths
+from .catalog import T1, all_paths, obs, pathobs, prefix, query, top_paths
 
 _PREFIX_COLS = ("prefix", "ip_start", "ip_end", "plen")
 
@@ -62,7 +62,7 @@ def paths_topk_small_cap(t):
 
 @query("path_bundle", "SELECT pid, part, bundle FROM o_bundle")
 def path_bundle(t):
-    return C.path_bundle(top_paths(t)).select("pid", "part", C.bundle_text("bundle").alias("bundle"))
+    return C.path_bundle(all_paths(t)).select("pid", "part", C.bundle_text("bundle").alias("bundle"))
 
 
 @query("route_origin", "SELECT DISTINCT pid, origin_asn AS origin, ip_start, plen FROM o_pathobs")
@@ -90,7 +90,7 @@ def origin_counts(t):
 
 @query("asn_seen", "SELECT DISTINCT unnest(path_arr) AS asn FROM o_paths UNION SELECT origin_asn FROM o_prefix")
 def asn_seen(t):
-    return C.asn_seen(top_paths(t), prefix(t))
+    return C.asn_seen(all_paths(t), prefix(t))
 
 
 # ---- AS-path functions ------------------------------------------------------
@@ -163,20 +163,20 @@ def path_query_parse(t):
   CAST(sum(o.n_peers) AS BIGINT) AS observed_peers FROM o_prefix p JOIN o_paths o ON o.pid = p.pid GROUP BY p.pid""")
 def matched_peers(t):
     from ..operators import search as S
-    return S.matched_peers(top_paths(t), "1299 !101")
+    return S.matched_peers(all_paths(t), "1299 !101")
 
 
 @query("path_prefilter", "SELECT DISTINCT pid FROM o_paths WHERE list_contains(path_arr, 6939)")
 def path_prefilter(t):
     from ..operators import search as S
-    return S.path_prefilter(top_paths(t), "6939")
+    return S.path_prefilter(all_paths(t), "6939")
 
 
 @query("match_dominance", """SELECT pid, m / o::DOUBLE AS ratio, 2 * m > o AS dominant FROM (
   SELECT pid, coalesce(sum(n_peers) FILTER (WHERE list_contains(path_arr, 1299)), 0) AS m, sum(n_peers) AS o FROM o_paths GROUP BY pid) x""")
 def match_dominance(t):
     from ..operators import search as S
-    m = S.matched_peers(top_paths(t), "1299")
+    m = S.matched_peers(all_paths(t), "1299")
     return m.select("pid", P.match_ratio("matched_peers", "observed_peers").alias("ratio"),
                     P.match_dominant("matched_peers", "observed_peers").alias("dominant"))
 
@@ -228,14 +228,14 @@ def route_graph_main(t):
   UNION SELECT pid, 'pair', h[i], h[i + 1] FROM (SELECT pid, h, unnest(range(1, len(h))) AS i FROM p) x WHERE h[i] <> h[i + 1]""")
 def tier1_transit(t):
     from ..operators import relations as R
-    return R.tier1_transit(top_paths(t))
+    return R.tier1_transit(all_paths(t))
 
 
 @query("upstream_summary", """SELECT pid, asn, n, CAST(r AS BIGINT) AS pos FROM (SELECT pid, asn, n, row_number() OVER (PARTITION BY pid ORDER BY n DESC, asn) AS r FROM (
   SELECT pid, path_arr[-2] AS asn, count(*) AS n FROM o_paths GROUP BY ALL) a) b""")
 def upstream_summary(t):
     from ..operators import relations as R
-    return R.upstream_summary(top_paths(t))
+    return R.upstream_summary(all_paths(t))
 
 
 # ---- counts and directories -------------------------------------------------
@@ -281,7 +281,7 @@ def ixps_by_country(t):
   LEFT JOIN h USING (asn) LEFT JOIN c USING (asn) LEFT JOIN fx_pdb_net n USING (asn) WHERE coalesce(c.name, h.name, n.name) IS NOT NULL""")
 def asn_names(t):
     names = t["fx_asn_name"]
-    seen = C.asn_seen(top_paths(t), prefix(t))
+    seen = C.asn_seen(all_paths(t), prefix(t))
     handles = names.where("kind = 'handle'").select("asn", F.col("name").alias("handle"))
     curated = names.where("kind = 'curated'").select("asn", "name", F.lit(None).cast("string").alias("name_en"))
     orgs = t["fx_pdb_net"].select("asn", F.col("name").alias("org"))

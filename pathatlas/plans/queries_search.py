@@ -10,7 +10,7 @@ from ..operators import counts as N
 from ..operators import relations as R
 from ..operators import search as S
 from ..operators import validate as V
-from .catalog import T1, pathobs, prefix, query, top_paths
+from .catalog import T1, all_paths, pathobs, prefix, query, top_paths
 from .queries_geo import _WORK, irr, pgeo, rpki, v6, working_set
 
 
@@ -24,17 +24,17 @@ def byorigin(t):
 
 
 def neigh(t):
-    return R.asn_neigh(top_paths(t))
+    return R.asn_neigh(all_paths(t))
 
 
 @query("asn_neigh", "SELECT n.*, p.prefix AS ev_prefix FROM o_neigh n JOIN fx_prefix p ON p.pk = n.ev_pid")
 def asn_neigh(t):
-    return R.asn_neigh(top_paths(t), t["fx_prefix"].withColumnRenamed("pk", "pid"))
+    return R.asn_neigh(all_paths(t), t["fx_prefix"].withColumnRenamed("pk", "pid"))
 
 
 @query("neigh_scan", "SELECT asn, neighbor, d, u, w, wd FROM o_neigh WHERE asn = 1299")
 def neigh_scan(t):
-    return R.neigh_scan(top_paths(t), 1299)
+    return R.neigh_scan(all_paths(t), 1299)
 
 
 @query("neighbor_counts", "SELECT asn, count(*) AS n_neighbors FROM o_neigh GROUP BY asn")
@@ -63,7 +63,7 @@ def relation_groups(t):
   WHERE list_position(p.path_arr, n.asn) > 0 AND (p.path_arr[list_position(p.path_arr, n.asn) + 1] = n.neighbor
     OR (list_position(p.path_arr, n.asn) > 1 AND p.path_arr[list_position(p.path_arr, n.asn) - 1] = n.neighbor))) x WHERE r = 1""")
 def relation_evidence(t):
-    return R.relation_evidence(neigh(t), top_paths(t))
+    return R.relation_evidence(neigh(t), all_paths(t))
 
 
 _PS = "pid, prefix, cc, origin_asn, n_origins, n_paths, is_primary, rpki, irr"
@@ -110,17 +110,17 @@ _COLS = ("pid", "prefix", "origin_asn", "n_paths", "matched_peers", "observed_pe
 
 @query("search_path", _search_path_sql("list_contains(path_arr, 1299)", "s.is_primary"), shared=True)
 def search_path(t):
-    return S.search_path(S.origin_rows(pathobs(t)), top_paths(t), "1299").select(*_COLS)
+    return S.search_path(S.origin_rows(pathobs(t)), all_paths(t), "1299").select(*_COLS)
 
 
 @query("search_path_pattern", _search_path_sql("path_arr[1] = 101 AND list_contains(path_arr, 64510) AND NOT list_contains(path_arr, 174)", "s.is_primary"), shared=True)
 def search_path_pattern(t):
-    return S.search_path(S.origin_rows(pathobs(t)), top_paths(t), "101 * 64510 !174").select(*_COLS)
+    return S.search_path(S.origin_rows(pathobs(t)), all_paths(t), "101 * 64510 !174").select(*_COLS)
 
 
 @query("search_path_in_origin", _search_path_sql("list_contains(path_arr, 6939)", "s.origin_asn = 64520"), shared=True)
 def search_path_in_origin(t):
-    return S.search_path(S.origin_rows(pathobs(t)), top_paths(t), "6939", origins=[64520]).select(*_COLS)
+    return S.search_path(S.origin_rows(pathobs(t)), all_paths(t), "6939", origins=[64520]).select(*_COLS)
 
 
 @query("search_path_unweighted", """SELECT s.pid, s.n_paths, list_contains(string_split(trim(s.best_path), ' '), '1299') AS best_hit FROM o_pathsearch s WHERE s.is_primary
@@ -132,7 +132,7 @@ def search_path_unweighted(t):
 @query("search_common", f"""SELECT pid, n_paths, pos, n > 100 AS more FROM (SELECT pid, n_paths, r - 100 AS pos, (SELECT count(*) FROM ({_search_path_sql("list_contains(path_arr, 1299)", "s.is_primary")}) q JOIN o_dfz d ON q.n_paths >= ceil(greatest(3.0, 0.2 * d.dfz_ref))) - 100 AS n FROM (
   SELECT q.*, row_number() OVER (ORDER BY match_ratio DESC, matched_peers DESC, q.n_paths DESC, pid) AS r FROM ({_search_path_sql("list_contains(path_arr, 1299)", "s.is_primary")}) q JOIN o_dfz d ON q.n_paths >= ceil(greatest(3.0, 0.2 * d.dfz_ref))) x WHERE r BETWEEN 101 AND 200) y""", shared=True)
 def search_common(t):
-    hits = S.low_vis_filter(S.search_path(S.origin_rows(pathobs(t)), top_paths(t), "1299"), C.dfz_ref(prefix(t)))
+    hits = S.low_vis_filter(S.search_path(S.origin_rows(pathobs(t)), all_paths(t), "1299"), C.dfz_ref(prefix(t)))
     return S.search_page(hits, S.path_order(), limit=100, page=1).select("pid", "n_paths", "pos", "more")
 
 
@@ -256,7 +256,7 @@ def asn_overview(t):
 
 @query("sink_csv", f"""SELECT prefix, origin_asn, printf('%.2f', round(100.0 * matched_peers / observed_peers, 2)) || '%' AS share FROM ({_search_path_sql("list_contains(path_arr, 1299)", "s.is_primary")}) q""", shared=True)
 def sink_csv(t):
-    hits = S.search_path(S.origin_rows(pathobs(t)), top_paths(t), "1299")
+    hits = S.search_path(S.origin_rows(pathobs(t)), all_paths(t), "1299")
     return S.export_rows(hits, S.path_order(), {"prefix": F.col("prefix"), "origin_asn": F.col("origin_asn"), "share": S.match_share_text()})
 
 
