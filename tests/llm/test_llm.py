@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pathatlas.llm import bpe, decontam, licenses, lines, lm, merkle, simhash, toxicity, urls, warc
+from pathatlas.llm import bpe, decontam, jaccard, licenses, lines, lm, merkle, simhash, toxicity, urls, warc
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, None, "a"), (2, "", None), (2, "", None), (None, "word", "a"), (3, "x" * 30_000, "a"), (4, "tie one two", "b"), (5, "tie one two", "b"),
@@ -141,6 +141,66 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0 and simhash.keep_one(odd.limit(0)).count() == 0
 
 
+def brute_shingles(text):
+    words = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    return {" ".join(words[i:i + 5]) for i in range(len(words) - 4)} or {" ".join(words)}
+
+
+def brute_similar(texts):
+    """Smallest id of each text's group over all pairs of five-word Jaccard similarity 0.8 or more."""
+    sets = {i: brute_shingles(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    order = sorted(sets, key=lambda i: len(sets[i]))
+    for x, i in enumerate(order):
+        for j in order[x + 1:]:
+            a, b = sets[i], sets[j]
+            if 5 * len(a) < 4 * len(b):
+                break
+            if 5 * len(a & b) >= 4 * len(a | b):
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    return {i: find(i) for i in texts}
+
+
+def test_jaccard_keeps_one_of_each_brute_force_group(spark):
+    """Copies about the bound (far beyond 3 bits of SimHash), chains of them, and one large group."""
+    rng = random.Random(12)
+    texts = {}
+    for _ in range(60):
+        words = [f"v{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        for _ in range(rng.randrange(1, 5)):
+            texts[len(texts)] = " ".join(words)
+            words = list(words)
+            for _ in range(rng.randrange(0, len(words) // 30)):
+                words[rng.randrange(len(words))] = "changed"
+    base = [f"b{k}" for k in range(300)]
+    for k in range(80):
+        texts[len(texts)] = " ".join(w if j % 80 != k else f"x{k}" for j, w in enumerate(base))
+    want = brute_similar(texts)
+    near = [(i, want[i]) for i in texts if want[i] != i and texts[i] != texts[want[i]]]
+    assert any((simhash.simhash(texts[a], 5) ^ simhash.simhash(texts[b], 5)).bit_count() > 3 for a, b in near)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("node", F.lit("clash"))
+    out = jaccard.keep_one(df)
+    assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == sorted(set(want.values()))
+
+
+def test_jaccard_on_the_documents(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    want = brute_similar(texts)
+    got = [r["doc_id"] for r in jaccard.keep_one(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()]
+    assert sorted(got) == sorted(set(want.values()))
+
+
+def test_jaccard_of_odd_rows(spark, odd):
+    assert rows_of(jaccard.keep_one(odd).select("doc_id")) == sorted([(1,), (None,), (3,), (4,), (7,)], key=repr)
+    assert jaccard.keep_one(odd.limit(0)).count() == 0
+
+
 # ---- 2: toxicity -------------------------------------------------------------------------------------------------------
 
 def invented(rng, bad):
