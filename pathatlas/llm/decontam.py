@@ -169,11 +169,16 @@ class Finder:
                 for a, b in zip(*np.nonzero(cos >= self.least[j:j + 4096]), strict=True):
                     yield int(owner[i + a]), int(first[i + a]), int(j + b), float(cos[a, b])
 
+    @staticmethod
+    def occurs(share: float, answer: float) -> bool:
+        return share >= SURE or (share >= LIKELY and answer >= ANSWER)
+
     def verify(self, words: np.ndarray, start: int, item: int) -> tuple[float, float]:
         """Shares of the item's and of its answer's words that the text around a window holds in order.
 
         They are the best over stretches of a quarter more words than the item has, each begun an eighth of it later, if
-        the whole neighbourhood holds enough at all; so words strewn over a longer text do not add up.
+        the whole neighbourhood holds enough at all; so words strewn over a longer text do not add up. A stretch that is
+        an occurrence goes before all that are none, however much of the item those hold.
         """
         _, own, masks, answer = self.long[item]
         m, n = len(own), self.answer_size(own)
@@ -183,14 +188,14 @@ class Finder:
             return best
         width, step = m + m // 4, max(1, m // 8)
         stretches = [near[i:i + width] for i in range(0, max(1, len(near) - width + step), step)]
-        return max((lcs(masks, m, s) / m, lcs(answer, n, s) / n) for s in stretches)
+        return max(((lcs(masks, m, s) / m, lcs(answer, n, s) / n) for s in stretches), key=lambda x: (self.occurs(*x), x))
 
     def find(self, texts: list[np.ndarray]) -> list[dict[int, tuple[float, float, float]]]:
         """For each text the items it holds: item id -> (cosine, share of the item, share of the answer)."""
         out: list[dict] = [{} for _ in texts]
         for t, start, item, cos in self.candidates(texts):
             got = (cos, *self.verify(texts[t], start, item))
-            if got[1] >= SURE or (got[1] >= LIKELY and got[2] >= ANSWER):
+            if self.occurs(*got[1:]):
                 key = self.long[item][0]
                 out[t][key] = max(out[t].get(key, (0.0, 0.0, 0.0)), got, key=lambda x: (x[1], x[2], x[0]))
         for t, words in enumerate(texts):

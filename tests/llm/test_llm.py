@@ -332,6 +332,31 @@ def test_decontamination_recall_on_the_documents(spark):
     assert want and len(got & want) >= 0.9 * len(want) and got == want
 
 
+def test_decontamination_of_paraphrases_with_inserted_words():
+    """An item spread by other words is an occurrence if any stretch is, though another one holds more of the item."""
+    rng = random.Random(15)
+    space = decontam.Space(np.zeros((decontam.FEATURES, decontam.RANK), np.float32))
+    passing = hidden = 0
+    for k in range(300):
+        own = [f"i{k}x{j}" for j in range(rng.randrange(16, 50))]
+        spread = []
+        for w in own:
+            spread += [w] * (rng.random() < 0.8) + ["between"] * (rng.random() < 0.6)
+        text = ["before"] * 64 + spread + ["after"] * 64
+        finder, m, n = decontam.Finder(space, [(k, " ".join(own))]), len(own), max(3, len(own) // 4)
+        near = text[max(0, 64 - m):64 + 32 + m]
+        shares = []
+        for i in range(0, max(1, len(near) - (m + m // 4) + max(1, m // 8)), max(1, m // 8)):
+            held = set(near[i:i + m + m // 4])
+            shares.append((sum(w in held for w in own) / m, sum(w in held for w in own[m - n:]) / n))
+        good = lambda a, b: a >= 0.8 or (a >= 0.6 and b >= 0.8)
+        want = any(good(*x) for x in shares)
+        got = finder.verify(decontam.word_hashes(" ".join(text)), 64, 0)
+        assert good(*got) == want
+        passing, hidden = passing + want, hidden + (want and not good(*max(shares)))
+    assert passing > 50 and hidden > 5
+
+
 # ---- 5: byte-level BPE -------------------------------------------------------------------------------------------------
 
 HARD = ["", " ", "\n\n  a", "a" * 700, " " * 600 + "x", "ab" * 400, "é" * 300, "日本語" * 150, "it's WE'LL <|endoftext|>", "\x00\x01", "aaab" * 200,
