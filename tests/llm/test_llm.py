@@ -495,6 +495,18 @@ def test_lm_gradient():
         assert abs((loss(lm.Net(up)) - loss(lm.Net(down))) / 2e-2 + step[i] / 1e-2) < 2e-2 * max(1, abs(step[i] / 1e-2))
 
 
+def test_lm_embedding_learns_from_every_document(spark, monkeypatch):
+    """Copies take one place among the start texts, and the pass over all documents moves the embedding."""
+    texts = ["alpha beta gamma delta " * 30] * 50 + [f"one two three w{i} " * 30 for i in range(8)] + [""]
+    df = spark.createDataFrame([(lm.buckets_of(t).tobytes(),) for t in texts], "words binary")
+    monkeypatch.setattr(lm, "WARM_DOCS", 5)
+    assert lm.start_texts(df).distinct().count() == lm.start_texts(df).count() == 5
+    monkeypatch.setattr(lm, "WARM_DOCS", 0)  # all that is learned is learned in the pass over all documents
+    lex = lm.lexicon(df)
+    moved = np.abs(lm.train(df, lex).parts[0] - lm.Net().parts[0]).max(axis=1)
+    assert all(moved[c] > 0 for t in texts for c in lex.classes[lm.buckets_of(t)])
+
+
 def test_lm_of_odd_rows(spark, odd):
     got = rows_of(lm.score(odd).select("doc_id", "n_words", F.isnull("mean_log_prob")))
     assert [(d, n) for d, n, _ in got] == sorted([(1, 0), (2, 0), (2, 0), (3, 1), (4, 3), (5, 3), (6, 0), (7, 3), (None, 1)], key=repr)
