@@ -23,6 +23,8 @@ FEATURES = 1 << BITS
 COSINE = 0.6
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense)([.\-][^/]*)?$"
 
+RESERVED = "All rights reserved."  # many licences hold this line too, so it only counts where no other notice is found
+
 # Short notices of well-known licences.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -45,6 +47,7 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."),
+    ("Proprietary", RESERVED),
 ]
 
 
@@ -65,6 +68,7 @@ class Matcher:
     names: list[str]
     column: np.ndarray  # feature -> row of ``weights``, -1 if in no template
     weights: np.ndarray  # (words of templates, templates), unit columns
+    reserved: np.ndarray  # whether a template is RESERVED
 
     @classmethod
     def of(cls, idf: np.ndarray, templates: list[tuple[str, str]]) -> Matcher:
@@ -76,10 +80,10 @@ class Matcher:
         for j, (f, n) in enumerate(rows):
             weights[column[f], j] = (1 + np.log(n)) * idf[f]
         weights /= np.maximum(1e-12, np.linalg.norm(weights, axis=0))
-        return cls(idf, [n for n, _ in templates], column, weights)
+        return cls(idf, [n for n, _ in templates], column, weights, np.array([t == RESERVED for _, t in templates], bool))
 
     def best(self, text: str | None) -> tuple[str | None, float]:
-        """Licence and cosine of the passage that is most like a template; the first template wins a tie."""
+        """Licence and cosine of the passage that is most like a template; the first template wins a tie. RESERVED gives way to any other one that is found."""
         feats, cuts = _passages(text)
         if not len(feats) or not self.weights.size or not (self.column[feats] >= 0).any():
             return None, 0.0
@@ -96,6 +100,8 @@ class Matcher:
                 starts = np.flatnonzero(np.diff(rows, prepend=-1))
                 dots = np.add.reduceat(self.weights[own[hit]] * w[:, None], starts, axis=0)
                 top = np.maximum(top, (dots / np.maximum(1e-12, length[rows[starts]])[:, None]).max(axis=0))
+        if (top[~self.reserved] >= COSINE).any():
+            top[self.reserved] = 0
         j = int(top.argmax())
         return self.names[j], min(1.0, float(top[j]))
 

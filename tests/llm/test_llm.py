@@ -276,6 +276,23 @@ def test_license_scan_inherits_from_the_nearest_directory(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_every_licence_line_of_the_documents_gets_its_licence(spark):
+    forms = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "Proprietary",
+             "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT",
+             "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    m = licenses.Matcher.of(licenses.frequencies(docs), licenses.TEMPLATES)
+    seen = set()
+    for r in docs.where(F.expr("text rlike '(?i)licen[sc]|rights reserved'")).collect():
+        own = [x for x in (r["text"] or "").split("\n") if x in forms]
+        if own:
+            name, score = m.best(r["text"])
+            assert name in {forms[x] for x in own} and score >= licenses.COSINE
+            seen.update(own)
+    assert seen == set(forms)
+    assert m.best("All rights reserved.\nReleased under the MIT License.")[0] == "MIT"
+
+
 # ---- 4: decontamination ------------------------------------------------------------------------------------------------
 
 def test_lcs_equals_the_table_method():
