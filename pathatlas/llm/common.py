@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,21 +112,31 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 
 def pieces(total: np.ndarray, n: int = 16) -> pd.DataFrame:
-    """A fixed-size array of a task (its size a multiple of ``n``) as rows (piece, v) that ``added`` sums."""
-    return pd.DataFrame({"piece": np.arange(n, dtype=np.int32), "v": [p.astype(np.float64).tobytes() for p in np.split(total.reshape(-1), n)]})
+    """A fixed-size array of a task (its size a multiple of ``n``) as rows (lot, piece, v) that ``added`` sums; tasks that
+    follow one another share a lot."""
+    at = TaskContext.get()
+    lot = at.partitionId() // 32 % LOTS if at else 0
+    return pd.DataFrame({"lot": np.int32(lot), "piece": np.arange(n, dtype=np.int32),
+                         "v": [p.astype(np.float64).tobytes() for p in np.split(total.reshape(-1), n)]})
 
 
-PIECES = "piece int, v binary"
+LOTS = 256
+PIECES = "lot int, piece int, v binary"
 
 
 def added(df: DataFrame) -> np.ndarray:
-    """Sum over all tasks of the arrays they handed out as ``pieces``; added per piece on executors. Empty without tasks."""
+    """Sum over all tasks of the arrays they handed out as ``pieces``; empty without tasks.
+
+    The arrays of a lot are added first, piece by piece, then the at most LOTS sums of each piece: no task reads the arrays
+    of more than a 256th of the tasks (or of 32).
+    """
     def add(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = 0.0
         for pdf in parts:
             for v in pdf["v"]:
                 total = total + np.frombuffer(v, np.float64)
-        yield pd.DataFrame({"piece": [key[0]], "v": [total.tobytes()]})
+        yield pd.DataFrame({"lot": np.int32(0), "piece": [key[-1]], "v": [total.tobytes()]})
 
-    got = df.groupBy("piece").applyInPandas(add, PIECES).toPandas().sort_values("piece")
+    lots = df.groupBy("lot", "piece").applyInPandas(add, PIECES)
+    got = lots.groupBy("piece").applyInPandas(add, PIECES).toPandas().sort_values("piece")
     return np.concatenate([np.frombuffer(v, np.float64) for v in got["v"]]) if len(got) else np.zeros(0)
