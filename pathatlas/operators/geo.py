@@ -9,7 +9,8 @@ from ..functions import ip, text
 from . import consolidate as C
 from . import runs
 from .intervals import intervals_merge, intervals_subtract
-from .joins import asof_join, covering_join, overlap_scan
+from .joins import asof_join, overlap_scan
+from .sweep import enclosing
 
 DEFAULT_POINT = (20.0, 0.0)
 
@@ -88,14 +89,11 @@ def pgeo_build(prefix: DataFrame, geo: DataFrame | None = None, rpki: DataFrame
     return geo_point_join(d, geo)
 
 
-def prefix_forest(prefix: DataFrame, **join_args) -> DataFrame:
-    """Immediate parent of each prefix: (child, child_start, child_end, parent)."""
-    p = prefix.select(F.col("pid").alias("child"), F.col("ip_start").alias("child_start"),
-                      F.col("ip_end").alias("child_end"), F.col("plen").alias("child_plen"))
-    r = prefix.select("pid", "ip_start", "plen")
-    hits = covering_join(p, r, left_start="child_start", left_plen="child_plen", strict=True,
-                         right_cols={"pid": "parent", "plen": "_pplen"}, **join_args)
-    return hits.groupBy("child", "child_start", "child_end").agg(F.max_by("parent", "_pplen").alias("parent"))
+def prefix_forest(prefix: DataFrame, chunks: int | None = None) -> DataFrame:
+    """Immediate parent of each prefix that has one: (child, child_start, child_end, parent), by one sweep."""
+    found = enclosing(prefix.select("pid", "ip_start", "plen"), chunks=chunks).where("up_id is not null")
+    end = ip.network_end("ip_start", F.col("plen"), ip.is_wide(prefix, "ip_start"))
+    return found.select(F.col("pid").alias("child"), F.col("ip_start").alias("child_start"), end.alias("child_end"), F.col("up_id").alias("parent"))
 
 
 def effective_range(prefix: DataFrame, forest: DataFrame | None = None, chunks: int | None = None) -> DataFrame:

@@ -108,27 +108,3 @@ def overlap_pieces(a: DataFrame, b: DataFrame, *, a_start: str, a_end: str, b_st
     return x.where(at_a | at_b).select(
         F.col("_pos").alias("s"), F.when(ends[0] <= ends[1], ends[0]).otherwise(ends[1]).alias("e"),
         *[F.col("_a")[c].alias(o) for c, o in a_cols.items()], *[F.col("_b")[c].alias(o) for c, o in b_cols.items()])
-
-
-def longest_match(points: DataFrame, prefixes: DataFrame, *, point: str, cols: dict[str, str],
-                  lengths: Sequence[int] | None = None) -> DataFrame:
-    """Longest-prefix match for a table of addresses (left join semantics).
-
-    Distinct addresses are looked up once, so repeated addresses cost one probe set; the
-    result is joined back by address (adaptive execution splits a hot address).
-    """
-    wide = ip.is_wide(points, point)
-    addrs = points.select(point).where(F.col(point).isNotNull()).distinct()
-    pref = prefixes.select("ip_start", "plen", *[c for c in cols if c not in ("ip_start", "plen")])
-    names = {c: f"_m_{o}" for c, o in cols.items()}
-    if "plen" not in names:
-        names["plen"] = "_m__plen"
-    hits = covering_join(addrs, pref, left_start=point, left_plen=F.lit(ip.bits_of(wide)),
-                         right_cols=names, lengths=lengths)
-    payload = F.struct(*[F.col(names[c]).alias(o) for c, o in cols.items()])
-    best = hits.groupBy(point).agg(F.max_by(payload, F.col(names["plen"])).alias("_best"))
-    found = points.where(F.col(point).isNotNull()).join(best, [point], "left")
-    found = found.select(*points.columns, *[F.col("_best")[o].alias(o) for o in cols.values()])
-    # rows without an address meet nothing and stay out of the join, where they would share one key
-    rest = points.where(F.col(point).isNull())
-    return found.unionByName(rest.select(*points.columns, *[F.lit(None).cast(found.schema[o].dataType).alias(o) for o in cols.values()]))

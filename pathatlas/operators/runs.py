@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 CHUNK = "_chunk"
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 256 << 20  # of a chunk that is scanned by a window, which spills
 
 
-def with_chunks(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), chunks: int | None = None) -> DataFrame:
+def with_chunks(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), chunks: int | None = None,
+                chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Add ``_chunk``: the number of the row's range partition by (keys, ascending ``order``).
 
     The input is written once, so that neither the sample of the range partitioner nor a
@@ -29,7 +30,7 @@ def with_chunks(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = ()
     """
     base = cut_lineage(df)
     size = int(str(base._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = chunks or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // CHUNK_BYTES))
+    n = chunks or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // chunk_bytes))
     ranged = base.repartitionByRange(n, *[F.col(k) for k in keys], *order, F.monotonically_increasing_id())
     return cut_lineage(ranged.withColumn(CHUNK, F.spark_partition_id()))
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import ip, paths as P
 from . import consolidate as C
 from . import runs
-from .joins import covering_join, longest_match
+from .joins import covering_join
+from .sweep import longest_match
 
 
 # ---- published search tables ------------------------------------------------
@@ -84,11 +85,10 @@ def path_prefilter(top_paths: DataFrame, query: str) -> DataFrame:
     return top_paths.where(P.path_query_parse(query).include_cond(F.col("path_str"))).select("pid").distinct()
 
 
-def search_path(rows: DataFrame, all_paths: DataFrame, query: str, *, origins: Sequence[int] | None = None, cc: str | None = None) -> DataFrame:
-    """AS-path search over (prefix, origin) rows and path rows.
+def with_hits(rows: DataFrame, hits: DataFrame, *, origins: Sequence[int] | None = None, cc: str | None = None) -> DataFrame:
+    """(prefix, origin) rows of the prefixes in ``hits`` (pid, matched_peers, observed_peers), with ratio and majority.
 
-    The paths are filtered and summed per prefix first (a partial aggregate), so only prefixes with a match meet
-    their rows. A global search keeps one row per prefix (``is_primary``). Order with ``path_order``.
+    A global search keeps one row per prefix (``is_primary``). Order with ``path_order``.
     """
     d = rows
     if cc is not None:
@@ -97,12 +97,20 @@ def search_path(rows: DataFrame, all_paths: DataFrame, query: str, *, origins: S
         d = d.where(F.col("origin_asn").isin(*origins))
     elif "is_primary" in d.columns:
         d = d.where("is_primary")
-    hits = matched_peers(all_paths, query).where("matched_peers > 0")
     return (d.drop("observed_peers").join(hits, ["pid"])
             .withColumn("match_ratio", P.match_ratio("matched_peers", "observed_peers"))
             .withColumn("dominant", P.match_dominant("matched_peers", "observed_peers")))
 
 
+def search_path(rows: DataFrame, all_paths: DataFrame, query: str, *, origins: Sequence[int] | None = None, cc: str | None = None) -> DataFrame:
+    """AS-path search over (prefix, origin) rows and path rows, without an index.
+
+    The paths are filtered and summed per prefix first (a partial aggregate), so only prefixes with a match meet
+    their rows. ``hops.matched_peers`` gives the same hits from a hop index.
+    """
+    return with_hits(rows, matched_peers(all_paths, query).where("matched_peers > 0"), origins=origins, cc=cc)
+
+
 def path_order() -> list[Column]:
     return [F.desc("match_ratio"), F.desc("matched_peers"), F.desc("n_paths"), F.asc("pid")]
 

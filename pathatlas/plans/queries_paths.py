@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..operators import consolidate as C
 from ..operators import counts as N
+from ..operators import hops as H
 from .catalog import T1, all_paths, obs, pathobs, prefix, query, top_paths
 
 _PREFIX_COLS = ("prefix", "ip_start", "ip_end", "plen")
@@ -168,8 +169,7 @@ def matched_peers(t):
 
 @query("path_prefilter", "SELECT DISTINCT pid FROM o_paths WHERE list_contains(path_arr, 6939)")
 def path_prefilter(t):
-    from ..operators import search as S
-    return S.path_prefilter(all_paths(t), "6939")
+    return H.path_prefilter(H.build(all_paths(t)), "6939")
 
 
 @query("match_dominance", """SELECT pid, m / o::DOUBLE AS ratio, 2 * m > o AS dominant FROM (

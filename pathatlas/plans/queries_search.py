@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import ip
 from ..operators import consolidate as C
 from ..operators import counts as N
+from ..operators import hops as H
 from ..operators import relations as R
 from ..operators import search as S
 from ..operators import validate as V
@@ -108,19 +109,40 @@ def _search_path_sql(cond, keep, cols="s.pid, s.prefix, s.origin_asn, s.n_paths,
 _COLS = ("pid", "prefix", "origin_asn", "n_paths", "matched_peers", "observed_peers", "match_ratio", "dominant")
 
 
+def _by_index(t, pattern, **where):
+    return S.with_hits(S.origin_rows(pathobs(t)), H.matched_peers(H.build(all_paths(t)), pattern), **where)
+
+
 @query("search_path", _search_path_sql("list_contains(path_arr, 1299)", "s.is_primary"), shared=True)
 def search_path(t):
-    return S.search_path(S.origin_rows(pathobs(t)), all_paths(t), "1299").select(*_COLS)
+    return _by_index(t, "1299").select(*_COLS)
 
 
 @query("search_path_pattern", _search_path_sql("path_arr[1] = 101 AND list_contains(path_arr, 64510) AND NOT list_contains(path_arr, 174)", "s.is_primary"), shared=True)
 def search_path_pattern(t):
-    return S.search_path(S.origin_rows(pathobs(t)), all_paths(t), "101 * 64510 !174").select(*_COLS)
+    return _by_index(t, "101 * 64510 !174").select(*_COLS)
 
 
 @query("search_path_in_origin", _search_path_sql("list_contains(path_arr, 6939)", "s.origin_asn = 64520"), shared=True)
 def search_path_in_origin(t):
-    return S.search_path(S.origin_rows(pathobs(t)), all_paths(t), "6939", origins=[64520]).select(*_COLS)
+    return _by_index(t, "6939", origins=[64520]).select(*_COLS)
+
+
+@query("search_path_scan", _search_path_sql("list_contains(path_arr, 3004) AND coalesce(path_arr[list_position(path_arr, 3004) - 1] = 1299, FALSE)", "s.is_primary"), shared=True)
+def search_path_scan(t):
+    return S.search_path(S.origin_rows(pathobs(t)), all_paths(t), "1299 3004").select(*_COLS)
+
+
+@query("search_path_adjacent", _search_path_sql("list_contains(path_arr, 3004) AND coalesce(path_arr[list_position(path_arr, 3004) - 1] = 1299, FALSE)", "s.is_primary"), shared=True)
+def search_path_adjacent(t):
+    return _by_index(t, "1299 3004").select(*_COLS)
+
+
+@query("hop_index", 'SELECT DISTINCT CAST(asn AS BIGINT) AS asn, trim(path_str) AS path, "at" FROM (SELECT path_str, unnest(path_arr) AS asn, unnest(range(0, len(path_arr)))::INTEGER AS "at" FROM o_paths) x')
+def hop_index(t):
+    rows = all_paths(t)
+    names = rows.select(F.trim("path_str").alias("path")).distinct().withColumn("path_id", H.path_id(F.col("path")))
+    return H.sorted_hops(H.hop_rows(rows)).join(names, ["path_id"]).select("asn", "path", "at")
 
 
 @query("search_path_unweighted", """SELECT s.pid, s.n_paths, list_contains(string_split(trim(s.best_path), ' '), '1299') AS best_hit FROM o_pathsearch s WHERE s.is_primary
@@ -132,7 +154,7 @@ def search_path_unweighted(t):
 @query("search_common", f"""SELECT pid, n_paths, pos, n > 100 AS more FROM (SELECT pid, n_paths, r - 100 AS pos, (SELECT count(*) FROM ({_search_path_sql("list_contains(path_arr, 1299)", "s.is_primary")}) q JOIN o_dfz d ON q.n_paths >= ceil(greatest(3.0, 0.2 * d.dfz_ref))) - 100 AS n FROM (
   SELECT q.*, row_number() OVER (ORDER BY match_ratio DESC, matched_peers DESC, q.n_paths DESC, pid) AS r FROM ({_search_path_sql("list_contains(path_arr, 1299)", "s.is_primary")}) q JOIN o_dfz d ON q.n_paths >= ceil(greatest(3.0, 0.2 * d.dfz_ref))) x WHERE r BETWEEN 101 AND 200) y""", shared=True)
 def search_common(t):
-    hits = S.low_vis_filter(S.search_path(S.origin_rows(pathobs(t)), all_paths(t), "1299"), C.dfz_ref(prefix(t)))
+    hits = S.low_vis_filter(_by_index(t, "1299"), C.dfz_ref(prefix(t)))
     return S.search_page(hits, S.path_order(), limit=100, page=1).select("pid", "n_paths", "pos", "more")
 
 

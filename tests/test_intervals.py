@@ -76,7 +76,7 @@ def test_geo_merge_keeps_the_union_without_overlap(spark):
     assert brute([(r.start_num, r.end_num) for r in c.collect()]) == brute(m)
 
 
-def test_forest_parent_is_the_smallest_superset_also_when_salted(spark):
+def test_forest_parent_is_the_smallest_superset_over_any_number_of_partitions(spark):
     rnd = random.Random(6)
     nets = {(p, (rnd.getrandbits(32) >> (32 - p)) << (32 - p)) for p in [rnd.choice([8, 9, 12, 16, 20, 24]) for _ in range(60)]}
     nets |= {(24, (s + (k << 8)) & 0xFFFFFFFF) for p, s in list(nets) if p < 20 for k in range(8)}
@@ -87,5 +87,30 @@ def test_forest_parent_is_the_smallest_superset_also_when_salted(spark):
         over = [r for r in rows if r[1] <= s and r[2] >= e and r[3] < p]
         if over:
             want[i] = max(over, key=lambda r: r[3])[0]
-    for args in ({}, {"salts": 5, "short": 24}, {"lengths": range(0, 33)}):
-        assert {r.child: r.parent for r in G.prefix_forest(df, **args).collect()} == want
+    wide = df.select("pid", "plen", F.unhex(F.lpad(F.hex("ip_start"), 8, "0")).alias("_b")).select(
+        "pid", F.unhex(F.rpad(F.hex("_b"), 32, "0")).alias("ip_start"), "plen")  # the same nets in the upper bits of 128
+    for chunks in (None, 1, 7, 40):
+        for table in (df, wide):
+            got = G.prefix_forest(table, chunks=chunks).collect()
+            assert len(got) == len(want) and {r.child: r.parent for r in got} == want
+            ends = {r["pid"]: r["ip_end"] for r in df.collect()}
+            assert table is wide or all(r.child_end == ends[r.child] for r in got)
+
+
+def test_longest_match_has_one_row_per_address(spark, monkeypatch):
+    """Addresses of a hot network spread over partitions, repeated addresses, none at all, equal prefixes."""
+    from pathatlas.operators import sweep
+    rnd = random.Random(9)
+    nets = {(p, (rnd.getrandbits(32) >> (32 - p)) << (32 - p) if p else 0) for p in [0, *[rnd.choice([4, 8, 15, 16, 21, 24, 31, 32]) for _ in range(150)]]}
+    hot = next(s for p, s in nets if p == 8)
+    ips = [rnd.getrandbits(32) for _ in range(300)] + [hot + rnd.getrandbits(24) for _ in range(500)] + [s for _, s in list(nets)[:50]] + [hot + 5] * 40
+    want = [max((p, s) for p, s in nets if p == 0 or a >> (32 - p) == s >> (32 - p)) for a in ips]
+    nets = sorted(nets) + sorted(nets)[:20]
+    points = spark.createDataFrame(list(enumerate(ips)) + [(9999, None)], "id int, ip long")
+    prefixes = spark.createDataFrame([(s, p, f"{s}/{p}") for p, s in nets], "ip_start long, plen int, name string")
+    seen = []
+    plain = sweep.enclosing
+    monkeypatch.setattr(sweep, "enclosing", lambda rows, **args: seen.append(rows.count()) or plain(rows, **args))
+    got = {r["id"]: (r["name"], r["plen"]) for r in sweep.longest_match(points, prefixes, point="ip", cols={"name": "name", "plen": "plen"}, chunks=13).collect()}
+    assert got == {**{i: (f"{s}/{p}", p) for i, (p, s) in enumerate(want)}, 9999: (None, None)}
+    assert seen == [len(nets) + len(set(ips))]

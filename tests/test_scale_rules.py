@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 from pathatlas.functions import paths as P
 from pathatlas.operators import consolidate as C
 from pathatlas.operators import deltas as D
-from pathatlas.operators import joins as J
 from pathatlas.operators import runs
 from pathatlas.operators import search as S
 from pathatlas.operators import sets as A
+from pathatlas.operators import sweep as W
 from pathatlas.session import cut_lineage, release_cuts
 from pathatlas.streaming import refresh as T
 
@@ -70,7 +70,7 @@ def test_deep_pages(spark):
 def test_rows_without_an_address_stay(spark):
     points = spark.createDataFrame([(1, 5), (2, None), (3, None)], "id int, ip long")
     prefixes = spark.createDataFrame([(0, 0, "all")], "ip_start long, plen int, name string")
-    got = {r["id"]: r["name"] for r in J.longest_match(points, prefixes, point="ip", cols={"name": "name"}).collect()}
+    got = {r["id"]: r["name"] for r in W.longest_match(points, prefixes, point="ip", cols={"name": "name"}).collect()}
     assert got == {1: "all", 2: None, 3: None}
 
 
