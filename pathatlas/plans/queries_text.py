@@ -23,6 +23,7 @@ from ..sources import rib as B
 from ..sources import text as X
 from ..streaming import refresh as T
 from .catalog import obs, prefix, query
+from .fixtures import _OCT
 
 
 def scratch(t, name: str) -> str:
@@ -73,22 +74,31 @@ def latest_snapshot(t):
 
 # ---- registry texts ---------------------------------------------------------
 
-_RPSL = f"""SELECT 'route:      ' || p.prefix || chr(10) || '% remark' || chr(10) || 'descr:      part ' || {_V('p.pk')} || chr(10) || '+           more' || chr(10) || '            end' || chr(10)
-  || 'Origin:     AS' || {_V('r.origin')} || ' # note' || chr(10) || 'source:     ' || r.source || chr(10) AS obj, p.prefix, r.origin, r.source, p.pk
-  FROM fx_irr_route r JOIN fx_prefix p ON p.ip_start = r.ip_start AND p.plen = r.plen"""
+_RPSL = f"""SELECT 'route:      ' || prefix || chr(10) || '% remark' || chr(10) || 'descr:      part ' || {_V('ip_start')} || chr(10) || '+           more' || chr(10) || '            end' || chr(10)
+  || 'Origin:     AS' || {_V('origin')} || ' # note' || chr(10) || 'source:     ' || source || chr(10) AS obj, prefix, origin, source, ip_start
+  FROM (SELECT *, {_OCT} AS prefix FROM fx_irr_route) r"""
+_HEXTETS = " || ':' || ".join(f"substr(start_hex, {i}, 4)" for i in range(1, 33, 4))
+_RPSL6 = f"""SELECT 'route6:     ' || {_HEXTETS} || '/' || {_V('plen')} || chr(10) || 'origin:     as' || {_V('origin')} || chr(10) || CASE WHEN pk % 2 = 0 THEN 'source:     radb # x' ELSE 'descr:  none' END || chr(10) AS obj FROM fx_v6
+  UNION ALL SELECT 'route:      192.0.2.0/24' || chr(10) || 'origin:     AS' || {_V('origin')} || chr(10) FROM fx_v6"""
 
 
 @query("src_rpsl", f"""SELECT prefix, k, v, count(*) AS n FROM (SELECT prefix, unnest(['route', 'descr', 'origin', 'source']) AS k,
-  unnest([prefix, 'part ' || pk || ' +           more end', 'AS' || origin || ' # note', source]) AS v FROM ({_RPSL}) x) y GROUP BY ALL""")
+  unnest([prefix, 'part ' || ip_start || ' +           more end', 'AS' || origin || ' # note', source]) AS v FROM ({_RPSL}) x) y GROUP BY ALL""")
 def src_rpsl(t):
     return X.src_rpsl(t.sql(_RPSL)).select("prefix", F.explode("attrs").alias("a")).groupBy("prefix", "a.k", "a.v").agg(F.count("*").alias("n"))
 
 
-@query("irr_route_extract", "SELECT DISTINCT r.ip_start, r.ip_end, r.plen, r.origin, r.source FROM fx_irr_route r JOIN fx_prefix p ON p.ip_start = r.ip_start AND p.plen = r.plen")
+@query("irr_route_extract", "SELECT DISTINCT ip_start, ip_end, plen, origin, source FROM fx_irr_route")
 def irr_route_extract(t):
     return X.irr_route_extract(X.src_rpsl(t.sql(_RPSL)), "NONE").select("ip_start", "ip_end", "plen", "origin", "source")
 
 
+@query("irr_route6_extract", "SELECT DISTINCT start_hex AS first, end_hex AS last, CAST(plen AS INTEGER) AS plen, origin, CASE WHEN pk % 2 = 0 THEN 'RADB' ELSE 'NONE' END AS source FROM fx_v6")
+def irr_route6_extract(t):
+    d = X.irr_route_extract(X.src_rpsl(t.sql(_RPSL6)), "NONE", family=6)
+    return d.select(F.hex("ip_start").alias("first"), F.hex("ip_end").alias("last"), "plen", "origin", "source")
+
+
 @query("as_set_extract", """SELECT 'AS-N' || n_nationkey AS name, 'RIPE' AS source, 'second' AS descr, 'AS' || n_nationkey || ' AS-R' || n_regionkey || ' AS7' AS members FROM nation""")
 def as_set_extract(t):
     d = t.sql(f"""SELECT n_nationkey * 2 AS obj_no, 'as-set: as-n' || {_V('n_nationkey')} || chr(10) || 'descr: first' || chr(10) || 'members: AS1' || chr(10) || 'source: RIPE' AS obj FROM nation
@@ -107,9 +117,11 @@ def objects(t):
 
 
 @query("src_registry", """SELECT 'person' AS type, 'P' || n_nationkey AS key, 'person' AS k, n_name AS v FROM nation UNION ALL SELECT 'person', 'P' || n_nationkey, 'remarks', 'a b' FROM nation
-  UNION ALL SELECT 'mntner', 'M' || r_regionkey, unnest(['mntner', 'admin-c', 'auth']), unnest(['M' || r_regionkey, 'P' || r_regionkey, 'x']) FROM region""")
+  UNION ALL SELECT 'mntner', 'M' || r_regionkey, unnest(['mntner', 'admin-c', 'auth']), unnest(['M' || r_regionkey, 'P' || r_regionkey, 'x']) FROM region
+  UNION ALL SELECT 'aut-num', 'AS' || (64500 + s_suppkey), unnest(['aut-num', 'as-name', 'admin-c', 'mnt-by', 'auth']),
+    unnest(['AS' || (64500 + s_suppkey), s_name, CASE WHEN s_suppkey % 3 = 0 THEN 'NOBODY' ELSE 'P' || s_nationkey END, 'M' || (s_nationkey % 5), 'secret']) FROM supplier""")
 def src_registry(t):
-    return objects(t).where("type <> 'aut-num'").select("type", "key", F.explode("attrs").alias("a")).select("type", "key", "a.k", "a.v")
+    return objects(t).select("type", "key", F.explode("attrs").alias("a")).select("type", "key", "a.k", "a.v")
 
 
 _PERSON = "SELECT 64500 + s_suppkey AS asn, s_name AS as_name, 'P' || p AS person, 'NATION_' || p AS person_name FROM (SELECT *, CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey % 5 ELSE s_nationkey END AS p FROM supplier) x"
