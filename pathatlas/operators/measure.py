@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ip
 from . import runs
+from .grams import candidates, gram_index
 from .geo import coord_resolve
 from .search import enrich_text
 
@@ -91,16 +92,31 @@ def probe_locations(probes: DataFrame, networks: int | None = None) -> DataFrame
     return base.join(top, ["_c", "_t"], "left").select(F.col("_c").alias("cc"), "city", "n", "lat", "lon", "networks")
 
 
-def probe_suggest(locations: DataFrame, term: str, cities_n: int, countries_n: int, networks_n: int) -> DataFrame:
+def network_rows(locations: DataFrame) -> DataFrame:
+    """(cc, city, name, asn, n): the networks of each place."""
+    return locations.select("cc", "city", F.explode("networks").alias("w")).select("cc", "city", "w.*")
+
+
+def suggest_index(locations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Trigram postings of the places and of the networks for ``probe_suggest``."""
+    nets = network_rows(locations).select("name", "asn").distinct()
+    return (gram_index(locations.select("cc", "city"), ["cc", "city"], [F.concat_ws(" ", "city", "cc")]),
+            gram_index(nets, ["name"], [F.col("name"), F.concat(F.lit("as"), F.col("asn").cast("string"))]))
+
+
+def probe_suggest(locations: DataFrame, term: str, cities_n: int, countries_n: int, networks_n: int,
+                  index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Substring search rolled up to the largest cities, countries and networks, as many as asked for."""
     q = term.strip().lower()
+    nets = network_rows(locations)
+    if index is not None:
+        locations, nets = candidates(locations, index[0], ["cc", "city"], q), candidates(nets, index[1], ["name"], q)
     hit = F.lower(F.concat_ws(" ", "city", "cc")).contains(q)
     none = F.lit(None).cast("bigint")
     cities = locations.where(hit).orderBy(F.desc("n"), "cc", "city").limit(cities_n).select(F.lit("city").alias("kind"), F.col("city").alias("label"), none.alias("asn"), "n")
     countries = locations.where(F.lower("cc").contains(q)).groupBy("cc").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cc").limit(countries_n).select(
         F.lit("country").alias("kind"), F.col("cc").alias("label"), none.alias("asn"), "n")
-    nets = locations.select(F.explode("networks").alias("w")).where(
-        F.lower("w.name").contains(q) | F.concat(F.lit("as"), F.col("w.asn").cast("string")).contains(q))
-    nets = nets.groupBy("w.asn").agg(F.min("w.name").alias("label"), F.sum("w.n").alias("n")).orderBy(F.desc("n"), "asn").limit(networks_n).select(
+    nets = nets.where(F.lower("name").contains(q) | F.concat(F.lit("as"), F.col("asn").cast("string")).contains(q))
+    nets = nets.groupBy("asn").agg(F.min("name").alias("label"), F.sum("n").alias("n")).orderBy(F.desc("n"), "asn").limit(networks_n).select(
         F.lit("network").alias("kind"), "label", "asn", "n")
     return cities.unionByName(countries).unionByName(nets)

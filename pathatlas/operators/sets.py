@@ -84,21 +84,73 @@ def as_set_expand(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return out.withColumn("unresolved", (F.col("kind") == "set") & F.col("_known").isNull()).drop("_known")
 
 
-def as_set_cone(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Distinct ASNs reachable from each root (cone size), at any depth.
+def strong_components(links: DataFrame) -> DataFrame:
+    """(set_key, component) of the sets of ``links`` (set_key, kid) that lie on a cycle; others are components of their own.
 
-    Breadth-first with a visited set, so the work follows the number of (root, set) pairs. Each
-    round writes only its new frontier; the visited set is the union of the frontiers.
+    Sets without a parent or without a child lie on no cycle and are peeled off first. Then every set takes the
+    smallest name that leads to it; a set that keeps its own name forms a component with all sets that lead back to it through
+    sets of the same name. What is left over goes round again. Each step writes one narrow table.
     """
-    links = edges.where("kind = 'set'").select(F.col("set_key"), F.col("val").alias("kid"))
-    levels = [cut_lineage(roots.select(F.col("set_key").alias("root"), F.col("set_key").alias("val")).distinct())]
+    done: list[DataFrame] = []
+    live = cut_lineage(links.where("set_key != kid").distinct())
+    while True:
+        size = None
+        while size != (now := live.count()):
+            size = now
+            ends = live.select(F.col("kid").alias("set_key")).distinct()
+            starts = live.select(F.col("set_key").alias("kid")).distinct()
+            live = cut_lineage(live.join(ends, ["set_key"], "left_semi").join(starts, ["kid"], "left_semi").select("set_key", "kid"))
+        if not size:
+            break
+        names = cut_lineage(live.select("set_key", F.col("set_key").alias("name")).distinct())
+        moved = True
+        while moved:
+            told = live.join(names, ["set_key"]).groupBy("kid").agg(F.min("name").alias("_n"))
+            step = cut_lineage(names.join(told.withColumnRenamed("kid", "set_key"), ["set_key"], "left").select(
+                "set_key", F.least("name", "_n").alias("name"), (F.col("_n") < F.col("name")).alias("_moved")))
+            moved = not step.where("_moved").isEmpty()
+            names = step.select("set_key", "name")
+        inside = live.join(names, ["set_key"]).join(names.select(F.col("set_key").alias("kid"), F.col("name").alias("_k")), ["kid"])
+        inside = cut_lineage(inside.where("name = _k").select("set_key", "kid"))
+        found = [cut_lineage(names.where("set_key = name"))]
+        while not found[-1].isEmpty():
+            back = inside.join(found[-1].select(F.col("set_key").alias("kid"), "name"), ["kid"]).select("set_key", "name").distinct()
+            found.append(cut_lineage(back.join(reduce(DataFrame.unionByName, found), ["set_key"], "left_anti")))
+        done.append(cut_lineage(reduce(DataFrame.unionByName, found)))
+        gone = done[-1].select("set_key")
+        live = cut_lineage(live.join(gone, ["set_key"], "left_anti").join(gone.withColumnRenamed("set_key", "kid"), ["kid"], "left_anti")
+                           .select("set_key", "kid"))
+    if not done:
+        return links.select("set_key", F.col("set_key").alias("component")).limit(0)
+    return reduce(DataFrame.unionByName, done).select("set_key", F.col("name").alias("component"))
+
+
+def cones(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(set_key, component) of every set, and (component, asn): the distinct ASNs reachable from it, at any depth.
+
+    Sets of a cycle share one cone. On the graph of components cones grow from the leaves up: an ASN that is new to a
+    component goes on to the components above, so every ancestor takes over what the child has already united.
+    """
+    links = edges.where("kind = 'set'").select("set_key", F.col("val").alias("kid"))
+    known = edges.select("set_key").distinct()
+    comp = cut_lineage(known.join(strong_components(links), ["set_key"], "left").select(
+        "set_key", F.coalesce("component", "set_key").alias("component")))
+    up = links.join(comp, ["set_key"]).join(comp.select(F.col("set_key").alias("kid"), F.col("component").alias("below")), ["kid"])
+    up = cut_lineage(up.where("component != below").select(F.col("component").alias("above"), F.col("below").alias("component")).distinct())
+    new = edges.where("kind = 'asn'").join(comp, ["set_key"]).select("component", F.col("val").alias("asn")).distinct()
+    levels = [cut_lineage(new)]
     while not levels[-1].isEmpty():
-        step = levels[-1].select("root", F.col("val").alias("set_key")).join(links, ["set_key"]).select(
-            "root", F.col("kid").alias("val")).distinct()
-        levels.append(cut_lineage(step.join(reduce(DataFrame.unionByName, levels), ["root", "val"], "left_anti")))
-    asns = edges.where("kind = 'asn'").select(F.col("set_key").alias("val"), F.col("val").alias("asn"))
-    return reduce(DataFrame.unionByName, levels).join(asns, ["val"]).select("root", "asn").distinct().groupBy("root").agg(
-        F.count("*").alias("n_asns"))
+        step = levels[-1].join(up, ["component"]).select(F.col("above").alias("component"), "asn").distinct()
+        levels.append(cut_lineage(step.join(reduce(DataFrame.unionByName, levels), ["component", "asn"], "left_anti")))
+    return comp, reduce(DataFrame.unionByName, levels)
+
+
+def as_set_cone(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Number of distinct ASNs below each root, or below every set (sets without any are left out)."""
+    comp, held = cones(edges)
+    sizes = held.groupBy("component").agg(F.count("*").alias("n_asns"))
+    wanted = comp if roots is None else comp.join(roots.select("set_key").distinct(), ["set_key"], "left_semi")
+    return wanted.join(sizes, ["component"]).select(F.col("set_key").alias("root"), "n_asns")
 
 
 def as_set_sample(sets: DataFrame, edges: DataFrame, members: int, descr_len: int | None = None) -> DataFrame:

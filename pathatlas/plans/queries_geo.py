@@ -8,6 +8,7 @@ from ..functions import ip, text as X
 from ..operators import consolidate as C
 from ..operators import counts as N
 from ..operators import geo as G
+from ..operators import grams as GR
 from ..operators import intervals as I
 from ..operators import validate as V
 from .catalog import pathobs, prefix, query, top_paths
@@ -409,11 +410,20 @@ def asn_name_search(t):
     return X.asn_name_search(t["fx_asn_name"], "1", cap=200)
 
 
+@query("asn_name_search_grams", """SELECT asn, CAST(min(CASE WHEN lower(name) = 'net 1' THEN 0 WHEN starts_with(lower(name), 'net 1') THEN 1 ELSE 1 END) AS INTEGER) AS rank
+  FROM fx_asn_name WHERE strpos(lower(name), 'net 1') > 0 GROUP BY asn""")
+def asn_name_search_grams(t):
+    names = t["fx_asn_name"]
+    return X.asn_name_search(GR.candidates(names, GR.gram_index(names, ["asn"], [F.col("name")]), ["asn"], "NET 1"), "NET 1")
+
+
 @query("ix_name_search", """SELECT ix_id, name, net_count FROM (SELECT i.*, (SELECT count(DISTINCT asn) FROM fx_pdb_netixlan n WHERE n.ix_id = i.ix_id) AS net_count FROM fx_pdb_ix i) x
   WHERE strpos(lower(name || ' ' || city || ' ' || country), 'city1') > 0 ORDER BY net_count DESC, name LIMIT 6""")
 def ix_name_search(t):
     from .queries_sets import pdb_ix
-    return X.ix_name_search(pdb_ix(t), "City1", limit=6, cols=("name", "city", "country")).select("ix_id", "name", "net_count")
+    cols = ("name", "city", "country")
+    found = GR.candidates(t["fx_pdb_ix"], GR.gram_index(t["fx_pdb_ix"], ["ix_id"], [F.concat_ws(" ", *cols)]), ["ix_id"], "City1")
+    return X.ix_name_search(pdb_ix(t, found), "City1", limit=6, cols=cols).select("ix_id", "name", "net_count")
 
 
 # ---- the 128-bit family -----------------------------------------------------

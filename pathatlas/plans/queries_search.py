@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import ip
 from ..operators import consolidate as C
 from ..operators import counts as N
+from ..operators import grams as T
 from ..operators import hops as H
 from ..operators import relations as R
 from ..operators import search as S
@@ -88,7 +89,9 @@ def search_origin(t):
 @query("search_origin_by_name", f"SELECT {_PS} FROM o_pathsearch WHERE origin_asn IN (SELECT asn FROM fx_asn_name WHERE strpos(lower(name), '#00000001') > 0)", shared=True)
 def search_origin_by_name(t):
     from ..functions.text import asn_name_search
-    return S.search_origin(byorigin(t), asn_name_search(t["fx_asn_name"], "#00000001")).drop("family")
+    names = t["fx_asn_name"]
+    found = T.candidates(names, T.gram_index(names, ["asn"], [F.col("name")]), ["asn"], "#00000001")
+    return S.search_origin(byorigin(t), asn_name_search(found, "#00000001")).drop("family")
 
 
 @query("search_country", f"SELECT pid, prefix, city, province, plen, origin_asn, n_paths, segs, best_path FROM ({_WORK}) w WHERE cc = 'CN' AND city = 'city1'", shared=True)

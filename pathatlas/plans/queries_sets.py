@@ -13,9 +13,9 @@ def edges(t):
     return t["fx_as_member"].select("set_key", "kind", "val")
 
 
-def pdb_ix(t):
+def pdb_ix(t, ixs=None):
     n = t["fx_pdb_netixlan"].select("ix_id", "asn").distinct().groupBy("ix_id").agg(F.count("*").alias("net_count"))
-    return t["fx_pdb_ix"].join(n, ["ix_id"], "left").withColumn("net_count", F.coalesce("net_count", F.lit(0)))
+    return (t["fx_pdb_ix"] if ixs is None else ixs).join(n, ["ix_id"], "left").withColumn("net_count", F.coalesce("net_count", F.lit(0)))
 
 
 _IX = "(SELECT i.*, (SELECT count(DISTINCT asn) FROM fx_pdb_netixlan n WHERE n.ix_id = i.ix_id) AS net_count FROM fx_pdb_ix i)"
@@ -70,16 +70,23 @@ def _recursive(body: str) -> str:
 
 
 @query("as_set_expand", _recursive("""SELECT root, array_to_string(path, ' > ') AS path, depth, kind, val, cycle,
-  kind = 'set' AND val NOT IN (SELECT set_key FROM fx_as_member) AS unresolved FROM walk WHERE depth > 0"""))
+  kind = 'set' AND val NOT IN (SELECT set_key FROM fx_as_member) AS unresolved FROM walk WHERE depth > 0 AND root IN ('RIPE::AS-R0', 'RIPE::AS-N7')"""))
 def as_set_expand(t):
     e = edges(t)
-    return S.as_set_expand(e, e.select("set_key").distinct()).withColumn("path", F.array_join("path", " > "))
+    named = e.select("set_key").distinct().where(F.col("set_key").isin("RIPE::AS-R0", "RIPE::AS-N7"))
+    return S.as_set_expand(e, named).withColumn("path", F.array_join("path", " > "))
 
 
 @query("as_set_cone", _recursive("SELECT root, count(DISTINCT val) AS n_asns FROM walk WHERE kind = 'asn' GROUP BY root"))
 def as_set_cone(t):
-    e = edges(t)
-    return S.as_set_cone(e, e.select("set_key").distinct())
+    return S.as_set_cone(edges(t))
+
+
+@query("as_set_components", """WITH RECURSIVE reach AS (SELECT DISTINCT set_key AS a, set_key AS b FROM fx_as_member
+  UNION SELECT r.a, m.val FROM reach r JOIN fx_as_member m ON m.set_key = r.b WHERE m.kind = 'set')
+  SELECT x.a AS set_key, min(x.b) AS component FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY x.a""")
+def as_set_components(t):
+    return S.cones(edges(t))[0]
 
 
 @query("as_set_sample", f"""SELECT s.source || '::' || s.name AS set_key, s.descr, CAST(s.n AS INTEGER) AS n_members, m.members FROM ({_SETS}) s

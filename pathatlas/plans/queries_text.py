@@ -17,7 +17,7 @@ from ..operators import geo as G
 from ..operators import measure as M
 from ..operators import registry as R
 from ..operators import sets as S
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import documents as O
 from ..sources import rib as B
 from ..sources import text as X
@@ -396,6 +396,12 @@ def probe_suggest(t):
     return M.probe_suggest(M.probe_locations(t.sql(_PROBES)), "1", 6, 4, 5)
 
 
+@query("probe_suggest_grams", f"""SELECT 'network' AS kind, min(network) AS label, asn, CAST(sum(k) AS BIGINT) AS n FROM ({_NETS}) x WHERE strpos(lower(network), 's645') > 0 OR strpos('as' || asn, 's645') > 0 GROUP BY asn ORDER BY n DESC, asn LIMIT 5""")
+def probe_suggest_grams(t):
+    places = cut_lineage(M.probe_locations(t.sql(_PROBES)))
+    return M.probe_suggest(places, "S645", 6, 4, 5, M.suggest_index(places))
+
+
 @query("freshness", "SELECT event_id, CASE WHEN TIMESTAMP '2024-01-10 00:00:00' - ts < INTERVAL 3 HOUR THEN 'live' WHEN TIMESTAMP '2024-01-10 00:00:00' - ts < INTERVAL 12 HOUR THEN 'aging' ELSE 'stale' END AS age FROM events")
 def freshness(t):
     return t["events"].select("event_id", N.freshness("ts", F.lit("2024-01-10 00:00:00")).alias("age"))

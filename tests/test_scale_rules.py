@@ -60,6 +60,75 @@ def test_deep_chains_of_sets(spark):
     assert tree.agg(F.max("depth")).first()[0] == 41 and tree.where("cycle").count() == 1
 
 
+def test_cones_of_random_graphs(spark):
+    """Cycles inside cycles, self-loops, chains of depth 30, unresolved names: components and cones equal plain reachability."""
+    import random
+    rnd = random.Random(11)
+    for n, m in ((30, 40),):
+        links = {(rnd.randrange(n), rnd.randrange(n)) for _ in range(m)} | {(n + i, n + i + 1) for i in range(30)} | {(0, n), (n + 5, n + 2)}
+        rows = [(f"S{a:03}", "set", f"S{b:03}") for a, b in links] + [("S000", "set", "GONE")]
+        rows += [(f"S{a:03}", "asn", f"AS{rnd.randrange(20)}") for a in rnd.sample(range(n + 31), 25)] + [("S900", "asn", "AS1"), ("S901", "set", "S901")]
+        edges = spark.createDataFrame(rows, "set_key string, kind string, val string")
+        keys = {r[0] for r in rows}
+        kids = {k: {v for s, kind, v in rows if s == k and kind == "set" and v in keys} for k in keys}
+        reach = {}
+        for k in keys:
+            todo, seen = [k], {k}
+            while todo:
+                for v in kids[todo.pop()] - seen:
+                    seen.add(v)
+                    todo.append(v)
+            reach[k] = seen
+        comp, held = A.cones(edges)
+        assert {tuple(r) for r in comp.collect()} == {(k, min(v for v in reach[k] if k in reach[v])) for k in keys}
+        want = {k: len({v for s, kind, v in rows if kind == "asn" and s in reach[k]}) for k in keys}
+        assert {tuple(r) for r in A.as_set_cone(edges).collect()} == {(k, c) for k, c in want.items() if c}
+
+
+def test_trigrams_find_what_the_scan_finds(spark):
+    from pathatlas.functions.text import asn_name_search
+    from pathatlas.operators import grams as G
+    names = ["Alpha Net", "alphabet", "ALPHA", "aaaa", "aa", "", None, "Überall Net", "net-net", "x", "日本 Net 日本語", "a.b.c", "100% net_1"]
+    d = spark.createDataFrame([(64500 + i, n) for i, n in enumerate(names)], "asn long, name string")
+    index = G.gram_index(d, ["asn"], [F.col("name")])
+    for term in ("alpha", "net", "aa", "aaaaa", "日本語", "ÜBER", "100%", "zzz", "et n", ""):
+        found = G.candidates(d, index, ["asn"], term.strip())
+        assert sorted(map(tuple, asn_name_search(found, term).collect())) == sorted(map(tuple, asn_name_search(d, term).collect())), term
+    text = G.candidates(d, index, ["asn"], "alphabet")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in text and "gram" in text.split("PushedFilters")[1]
+    assert G.candidates(d, index, ["asn"], "alphabet").count() == 1
+
+
+def test_hop_index_equals_the_scan(spark):
+    import random
+    from pathatlas.operators import hops as H
+    rnd = random.Random(21)
+    rows = []
+    for pid in range(120):
+        for _ in range(rnd.randrange(1, 5)):
+            hops = [rnd.choice([1, 2, 3, 4, 5, 6, 77, 88]) if rnd.random() < 0.9 else 1000 + rnd.randrange(300) for _ in range(rnd.randrange(1, 7))]
+            rows.append((pid, " " + " ".join(map(str, hops)) + " ", rnd.randrange(1, 9)))
+    d = spark.createDataFrame(rows, "pid long, path_str string, n_peers long")
+    index = H.build(d)
+    for q in ("1 ? 2", "1 2 * 3 ? 4", "77 * 88 !1", "!2", "1 1 * 1", "1 999999"):
+        want = {(r["pid"], r["matched_peers"], r["observed_peers"]) for r in S.matched_peers(d, q).where("matched_peers > 0").collect()}
+        assert {tuple(r) for r in H.matched_peers(index, q).select("pid", "matched_peers", "observed_peers").collect()} == want, q
+        want = {r["pid"] for r in S.path_prefilter(d, q).collect()}
+        assert {r["pid"] for r in H.path_prefilter(index, q).collect()} == want, q
+    rare = H.matching_paths(index, P.path_query_parse("1000"))
+    plan = rare._jdf.queryExecution().executedPlan().toString()
+    assert "asn" in plan.split("PushedFilters")[1]
+    assert index.hops.where("asn = 1000").count() * 10 < d.count()
+
+
+def test_hop_index_can_be_published(spark, tmp_path):
+    from pathatlas.operators import hops as H
+    d = spark.createDataFrame([(1, " 1 2 3 ", 4), (1, " 1 3 ", 1), (2, " 1 3 ", 7)], "pid long, path_str string, n_peers long")
+    H.save(H.build(d), str(tmp_path))
+    got = H.matched_peers(H.load(spark, str(tmp_path)), "2 3").collect()
+    assert [(r["pid"], r["matched_peers"], r["observed_peers"]) for r in got] == [(1, 4, 5)]
+
+
 def test_deep_pages(spark):
     d = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"))
     for page in (0, 3, 9):
