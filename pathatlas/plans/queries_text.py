@@ -426,24 +426,23 @@ def irr_delta_counts(t):
 
 
 def in_files(t, df, by: str, n: int) -> str:
-    """``df`` in ``n`` files that a stream reads one after the other: rows dealt out by order of ``by``."""
+    """``df`` in ``n`` files by ranges of ``by``, written in parallel; a stream takes them as they come, in any order."""
     path = scratch(t, "files")
-    low, high = df.agg(F.min(by), F.max(by)).first()
-    part = F.least(F.floor((F.col(by) - low) * n / (high - low + 1)), F.lit(n - 1))
-    for i in range(n):
-        df.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    df.repartitionByRange(n, by).write.parquet(path)
     return path
 
 
 @query("irr_delta_stream", _APPLIED)
 def irr_delta_stream(t):
-    """Four batches of one file each."""
+    """The journal in two halves, the second of which finds the state of the first."""
     d = t["fx_irr_delta"]
-    src, state, ck = in_files(t, d, "serial", 4), scratch(t, "state"), scratch(t, "ck")
-    T.write_initial_state(t.sql(_STATE0), state, d.agg(F.min("serial")).first()[0] - 1)
-    q = T.irr_delta_stream(t.spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(src), state, ck)
-    q.awaitTermination()
-    return T.read_state(t.spark, state)
+    low, high = d.agg(F.min("serial"), F.max("serial")).first()
+    base, log, ck, src = (scratch(t, x) for x in ("base", "log", "ck", "src"))
+    T.write_initial_state(t.sql(_STATE0), base, low - 1)
+    for half in (F.col("serial") * 2 <= low + high, F.col("serial") * 2 > low + high):
+        d.where(half).write.mode("append").parquet(src)
+        T.irr_delta_stream(t.spark.readStream.schema(d.schema).parquet(src), base, log, ck).awaitTermination()
+    return T.read_state(t.spark, base, log)
 
 
 _JOURNAL = f"""SELECT serial, '%START Version: 3 RADB' || chr(10) || chr(10) || op || ' ' || {_V('serial')} || chr(10) || chr(10) || 'route:   ' || {_V('CAST(floor(ip_start / 16777216e0) AS BIGINT)')} || '.' ||

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import consolidate as C
 from ..operators import deltas as D
@@ -37,42 +37,98 @@ def rebuilt_tables(spark: SparkSession, base_path: str) -> tuple[DataFrame, Data
     return merged, C.prefix_agg(merged)
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """Route objects of the newest committed version of the state."""
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version").alias("v"))
-    return D.live(versions.join(F.broadcast(newest), F.col("version") == F.col("v")).drop("version", "v"))  # one row is broadcast
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"  # fixed value: Spark's store for keyed state
 
 
 class SerialGap(ValueError):
     """The batch does not follow the state: operations are missing and nothing was committed."""
 
 
-def irr_delta_stream(deltas: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
-    """Each batch writes state version batch+1 from the version before it, if no serial is missing in between.
+class LastOperation(StatefulProcessor):
+    """Per route object the serial and the kind of its last operation; one row for every operation that arrives.
 
-    A replayed batch reads the same predecessor and overwrites the same version, so every operation takes
-    effect exactly once. Only the predecessor is kept besides the newest version. After a ``SerialGap`` the
-    state is as before; ``deltas.needs_reload`` tells whether the journal can still close the gap.
+    An operation takes effect if its serial is higher than the object's, so late and repeated ones change nothing, and
+    only objects with operations are written.
     """
-    def apply(batch: DataFrame, batch_id: int) -> None:
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "serial long, op string")
+
+    def handleInputRows(self, key, rows, timer_values):  # noqa: N802
+        at, kind = self.last.get() if self.last.exists() else (None, None)
+        before = at
+        for pdf in rows:
+            effect = []
+            for serial, op in zip(pdf["serial"].tolist(), pdf["op"].tolist(), strict=True):
+                if at is None or serial > at:
+                    at, kind = serial, op
+            for serial in pdf["serial"].tolist():
+                effect.append(before is None or serial > before)
+            out = pdf.assign(effective=effect)
+            for name, part in zip(D.OBJECT, key, strict=True):
+                out[name] = part
+            yield out[[*D.OBJECT, "serial", "op", "effective"]]
+        if at is not None and at != before:
+            self.last.update((at, kind))
+
+    def handleInitialState(self, key, state, timer_values) -> None:  # noqa: N802
+        row = state.sort_values("serial").iloc[-1]
+        self.last.update((int(row["serial"]), row["op"]))
+
+    def close(self) -> None:
+        pass
+
+
+def irr_delta_stream(deltas: DataFrame, base_path: str, log_path: str, checkpoint: str) -> StreamingQuery:
+    """Journal operations applied to keyed state; each batch of n operations writes at most n rows of state and of log.
+
+    The state starts from the dump at ``base_path`` (see ``write_initial_state``). A batch commits only if no serial is missing after
+    the last one committed; else it fails with ``SerialGap`` before its offsets are committed, and a restart repeats it on the state as it
+    was. A repeated batch overwrites its own part of the log. ``deltas.needs_reload`` tells whether the journal can still close
+    the gap; then ``read_state`` is the dump from which a new checkpoint goes on with all operations that follow.
+    """
+    spark = deltas.sparkSession
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    base = spark.read.parquet(base_path)
+    start = base.agg(F.max("serial")).first()[0]
+    kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*D.OBJECT, "serial", "op")) + ", effective boolean"
+    rows = deltas.select(*D.OBJECT, F.col("serial").cast("bigint").alias("serial"), "op")
+    applied = rows.groupBy(*D.OBJECT).transformWithStateInPandas(
+        LastOperation(), schema, "Update", "None", base.where("op IS NOT NULL").groupBy(*D.OBJECT))
+
+    def commit(batch: DataFrame, batch_id: int) -> None:
+        part = f"{log_path}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(part)
         spark = batch.sparkSession
-        state = spark.read.parquet(f"{state_path}/version={batch_id}")
-        at = state.agg(F.max("serial")).first()[0]
-        last = batch.agg(F.max("serial")).first()[0]
-        if last is not None and not D.complete(batch, at + 1, last):
+        log = spark.read.schema(batch.schema).parquet(part)
+        before = spark.read.parquet(log_path).where(F.col("batch") < batch_id).agg(F.max("serial")).first()[0] if batch_id else None
+        at = start if before is None else max(start, before)
+        new = log.where(F.col("serial") > at)
+        last = new.agg(F.max("serial")).first()[0]
+        if last is not None and not D.complete(new, at + 1, last):
+            batch.limit(0).write.mode("overwrite").parquet(part)
             raise SerialGap(f"operations after {at} are missing")
-        D.advance(state, batch).write.mode("overwrite").parquet(f"{state_path}/version={batch_id + 1}")
-        if batch_id > 0:
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/version={batch_id - 1}")
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
-    return deltas.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return (applied.writeStream.outputMode("update").foreachBatch(commit).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def write_initial_state(state: DataFrame, base_path: str, serial: int) -> None:
+    """The full dump that a journal continues after ``serial``; an empty dump keeps the serial in a row without an operation."""
+    rows = D.versioned(state, serial)
+    mark = state.sparkSession.range(1).select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in D.OBJECT],
+                                              F.lit(serial).cast("bigint").alias("serial"), F.lit(None).cast("string").alias("op"))
+    rows.unionByName(mark).write.mode("overwrite").parquet(base_path)
 
 
-def write_initial_state(state: DataFrame, state_path: str, serial: int) -> None:
-    """The full dump that a journal continues after ``serial``."""
-    D.versioned(state, serial).write.mode("overwrite").parquet(f"{state_path}/version=0")
+def read_state(spark: SparkSession, base_path: str, log_path: str | None = None) -> DataFrame:
+    """Live route objects: the dump and the log of the committed batches, the last operation of each object."""
+    base = spark.read.parquet(base_path).where("op IS NOT NULL")
+    if log_path is None:
+        return D.live(base)
+    return D.live(D.advance(base, spark.read.parquet(log_path).where("effective")))
 
 
 def ping_stream(rounds: DataFrame, checkpoint: str, sink: str) -> StreamingQuery:

@@ -166,16 +166,40 @@ def test_late_operations_do_not_win(spark):
     assert D.needs_reload(None, 1, 2) and D.needs_reload(3, 5, 9) and not D.needs_reload(4, 5, 9) and D.needs_reload(4, 5, 9, max_behind=2)
 
 
-def test_a_gap_in_the_journal_commits_nothing(spark, tmp_path):
+def test_journal_state(spark, tmp_path):
+    """Late and repeated serials change nothing, a gap commits nothing and can be closed; the log holds only what arrived."""
+    import random
     cols = "ip_start long, plen int, origin long, source string"
-    base, src, ck = str(tmp_path / "state"), str(tmp_path / "src"), str(tmp_path / "ck")
-    T.write_initial_state(spark.createDataFrame([(1, 8, 1, "A")], cols), base, 10)
-    ops = spark.createDataFrame([(1, 8, 1, "A", 12, "DEL")], cols + ", serial long, op string")
-    ops.write.parquet(src)
-    q = T.irr_delta_stream(spark.readStream.schema(ops.schema).parquet(src), base, ck)
+    base, log, ck, src = (str(tmp_path / x) for x in ("base", "log", "ck", "src"))
+    start = spark.createDataFrame([(i, 8, 1, "A") for i in range(50)], cols)
+    T.write_initial_state(start, base, 10)
+    rnd = random.Random(1)
+    ops = [(rnd.randrange(8), 8, 1, "A", s, rnd.choice(["ADD", "DEL"])) for s in range(11, 41)]
+
+    def feed(rows):
+        spark.createDataFrame(rows, cols + ", serial long, op string").write.mode("append").parquet(src)
+        stream = spark.readStream.schema(cols + ", serial long, op string").parquet(src)
+        T.irr_delta_stream(stream, base, log, ck).awaitTermination()
+
+    def live():
+        return sorted(r["ip_start"] for r in T.read_state(spark, base, log).collect())
+
+    def after(rows):
+        now = {i: "ADD" for i in range(50)} | {r[0]: r[5] for r in sorted(rows, key=lambda r: r[4])}
+        return sorted(i for i, op in now.items() if op == "ADD")
+
+    feed(ops[:10])
+    assert live() == after(ops[:10])
+    feed(ops[5:20] + [(3, 8, 1, "A", 9, "DEL")])
+    assert live() == after(ops[:20]) and spark.read.parquet(log).count() == 26
     with pytest.raises(Exception, match="missing"):
-        q.awaitTermination()
-    assert [r["ip_start"] for r in T.read_state(spark, base).collect()] == [1]
+        feed(ops[21:])
+    assert live() == after(ops[:20])
+    whole = T.read_state(spark, base, log)
+    base, log, ck, src = (str(tmp_path / f"{x}2") for x in ("base", "log", "ck", "src"))
+    T.write_initial_state(whole, base, 30)
+    feed(ops[20:])
+    assert live() == after(ops)
 
 
 def test_written_tables_can_be_released(spark):
