@@ -21,6 +21,7 @@ from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import documents as O
 from ..sources import rib as B
 from ..sources import text as X
+from ..sources.rib_source import read_rib
 from ..streaming import refresh as T
 from .catalog import obs, prefix, query
 from .fixtures import _OCT
@@ -58,6 +59,54 @@ def src_rib(t):
         F.count("*").alias("n")).withColumn("peer_asn", F.element_at(F.split("path_raw", " "), 1).cast("bigint"))
 
 
+def _written(t, files) -> str:
+    """(collector, name, content) as files below a fresh folder, written by the tasks."""
+    root = scratch(t, "ribs")
+
+    def write(batches):
+        from pyarrow import fs
+        where, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        for pdf in batches:
+            for collector, name, content in zip(pdf["collector"], pdf["name"], pdf["content"], strict=True):
+                where.create_dir(f"{base}/{collector}", recursive=True)
+                with where.open_output_stream(f"{base}/{collector}/{name}", compression=None) as out:
+                    out.write(content)
+            yield pdf[["collector"]]
+
+    files.mapInPandas(write, "collector string").count()
+    return root
+
+
+@query("src_rib_families", """SELECT family, collector, prefix, peer_asn, path, count(*) AS n FROM (
+  SELECT 4 AS family, collector, prefix, CAST(peer_asn AS BIGINT) AS peer_asn, path_raw AS path FROM fx_rib
+  UNION ALL SELECT 6, 'c9', start_hex || '/' || plen, 102, origin || ' 7' FROM fx_v6) x GROUP BY ALL""")
+def src_rib_families(t):
+    """Dump files of both families, the 128-bit one with path ids, read in byte ranges by one decode."""
+    hx = lambda c, n: F.lpad(F.hex(c.cast("bigint")), n, "0")
+    octets = lambda h, n: hx(F.length(h) / 2, n)
+    record = lambda sub, b: F.concat(F.lit(f"00000000000D{sub}"), octets(b, 8), b)
+    peers = F.lit("000000010000" + "0003" + "".join(f"02{i:08X}C00002{i:02X}{asn:08X}" for i, asn in enumerate((100, 101, 102))))
+    four = t["fx_rib"].select("collector", F.col("peer_asn").alias("p"), "path_raw", "plen", hx(F.col("ip_start"), 8).alias("a"), F.lit("0002").alias("sub"))
+    six = t["fx_v6"].select(F.lit("c9").alias("collector"), F.lit(102).alias("p"), F.concat(F.col("origin").cast("string"), F.lit(" 7")).alias("path_raw"),
+                            "plen", F.col("start_hex").alias("a"), F.lit("000A").alias("sub"))
+    d = four.unionByName(six)
+    asns = F.split("path_raw", " ")
+    d = d.withColumn("seg", F.concat(F.lit("02"), hx(F.size(asns), 2), F.array_join(F.transform(asns, lambda x: hx(x, 8)), "")))
+    d = d.withColumn("attrs", F.concat(F.lit("4002"), octets(F.col("seg"), 2), "seg"))
+    gap = F.when(F.col("sub") == "000A", F.lit("0000000700000000")).otherwise(F.lit("00000000"))
+    body = F.concat(F.lit("00000001"), hx(F.col("plen"), 2), F.substring(F.col("a"), F.lit(1), F.ceil(F.col("plen") / 8).cast("int") * 2), F.lit("0001"),
+                    hx(F.col("p") - 100, 4), gap, octets(F.col("attrs"), 4), "attrs")
+    d = d.withColumn("body", body)
+    rec = F.concat(F.lit("00000000000D"), "sub", octets(F.col("body"), 8), "body")
+    files = d.select("collector", F.pmod(F.xxhash64("body"), F.lit(8)).alias("k"), rec.alias("rec")).groupBy("collector", "k").agg(F.array_join(F.collect_list("rec"), "").alias("recs"))
+    files = files.select("collector", F.concat(F.lit("bview.20240101.0000-"), F.col("k").cast("string")).alias("name"),
+                         F.unhex(F.concat(record("0001", peers), "recs")).alias("content"))
+    e = B.all_entries(read_rib(t.spark, _written(t, files), rangeBytes=100_000))
+    name = F.when(F.col("family") == 4, F.col("prefix")).otherwise(F.concat(F.hex("start128"), F.lit("/"), F.col("plen").cast("string")))
+    return e.groupBy("family", "collector", name.alias("prefix"), "peer_asn", F.array_join(F.col("path").cast("array<string>"), " ").alias("path")).agg(
+        F.count("*").alias("n"))
+
+
 @query("snap_ts", "SELECT event_id, CAST(epoch(date_trunc('minute', ts)) AS BIGINT) AS snap_ts FROM events")
 def snap_ts(t):
     name = F.concat(F.lit("s3://x/rrc01/2024.01/bview."), F.date_format("ts", "yyyyMMdd.HHmm"), F.lit(".gz"))

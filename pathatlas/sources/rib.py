@@ -92,34 +92,37 @@ def _as_path(attrs: memoryview) -> list[int]:
     return []
 
 
+def rib_rows(subtype: int, body: memoryview, peers: list[tuple[int, str]]) -> Iterator[tuple]:
+    """Rows (family, plen, addr, peer_asn, peer_ip, path) of one record; default routes and empty paths skipped."""
+    family, add_path = RIB_SUBTYPES[subtype]
+    plen = body[4]
+    if plen == 0:
+        return
+    at = 5 + (plen + 7) // 8
+    addr = bytes(body[5:at])
+    (entries,) = struct.unpack_from(">H", body, at)
+    at += 2
+    gap = 10 if add_path else 6
+    for _ in range(entries):
+        if at + gap + 2 > len(body):
+            break
+        (peer,) = struct.unpack_from(">H", body, at)
+        (size,) = struct.unpack_from(">H", body, at + gap)
+        path = _as_path(body[at + gap + 2:at + gap + 2 + size])
+        at += gap + 2 + size
+        if path:
+            asn, text = peers[peer] if peer < len(peers) else (None, None)
+            yield family, plen, addr, asn, text, path
+
+
 def decode_rib(name: str, content: bytes) -> Iterator[tuple]:
-    """Rows (family, plen, addr, peer_asn, peer_ip, path); default routes and empty paths skipped."""
+    """The rows of a whole file's content."""
     peers: list[tuple[int, str]] = []
     for subtype, body in _records(_open(name, content)):
         if subtype == PEER_INDEX:
             peers = _peers(body)
-            continue
-        if subtype not in RIB_SUBTYPES:
-            continue
-        family, add_path = RIB_SUBTYPES[subtype]
-        plen = body[4]
-        if plen == 0:
-            continue
-        at = 5 + (plen + 7) // 8
-        addr = bytes(body[5:at])
-        (entries,) = struct.unpack_from(">H", body, at)
-        at += 2
-        gap = 10 if add_path else 6
-        for _ in range(entries):
-            if at + gap + 2 > len(body):
-                break
-            (peer,) = struct.unpack_from(">H", body, at)
-            (size,) = struct.unpack_from(">H", body, at + gap)
-            path = _as_path(body[at + gap + 2:at + gap + 2 + size])
-            at += gap + 2 + size
-            if path:
-                asn, text = peers[peer] if peer < len(peers) else (None, None)
-                yield family, plen, addr, asn, text, path
+        elif subtype in RIB_SUBTYPES:
+            yield from rib_rows(subtype, body, peers)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -154,6 +157,17 @@ def typed_entries(entries: DataFrame, family: int, collector_pattern: str = r"([
         "family", "plen", "peer_asn", "peer_ip", "path")
 
 
+def all_entries(entries: DataFrame, collector_pattern: str = r"([^/]+)/[^/]+$") -> DataFrame:
+    """Entries of both families from one decode: bounds as 128-bit ``start128`` and ``end128``, as the address tables of both have them."""
+    v4 = ip.prefix_from_bytes("addr", "plen", False)
+    v6 = ip.prefix_from_bytes("addr", "plen", True)
+    four = ip.let(v4, lambda b: F.struct(b["prefix"].alias("prefix"), ip.as_u128(b["start"], False).alias("start"), ip.as_u128(b["end"], False).alias("end")))
+    six = ip.let(v6, lambda b: F.struct(b["prefix"].alias("prefix"), b["start"].alias("start"), b["end"].alias("end")))
+    d = entries.withColumn("_b", F.when(F.col("family") == 4, four).otherwise(six))
+    return d.select(F.regexp_extract("file", collector_pattern, 1).alias("collector"), snap_ts("file").alias("snap_ts"), F.col("_b.prefix").alias("prefix"),
+                    F.col("_b.start").alias("start128"), F.col("_b.end").alias("end128"), "family", "plen", "peer_asn", "peer_ip", "path")
+
+
 def src_rib(spark: SparkSession, path: str, family: int, collector_pattern: str = r"([^/]+)/[^/]+$") -> DataFrame:
     """All files under a path or glob; one file is one unit of work."""
     files = spark.read.format("binaryFile").load(path)

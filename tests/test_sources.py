@@ -53,6 +53,34 @@ def test_rib_decoding(spark, tmp_path, suffix, pack):
     assert [(r.prefix, r.path) for r in v6] == [("2001:db8:8000::/33", [9, 4294967295])]
 
 
+def test_rib_source_reads_byte_ranges(spark, tmp_path):
+    """Any size of the ranges gives the rows of the whole file; compressed files stream; a family filter is pushed down."""
+    from pathatlas.sources.rib_source import RibReader, border, read_rib
+    rows = [rib_record(2 + 6 * (i % 2), 24, bytes([10, i % 256, i // 256]), [(i % 2, path_attr((2, [1, i, 13, 13 << 16 | 2]))), (1, path_attr((2, [i])))], add_path=i % 2)
+            if i % 3 else rib_record(4, 40, bytes([0x20, 1, 0, 13, i % 256]), [(0, path_attr((2, [5, i])))]) for i in range(300)]
+    raw = peer_table() + b"".join(rows) + record(2, b"other", kind=16) + rows[7]
+    want = sorted(map(repr, rib.decode_rib("x", raw)))
+    (tmp_path / "rrc09").mkdir()
+    plain = tmp_path / "rrc09" / "bview.20240102.0300"
+    plain.write_bytes(raw)
+    for size in (97, 1000, 1 << 20):
+        reader = RibReader({"path": str(plain), "rangebytes": str(size)})
+        parts = reader.partitions()
+        assert len(parts) == -(-len(raw) // size)
+        got = [tuple(r.values()) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        assert sorted(repr(r[1:]) for r in got) == want
+    with open(plain, "rb") as f:
+        assert border(f, 0, len(raw)) == 0 and border(f, 1, len(raw)) == len(peer_table())
+    (tmp_path / "rrc09" / "bview.20240102.0400.gz").write_bytes(gzip.compress(raw))
+    d = read_rib(spark, f"{tmp_path}/rrc09", rangeBytes=5000)
+    assert d.count() == 2 * len(want) and d.rdd.getNumPartitions() == 1 + -(-len(raw) // 5000)
+    both = rib.all_entries(d)
+    assert {r[0] for r in both.select("family").distinct().collect()} == {4, 6}
+    six = read_rib(spark, str(plain)).where("family = 6")
+    assert "Filter (family" not in six._jdf.queryExecution().executedPlan().toString()  # the source has taken it over
+    assert six.count() == sum(1 for r in rib.decode_rib("x", raw) if r[0] == 6)
+
+
 def test_cut_off_file_ends_quietly():
     whole = list(rib.decode_rib("x", sample()))
     cut = list(rib.decode_rib("x.gz", gzip.compress(sample())[:-12]))
