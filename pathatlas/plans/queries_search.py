@@ -9,6 +9,7 @@ from ..operators import consolidate as C
 from ..operators import counts as N
 from ..operators import grams as T
 from ..operators import hops as H
+from ..operators import parts as PT
 from ..operators import relations as R
 from ..operators import search as S
 from ..operators import validate as V
@@ -279,6 +280,43 @@ def asn_overview(t):
                     F.array_join("member_of", " ").alias("member_of"), "pdb_name")
 
 
+@query("prefix_detail_parts", f"""WITH a AS (SELECT pid, (r - 1) // 4 + 1 AS part, string_agg(path_raw, '|' ORDER BY r) AS paths FROM (
+    SELECT *, row_number() OVER (PARTITION BY pid ORDER BY path_len, n_peers DESC, path_raw) AS r FROM o_paths) x GROUP BY ALL),
+  s AS (SELECT pid, (pos - 1) // 4 + 1 AS part, string_agg(rel_prefix, ' ' ORDER BY pos) FILTER (side = 'sup') AS sup, string_agg(rel_prefix, ' ' ORDER BY pos) FILTER (side = 'sub') AS sub FROM ({_RELATIVES}) r GROUP BY ALL)
+  SELECT p.pid, p.prefix, k.part, k.paths, k.sup, k.sub FROM o_prefix p JOIN (SELECT coalesce(a.pid, s.pid) AS pid, coalesce(a.part, s.part) AS part, paths, sup, sub FROM a FULL JOIN s ON s.pid = a.pid AND s.part = a.part) k ON k.pid = p.pid""", shared=True)
+def prefix_detail_parts(t):
+    d = PT.prefix_detail(prefix(t).select("pid", "prefix"), top_paths(t), relatives(t), size=4)
+    return d.select("pid", "prefix", "part", F.array_join(F.transform("paths", lambda x: x["path"]), "|").alias("paths"),
+                    F.array_join("sup", " ").alias("sup"), F.array_join("sub", " ").alias("sub"))
+
+
+@query("asn_overview_parts", """WITH l AS (SELECT origin_asn AS asn, (r - 1) // 8 + 1 AS part, string_agg(prefix, ' ' ORDER BY r) AS prefixes FROM (
+    SELECT *, row_number() OVER (PARTITION BY origin_asn ORDER BY n_paths DESC, pid) AS r FROM o_pathsearch) x GROUP BY ALL),
+  m AS (SELECT asn, (r - 1) // 8 + 1 AS part, string_agg(set_key, ' ' ORDER BY r) AS member_of FROM (SELECT *, row_number() OVER (PARTITION BY asn ORDER BY set_key) AS r FROM (
+    SELECT DISTINCT CAST(substr(val, 3) AS BIGINT) AS asn, set_key FROM fx_as_member WHERE regexp_matches(val, '^AS[0-9]+$')) d) y GROUP BY ALL),
+  k AS (SELECT coalesce(l.asn, m.asn) AS asn, coalesce(l.part, m.part) AS part, prefixes, member_of FROM l FULL JOIN m ON m.asn = l.asn AND m.part = l.part)
+  SELECT o.asn, o.n_v4, k.part, k.prefixes, k.member_of FROM (SELECT origin_asn AS asn, count(DISTINCT pid) AS n_v4 FROM o_pathobs GROUP BY origin_asn) o JOIN k ON k.asn = o.asn""", shared=True)
+def asn_overview_parts(t):
+    from ..operators import sets as A
+    from .queries_sets import edges
+    facts = C.origin_counts(pathobs(t)).withColumnRenamed("origin_asn", "asn")
+    d = PT.asn_overview(facts, byorigin(t), A.as_set_reverse(edges(t)), size=8)
+    return d.select("asn", "n_v4", "part", F.array_join("prefixes", " ").alias("prefixes"), F.array_join("member_of", " ").alias("member_of"))
+
+
+@query("probe_report_parts", f"""WITH a AS (SELECT pid, (r - 1) // 8 + 1 AS part, string_agg(path_raw, '|' ORDER BY r) AS paths FROM (
+    SELECT *, row_number() OVER (PARTITION BY pid ORDER BY is_best DESC, path_len, n_peers DESC, path_raw) AS r FROM o_paths) x GROUP BY ALL),
+  u AS (SELECT pid, (r - 1) // 8 + 1 AS part, string_agg(asn || ':' || n, ' ' ORDER BY r) AS upstreams FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY n DESC, asn) AS r FROM (
+    SELECT pid, path_arr[-2] AS asn, count(*) AS n FROM o_paths GROUP BY ALL) b) y GROUP BY ALL),
+  k AS (SELECT coalesce(a.pid, u.pid) AS pid, coalesce(a.part, u.part) AS part, paths, upstreams FROM a FULL JOIN u ON u.pid = a.pid AND u.part = a.part)
+  SELECT x.ip, x.m.prefix AS prefix, coalesce(k.part, 1) AS part, k.paths, k.upstreams FROM (SELECT DISTINCT ON (ip) * FROM ({_LPM}) l) x LEFT JOIN k ON k.pid = x.m.pid""", shared=True)
+def probe_report_parts(t):
+    tp = top_paths(t)
+    d = PT.probe_paths(S.ip_enrich(t["fx_hops"].select("ip").distinct(), pgeo(t)), tp, R.upstream_summary(tp), size=8)
+    pair = lambda x: F.concat_ws(":", x["asn"].cast("string"), x["n"].cast("string"))
+    return d.select("ip", "prefix", "part", F.array_join("paths", "|").alias("paths"), F.array_join(F.transform("upstreams", pair), " ").alias("upstreams"))
+
+
 @query("sink_csv", f"""SELECT prefix, origin_asn, printf('%.2f', round(100.0 * matched_peers / observed_peers, 2)) || '%' AS share FROM ({_search_path_sql("list_contains(path_arr, 1299)", "s.is_primary")}) q""", shared=True)
 def sink_csv(t):
     hits = S.search_path(S.origin_rows(pathobs(t)), all_paths(t), "1299")

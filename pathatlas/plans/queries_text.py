@@ -15,6 +15,7 @@ from ..operators import counts as N
 from ..operators import deltas as D
 from ..operators import geo as G
 from ..operators import measure as M
+from ..operators import parts as PT
 from ..operators import registry as R
 from ..operators import sets as S
 from ..session import cut_lineage, ensure_checkpoint_dir
@@ -191,6 +192,18 @@ def person_directory(t):
     return d.select("person", "person_name", F.array_join(F.col("asns").cast("array<string>"), " ").alias("asns"), "n_prefix")
 
 
+@query("person_directory_parts", f"""WITH a AS (SELECT DISTINCT a.asn, person, person_name, coalesce(n, 0) AS n FROM ({_PERSON}) a LEFT JOIN (SELECT origin_asn, count(*) AS n FROM o_prefix GROUP BY origin_asn) b ON b.origin_asn = a.asn
+    WHERE a.asn IN (SELECT DISTINCT unnest(path_arr) FROM o_paths))
+  SELECT t.person, person_name, n_asn, n_prefix, part, asns FROM (SELECT person, person_name, count(*) AS n_asn, CAST(sum(n) AS BIGINT) AS n_prefix FROM a GROUP BY ALL) t JOIN (
+    SELECT person, (r - 1) // 3 + 1 AS part, string_agg(asn, ' ' ORDER BY asn) AS asns FROM (SELECT *, row_number() OVER (PARTITION BY person ORDER BY asn) AS r FROM a) x GROUP BY ALL) k ON k.person = t.person""")
+def person_directory_parts(t):
+    from .catalog import top_paths
+    p = prefix(t)
+    n = p.groupBy("origin_asn").agg(F.count("*").alias("n_prefix"))
+    d = PT.person_directory(R.registry_asn_person(objects(t)), n, C.asn_seen(top_paths(t), p), size=3)
+    return d.select("person", "person_name", "n_asn", "n_prefix", "part", F.array_join(F.col("asns").cast("array<string>"), " ").alias("asns"))
+
+
 @query("registry_whois", """WITH a AS (SELECT 'AS' || (64500 + s_suppkey) AS key, s_name, s_suppkey % 3 = 0 AS odd, 'P' || s_nationkey AS p, s_nationkey AS nk, s_nationkey % 5 AS m FROM supplier)
   SELECT key, 'head' AS part, NULL AS role, NULL AS handle, unnest(['aut-num', 'as-name', 'admin-c', 'mnt-by']) AS k, unnest([key, s_name, CASE WHEN odd THEN 'NOBODY' ELSE p END, 'M' || m]) AS v FROM a
   UNION ALL SELECT key, 'entity', 'admin-c', p, unnest(['person', 'remarks']), unnest(['NATION_' || nk, 'a b']) FROM a WHERE NOT odd
