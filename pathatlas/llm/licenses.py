@@ -133,7 +133,7 @@ def inherit(files: DataFrame) -> DataFrame:
     licence (of several the best score, then the smallest name). A null path inherits nothing.
     """
     found = files.where(F.col("own_license").isNotNull() & F.col("path").rlike(LICENCE_FILE)).groupBy(directory(F.col("path")).alias("_dir")).agg(
-        F.max_by("own_license", F.struct("own_score", (-F.hash("own_license")).alias("t"), "own_license")).alias("_license"))
+        F.min_by("own_license", F.struct((-F.col("own_score")).alias("s"), "own_license")).alias("_license"))
     dirs = files.select(directory(F.col("path")).alias("_at")).where(F.col("_at").isNotNull()).distinct()
     parts = F.split("_at", "/")
     ups = dirs.select("_at", F.explode(F.sequence(F.lit(0), F.when(F.col("_at") == "", 0).otherwise(F.size(parts)))).alias("_depth"))
