@@ -18,6 +18,7 @@ from .common import query, table
 from .toxicity import logistic
 
 BITS = 16
+HANDED = 1 << 16  # rules that are handed to all tasks
 SIZES = (3, 4, 5)
 
 # The filter rules of the query as (host, path, verdict).
@@ -69,11 +70,13 @@ def match_rules(pages: DataFrame, rules: DataFrame, host_col: str = "host", path
     """``pages`` with ``rule`` (host + path of the longest fitting rule, else null) and ``rule_verdict``.
 
     A rule fits its host and all subdomains if the path starts with the rule's. The longest (host + path, then host) wins;
-    of equal rules ``block``. Rules with a null part fit nothing; a null host or path fits no rule. Rows keep their number.
+    of equal rules ``block``. Rules with a null part fit nothing; a null host or path fits no rule. Rows keep their number. Up to
+    HANDED rules are handed to all tasks, so the pages stay where they are; more are joined by exchange.
     """
     rules = rules.select("host", "path", "verdict").where("host is not null and path is not null and verdict is not null").distinct()
     labels = F.size(F.split("host", r"\."))
     counts = sorted(r[0] for r in rules.select(labels).distinct().collect())  # a handful of label counts
+    few = rules.count() <= HANDED
     by_host = rules.groupBy(F.col("host").alias("_rule_host")).agg(F.collect_list(F.struct(
         (F.length("host") + F.length("path")).alias("size"), F.length("host").alias("host_size"), "verdict",
         "path", F.concat("host", "path").alias("rule"))).alias("_rules"))
@@ -82,7 +85,7 @@ def match_rules(pages: DataFrame, rules: DataFrame, host_col: str = "host", path
         name = f"_rules_{k}"
         part = by_host.where(F.size(F.split("_rule_host", r"\.")) == k).withColumnRenamed("_rules", name)
         key = F.when(F.size(F.split(F.col(host_col), r"\.")) >= k, F.substring_index(F.col(host_col), ".", -k))
-        out = out.join(part, key == F.col("_rule_host"), "left").drop("_rule_host")
+        out = out.join(F.broadcast(part) if few else part, key == F.col("_rule_host"), "left").drop("_rule_host")
         found.append(F.coalesce(F.col(name), F.array().cast(part.schema[name].dataType)))
     if not found:
         return pages.select("*", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("rule_verdict"))
