@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import query, saved, table
+from .common import part_count, query, saved, table
 
 MIN_REVISIT = 1000
 FILE_BYTES = 256 << 20
 RANGE_BYTES = 8 << 20
+TASK_BYTES = 64 << 20  # of archives that one task reads back
 GAP_BYTES = 64 << 10
 INDEX = "page_id long, url string, payload_digest string, record_type string, file string, offset long, length long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -142,7 +143,9 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                 yield got.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     slab = F.floor(F.col("offset") / F.lit(4 * RANGE_BYTES))
-    return index.select("file", "offset", "length", slab.alias("slab")).repartition("file", "slab").sortWithinPartitions("file", "offset").select(
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(part_count(index), -(-total // TASK_BYTES))  # by the bytes to be read: the index rows themselves are small
+    return index.select("file", "offset", "length", slab.alias("slab")).repartition(tasks, "file", "slab").sortWithinPartitions("file", "offset").select(
         "file", "offset", "length").mapInPandas(fetch, RECORD)
 
 
