@@ -2,8 +2,9 @@
 
 Lines of a page are counted once each, per host, as (host, 128-bit hash) with a partial aggregate; a line is boilerplate
 of a host when more than ``ratio`` of the host's pages, and at least ``min_pages`` pages, hold it. A host has at most (mean
-lines of a page / ratio) such lines, however many pages it has, so the list of a host is one short array. Pages meet it by an
-equi-join on host that adaptive execution can split; texts are never exploded on the way back.
+lines of a page / ratio) such lines, however many pages it has, so the list of a host is one short array. The lists are written and
+counted: up to HANDED lines they are handed to all tasks and no text moves; more meet the pages by an equi-join on host and a salt, so that
+a host's pages spread over SALTS tasks. Texts are never exploded on the way back.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import query, table
+from .common import query, saved, table
 
 RATIO = 0.1
 MIN_PAGES = 3
+HANDED = 1 << 18  # lines (16 bytes each) of all lists that are handed to all tasks
+SALTS = 32
 
 
 def line_key(line: Column) -> Column:
@@ -37,9 +40,15 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     The order of the other lines, blank lines and all other columns stay. A null text stays null and has no lines; an
     empty text has one blank line. A repeated row is a page of its own. A text of boilerplate only becomes empty.
     """
-    rules = boilerplate(pages, host_col, text_col, ratio, min_pages)
+    rules = saved(boilerplate(pages, host_col, text_col, ratio, min_pages))
     rows = pages.select(F.struct(*pages.columns).alias("_row"))  # so that no column name of the caller can clash
-    joined = rows.join(rules, F.col("_row")[host_col].eqNullSafe(F.col("_host")), "left")
+    host = F.col("_row")[host_col]
+    if (rules.agg(F.sum(F.size("_drop"))).first()[0] or 0) <= HANDED:
+        joined = rows.join(F.broadcast(rules), host.eqNullSafe(F.col("_host")), "left")
+    else:
+        rows = rows.withColumn("_s", F.pmod(F.xxhash64(F.col("_row")[text_col]), F.lit(SALTS)).cast("int"))
+        rules = rules.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.join(rules, host.eqNullSafe(F.col("_host")) & (F.col("_s") == F.col("_salt")), "left")
     lines = F.split(F.col("_row")[text_col], "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains("_drop", line_key(x)))
     joined = joined.withColumn("_kept", F.when(F.col("_drop").isNull(), lines).otherwise(kept))
