@@ -212,7 +212,8 @@ def dns_enrich(answers: DataFrame, prefixes: DataFrame | Sequence[DataFrame], ty
     spark = answers.sparkSession
     codes = spark.createDataFrame(list(type_codes.items()), "qtype string, _code int")  # one row per record type
     d = answers.join(F.broadcast(codes), ["qtype"]).where(F.col("atype") == F.col("_code")).drop("_code")
-    unq = F.regexp_replace(F.regexp_replace("data", r'"\s+"', ""), '^"|"$', "")
+    quoted = F.startswith(F.col("data"), F.lit('"')) & F.endswith(F.col("data"), F.lit('"'))
+    unq = F.when(quoted, F.array_join(F.regexp_extract_all("data", F.lit('"([^"]*)"'), 1), "")).otherwise(F.col("data"))  # strings of one value are joined
     d = d.withColumn("data", F.when(F.col("qtype") == "TXT", unq).otherwise(F.col("data")))
     tables = [prefixes] if isinstance(prefixes, DataFrame) else list(prefixes)
     return enrich_text(d, tables, F.when(F.col("qtype").isin("A", "AAAA"), F.col("data")),

@@ -137,6 +137,7 @@ WHOIS_LABELS = {
     "country": ["country", "registrant country", "org country", "domain holder country", "registrant country/economy", "país"],
     "email": ["e mail", "email", "holder email", "registrant contact email"],
 }
+# Labels that open a list of name servers.
 NS_HEADERS = ["name servers", "nameservers", "name server", "domain servers", "name servers information", "name servers in the listed order",
               "domain servers in listed order", "domain name servers", "domain nameservers"]
 # Beginnings of values that hide what they stand for.
