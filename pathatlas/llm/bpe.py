@@ -11,6 +11,7 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,10 @@ from .common import query, table
 NONE = np.int32(2**31 - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LONG = 256  # bytes of a piece from which disjoint equal pairs are merged in one round
-CACHE = 1_000_000  # pieces a worker remembers; the memory is emptied when it is full
+BLOCK = 500_000  # characters whose new pieces are encoded together
+MEMORY = 40 << 20  # bytes of pieces and ids that a worker remembers; the memory is emptied when it is full
+KEPT = 32  # characters of the longest piece that is remembered
+COST = 180  # bytes that an entry takes beside its characters and ids
 
 
 class PairTable:
@@ -71,11 +75,11 @@ class Bpe:
         with open(path, "rb") as f:
             pairs = [line.split() for line in f if line.strip()]
         ranks = {base64.b64decode(a): int(b) for a, b in pairs}
-        self.split = regex.compile(pattern).findall
-        self.tokens = [b""] * (max(ranks.values()) + 1)
+        self.pattern = regex.compile(pattern)
+        tokens = [b""] * (max(ranks.values()) + 1)
         left, right, merged = [], [], []
         for token, rank in ranks.items():
-            self.tokens[rank] = token
+            tokens[rank] = token
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
@@ -85,10 +89,11 @@ class Bpe:
         self.ranks = ranks
         self.bytes_to_id = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.table = PairTable(np.array(left, np.int64), np.array(right, np.int64), np.array(merged, np.int32))
-        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
         self.known: dict[str, bytes] = {}  # piece -> its ids as little-endian unsigned 32-bit integers
+        self.held = 0  # bytes that ``known`` takes
 
     def _matrix(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of pieces of one length class; one merge per row and round."""
@@ -148,42 +153,67 @@ class Bpe:
             cells = new
         return cells
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces that are not known yet."""
-        if len(self.known) + len(pieces) > CACHE:
-            self.known.clear()
-        classes: dict[int, list[tuple[str, bytes]]] = {}
-        for p in pieces.difference(self.known):
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of the pieces; short ones are remembered."""
+        out, classes = {}, {}
+        for p in pieces:
+            ids = self.known.get(p)
+            if ids is not None:
+                out[p] = ids
+                continue
             raw = p.encode("utf-8")
             whole = self.ranks.get(raw)
             if whole is not None:
-                self.known[p] = whole.to_bytes(4, "little")
+                out[p] = whole.to_bytes(4, "little")
             elif len(raw) >= LONG:
-                self.known[p] = self._long(raw).astype("<u4").tobytes()
+                out[p] = self._long(raw).astype("<u4").tobytes()
             else:
                 classes.setdefault(len(raw).bit_length(), []).append((p, raw))
         for rows in classes.values():
             for at in range(0, len(rows), 4096):
                 part = rows[at:at + 4096]
                 for (p, _), ids in zip(part, self._matrix([raw for _, raw in part]), strict=True):
-                    self.known[p] = ids.astype("<u4").tobytes()
+                    out[p] = ids.astype("<u4").tobytes()
+        for p, ids in out.items():
+            if len(p) <= KEPT and p not in self.known:
+                self.held += COST + len(p) + len(ids)
+                if self.held > MEMORY:
+                    self.known, self.held = {}, COST + len(p) + len(ids)
+                self.known[p] = ids
+        return out
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text, in order. The new pieces of about a million characters are encoded together."""
-        held, size = [], 0
+        """Ids of each text, in order. The new pieces of about BLOCK characters are encoded together, also within a long text."""
+        split: list[list[str]] = [[]]  # pieces of the texts that are held; the last one is open
+        done: list[np.ndarray] = []  # ids of the open text's earlier blocks
+        size = 0
         for text in texts:
-            held.append(text or "")
-            size += len(held[-1])
-            if size > 1_000_000:
-                yield from self._block(held)
-                held, size = [], 0
-        yield from self._block(held)
-
-    def _block(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [self.split(t) for t in texts]
-        self.learn(set().union(*split))
-        for pieces in split:
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4")
+            for pieces in self._split(text or ""):
+                split[-1] += pieces
+                size += sum(map(len, pieces))
+                if size >= BLOCK:
+                    *whole, part = self._block(split)
+                    for ids in whole:
+                        yield np.concatenate([*done, ids])
+                        done = []
+                    done.append(part)
+                    split, size = [[]], 0
+            split.append([])
+        for ids in self._block(split)[:-1]:
+            yield np.concatenate([*done, ids])
+            done = []
+
+    def _split(self, text: str) -> Iterator[list[str]]:
+        if len(text) < BLOCK:
+            yield self.pattern.findall(text)
+            return
+        found = (m.group() for m in self.pattern.finditer(text))
+        while part := list(islice(found, BLOCK // 8)):
+            yield part
+
+    def _block(self, split: list[list[str]]) -> list[np.ndarray]:
+        ids = self.learn(set().union(*split))
+        return [np.frombuffer(b"".join(map(ids.__getitem__, pieces)), "<u4") for pieces in split]
 
     def encode(self, text: str) -> np.ndarray:
         return next(self.encode_all([text]))
@@ -191,7 +221,7 @@ class Bpe:
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of the ids: one gather from the joined token bytes."""
         ids = np.asarray(ids, np.int64)
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.tokens)):
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.sizes)):
             raise ValueError("unknown token id")
         n = self.sizes[ids]
         ends = np.cumsum(n)
