@@ -398,6 +398,20 @@ def test_bpe_equals_the_reference_library(spark):
         assert r["decoded_sha256"] == hashlib.sha256(text[r["id"]].encode()).hexdigest()
 
 
+def test_bpe_blocks_and_bounded_memory(monkeypatch):
+    """Texts longer than a block, and a memory that is emptied all the time, change no ids; long pieces are never remembered."""
+    path, pattern = bpe.vocabulary()
+    whole = bpe.Bpe(path, pattern)
+    rng = random.Random(8)
+    texts = [*HARD, "", " ".join(f"w{rng.randrange(10**6)}" for _ in range(3000)), None, "z" * 5000, "a b", ""]
+    want = [whole.encode(t or "").tolist() for t in texts]
+    monkeypatch.setattr(bpe, "BLOCK", 700)
+    monkeypatch.setattr(bpe, "MEMORY", 4000)
+    small = bpe.Bpe(path, pattern)
+    assert [ids.tolist() for ids in small.encode_all(texts)] == want
+    assert small.held <= 4000 and max(map(len, small.known)) <= bpe.KEPT
+
+
 def test_bpe_columns_and_odd_rows(spark, odd):
     path, pattern = bpe.vocabulary()
     encode, decode = bpe.encode_column(path, pattern), bpe.decode_column(path, pattern)
@@ -410,7 +424,9 @@ def test_bpe_columns_and_odd_rows(spark, odd):
 
 # ---- 6: boilerplate lines ----------------------------------------------------------------------------------------------
 
-def test_boilerplate_lines_equal_brute_force(spark):
+@pytest.mark.parametrize("handed", [lines.HANDED, 0])
+def test_boilerplate_lines_equal_brute_force(spark, monkeypatch, handed):
+    monkeypatch.setattr(lines, "HANDED", handed)
     rng = random.Random(6)
     pages = [(i, "\n".join(rng.choice(["menu", "foot", f"own {i}", "", f"rare {rng.randrange(9)}", "menu"]) for _ in range(rng.randrange(0, 9))),
               rng.choice(["h1", "h2", None])) for i in range(80)]
@@ -633,12 +649,7 @@ def test_pipeline_stages(spark):
         elif name == "line_dedup":
             assert set(kept) == set(was)
         elif name == "near_dedup":
-            fps = {i: brute_simhash(t) for i, (t, _) in was.items()}
-            roots = brute_components(sorted(set(fps.values())))
-            least = {}
-            for i, f in fps.items():
-                least[roots[f]] = min(i, least.get(roots[f], i))
-            assert set(kept) == set(least.values())
+            assert set(kept) == set(brute_similar({i: t or "" for i, (t, _) in was.items()}).values())
         else:
             flat = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "
             items = [flat(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
