@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..session import cut_lineage
 
-HOPS_PER_PART = 2_000_000
-
 
 @dataclass(frozen=True)
 class HopIndex:
@@ -40,16 +38,15 @@ def hop_rows(path_rows: DataFrame) -> DataFrame:
 
 def sorted_hops(hops: DataFrame, parts: int | None = None) -> DataFrame:
     """Range partitions by (asn, path): a network on very many paths fills several of them."""
-    rows = hops if parts else cut_lineage(hops)
-    n = parts or max(1, -(-rows.count() // HOPS_PER_PART))
-    return rows.repartitionByRange(n, "asn", "path_id").sortWithinPartitions("asn", "path_id")
+    n = parts or int(hops.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return hops.repartitionByRange(n, "asn", "path_id").sortWithinPartitions("asn", "path_id")
 
 
-def build(path_rows: DataFrame, keep: Sequence[str] = ()) -> HopIndex:
-    """The index over path rows (pid, path_str, n_peers), written once to the shared folder."""
+def build(path_rows: DataFrame, keep: Sequence[str] = (), parts: int | None = None) -> HopIndex:
+    """The index over path rows (pid, path_str, n_peers); the hops are written once to the shared folder, in ``parts`` files."""
     uses = path_rows.select("pid", path_id(F.col("path_str")).alias("path_id"), "n_peers", *keep)
     totals = path_rows.groupBy("pid").agg(F.sum("n_peers").alias("observed_peers"))
-    return HopIndex(cut_lineage(sorted_hops(hop_rows(path_rows))), uses, totals)
+    return HopIndex(cut_lineage(sorted_hops(hop_rows(path_rows), parts)), uses, totals)
 
 
 def save(index: HopIndex, path: str) -> None:

@@ -25,16 +25,22 @@ def with_chunks(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = ()
                 chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Add ``_chunk``: the number of the row's range partition by (keys, ascending ``order``).
 
-    The input is written once, so that neither the sample of the range partitioner nor a
-    later scan computes it again, and its written size gives the number of chunks.
+    The rows are written once, with their chunk numbers. Only where the estimated size asks for more chunks than the session has
+    shuffle partitions is the input written before, as its written size then gives the number of chunks.
     """
-    base = cut_lineage(df)
-    size = int(str(base._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = chunks or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // chunk_bytes))
+    base, n = df, chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not chunks and plan_bytes(df) > n * chunk_bytes:
+        base = cut_lineage(df)
+        n = max(n, -(-plan_bytes(base) // chunk_bytes))
     ranged = base.repartitionByRange(n, *[F.col(k) for k in keys], *order, F.monotonically_increasing_id())
     return cut_lineage(ranged.withColumn(CHUNK, F.spark_partition_id()))
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a result's size; for a written table the size of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def scan(df: DataFrame, out: str, value: Column, kind: str, order: Sequence[Column],
          keys: Sequence[str] = (), inclusive: bool = True) -> DataFrame:
     """Running 'max', 'sum', 'count' or 'last' (non-null) of ``value`` over ascending ``order``."""
