@@ -25,7 +25,7 @@ NONE = np.int32(2**31 - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LONG = 256  # bytes of a piece from which disjoint equal pairs are merged in one round
 BLOCK = 500_000  # characters whose new pieces are encoded together
-MEMORY = 40 << 20  # bytes of pieces and ids that a worker remembers; the memory is emptied when it is full
+MEMORY = 24 << 20  # bytes of pieces and ids that a worker remembers; the memory is emptied when it is full
 KEPT = 32  # characters of the longest piece that is remembered
 COST = 180  # bytes that an entry takes beside its characters and ids
 

@@ -19,6 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS_PER_BATCH = 1000
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under a name, with its SQL where there is one."""
     def register(fn):
@@ -33,7 +37,13 @@ def query(name: str, sql: str | None = None):
 
 
 def importable(spark: SparkSession) -> None:
-    """Python workers that share this machine find the package whatever folder the driver was started in."""
+    """Python workers that share this machine find the package whatever folder the driver was started in.
+
+    Rows are whole texts, so a batch of Spark's usual 10,000 of them takes far more memory than of plain numbers; unless the
+    session has a size of its own, batches get ROWS_PER_BATCH.
+    """
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(ROWS_PER_BATCH))
     home, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if home not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH", ""), home]))
