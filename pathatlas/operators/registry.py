@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import ip
 from ..sources.text import asn_value, attr_all, attr_first
+from . import runs
 
+DOMAIN_BYTES = 4 << 20  # of compressed input to one task of a suffix join, where a domain is a row for each of its labels
 DROPPED_ATTRS = ("auth", "pgp-fingerprint")  # fixed values: never published
 
 
@@ -67,14 +69,23 @@ def registry_whois(objects: DataFrame, kind: str = "aut-num") -> DataFrame:
 
 
 def zone_lookup(domains: DataFrame, zones: DataFrame) -> DataFrame:
-    """Closest registered zone of each domain: one equi-join on its suffixes."""
+    """Closest registered zone of each domain: one equi-join on its suffixes.
+
+    A zone of one label may end a large share of all domains, so its join key is salted. The number of tasks follows the input.
+    """
+    n = runs.tasks(domains, DOMAIN_BYTES)
     labels = F.filter(F.split(F.regexp_replace(F.lower("domain"), r"\.$", ""), r"\."), lambda x: x != "")
-    d = domains.select("domain").distinct().withColumn("_l", labels)
+    known = domains.select("domain").repartition(n, "domain").distinct()
+    d = known.withColumn("_l", labels)
     suffix = d.select("domain", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_l"), F.lit(1))), lambda i: F.array_join(
         F.slice("_l", i, F.size("_l")), "."))).alias("depth", "zone"))
-    hit = suffix.join(zones.select("zone").distinct(), ["zone"])
-    return domains.select("domain").distinct().join(
-        hit.groupBy("domain").agg(F.min_by("zone", "depth").alias("zone")), ["domain"], "left")
+    short = ~F.col("zone").contains(".")
+    salted = suffix.withColumn("_salt", F.when(short, F.pmod(F.xxhash64("domain"), F.lit(n)).cast("int")).otherwise(F.lit(0)))
+    build = zones.select("zone").distinct().withColumn("_salt", F.explode(F.when(short, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))))
+    hit = salted.repartition(n, "zone", "_salt").join(build, ["zone", "_salt"])
+    best = hit.select("domain", "depth").repartition(n, "domain").groupBy("domain").agg(F.min("depth").alias("_depth"))
+    zone = F.when(F.col("_depth").isNotNull(), F.array_join(F.slice("_l", F.col("_depth") + 1, F.greatest(F.size("_l"), F.lit(1))), "."))
+    return known.join(best, ["domain"], "left").withColumn("_l", labels).select("domain", zone.alias("zone"))
 
 
 def ip_holder(entities: DataFrame, entity_rows: DataFrame, head: DataFrame) -> DataFrame:
