@@ -247,7 +247,7 @@ _DIR = f"""SELECT cc, asn, total, row_number() OVER (PARTITION BY cc ORDER BY to
 
 @query("top_prefixes_per_asn", """SELECT origin_asn, prefix, cc, n_paths, CAST(origin_asn % 256 AS INTEGER) AS bucket, r AS pos FROM (
   SELECT *, row_number() OVER (PARTITION BY origin_asn ORDER BY n_paths DESC, prefix) AS r FROM (
-    SELECT DISTINCT o.origin_asn, p.prefix, coalesce(p.cc, 'ZZ') AS cc, p.n_paths FROM o_pathobs o JOIN o_pgeo p ON p.pid = o.pid) x) y""")
+    SELECT DISTINCT o.origin_asn, p.prefix, coalesce(p.cc, 'ZZ') AS cc, p.n_paths FROM o_pathobs o JOIN o_pgeo p ON p.pid = o.pid) x) y""", shared=True)
 def top_prefixes_per_asn(t):
     from .queries_search import byorigin
     return N.top_prefixes_per_asn(byorigin(t))
@@ -300,13 +300,13 @@ def both_families(t):
             pathobs(t).select("family").unionByName(pathobs6(t).select("family")))
 
 
-@query("snapshot_stats", f"""SELECT *, sha1('{{' || {" || ',' || ".join(f"'{chr(34)}{k}{chr(34)}:' || {k}" for k in _KEYS)} || '}}')[1:12] AS version FROM ({_STATS}) s""")
+@query("snapshot_stats", f"""SELECT *, sha1('{{' || {" || ',' || ".join(f"'{chr(34)}{k}{chr(34)}:' || {k}" for k in _KEYS)} || '}}')[1:12] AS version FROM ({_STATS}) s""", shared=True)
 def snapshot_stats(t):
     return N.snapshot_stats(*both_families(t), t["fx_geo_raw"])
 
 
 @query("overview_counts", """SELECT 'prefixes' AS metric, count(*) AS n FROM o_prefix UNION ALL SELECT 'prefixes_v6', count(*) FROM o_prefix p JOIN fx_v6 v ON v.pk = p.pid
-  UNION ALL SELECT 'paths', count(*) + (SELECT count(*) FROM o_pathobs p JOIN fx_v6 v ON v.pk = p.pid) FROM o_pathobs UNION ALL SELECT 'countries', count(DISTINCT cc) FROM o_pgeo""")
+  UNION ALL SELECT 'paths', count(*) + (SELECT count(*) FROM o_pathobs p JOIN fx_v6 v ON v.pk = p.pid) FROM o_pathobs UNION ALL SELECT 'countries', count(DISTINCT cc) FROM o_pgeo""", shared=True)
 def overview_counts(t):
     from .queries_geo import pgeo
     return N.overview_counts(N.snapshot_stats(*both_families(t)), N.country_counts(pgeo(t)))

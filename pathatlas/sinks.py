@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import runs
+
 
 def sink_sorted(df: DataFrame, path: str, keys: Sequence[str | Column], partitions: int | None = None,
                 max_records: int = 2_000_000, mode: str = "overwrite") -> None:
@@ -27,20 +29,27 @@ def sink_country(working_set: DataFrame, path: str, max_records: int = 500_000)
         "maxRecordsPerFile", max_records).parquet(path)
 
 
+def _dealt(obs: DataFrame) -> DataFrame:
+    """By collector and hash in ranges, in more than the session's shuffle partitions where the size asks for it."""
+    n = runs.tasks(obs)
+    more = [n] if n > int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    return obs.repartitionByRange(*more, "collector", F.xxhash64("prefix", "path_raw"))
+
+
 def sink_collector_replace(obs: DataFrame, path: str, *, base_load: bool = False, rebuild: bool = False) -> None:
     """Write observations by collector. A base load replaces everything; later loads replace
     only the collectors they bring and must name known ones."""
     if base_load and rebuild:
         raise ValueError("a full reset and a collector replacement exclude each other")
     if base_load:
-        obs.repartitionByRange("collector", F.xxhash64("prefix", "path_raw")).write.mode("overwrite").partitionBy("collector").parquet(path)
+        _dealt(obs).write.mode("overwrite").partitionBy("collector").parquet(path)
         return
     spark = obs.sparkSession
     known = spark.read.parquet(path).select("collector").distinct()  # a missing base load fails here
     unknown = obs.select("collector").distinct().join(known, ["collector"], "left_anti").limit(5).collect()
     if unknown:
         raise ValueError(f"unknown collectors: {sorted(r['collector'] for r in unknown)}")
-    (obs.repartitionByRange("collector", F.xxhash64("prefix", "path_raw")).write.mode("overwrite")
+    (_dealt(obs).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("collector").parquet(path))
 
 

@@ -49,7 +49,8 @@ def rpsl_attrs(obj, registry_style: bool = False) -> Column:
 
 
 def src_rpsl(df: DataFrame, obj: str = "obj") -> DataFrame:
-    return df.withColumn("attrs", rpsl_attrs(obj))
+    # the one-element explode keeps the optimizer from copying the parser into filters on its result
+    return df.withColumn("attrs", F.explode(F.array(rpsl_attrs(obj))))
 
 
 def src_registry(spark: SparkSession, root: str) -> DataFrame:
@@ -85,7 +86,7 @@ def irr_route_extract(objects: DataFrame, default_source: str, family: int = 4)
     kind = "route" if family == 4 else "route6"
     b = (ip.cidr4_bounds if family == 4 else ip.cidr6_bounds)(_uncomment(attr_first(kind)))
     d = objects.where(F.get("attrs", 0)["k"] == kind).select(
-        b.alias("b"), asn_value(_uncomment(attr_first("origin"))).alias("origin"),
+        F.explode(F.array(b)).alias("b"), asn_value(_uncomment(attr_first("origin"))).alias("origin"),
         F.coalesce(F.nullif(F.upper(_uncomment(attr_first("source"))), F.lit("")), F.lit(default_source)).alias("source"))
     return d.where("b IS NOT NULL AND origin IS NOT NULL").select(
         F.lit(family).alias("family"), F.col("b.start").alias("ip_start"), F.col("b.end").alias("ip_end"),
