@@ -9,7 +9,7 @@ tokens are required, fewer pairs must be verified. A pair must share the smaller
 Sets of a large group of near-copies share nearly all tokens, so pairs are not formed at once. First every set meets only the most
 typical set of each of its tokens (its prefix has the most common tokens, so it is likely what the others are copies of), and is
 compared with the one it shares most with; what is verified is joined to components. Then only tokens that still hold several
-components form pairs, across these and in blocks, so no token's sets meet in one task; a pair whose parity maps differ in more
+components form pairs, across these and in blocks, so no token's sets meet in one task; a pair whose parity maps (wider for large sets) differ in more
 bits than a similar pair has differing tokens is no candidate. This loses no link between components.
 """
 
@@ -31,7 +31,8 @@ CELLS = 1 << 20  # of the table of token counts
 MOST = 16  # shared tokens a set may require
 OTHERS = 0.05  # sets that hold a rare token too, below what the cells can tell
 VERIFY = 0.4  # cost of verifying a pair, in rows for each token of the set
-BITS = 4  # words of 64 bits of a set's parity map
+BITS = 16  # words of 64 bits of a set's parity map
+LARGE, WIDE = 1024, 64  # sets of so many tokens have a second map, of so many words: the first one says little of them
 HANDED = 1 << 20  # rows of an id table that is handed to all tasks; a larger one is joined by exchange
 BLOCK = 1024  # sets of a token that meet another block of them in one cell
 
@@ -68,10 +69,10 @@ class Rule:
         return shared * (self.num + self.den) >= (n + m) * self.num
 
 
-def parity(held: np.ndarray) -> np.ndarray:
-    """For each of 64 * BITS classes of tokens whether the set holds an odd number of them. Two maps differ in no more bits than
+def parity(held: np.ndarray, words: int = BITS) -> np.ndarray:
+    """For each of 64 * ``words`` classes of tokens whether the set holds an odd number of them. Two maps differ in no more bits than
     the sets differ in tokens."""
-    odd = np.bincount(((held >> np.uint64(3)) % np.uint64(64 * BITS)).astype(np.int64), minlength=64 * BITS) & 1
+    odd = np.bincount(((held >> np.uint64(3)) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -135,20 +136,23 @@ def head(held: np.ndarray, counts: np.ndarray, load: float, rule: Rule) -> tuple
 
 
 def heads(docs: DataFrame, text_col: str, rule: Rule) -> DataFrame:
-    """(key, node, n, k, bits, head) per distinct text that has a set; ``key`` is the text's MD5, ``node`` a number."""
+    """(key, node, n, k, bits, wide, head) per distinct text that has a set; ``key`` is the text's MD5, ``node`` a number.
+
+    ``wide`` is null for sets of fewer than LARGE tokens.
+    """
     counts = token_counts(docs, text_col, rule)
     mean = float(counts.mean())
     shared = docs.sparkSession.sparkContext.broadcast((counts.astype(np.float32), mean + 2 * mean**0.5))
 
-    @F.pandas_udf("n long, k int, bits array<long>, head array<long>")
+    @F.pandas_udf("n long, k int, bits array<long>, wide array<long>, head array<long>")
     def told(texts: pd.Series) -> pd.DataFrame:
         seen, load = shared.value
         rows = []
         for t in texts:
             held = rule.shingles(t)
             k, first = head(held, seen, load, rule) if len(held) else (0, held)
-            rows.append((len(held), k, parity(held), first.view(np.int64)))
-        return pd.DataFrame(rows, columns=["n", "k", "bits", "head"])
+            rows.append((len(held), k, parity(held), parity(held, WIDE) if len(held) >= LARGE else None, first.view(np.int64)))
+        return pd.DataFrame(rows, columns=["n", "k", "bits", "wide", "head"])
 
     rows = docs.select(text_key(text_col).alias("key"), told(F.col(text_col)).alias("_h")).groupBy("key").agg(F.first("_h").alias("_h"))
     return saved(rows.select("key", "_h.*").where("n > 0").withColumn("node", F.monotonically_increasing_id()))
@@ -192,6 +196,33 @@ def rooted(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("_root", "node")).drop("_node", "_root")
 
 
+def meetings(now: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """(u, v, least) for each token that two sets of unlike roots share in their prefixes, where sizes, places and parity maps allow that
+    they are similar; ``now`` has (node, token, at, n, k, root), and ``least`` tokens must be shared."""
+    held = now.groupBy("token").agg(*[f(c).alias(f"{a}_{c}") for a, f, c in (("lo", F.min, "root"), ("hi", F.max, "root"), ("lo", F.min, "n"),
+                                                                             ("hi", F.max, "n"), ("lo", F.min, "k"))], F.count("*").alias("c"))
+    held = held.where((F.col("lo_root") < F.col("hi_root")) & ((F.col("c") > 2) | rule.sized(F.col("lo_n"), F.col("hi_n"))))
+    now = saved(now.join(held.select("token", "lo_k", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "token"))
+    # maps are wide, so only sets have them that hold as many such tokens as any of their partners may require
+    enough = now.groupBy("node").agg(F.count("*").alias("_c"), F.least(F.first("k"), F.min("lo_k")).alias("_least")).where("_c >= _least")
+    now = now.join(nodes.select("node", "wide", *[F.get("bits", i).alias(f"b{i}") for i in range(BITS)]).join(enough, "node"), "node")
+    maps = [f"b{i}" for i in range(BITS)]
+    facts = ("node", "n", "k", "at", "root", "wide", *maps)
+    mine, every = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    big = now.select("token", mine.alias("i"), every.alias("j"), *[F.col(c).alias(f"x_{c}") for c in facts])
+    small = now.where(F.col("at") < rule.missing_of_larger(F.col("n"), _ceil) + F.col("k")).select(
+        "token", every.alias("i"), mine.alias("j"), *[F.col(c).alias(f"y_{c}") for c in facts])
+    n, m, p, q = F.col("x_n"), F.col("y_n"), F.col("x_at"), F.col("y_at")
+    larger = (n > m) | ((n == m) & (F.col("x_node") > F.col("y_node")))
+    shared = F.least(p, q) + F.least(n - p, m - q)  # at most, given this token's places
+    differing = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in maps), F.lit(0))
+    apart = F.zip_with("x_wide", "y_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.coalesce(F.aggregate(apart, F.lit(0), lambda total, c: total + c), F.lit(0))
+    able = larger & rule.sized(n, m) & (F.col("x_root") != F.col("y_root")) & rule.alike(shared, n, m) & rule.near(differing, n, m)
+    return big.join(small, ["token", "i", "j"]).where(able & rule.near(apart, n, m)).select(
+        F.col("x_node").alias("u"), F.col("y_node").alias("v"), F.least("x_k", "y_k").alias("least"))
+
+
 def links(docs: DataFrame, nodes: DataFrame, text_col: str, rule: Rule, found: DataFrame | None = None) -> DataFrame:
     """Links (u, v) that connect the nodes of ``heads`` just as all pairs of similar sets would.
 
@@ -215,21 +246,7 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, rule: Rule, found: D
     new = verified(docs, text_col, nodes, pairs, rule)
     found = new if found is None else saved(found.union(new))
     now = saved(rooted(rows, found))
-    held = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo < hi")
-    now = now.join(held.select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "token")
-    now = now.join(nodes.select("node", *[F.get("bits", i).alias(f"b{i}") for i in range(BITS)]), "node")
-    maps = [f"b{i}" for i in range(BITS)]
-    mine, every = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    big = now.select("token", mine.alias("i"), every.alias("j"), *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "k", "at", "root", *maps)])
-    small = now.where(F.col("at") < rule.missing_of_larger(F.col("n"), _ceil) + F.col("k")).select(
-        "token", every.alias("i"), mine.alias("j"), *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "k", "at", "root", *maps)])
-    n, m, p, q = F.col("x_n"), F.col("y_n"), F.col("x_at"), F.col("y_at")
-    larger = (n > m) | ((n == m) & (F.col("x_node") > F.col("y_node")))
-    shared = F.least(p, q) + F.least(n - p, m - q)  # at most, given this token's places
-    differing = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in maps), F.lit(0))
-    able = larger & rule.sized(n, m) & (F.col("x_root") != F.col("y_root")) & rule.alike(shared, n, m) & rule.near(differing, n, m)
-    met = big.join(small, ["token", "i", "j"]).where(able).groupBy(F.col("x_node").alias("u"), F.col("y_node").alias("v")).agg(
-        F.count("*").alias("c"), F.first(F.least("x_k", "y_k")).alias("least"))
+    met = meetings(now, nodes, rule).groupBy("u", "v").agg(F.count("*").alias("c"), F.first("least").alias("least"))
     pairs = saved(met.where("c >= least").select("u", "v"))
     return saved(found.union(verified(docs, text_col, nodes, pairs, rule)))
 

@@ -210,6 +210,24 @@ def test_join_equals_brute_force(spark, monkeypatch):
     assert got == [(i, len(sets[i]), find(i)) for i in range(len(texts))]
 
 
+@pytest.mark.parametrize("size", [50, 300])
+def test_texts_that_share_half_their_blocks_do_not_meet(spark, size):
+    """Large sets below the similarity, all of common tokens; maps of 256 bits let every pair of them meet."""
+    rng = random.Random(5)
+    blocks = [" ".join(f"w{b}_{i}" for i in range(size)) for b in range(20)]
+    texts = [" ".join(blocks[b] for b in rng.sample(range(20), 12)) for _ in range(30)]
+    texts.append(texts[0] + " one more word at the end")
+    rule = prefix_join.Rule(words=5, num=80, den=100)
+    sets = [set(prefix_join.shingles(t, 5).tolist()) for t in texts]
+    similar = {(j, i) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(a & b) >= 80 * len(a | b)}
+    nodes = prefix_join.heads(spark.createDataFrame([(t,) for t in texts], "text string"), "text", rule)
+    rows = nodes.selectExpr("node", "n", "k", "node as root", "posexplode(head) as (at, token)")
+    met = {(r["u"], r["v"]) for r in prefix_join.meetings(rows, nodes, rule).select("u", "v").distinct().collect()}
+    named = {r["node"]: [hashlib.md5(t.encode()).digest() for t in texts].index(bytes(r["key"])) for r in nodes.collect()}
+    met = {tuple(sorted((named[u], named[v]))) for u, v in met}
+    assert similar and similar <= met and len(met) <= len(similar) + 30
+
+
 def test_join_of_odd_rows(spark, odd):
     got = sorted(map(tuple, prefix_join.jaccard_join(odd).collect()), key=repr)
     assert got == sorted([(1, 0, 1), (2, 0, 2), (2, 0, 2), (None, 1, None), (None, 1, None), (3, 1, 3), (4, 1, 4), (5, 1, 4), (6, 0, 6), (7, 1, 7)], key=repr)
