@@ -81,6 +81,16 @@ def paths(up: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return place, at >> 1, (at & 1).astype(bool)
 
 
+def depths(up: np.ndarray) -> np.ndarray:
+    """How many decisions lead to each bucket."""
+    n, at, place = np.zeros(BUCKETS, np.uint8), up[:BUCKETS], np.arange(BUCKETS)
+    while len(place):
+        place, at = place[at >= 0], at[at >= 0]
+        n[place] += 1
+        at = up[BUCKETS + (at >> 1)]
+    return n
+
+
 def lexicon(words: DataFrame) -> Lexicon:
     """From all words of the corpus: partial counts per task, summed by bucket in Spark; at most 2^18 sums are returned."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,7 +118,7 @@ class Words:
     WIDTHS = (SEEN + 1, EMBED)
 
     def __init__(self, lex: Lexicon):
-        self.up = lex.up
+        self.up, self.depth = lex.up, depths(lex.up)
         # the last column sums the squares of the row's steps so far; row BUCKETS is the outside and has no weights
         self.tables = [np.zeros((BUCKETS + 1, width + 1), np.float32) for width in self.WIDTHS]
         self.tables[0][:BUCKETS, SEEN] = lex.odds
@@ -119,47 +129,65 @@ class Words:
 
     def start(self) -> None:
         """Space for learning."""
-        self.mark, self.slot = np.zeros(BUCKETS + 1, bool), np.zeros(BUCKETS + 1, np.int64)
+        self.slot = np.zeros(BUCKETS + 1, np.int64)
 
     def around(self, near: np.ndarray) -> np.ndarray:
-        """The vectors of the buckets in some contexts, one after the other."""
-        return self.tables[1].take(near, axis=0)[..., :-1].reshape(len(near), -1)
-
-    def logs(self, h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Log-probability of each bucket inside its class, and what ``learn`` needs."""
-        place, node, side = paths(self.up, words)
-        v = self.tables[0].take(node, axis=0)[:, :-1]
-        seen = np.concatenate([h[:, :SEEN], np.ones((len(h), 1), np.float32)], axis=1).take(place, axis=0)
-        sign = np.float32(2) * side - np.float32(1)
-        s = np.einsum("ij,ij->i", v, seen) * sign
+        """The vectors of the buckets in some contexts."""
+        return self.tables[1].take(near, axis=0)[..., :-1]
+
+    def decisions(self, h: np.ndarray, words: np.ndarray) -> tuple:
+        """Of the decisions that lead to some buckets, level by level: their numbers, the sign of the side taken, their weights, the
+        hidden values they read and their log-odds of that side; the order of the buckets, deep ones first, and where levels begin and end.
+
+        So the decisions of a level belong to the first buckets in that order.
+        """
+        order = np.argsort(self.depth.take(words), kind="stable")[::-1]
+        read = np.ones((len(h), SEEN + 1), np.float32)
+        read[:, :SEEN] = h.take(order, axis=0)[:, :SEEN]
+        levels, at = [], self.up.take(words.take(order))
+        while n := np.count_nonzero(at >= 0):
+            levels.append(at[:n])
+            at = self.up.take(BUCKETS + (at[:n] >> 1))
+        at = np.concatenate([np.zeros(0, np.int32), *levels])
+        node, sign = at >> 1, np.float32(2) * (at & 1).astype(np.float32) - np.float32(1)
+        v = self.tables[0].take(node, axis=0)
+        seen = np.concatenate([read[:0], *[read[:len(x)] for x in levels]])
+        ends = np.cumsum([0, *map(len, levels)]).tolist()
+        return node, sign, v, seen, np.einsum("ij,ij->i", v[:, :-1], seen) * sign, order, list(zip(ends, ends[1:]))
+
+    def logs(self, h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability of each bucket inside its class, and how many decisions it sums."""
+        *_, s, order, levels = self.decisions(h, words)
         each = np.minimum(s, 0) - np.log1p(np.exp(-np.abs(s)))
-        return np.bincount(place, each, len(words)), (place, node, sign, v, seen, each)
+        total, out = np.zeros(len(words)), np.empty(len(words))
+        for a, b in levels:
+            total[:b - a] += each[a:b]
+        out[order] = total
+        return out, self.depth.take(words)
 
     def learn(self, h: np.ndarray, words: np.ndarray) -> np.ndarray:
         """One step of the decisions that lead to some buckets; returns the gradient of the loss by the hidden values."""
-        _, (place, node, sign, v, seen, each) = self.logs(h, words)
-        g = (np.expm1(each) * sign)[:, None]
-        back = np.zeros(h.shape, np.float32)
-        flow = v[:, :SEEN] * g
-        ends = np.flatnonzero(np.diff(place, append=-1) <= 0) + 1  # of the levels; a word has one decision in each
-        for a, b in zip([0, *ends], ends):
-            back[place[a:b], :SEEN] += flow[a:b]
-        seen *= g
-        self.move(0, node, seen.T.astype(np.float64, order="C"))
+        node, sign, v, seen, s, order, levels = self.decisions(h, words)
+        g = -sign / (1 + np.exp(np.minimum(s, 80)))
+        flow = v[:, :SEEN] * g[:, None]
+        total, back = np.zeros((len(h), SEEN), np.float32), np.zeros(h.shape, np.float32)
+        for a, b in levels:
+            total[:b - a] += flow[a:b]
+        back[order, :SEEN] = total
+        self.move(0, node, np.multiply(seen.T, g, dtype=np.float64, order="C"))
         return back
 
     def move(self, which: int, at: np.ndarray, columns: np.ndarray) -> None:
         """A step of the rows ``at`` of a table against the sums of their gradients, shorter for rows that have moved much."""
-        self.mark[at] = True
-        rows = np.flatnonzero(self.mark)
-        self.mark[rows] = False
-        self.slot[rows] = np.arange(len(rows))
+        each = np.arange(len(at))
+        self.slot[at] = each
+        rows = at[self.slot.take(at) == each]  # every row once
+        self.slot[rows] = each[:len(rows)]
         at = self.slot.take(at)
         sums = np.empty((len(rows), len(columns)), np.float32)
         for d, c in enumerate(columns):
             sums[:, d] = np.bincount(at, c, len(rows))
-        if len(rows) and rows[-1] == BUCKETS:
-            sums[-1] = 0
+        sums[rows == BUCKETS] = 0
         held = self.tables[which].take(rows, axis=0)
         held[:, -1] += np.einsum("ij,ij->i", sums, sums)
         sums *= (STEP / np.sqrt(held[:, -1]))[:, None]
@@ -242,9 +270,10 @@ class Net:
     def hidden(self, context: np.ndarray, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Inputs, hidden values and logits (0 at most) of all classes for rows of context classes (and context buckets)."""
         e, w, b, u, c = self.parts
-        x = e.take(context, axis=0).reshape(len(context), -1)
+        x = e.take(context, axis=0)
         if near is not None:
             x += self.words.around(near)
+        x = x.reshape(len(context), -1)
         h = np.tanh(x @ w + b)
         z = h @ u + c
         top = z.max(initial=0)
@@ -369,6 +398,9 @@ def log_probs(net: Net, lex: Lexicon, docs: list[np.ndarray]) -> list[float]:
     """Summed log-probabilities of documents given as bucket arrays."""
     near, words = contexts(docs, BUCKETS, np.int32)
     classes = np.append(lex.classes, np.uint8(CLASSES))
+    if net.words:  # words of equal depth together
+        order = np.argsort(net.words.depth.take(words), kind="stable")
+        near, words = near[order], words[order]
     each = lex.inside[words].astype(np.float64)
     for at in range(0, len(words), BATCH):
         some, word = near[at:at + BATCH], words[at:at + BATCH]
@@ -377,6 +409,8 @@ def log_probs(net: Net, lex: Lexicon, docs: list[np.ndarray]) -> list[float]:
             each[at:at + BATCH] = net.words.logs(h, word)[0]
         each[at:at + BATCH] += z[np.arange(len(z)), classes[word]]
         each[at:at + BATCH] -= np.log(np.exp(z, out=z) @ np.ones(CLASSES, np.float32))
+    if net.words:
+        each[order] = each.copy()
     sums = np.append(0, np.cumsum(each))
     ends = np.cumsum([len(d) for d in docs])
     return (sums[ends] - sums[ends - np.array([len(d) for d in docs])]).tolist()

@@ -736,3 +736,26 @@ def test_lm_steps_follow_the_gradient():
     assert set(moved) <= set(lm.paths(lex.up, some)[1])
     uses = words.uses(np.bincount(some, minlength=lm.BUCKETS))
     assert uses[:, 1].sum() == 30 and set(np.flatnonzero(uses[:, 0])) == set(lm.paths(lex.up, some)[1])
+
+
+def test_lm_decisions_of_a_level_stand_side_by_side():
+    """op8_lm_scoring, CPU seconds: buckets in any order, without decisions and repeated ones, one pass over each level."""
+    rng = np.random.default_rng(6)
+    n = np.ones(lm.BUCKETS, np.int64)
+    n[rng.integers(0, lm.BUCKETS, 500)] = 10 ** rng.integers(1, 7, 500)
+    classes = np.where(np.arange(lm.BUCKETS) == 5, 0, 1 + np.arange(lm.BUCKETS) % 9).astype(np.uint8)
+    lex = lm.Lexicon(classes, np.zeros(lm.BUCKETS, np.float32), *lm.trees(n, classes))
+    words = lm.Words(lex)
+    words.start()
+    some = np.concatenate([[5, 5], rng.choice(lm.BUCKETS, 60, p=n / n.sum()), rng.integers(0, lm.BUCKETS, 20), [5]])
+    h = np.tanh(rng.standard_normal((len(some), lm.HIDDEN))).astype(np.float32)
+    words.tables[0][:, :lm.SEEN] = rng.standard_normal((lm.BUCKETS + 1, lm.SEEN)) / 2
+    node, sign, v, seen, s, order, levels = words.decisions(h, some)
+    place, want, side = lm.paths(lex.up, some)
+    assert sorted(zip(np.concatenate([order[:b - a] for a, b in levels]), node, sign > 0)) == sorted(zip(place, want, side))
+    odds = np.einsum("ij,ij->i", words.tables[0][want, :lm.SEEN], h[place, :lm.SEEN]) + words.tables[0][want, lm.SEEN]
+    logs, deep = words.logs(h, some)
+    assert np.abs(logs + np.bincount(place, np.logaddexp(0, np.where(side, -odds, odds)), len(some))).max() < 1e-4
+    assert np.array_equal(deep, np.bincount(place, minlength=len(some))) and deep[0] == 0 and not words.learn(h, some)[[0, 1, -1]].any()
+    none = words.logs(h[:0], some[:0])[0]
+    assert len(none) == 0 and words.learn(h[:2], some[:2]).shape == (2, lm.HIDDEN)
