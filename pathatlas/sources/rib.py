@@ -29,6 +29,7 @@ SCHEMA = ("file string, family int, plen int, addr binary, peer_asn bigint, peer
 _ARROW = pa.schema([("file", pa.string()), ("family", pa.int32()), ("plen", pa.int32()), ("addr", pa.binary()),
                     ("peer_asn", pa.int64()), ("peer_ip", pa.string()), ("path", pa.list_(pa.int64()))])
 _BATCH = 50_000
+COLLECTOR = r"(?s)^(?:.*/)?([^/]++)/[^/]++$"  # the folder of a file; linear in the length of the name
 
 
 def _open(name: str, content: bytes):
@@ -148,7 +149,7 @@ def rib_entries(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(_decode_batches, SCHEMA)
 
 
-def typed_entries(entries: DataFrame, family: int, collector_pattern: str = r"([^/]+)/[^/]+$") -> DataFrame:
+def typed_entries(entries: DataFrame, family: int, collector_pattern: str = COLLECTOR) -> DataFrame:
     """Entries of one family with bounds: collector, snap_ts, prefix, ip_start, ip_end, family, plen, peer, path."""
     d = entries.where(F.col("family") == family).withColumn("_b", ip.prefix_from_bytes("addr", "plen", family == 6))
     return d.select(
@@ -157,7 +158,7 @@ def typed_entries(entries: DataFrame, family: int, collector_pattern: str = r"([
         "family", "plen", "peer_asn", "peer_ip", "path")
 
 
-def all_entries(entries: DataFrame, collector_pattern: str = r"([^/]+)/[^/]+$") -> DataFrame:
+def all_entries(entries: DataFrame, collector_pattern: str = COLLECTOR) -> DataFrame:
     """Entries of both families from one decode: bounds as 128-bit ``start128`` and ``end128``, as the address tables of both have them."""
     v4 = ip.prefix_from_bytes("addr", "plen", False)
     v6 = ip.prefix_from_bytes("addr", "plen", True)
@@ -168,7 +169,7 @@ def all_entries(entries: DataFrame, collector_pattern: str = r"([^/]+)/[^/]+$")
                     F.col("_b.start").alias("start128"), F.col("_b.end").alias("end128"), "family", "plen", "peer_asn", "peer_ip", "path")
 
 
-def src_rib(spark: SparkSession, path: str, family: int, collector_pattern: str = r"([^/]+)/[^/]+$") -> DataFrame:
+def src_rib(spark: SparkSession, path: str, family: int, collector_pattern: str = COLLECTOR) -> DataFrame:
     """All files under a path or glob; one file is one unit of work."""
     files = spark.read.format("binaryFile").load(path)
     return typed_entries(rib_entries(files), family, collector_pattern)
